@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sensorquery import schema
@@ -364,14 +364,22 @@ class Query:
         in_page = (F.col("rn") > option.skip) & (F.col("rn") <= option.skip + option.top)
         return rows.where(in_page).withColumn("rn", F.col("rn") - option.skip)
 
-    def documents(self, paged: bool = True) -> DataFrame:
-        """One JSON document per row: column ``id``, the sort keys ``_sort`` and ``json``."""
-        df = self.page_rows() if paged else self.rows()
-        keys = self.sort_keys(df)
-        embedded = expand_columns(df, self.table, self.expands, self.catalog, self.base)
-        body = self._output(embedded)
-        ordered = embedded.orderBy(*keys) if paged else embedded
-        return ordered.select("id", body.alias("json"))
+    def documents(self, extra: int = 0) -> DataFrame:
+        """``id``, ``position`` and ``json`` of the documents of the page, expanded relations
+        embedded."""
+        df = self.page_rows(extra)
+        # A page is bounded by its size, so numbering it needs no partitions.
+        place = Window.partitionBy(F.lit(0)).orderBy(*self.sort_keys(df))
+        placed = df.withColumn("_position", F.row_number().over(place))
+        embedded = expand_columns(placed, self.table, self.expands, self.catalog, self.base)
+        return embedded.select(
+            "id", F.col("_position").alias("position"), self._output(embedded).alias("json")
+        )
+
+    def all_documents(self) -> DataFrame:
+        """``id`` and ``json`` of every matching row, for bulk export."""
+        embedded = expand_columns(self.rows(), self.table, self.expands, self.catalog, self.base)
+        return embedded.select("id", self._output(embedded).alias("json"))
 
     def _output(self, df: DataFrame) -> Column:
         names = self.selection or tuple(
