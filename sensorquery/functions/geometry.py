@@ -122,40 +122,57 @@ def crs_matches(text: Column, epsg: int) -> Column:
 
 
 # -- positions -------------------------------------------------------------------------------
+#
+# Lambdas over positions and segments are SQL text with the literal written into it: a position p is
+# [x, y], a segment s has ax, ay, bx, by. Arithmetic is exact as written, without a tolerance.
 
 
-def _xy(p: Column) -> tuple[Column, Column]:
-    return F.get(p, F.lit(0)), F.get(p, F.lit(1))
+def _lambda(function: str, values: Column, body: str) -> Column:
+    return F.call_function(function, values, F.expr(body))
 
 
 def _positions(g: Column) -> Column:
     return F.flatten(g["coords"])
 
 
-def _vertex_pairs(g: Column) -> Column:
-    """Segments of a geometry: pairs of neighbouring positions of each part."""
+def _segments(g: Column) -> Column:
+    """Segments of a geometry: neighbouring positions of each part."""
+    pair = "struct(part[i][0] AS ax, part[i][1] AS ay, b[0] AS bx, b[1] AS by)"
+    pairs = f"part -> transform(slice(part, 2, greatest(size(part) - 1, 0)), (b, i) -> {pair})"
+    return F.flatten(_lambda("transform", g["coords"], pairs))
 
-    def pairs(part: Column) -> Column:
-        count = F.greatest(F.size(part) - 1, F.lit(0))
-        return F.when(
-            count > 0,
-            F.transform(
-                F.sequence(F.lit(0), count - 1),
-                lambda i: F.struct(F.get(part, i).alias("a"), F.get(part, i + 1).alias("b")),
-            ),
-        ).otherwise(F.array().cast("array<struct<a:array<double>,b:array<double>>>"))
 
-    return F.flatten(F.transform(g["coords"], pairs))
+def _segment_text(lit_: Literal) -> str:
+    each = [
+        f"struct({ax!r}D AS ax, {ay!r}D AS ay, {bx!r}D AS bx, {by!r}D AS by)"
+        for (ax, ay), (bx, by) in lit_.segments
+    ]
+    return f"array({', '.join(each)})"
 
 
-def _cross(ax, ay, bx, by, px, py):
-    return (bx - ax) * (py - ay) - (by - ay) * (px - ax)
+def _cross(s: str, x: str, y: str) -> str:
+    return f"(({s}.bx - {s}.ax) * ({y} - {s}.ay) - ({s}.by - {s}.ay) * ({x} - {s}.ax))"
 
 
-def _on_segment(x: Column, y: Column, a, b) -> Column:
-    (ax, ay), (bx, by) = a, b
-    inside = x.between(min(ax, bx), max(ax, bx)) & y.between(min(ay, by), max(ay, by))
-    return inside & (_cross(F.lit(ax), F.lit(ay), F.lit(bx), F.lit(by), x, y) == 0)
+def _in_box(s: str, x: str, y: str) -> str:
+    return (
+        f"({x} BETWEEN least({s}.ax, {s}.bx) AND greatest({s}.ax, {s}.bx) "
+        f"AND {y} BETWEEN least({s}.ay, {s}.by) AND greatest({s}.ay, {s}.by))"
+    )
+
+
+def _on_segment(s: str, x: str, y: str) -> str:
+    return f"({_in_box(s, x, y)} AND {_cross(s, x, y)} = 0)"
+
+
+def _ray_hits(s: str, x: str, y: str) -> str:
+    at = f"({s}.bx - {s}.ax) * ({y} - {s}.ay) / nullif({s}.by - {s}.ay, 0D) + {s}.ax"
+    return f"((({s}.ay > {y}) <> ({s}.by > {y})) AND {x} < {at})"
+
+
+def _is_one_of(points, x: str, y: str) -> str:
+    tests = [f"({x} = {px!r}D AND {y} = {py!r}D)" for px, py in points]
+    return f"({' OR '.join(tests)})" if tests else "FALSE"
 
 
 def _any(tests) -> Column:
@@ -171,90 +188,45 @@ def _line_ends(lit_: Literal) -> tuple:
     return () if first == last else (first, last)
 
 
-def _same(x: Column, y: Column, p) -> Column:
-    return (x == p[0]) & (y == p[1])
-
-
-def _locate(x: Column, y: Column, lit_: Literal) -> Column:
+def _locate(lit_: Literal, x: str, y: str) -> str:
     """Where a position lies in a literal: I, B or E."""
-    xmin, ymin, xmax, ymax = lit_.bounds
-    outside_box = ~(x.between(xmin, xmax) & y.between(ymin, ymax))
     if lit_.dimension == 0:
-        hit = _any(_same(x, y, part[0]) for part in lit_.parts)
-        return F.when(hit, INTERIOR).otherwise(EXTERIOR)
-    on_edge = _any(_on_segment(x, y, a, b) for a, b in lit_.segments)
+        points = [part[0] for part in lit_.parts]
+        return f"CASE WHEN {_is_one_of(points, x, y)} THEN 'I' ELSE 'E' END"
+    xmin, ymin, xmax, ymax = lit_.bounds
+    boxed = f"({x} BETWEEN {xmin!r}D AND {xmax!r}D AND {y} BETWEEN {ymin!r}D AND {ymax!r}D)"
+    segments = _segment_text(lit_)
+    on_edge = f"exists({segments}, s -> {_on_segment('s', x, y)})"
     if lit_.dimension == 1:
-        on_end = _any(_same(x, y, p) for p in _line_ends(lit_))
-        return (
-            F.when(outside_box, EXTERIOR).when(on_end, BOUNDARY).when(on_edge, INTERIOR)
-            .otherwise(EXTERIOR)
-        )
-    crossings = F.lit(0)
-    for (ax, ay), (bx, by) in lit_.segments:
-        if ay == by:
-            continue
-        spans = (F.lit(ay) > y) != (F.lit(by) > y)
-        at = (bx - ax) * (y - ay) / (by - ay) + ax
-        crossings = crossings + F.when(spans & (x < at), 1).otherwise(0)
-    return (
-        F.when(outside_box, EXTERIOR).when(on_edge, BOUNDARY)
-        .when(crossings % 2 == 1, INTERIOR).otherwise(EXTERIOR)
-    )
+        on_end = _is_one_of(_line_ends(lit_), x, y)
+        return f"CASE WHEN NOT {boxed} THEN 'E' WHEN {on_end} THEN 'B' WHEN {on_edge} THEN 'I' ELSE 'E' END"
+    odd = f"size(filter({segments}, s -> {_ray_hits('s', x, y)})) % 2 = 1"
+    return f"CASE WHEN NOT {boxed} THEN 'E' WHEN {on_edge} THEN 'B' WHEN {odd} THEN 'I' ELSE 'E' END"
 
 
 def locations(g: Column, other) -> Column:
     """Distinct locations (I, B, E) of the positions of a geometry in a literal."""
-    lit_ = literal(other)
-    return F.array_distinct(F.transform(_positions(g), lambda p: _locate(*_xy(p), lit_)))
-
-
-def _segments_cross(a1, a2, b1, b2) -> Column:
-    """Closed segment test of a column segment (a1, a2) with a literal segment (b1, b2)."""
-    (x1, y1), (x2, y2) = a1, a2
-    (x3, y3), (x4, y4) = b1, b2
-    d1 = _cross(F.lit(x3), F.lit(y3), F.lit(x4), F.lit(y4), x1, y1)
-    d2 = _cross(F.lit(x3), F.lit(y3), F.lit(x4), F.lit(y4), x2, y2)
-    d3 = _cross(x1, y1, x2, y2, F.lit(x3), F.lit(y3))
-    d4 = _cross(x1, y1, x2, y2, F.lit(x4), F.lit(y4))
-    proper = (F.signum(d1) * F.signum(d2) < 0) & (F.signum(d3) * F.signum(d4) < 0)
-    touching = _on_segment(x1, y1, b1, b2) | _on_segment(x2, y2, b1, b2)
-    within = _any(
-        (c == 0)
-        & F.lit(p[0]).between(F.least(x1, x2), F.greatest(x1, x2))
-        & F.lit(p[1]).between(F.least(y1, y2), F.greatest(y1, y2))
-        for c, p in ((d3, b1), (d4, b2))
-    )
-    return proper | touching | within
+    where = _locate(literal(other), "p[0]", "p[1]")
+    return F.array_distinct(_lambda("transform", _positions(g), f"p -> {where}"))
 
 
 def _edges_meet(g: Column, lit_: Literal) -> Column:
-    def meets(segment: Column) -> Column:
-        a, b = _xy(segment["a"]), _xy(segment["b"])
-        return _any(_segments_cross(a, b, p, q) for p, q in lit_.segments)
-
-    return F.exists(_vertex_pairs(g), meets)
+    """Some segment of a geometry shares a position with some segment of a literal."""
+    d1, d2 = _cross("t", "s.ax", "s.ay"), _cross("t", "s.bx", "s.by")
+    d3, d4 = _cross("s", "t.ax", "t.ay"), _cross("s", "t.bx", "t.by")
+    tests = [f"(signum({d1}) * signum({d2}) < 0 AND signum({d3}) * signum({d4}) < 0)"]
+    tests += [_on_segment("t", "s.ax", "s.ay"), _on_segment("t", "s.bx", "s.by")]
+    tests += [_on_segment("s", "t.ax", "t.ay"), _on_segment("s", "t.bx", "t.by")]
+    inner = f"exists({_segment_text(lit_)}, t -> {' OR '.join(tests)})"
+    return _lambda("exists", _segments(g), f"s -> {inner}")
 
 
 def _covers_position(g: Column, p: tuple[float, float]) -> Column:
-    """A polygon column covers a literal position (boundary included)."""
-    px, py = F.lit(p[0]), F.lit(p[1])
-    pairs = _vertex_pairs(g)
-
-    def on(segment: Column) -> Column:
-        (ax, ay), (bx, by) = _xy(segment["a"]), _xy(segment["b"])
-        inside = px.between(F.least(ax, bx), F.greatest(ax, bx)) & py.between(
-            F.least(ay, by), F.greatest(ay, by)
-        )
-        return inside & (_cross(ax, ay, bx, by, px, py) == 0)
-
-    def crosses(segment: Column) -> Column:
-        (ax, ay), (bx, by) = _xy(segment["a"]), _xy(segment["b"])
-        spans = (ay > py) != (by > py)
-        at = ax + (py - ay) * (bx - ax) / F.when(by != ay, by - ay)
-        return spans & (px < at)
-
-    odd = F.size(F.filter(pairs, crosses)) % 2 == 1
-    return F.exists(pairs, on) | ((g["type"] == "Polygon") & odd)
+    """A line or polygon column covers a literal position (boundary included)."""
+    x, y = (f"{c!r}D" for c in p)
+    on_edge = _lambda("exists", _segments(g), f"s -> {_on_segment('s', x, y)}")
+    hits = _lambda("filter", _segments(g), f"s -> {_ray_hits('s', x, y)}")
+    return on_edge | ((g["type"] == "Polygon") & (F.size(hits) % 2 == 1))
 
 
 def _boxes_meet(g: Column, lit_: Literal) -> Column:
@@ -262,53 +234,49 @@ def _boxes_meet(g: Column, lit_: Literal) -> Column:
     return (g["xmin"] <= xmax) & (g["xmax"] >= xmin) & (g["ymin"] <= ymax) & (g["ymax"] >= ymin)
 
 
+def _pointlike(g: Column) -> Column:
+    return g["type"].isin("Point", "MultiPoint")
+
+
 def intersects(g: Column, other) -> Column:
     lit_ = literal(other)
-    touched = F.exists(_positions(g), lambda p: _locate(*_xy(p), lit_) != EXTERIOR)
-    meet = touched | _any(_covers_position(g, part[0]) for part in lit_.parts)
+    where = _locate(lit_, "p[0]", "p[1]")
+    touched = _lambda("exists", _positions(g), f"p -> {where} <> 'E'")
+    covered = _any(_covers_position(g, part[0]) for part in lit_.parts)
     if lit_.segments:
-        meet = meet | _edges_meet(g, lit_)
-    return F.when(g.isNotNull(), _boxes_meet(g, lit_) & meet)
+        covered = covered | _edges_meet(g, lit_)
+    return F.when(g.isNotNull(), _boxes_meet(g, lit_) & (touched | (~_pointlike(g) & covered)))
 
 
 def disjoint(g: Column, other) -> Column:
     return ~intersects(g, other)
 
 
-def _point_segment(px, py, ax, ay, bx, by) -> Column:
-    dx, dy = bx - ax, by - ay
-    squared = dx * dx + dy * dy
-    along = F.when(squared == 0, F.lit(0.0)).otherwise(
-        ((px - ax) * dx + (py - ay) * dy) / F.when(squared != 0, squared)
-    )
-    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), along))
-    return F.hypot(px - (ax + t * dx), py - (ay + t * dy))
+def _to_segment(s: str, x: str, y: str) -> str:
+    """Distance of a position from a segment."""
+    dx, dy = f"({s}.bx - {s}.ax)", f"({s}.by - {s}.ay)"
+    squared = f"({dx} * {dx} + {dy} * {dy})"
+    along = f"coalesce((({x} - {s}.ax) * {dx} + ({y} - {s}.ay) * {dy}) / nullif({squared}, 0D), 0D)"
+    t = f"greatest(0D, least(1D, {along}))"
+    return f"hypot({x} - ({s}.ax + {t} * {dx}), {y} - ({s}.ay + {t} * {dy}))"
 
 
 def distance(g: Column, other) -> Column:
     """Planar distance in coordinate units; 0 where the geometries meet."""
     lit_ = literal(other)
-
-    def to_literal(p: Column) -> Column:
-        x, y = _xy(p)
-        if not lit_.segments:
-            each = [F.hypot(x - part[0][0], y - part[0][1]) for part in lit_.parts]
-        else:
-            each = [
-                _point_segment(x, y, *(F.lit(c) for c in (*a, *b))) for a, b in lit_.segments
-            ]
-        return each[0] if len(each) == 1 else F.least(*each)
-
-    def from_literal(segment: Column) -> Column:
-        (ax, ay), (bx, by) = _xy(segment["a"]), _xy(segment["b"])
-        vertices = {p for part in lit_.parts for p in part}
-        each = [_point_segment(F.lit(x), F.lit(y), ax, ay, bx, by) for x, y in sorted(vertices)]
-        return each[0] if len(each) == 1 else F.least(*each)
-
-    near = F.array_min(F.transform(_positions(g), to_literal))
-    edge = F.array_min(F.transform(_vertex_pairs(g), from_literal))
-    nearest = F.when(edge.isNull(), near).otherwise(F.least(near, edge))
-    return F.when(g.isNull(), None).when(intersects(g, lit_), 0.0).otherwise(nearest)
+    vertices = sorted({p for part in lit_.parts for p in part})
+    if lit_.segments:
+        nearest = f"array_min(transform({_segment_text(lit_)}, s -> {_to_segment('s', 'p[0]', 'p[1]')}))"
+    else:
+        each = [f"hypot(p[0] - {x!r}D, p[1] - {y!r}D)" for x, y in vertices]
+        nearest = f"array_min(array({', '.join(each)}))"
+    near = F.array_min(_lambda("transform", _positions(g), f"p -> {nearest}"))
+    each = [_to_segment("s", f"{x!r}D", f"{y!r}D") for x, y in vertices]
+    edge = F.array_min(
+        _lambda("transform", _segments(g), f"s -> array_min(array({', '.join(each)}))")
+    )
+    apart = F.when(_pointlike(g), near).otherwise(F.least(near, edge))
+    return F.when(g.isNull(), None).when(intersects(g, lit_), 0.0).otherwise(apart)
 
 
 def length(g: Column | str) -> Column:
@@ -319,12 +287,8 @@ def length(g: Column | str) -> Column:
             return F.lit(0.0)
         total = sum(((bx - ax) ** 2 + (by - ay) ** 2) ** 0.5 for (ax, ay), (bx, by) in lit_.segments)
         return F.lit(float(total))
-
-    def step(total: Column, segment: Column) -> Column:
-        (ax, ay), (bx, by) = _xy(segment["a"]), _xy(segment["b"])
-        return total + F.hypot(bx - ax, by - ay)
-
-    measured = F.aggregate(_vertex_pairs(g), F.lit(0.0), step)
+    steps = _lambda("transform", _segments(g), "s -> hypot(s.bx - s.ax, s.by - s.ay)")
+    measured = F.call_function("aggregate", steps, F.lit(0.0), F.expr("(total, step) -> total + step"))
     return F.when(g["type"] == "LineString", measured).when(g.isNotNull(), 0.0)
 
 
@@ -333,11 +297,9 @@ def length(g: Column | str) -> Column:
 
 def _points_left_over(g: Column, targets) -> Column:
     """At least one literal position is not among the positions of a point geometry."""
-
-    def present(target) -> Column:
-        return F.exists(_positions(g), lambda p: _same(*_xy(p), target))
-
-    return _any(~present(t) for t in targets)
+    return _any(
+        ~_lambda("exists", _positions(g), f"p -> {_is_one_of([t], 'p[0]', 'p[1]')}") for t in targets
+    )
 
 
 def _point_matrix(g: Column, lit_: Literal) -> Column:
@@ -360,11 +322,10 @@ def _point_matrix(g: Column, lit_: Literal) -> Column:
     return F.concat(*rows)
 
 
-def _coords(lit_: Literal) -> Column:
-    """Literal positions as an array column; folded once per query."""
-    return F.array(
-        *[F.array(*[F.array(F.lit(x), F.lit(y)) for x, y in part]) for part in lit_.parts]
-    )
+def _coords(lit_: Literal) -> str:
+    """Literal positions as SQL text; folded into a constant array."""
+    parts = [", ".join(f"array({x!r}D, {y!r}D)" for x, y in part) for part in lit_.parts]
+    return f"array({', '.join(f'array({p})' for p in parts)})"
 
 
 def _shape_matrix(g: Column, lit_: Literal) -> Column:
@@ -375,26 +336,28 @@ def _shape_matrix(g: Column, lit_: Literal) -> Column:
 def relate(g: Column, other, pattern: str | None = None) -> Column:
     """DE-9IM matrix text, or a test of it against a pattern of ``T F * 0 1 2``."""
     lit_ = literal(other)
-    pointlike = g["type"].isin("Point", "MultiPoint")
     matrix = (
         F.when(g.isNull(), None)
-        .when(pointlike, _point_matrix(g, lit_))
+        .when(_pointlike(g), _point_matrix(g, lit_))
         .otherwise(_shape_matrix(g, lit_))
     )
     return matrix if pattern is None else matches(matrix, pattern)
 
 
-def matches(matrix: Column, pattern: str) -> Column:
-    rule = "".join({"T": "[012]", "*": "."}.get(c, c) for c in pattern.upper())
-    return matrix.rlike(f"^{rule}$")
+def _rule(pattern: str) -> str:
+    return "^" + "".join({"T": "[012]", "*": "."}.get(c, c) for c in pattern.upper()) + "$"
+
+
+def matches(matrix: Column, *patterns: str) -> Column:
+    """The matrix fits one of the patterns."""
+    return matrix.rlike("|".join(_rule(p) for p in patterns))
 
 
 def _by_kind(g: Column, other, point_test, pattern_test) -> Column:
     """Point columns use location tests only; other shapes go through the matrix."""
     lit_ = literal(other)
-    pointlike = g["type"].isin("Point", "MultiPoint")
     by_matrix = _boxes_meet(g, lit_) & pattern_test(_shape_matrix(g, lit_))
-    return F.when(g.isNull(), None).when(pointlike, point_test(lit_)).otherwise(by_matrix)
+    return F.when(g.isNull(), None).when(_pointlike(g), point_test(lit_)).otherwise(by_matrix)
 
 
 def equals(g: Column, other) -> Column:
@@ -414,7 +377,7 @@ def touches(g: Column, other) -> Column:
         return F.array_contains(where, BOUNDARY) & ~F.array_contains(where, INTERIOR)
 
     def by_matrix(m: Column) -> Column:
-        return matches(m, "FT*******") | matches(m, "F**T*****") | matches(m, "F***T****")
+        return matches(m, "FT*******", "F**T*****", "F***T****")
 
     return _by_kind(g, other, points, by_matrix)
 
@@ -465,9 +428,11 @@ def crosses(g: Column, other) -> Column:
         return F.array_contains(where, INTERIOR) & F.array_contains(where, EXTERIOR)
 
     def by_matrix(m: Column) -> Column:
-        lines = (size == 1) & (lit_.dimension == 1) & matches(m, "0********")
-        lower = (size < lit_.dimension) & matches(m, "T*T******")
-        higher = (size > lit_.dimension) & matches(m, "T*****T**")
-        return lines | lower | higher
+        same = _rule("0********") if lit_.dimension == 1 else "^$"
+        rule = (
+            F.when(size < lit_.dimension, _rule("T*T******"))
+            .when(size > lit_.dimension, _rule("T*****T**")).otherwise(same)
+        )
+        return F.rlike(m, rule)
 
     return _by_kind(g, other, points, by_matrix)

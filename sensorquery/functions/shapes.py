@@ -3,6 +3,10 @@
 Both sides are lists of segments. Every segment is cut where it meets the other side; the location
 of each piece (by its midpoint) and of each vertex and meeting point gives the nine entries.
 Positions closer than ``TOLERANCE`` coordinate units count as equal.
+
+The expressions are written as SQL text, one lambda for the whole matrix, because they are deep:
+building them call by call costs seconds per query. Each function below returns the text of one
+expression over named lambda variables.
 """
 
 from __future__ import annotations
@@ -10,208 +14,167 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-TOLERANCE = 1e-9
+TOLERANCE = "1e-9D"
 
 
-def let(value: Column, body) -> Column:
-    """Evaluate ``value`` once and use it several times in ``body``."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+def apply(value: Column, body: str) -> Column:
+    """Evaluates ``value`` once and applies the lambda text ``body`` to it."""
+    return F.get(F.call_function("transform", F.array(value), F.expr(body)), F.lit(0))
 
 
-def segments_of(coords: Column) -> Column:
-    def pairs(part: Column) -> Column:
-        return F.transform(
-            F.slice(part, 2, F.greatest(F.size(part) - 1, F.lit(0))),
-            lambda b, i: F.struct(
-                F.get(F.get(part, i), F.lit(0)).alias("ax"),
-                F.get(F.get(part, i), F.lit(1)).alias("ay"),
-                F.get(b, F.lit(0)).alias("bx"),
-                F.get(b, F.lit(1)).alias("by"),
-            ),
-        )
+def _let(name: str, value: str, body: str) -> str:
+    return f"get(transform(array({value}), {name} -> {body}), 0)"
 
-    return F.flatten(F.transform(coords, pairs))
 
+def _positions(coords: str) -> str:
+    return f"transform(flatten({coords}), p -> struct(p[0] AS x, p[1] AS y))"
 
-def positions_of(coords: Column) -> Column:
-    return F.transform(
-        F.flatten(coords),
-        lambda p: F.struct(F.get(p, F.lit(0)).alias("x"), F.get(p, F.lit(1)).alias("y")),
-    )
 
+def _segments(coords: str) -> str:
+    pair = "struct(part[i][0] AS ax, part[i][1] AS ay, b[0] AS bx, b[1] AS by)"
+    tail = "slice(part, 2, greatest(size(part) - 1, 0))"
+    return f"flatten(transform({coords}, part -> transform({tail}, (b, i) -> {pair})))"
 
-def ends_of(kind: Column, coords: Column) -> Column:
+
+def _ends(kind: str, coords: str) -> str:
     """Boundary positions of a line: both ends, none if it is closed."""
-    line = F.get(coords, F.lit(0))
-    first, last = F.get(line, F.lit(0)), F.element_at(line, -1)
-    both = positions_of(F.array(F.array(first, last)))
-    none = F.filter(both, lambda p: F.lit(False))
-    return F.when((kind == "LineString") & (first != last), both).otherwise(none)
+    first, last = f"{coords}[0][0]", f"element_at({coords}[0], -1)"
+    both = f"transform(array({first}, {last}), p -> struct(p[0] AS x, p[1] AS y))"
+    return f"filter({both}, p -> {kind} = 'LineString' AND {first} <> {last})"
 
 
-def side(kind: Column, coords: Column) -> Column:
+def _side(kind: str, coords: str) -> str:
     """Everything the matrix needs to know about one geometry."""
-    return F.struct(
-        kind.alias("kind"),
-        segments_of(coords).alias("segs"),
-        positions_of(coords).alias("points"),
-        ends_of(kind, coords).alias("ends"),
+    return (
+        f"struct({kind} AS kind, {_segments(coords)} AS segs, {_positions(coords)} AS points, "
+        f"{_ends(kind, coords)} AS ends)"
     )
 
 
-def _near(x, y, p: Column) -> Column:
-    return (F.abs(x - p["x"]) <= TOLERANCE) & (F.abs(y - p["y"]) <= TOLERANCE)
+def _near(p: str, q: str) -> str:
+    return f"(abs({p}.x - {q}.x) <= {TOLERANCE} AND abs({p}.y - {q}.y) <= {TOLERANCE})"
 
 
-def _on(x, y, s: Column) -> Column:
-    dx, dy = s["bx"] - s["ax"], s["by"] - s["ay"]
-    off_line = F.abs(dx * (y - s["ay"]) - dy * (x - s["ax"]))
-    boxed = x.between(
-        F.least(s["ax"], s["bx"]) - TOLERANCE, F.greatest(s["ax"], s["bx"]) + TOLERANCE
-    ) & y.between(F.least(s["ay"], s["by"]) - TOLERANCE, F.greatest(s["ay"], s["by"]) + TOLERANCE)
-    return boxed & (off_line <= TOLERANCE * F.hypot(dx, dy))
+def _on(p: str, s: str) -> str:
+    """A position lies on a segment."""
+    dx, dy = f"({s}.bx - {s}.ax)", f"({s}.by - {s}.ay)"
+    boxed = " AND ".join(
+        f"{p}.{c} BETWEEN least({s}.a{c}, {s}.b{c}) - {TOLERANCE} AND greatest({s}.a{c}, {s}.b{c}) + {TOLERANCE}"
+        for c in "xy"
+    )
+    off = f"abs({dx} * ({p}.y - {s}.ay) - {dy} * ({p}.x - {s}.ax))"
+    return f"({boxed} AND {off} <= {TOLERANCE} * hypot({dx}, {dy}))"
 
 
-def _right_of(x, y, s: Column) -> Column:
-    """The ray from a position to the right crosses the segment."""
-    spans = (s["ay"] > y) != (s["by"] > y)
-    at = s["ax"] + (y - s["ay"]) * (s["bx"] - s["ax"]) / F.when(
-        s["by"] != s["ay"], s["by"] - s["ay"]
-    )
-    return spans & (x < at)
+def _ray_hits(p: str, s: str) -> str:
+    """The ray from a position to the right crosses a segment."""
+    at = f"{s}.ax + ({p}.y - {s}.ay) * ({s}.bx - {s}.ax) / nullif({s}.by - {s}.ay, 0D)"
+    return f"((({s}.ay > {p}.y) <> ({s}.by > {p}.y)) AND {p}.x < {at})"
 
 
-def locate(p: Column, g: Column) -> Column:
+def _locate(p: str, g: str) -> str:
     """I, B or E of a position in a geometry side."""
-    x, y = p["x"], p["y"]
-    on_edge = F.exists(g["segs"], lambda s: _on(x, y, s))
-    odd = F.size(F.filter(g["segs"], lambda s: _right_of(x, y, s))) % 2 == 1
-    on_point = F.exists(g["points"], lambda q: _near(x, y, q))
-    on_end = F.exists(g["ends"], lambda q: _near(x, y, q))
+    on_edge = f"exists({g}.segs, s -> {_on(p, 's')})"
+    odd = f"size(filter({g}.segs, s -> {_ray_hits(p, 's')})) % 2 = 1"
+    on_point = f"exists({g}.points, q -> {_near(p, 'q')})"
+    on_end = f"exists({g}.ends, q -> {_near(p, 'q')})"
     return (
-        F.when(g["kind"] == "Polygon", F.when(on_edge, "B").when(odd, "I").otherwise("E"))
-        .when(g["kind"] == "LineString", F.when(on_end, "B").when(on_edge, "I").otherwise("E"))
-        .otherwise(F.when(on_point, "I").otherwise("E"))
+        f"CASE {g}.kind WHEN 'Polygon' THEN CASE WHEN {on_edge} THEN 'B' WHEN {odd} THEN 'I' ELSE 'E' END "
+        f"WHEN 'LineString' THEN CASE WHEN {on_end} THEN 'B' WHEN {on_edge} THEN 'I' ELSE 'E' END "
+        f"ELSE CASE WHEN {on_point} THEN 'I' ELSE 'E' END END"
     )
 
 
-def _cuts(s: Column, g: Column) -> Column:
+def _cuts(s: str, g: str) -> str:
     """Sorted parameters in [0, 1] where a segment meets the other side, with 0 and 1."""
-    dx, dy = s["bx"] - s["ax"], s["by"] - s["ay"]
-    squared = dx * dx + dy * dy
-
-    def along(x, y):
-        return ((x - s["ax"]) * dx + (y - s["ay"]) * dy) / F.when(squared != 0, squared)
-
-    def of_segment(t: Column) -> Column:
-        ex, ey = t["bx"] - t["ax"], t["by"] - t["ay"]
-        turn = dx * ey - dy * ex
-        wx, wy = t["ax"] - s["ax"], t["ay"] - s["ay"]
-        safe = F.when(turn != 0, turn)
-        u, v = (wx * ey - wy * ex) / safe, (wx * dy - wy * dx) / safe
-        parallel = F.abs(turn) <= TOLERANCE * F.sqrt(squared) * F.hypot(ex, ey)
-        ends = F.array(along(t["ax"], t["ay"]), along(t["bx"], t["by"]))
-        return F.when(parallel, ends).otherwise(
-            F.array(F.when(v.between(-TOLERANCE, 1 + TOLERANCE), u))
-        )
-
-    of_points = F.transform(g["points"], lambda p: F.when(_on(p["x"], p["y"], s), along(p["x"], p["y"])))
-    found = F.concat(F.flatten(F.transform(g["segs"], of_segment)), of_points)
-    inner = F.filter(found, lambda u: (u > 0) & (u < 1))
-    return F.array_sort(F.array_distinct(F.concat(F.array(F.lit(0.0), F.lit(1.0)), inner)))
-
-
-def _at(s: Column, u: Column) -> Column:
-    return F.struct(
-        (s["ax"] + u * (s["bx"] - s["ax"])).alias("x"), (s["ay"] + u * (s["by"] - s["ay"])).alias("y")
+    dx, dy = f"({s}.bx - {s}.ax)", f"({s}.by - {s}.ay)"
+    squared = f"({dx} * {dx} + {dy} * {dy})"
+
+    def along(x: str, y: str) -> str:
+        return f"((({x}) - {s}.ax) * {dx} + (({y}) - {s}.ay) * {dy}) / nullif({squared}, 0D)"
+
+    ex, ey = "(t.bx - t.ax)", "(t.by - t.ay)"
+    wx, wy = f"(t.ax - {s}.ax)", f"(t.ay - {s}.ay)"
+    turn = f"({dx} * {ey} - {dy} * {ex})"
+    u = f"({wx} * {ey} - {wy} * {ex}) / nullif({turn}, 0D)"
+    v = f"({wx} * {dy} - {wy} * {dx}) / nullif({turn}, 0D)"
+    parallel = f"abs({turn}) <= {TOLERANCE} * sqrt({squared}) * hypot({ex}, {ey})"
+    meets = f"CASE WHEN {v} BETWEEN -{TOLERANCE} AND 1 + {TOLERANCE} THEN {u} END"
+    of_segment = (
+        f"CASE WHEN {parallel} THEN array({along('t.ax', 't.ay')}, {along('t.bx', 't.by')}) "
+        f"ELSE array({meets}) END"
+    )
+    of_point = f"CASE WHEN {_on('q', s)} THEN {along('q.x', 'q.y')} END"
+    found = (
+        f"concat(flatten(transform({g}.segs, t -> {of_segment})), transform({g}.points, q -> {of_point}))"
     )
+    return f"array_sort(array_distinct(concat(array(0D, 1D), filter({found}, u -> u > 0 AND u < 1))))"
 
 
-def _pieces(g: Column, other: Column) -> Column:
+def _at(s: str, u: str) -> str:
+    return f"struct({s}.ax + {u} * ({s}.bx - {s}.ax) AS x, {s}.ay + {u} * ({s}.by - {s}.ay) AS y)"
+
+
+def _pieces(g: str, other: str) -> str:
     """Midpoints of the pieces of all segments, cut by the other side."""
+    spans = "transform(slice(cuts, 2, size(cuts) - 1), (hi, i) -> struct(cuts[i] AS lo, hi AS hi))"
+    long_enough = f"filter({spans}, c -> c.hi - c.lo > {TOLERANCE})"
+    middles = f"transform({long_enough}, c -> {_at('e', '((c.lo + c.hi) / 2)')})"
+    return f"flatten(transform({g}.segs, e -> {_let('cuts', _cuts('e', other), middles)}))"
+
 
-    def of_segment(s: Column) -> Column:
-        return let(
-            _cuts(s, other),
-            lambda cuts: F.transform(
-                F.filter(
-                    F.transform(
-                        F.slice(cuts, 2, F.size(cuts) - 1),
-                        lambda hi, i: F.struct(F.get(cuts, i).alias("lo"), hi.alias("hi")),
-                    ),
-                    lambda c: c["hi"] - c["lo"] > TOLERANCE,
-                ),
-                lambda c: _at(s, (c["lo"] + c["hi"]) / 2),
-            ),
-        )
-
-    return F.flatten(F.transform(g["segs"], of_segment))
-
-
-def _nodes(a: Column, b: Column) -> Column:
+def _nodes(a: str, b: str) -> str:
     """Vertices of both sides and the positions where the edges meet."""
-    met = F.flatten(
-        F.transform(a["segs"], lambda s: F.transform(_cuts(s, b), lambda u: _at(s, u)))
+    met = f"flatten(transform({a}.segs, e -> transform({_cuts('e', b)}, u -> {_at('e', 'u')})))"
+    return f"concat({a}.points, {b}.points, {met})"
+
+
+def _entries(other_kind: str) -> str:
+    """The nine entries from the locations found: ``f.pa``, ``f.pb``, ``f.nodes``, ``f.area``."""
+    area_a, line_a = "f.area", "NOT f.area"
+    area_b = str(other_kind == "Polygon").upper()
+    line_b = str(other_kind == "LineString").upper()
+
+    def in_a(place: str) -> str:
+        return f"array_contains(f.pb, '{place}')"
+
+    def in_b(place: str) -> str:
+        return f"array_contains(f.pa, '{place}')"
+
+    def entry(pair: str, one: str = "FALSE", two: str = "FALSE", node: bool = True) -> str:
+        zero = f"array_contains(f.nodes, '{pair}')" if node else "FALSE"
+        return f"CASE WHEN {two} THEN '2' WHEN {one} THEN '1' WHEN {zero} THEN '0' ELSE 'F' END"
+
+    # A pure coincidence of both boundaries means equal areas.
+    same = f"NOT ({in_b('I')} OR {in_b('E')} OR {in_a('I')} OR {in_a('E')})"
+    shared = f"({area_a} AND {area_b} AND ({in_b('I')} OR {in_a('I')} OR {same}))"
+    rest_a = f"({area_a} AND (NOT {area_b} OR {in_b('E')} OR {in_a('I')} OR NOT {shared}))"
+    rest_b = f"({area_b} AND ({line_a} OR {in_a('E')} OR {in_b('I')} OR NOT {shared}))"
+    cells = (
+        entry("II", f"({line_a} AND {in_b('I')}) OR ({line_b} AND {in_a('I')})", shared),
+        entry("IB", f"({line_a} AND {area_b} AND {in_b('B')}) OR ({area_b} AND {in_a('I')})"),
+        entry("IE", f"{line_a} AND {in_b('E')}", rest_a),
+        entry("BI", f"({area_a} AND {in_b('I')}) OR ({area_a} AND {line_b} AND {in_a('B')})"),
+        entry("BB", f"{area_a} AND {area_b} AND {in_b('B')}"),
+        entry("BE", f"{area_a} AND {in_b('E')}"),
+        entry("EI", f"{line_b} AND {in_a('E')}", rest_b),
+        entry("EB", f"{area_b} AND {in_a('E')}", node=other_kind not in ("Point", "MultiPoint")),
     )
-    return F.concat(a["points"], b["points"], met)
-
-
-def matrix(kind: Column, coords: Column, other_kind: str, other_coords: Column) -> Column:
-    """DE-9IM text of a line or polygon column against a literal of any type."""
-    flat = other_kind in ("Point", "MultiPoint")
-
-    def body(ab: Column) -> Column:
-        a, b = ab["a"], ab["b"]
-        pieces_a = F.array_distinct(F.transform(_pieces(a, b), lambda p: locate(p, b)))
-        pieces_b = F.array_distinct(F.transform(_pieces(b, a), lambda p: locate(p, a)))
-        node_pairs = F.array_distinct(
-            F.transform(_nodes(a, b), lambda p: F.concat(locate(p, a), locate(p, b)))
-        )
-        return let(
-            F.struct(
-                pieces_a.alias("pa"), pieces_b.alias("pb"), node_pairs.alias("nodes"),
-                (a["kind"] == "Polygon").alias("area"),
-            ),
-            _entries,
-        )
-
-    def _entries(s: Column) -> Column:
-        area_a, area_b = s["area"], F.lit(other_kind == "Polygon")
-        line_a, line_b = ~s["area"], F.lit(other_kind == "LineString")
-
-        def in_a(place):
-            return F.array_contains(s["pb"], place)
-
-        def in_b(place):
-            return F.array_contains(s["pa"], place)
-
-        def node(pair):
-            return F.array_contains(s["nodes"], pair)
-
-        # A pure coincidence of both boundaries means equal areas.
-        same = ~in_b("I") & ~in_b("E") & ~in_a("I") & ~in_a("E")
-        shared = area_a & area_b & (in_b("I") | in_a("I") | same)
-        never = F.lit(False)
-
-        def entry(two, one, zero):
-            return F.when(two, "2").when(one, "1").when(zero, "0").otherwise("F")
-
-        edge_b = F.lit(not flat)
-        ii = entry(shared, (line_a & in_b("I")) | (line_b & in_a("I")), node("II"))
-        ib = entry(never, (line_a & area_b & in_b("B")) | (area_b & in_a("I")), node("IB"))
-        ie = entry(
-            area_a & (~area_b | in_b("E") | in_a("I") | ~shared), line_a & in_b("E"), node("IE")
-        )
-        bi = entry(never, (area_a & in_b("I")) | (area_a & line_b & in_a("B")), node("BI"))
-        bb = entry(never, area_a & area_b & in_b("B"), node("BB"))
-        be = entry(never, area_a & in_b("E"), node("BE"))
-        ei = entry(
-            area_b & (~area_a | in_a("E") | in_b("I") | ~shared), line_b & in_a("E"), node("EI")
-        )
-        eb = entry(never, area_b & in_a("E"), node("EB") & edge_b)
-        return F.concat(ii, ib, ie, bi, bb, be, ei, eb, F.lit("2"))
-
-    pair = F.struct(
-        side(kind, coords).alias("a"), side(F.lit(other_kind), other_coords).alias("b")
+    return f"concat({', '.join(cells)}, '2')"
+
+
+def matrix(kind: Column, coords: Column, other_kind: str, other_coords: str) -> Column:
+    """DE-9IM text of a line or polygon column against a literal of any type.
+
+    ``other_coords`` is the SQL text of the literal's position array.
+    """
+    found = (
+        f"struct(array_distinct(transform({_pieces('a', 'b')}, m -> {_locate('m', 'b')})) AS pa, "
+        f"array_distinct(transform({_pieces('b', 'a')}, m -> {_locate('m', 'a')})) AS pb, "
+        f"array_distinct(transform({_nodes('a', 'b')}, m -> concat({_locate('m', 'a')}, {_locate('m', 'b')}))) AS nodes, "
+        "a.kind = 'Polygon' AS area)"
     )
-    return let(pair, body)
+    body = _let("f", found, _entries(other_kind))
+    with_b = _let("b", _side(f"'{other_kind}'", other_coords), body)
+    with_a = _let("a", _side("g.kind", "g.coords"), with_b)
+    return apply(F.struct(kind.alias("kind"), coords.alias("coords")), f"g -> {with_a}")
