@@ -126,6 +126,11 @@ def read_zipped_files(spark: SparkSession, path: str, suffixes: list[str]) -> Da
     """Lines of the archive members whose name ends with a suffix: ``path, member, suffix, line,
     value``. One archive is opened per task row; archives spread over the cluster."""
     archives = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(path)
+    return unzip_lines(archives, suffixes)
+
+
+def unzip_lines(archives: DataFrame, suffixes: list[str]) -> DataFrame:
+    """Lines of zip archives given as (path, content)."""
     layout = "path string, member string, suffix string, line long, value string"
     return archives.select("path", "content").mapInPandas(_unzip(suffixes), layout)
 
@@ -134,7 +139,11 @@ def read_zipped_stations(
     spark: SparkSession, path: str, configs: dict[str, StationConfig]
 ) -> DataFrame:
     """Readings of zipped station files, one layout per member suffix."""
-    lines = read_zipped_files(spark, path, list(configs))
+    return parse_zipped_stations(read_zipped_files(spark, path, list(configs)), configs)
+
+
+def parse_zipped_stations(lines: DataFrame, configs: dict[str, StationConfig]) -> DataFrame:
+    """Readings of unzipped lines, by the layout of their suffix."""
     parts = [
         parse_station_lines(lines.where(F.col("suffix") == suffix), cfg)
         for suffix, cfg in configs.items()

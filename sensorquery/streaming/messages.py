@@ -60,7 +60,7 @@ def _names(names: list[str]) -> Column:
 
 def split_payload(df: DataFrame, separator: str = ",", payload: str = "payload") -> DataFrame:
     """Adds ``time_text`` and ``fields``; ``fields`` is null for payloads of fewer than two parts."""
-    parts = F.transform(F.split(F.col(payload).cast("string"), re.escape(separator), -1), F.trim)
+    parts = F.transform(F.split(F.col(payload).cast("string"), re.escape(separator), -1), lambda p: F.trim(p))
     long_enough = F.size(parts) >= 2
     return df.withColumn("time_text", F.when(long_enough, F.get(parts, F.lit(0)))).withColumn(
         "fields", F.when(long_enough, F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))))
@@ -78,7 +78,7 @@ def pair_values(df: DataFrame) -> DataFrame:
         "_pair", F.explode(pairs)
     )
     return rows.select(
-        *df.columns, F.col("_pair")["0"].alias("name"), F.col("_pair")["1"].alias("raw")
+        *df.columns, F.col("_pair.name").alias("name"), F.col("_pair.raw").alias("raw")
     ).where(F.lower(F.trim("name")) != values.SKIP_NAME)
 
 
