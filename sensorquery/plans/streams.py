@@ -1 +1,156 @@
-"""Queries (to come)."""
+"""Queries that run the streaming operators to the end of files written from the given tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from sensorquery.operators import maintain
+from sensorquery.plans.changes import bare_streams
+from sensorquery.plans.ingest import message_rows
+from sensorquery.plans.registry import query
+from sensorquery.session import scratch_path
+from sensorquery.streaming import messages, state
+
+us = F.unix_micros
+
+
+def stream_of(t, rows: DataFrame, files_per_batch: int | None = 1) -> DataFrame:
+    """A file stream over rows, written as a few files spread over time."""
+    path = scratch_path(t.spark, "stream")
+    rows.write.parquet(path)
+    reader = t.spark.readStream.schema(rows.schema)
+    if files_per_batch is not None:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    return reader.parquet(path)
+
+
+def readings(t) -> DataFrame:
+    wanted = ["id", "datastream_id", "phenomenon_start", "phenomenon_end", "result_time", "result_number"]
+    return t.observations("intervals").select(*wanted).repartitionByRange(4, "phenomenon_start")
+
+
+def drain(run) -> None:
+    """Waits for the end of an available-now run and raises its failure."""
+    run.awaitTermination()
+    if run.exception() is not None:
+        raise run.exception()
+
+
+class Parts:
+    """Batch results as one folder per batch number; writing a batch again replaces it."""
+
+    def __init__(self, t, label: str):
+        self.spark, self.path = t.spark, scratch_path(t.spark, label)
+        self.checkpoint = scratch_path(t.spark, f"{label}-state")
+        self.last = -1
+
+    def write(self, batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{self.path}/part={number}")
+        self.last = number
+
+    def read(self, schema) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(self.path)
+
+    def part(self, number: int, schema) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(f"{self.path}/part={number}")
+
+
+STREAM_MAPPING = {"site/+/click": ["Skip", "click"], "site/8/error": ["error"], "site/+/view": ["view", "skip", "signup"]}
+
+
+@query("stm_01_message_ingest", """
+SELECT datastream_id, epoch_us(ts) AS t_us, result_number FROM (
+  SELECT ts, 0 AS datastream_id, CAST(event_id AS DOUBLE) AS result_number FROM events
+  WHERE event_type = 'click' AND event_id % 13 <> 0 AND event_id % 17 <> 0
+  UNION ALL
+  SELECT ts, CASE event_type WHEN 'view' THEN 4 ELSE 1 END, CASE WHEN event_id % 5 = 0 THEN -999.0 ELSE value END FROM events
+  WHERE (event_type = 'view' OR (event_type = 'error' AND user_id = 8)) AND event_id % 13 <> 0 AND event_id % 17 <> 0
+    AND event_id % 5 <> 2)""")
+def stm_01(t):
+    stream = stream_of(t, message_rows(t).repartitionByRange(4, "event_id"))
+    parts = Parts(t, "ingest")
+    cfg = messages.MessageConfig(mapping=STREAM_MAPPING, separator=";")
+    drain(messages.start_ingest(stream, cfg, t.observed_properties(), parts.write, parts.checkpoint, once=True))
+    rows = parts.read("datastream_id long, phenomenon_start timestamp, result_number double, result_quality string")
+    return rows.select("datastream_id", us("phenomenon_start").alias("t_us"), "result_number")
+
+
+@query("stm_02_unique", """
+SELECT DISTINCT datastream_id, epoch_us(phenomenon_start) AS lo, epoch_us(interval_end) AS hi FROM observation""")
+def stm_02(t):
+    twice = readings(t).unionByName(readings(t).withColumn("id", F.col("id") + 1_000_000))
+    stream = stream_of(t, twice)
+    parts = Parts(t, "unique")
+    # The files arrive in any order, so the delay covers their whole span.
+    drain(state.run_batches(state.dedup_stream(stream, "60 days"), parts.write, parts.checkpoint))
+    rows = parts.read("datastream_id long, phenomenon_start timestamp, phenomenon_end timestamp")
+    return rows.select("datastream_id", us("phenomenon_start").alias("lo"), us("phenomenon_end").alias("hi"))
+
+
+@query("stm_03_running_extents", """
+SELECT datastream_id, epoch_us(min(phenomenon_start)) AS lo, epoch_us(max(interval_end)) AS hi, epoch_us(max(result_time)) AS result_hi
+FROM observation GROUP BY datastream_id""")
+def stm_03(t):
+    parts = Parts(t, "extents")
+    drain(state.run_batches(state.stream_extents(stream_of(t, readings(t))), parts.write, parts.checkpoint, mode="update"))
+    rows = parts.read("datastream_id long, phenomenon_start timestamp, phenomenon_end timestamp, result_start timestamp, result_end timestamp, part int")
+    last = rows.groupBy("datastream_id").agg(F.max_by(F.struct("phenomenon_start", "phenomenon_end", "result_end"), "part").alias("e"))
+    return last.select(
+        "datastream_id", us("e.phenomenon_start").alias("lo"), us("e.phenomenon_end").alias("hi"), us("e.result_end").alias("result_hi")
+    )
+
+
+@query("stm_04_latest", """
+SELECT datastream_id, epoch_us(max(phenomenon_start)) AS t_us, arg_max(result_number, (phenomenon_start, id)) AS result_number
+FROM observation GROUP BY datastream_id""")
+def stm_04(t):
+    parts = Parts(t, "latest")
+    drain(state.run_batches(state.latest(stream_of(t, readings(t))), parts.write, parts.checkpoint, mode="update"))
+    rows = parts.read("datastream_id long, phenomenon_start timestamp, result_number double, part int")
+    last = rows.groupBy("datastream_id").agg(F.max_by(F.struct("phenomenon_start", "result_number"), "part").alias("e"))
+    return last.select("datastream_id", us("e.phenomenon_start").alias("t_us"), F.col("e.result_number").alias("result_number"))
+
+
+@query("stm_04_latest_n", """
+SELECT datastream_id, id FROM (SELECT datastream_id, id, row_number() OVER (PARTITION BY datastream_id ORDER BY phenomenon_start DESC, id) AS rn
+FROM observation) WHERE rn <= 3""")
+def stm_04_n(t):
+    rows = readings(t)
+    parts = Parts(t, "latest-n")
+
+    def write(batch, number):
+        known = parts.part(number - 1, rows.schema) if number > 0 else None
+        parts.write(state.latest_n(known, batch, 3), number)
+
+    drain(state.run_batches(stream_of(t, rows), write, parts.checkpoint))
+    return parts.part(parts.last, rows.schema).select("datastream_id", "id")
+
+
+@query("stm_05_late_data", """
+SELECT o.id FROM observation o JOIN (SELECT datastream_id, max(interval_end) AS e FROM observation WHERE id < 4000 GROUP BY 1) s
+ON s.datastream_id = o.datastream_id WHERE o.phenomenon_start > s.e
+UNION ALL SELECT id FROM observation WHERE datastream_id NOT IN (SELECT datastream_id FROM observation WHERE id < 4000)""")
+def stm_05(t):
+    rows = readings(t)
+    streams = maintain.merge_extents(bare_streams(t), t.observations("intervals").where(F.col("id") < 4000))
+    parts = Parts(t, "late")
+
+    def write(batch, number):
+        parts.write(state.append_newer(batch, streams), number)
+
+    drain(state.run_batches(stream_of(t, rows, None), write, parts.checkpoint))
+    return parts.read(rows.schema).select("id")
+
+
+@query("stm_05_stored_duplicates", "SELECT id FROM observation WHERE id % 10 >= 7")
+def stm_05_stored(t):
+    rows = readings(t)
+    parts = Parts(t, "missing")
+    stored = rows.where(F.col("id") % 10 < 7)
+
+    def write(batch, number):
+        parts.write(state.append_missing(batch, stored), number)
+
+    drain(state.run_batches(stream_of(t, rows), write, parts.checkpoint))
+    return parts.read(rows.schema).select("id")

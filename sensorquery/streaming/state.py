@@ -49,10 +49,15 @@ def latest_n(known: DataFrame | None, batch: DataFrame, n: int) -> DataFrame:
 
 
 def run_batches(
-    stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, *, once: bool = True
+    stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, *,
+    mode: str = "append", once: bool = True,
 ) -> StreamingQuery:
-    """Hands every micro-batch to ``write`` with its number."""
-    writer = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write)
+    """Hands every micro-batch to ``write`` with its number. Aggregates run in mode ``update``: a
+    batch then holds the keys it changed."""
+    writer = (
+        stream.writeStream.outputMode(mode)
+        .option("checkpointLocation", checkpoint).foreachBatch(write)
+    )
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
