@@ -238,18 +238,24 @@ def _pointlike(g: Column) -> Column:
     return g["type"].isin("Point", "MultiPoint")
 
 
-def intersects(g: Column, other) -> Column:
+# ``points=True`` promises a column of Point and MultiPoint values. It keeps the plan small by leaving
+# out the line and polygon branches; other shapes then give null.
+
+
+def intersects(g: Column, other, *, points: bool = False) -> Column:
     lit_ = literal(other)
     where = _locate(lit_, "p[0]", "p[1]")
     touched = _lambda("exists", _positions(g), f"p -> {where} <> 'E'")
+    if points:
+        return F.when(_pointlike(g), _boxes_meet(g, lit_) & touched)
     covered = _any(_covers_position(g, part[0]) for part in lit_.parts)
     if lit_.segments:
         covered = covered | _edges_meet(g, lit_)
     return F.when(g.isNotNull(), _boxes_meet(g, lit_) & (touched | (~_pointlike(g) & covered)))
 
 
-def disjoint(g: Column, other) -> Column:
-    return ~intersects(g, other)
+def disjoint(g: Column, other, *, points: bool = False) -> Column:
+    return ~intersects(g, other, points=points)
 
 
 def _to_segment(s: str, x: str, y: str) -> str:
@@ -261,7 +267,7 @@ def _to_segment(s: str, x: str, y: str) -> str:
     return f"hypot({x} - ({s}.ax + {t} * {dx}), {y} - ({s}.ay + {t} * {dy}))"
 
 
-def distance(g: Column, other) -> Column:
+def distance(g: Column, other, *, points: bool = False) -> Column:
     """Planar distance in coordinate units; 0 where the geometries meet."""
     lit_ = literal(other)
     vertices = sorted({p for part in lit_.parts for p in part})
@@ -271,6 +277,9 @@ def distance(g: Column, other) -> Column:
         each = [f"hypot(p[0] - {x!r}D, p[1] - {y!r}D)" for x, y in vertices]
         nearest = f"array_min(array({', '.join(each)}))"
     near = F.array_min(_lambda("transform", _positions(g), f"p -> {nearest}"))
+    if points:
+        inside = intersects(g, lit_, points=True)
+        return F.when(_pointlike(g), F.when(inside, 0.0).otherwise(near))
     each = [_to_segment("s", f"{x!r}D", f"{y!r}D") for x, y in vertices]
     edge = F.array_min(
         _lambda("transform", _segments(g), f"s -> array_min(array({', '.join(each)}))")
@@ -333,14 +342,12 @@ def _shape_matrix(g: Column, lit_: Literal) -> Column:
     return shapes.matrix(g["type"], g["coords"], lit_.type, _coords(lit_))
 
 
-def relate(g: Column, other, pattern: str | None = None) -> Column:
+def relate(g: Column, other, pattern: str | None = None, *, points: bool = False) -> Column:
     """DE-9IM matrix text, or a test of it against a pattern of ``T F * 0 1 2``."""
     lit_ = literal(other)
-    matrix = (
-        F.when(g.isNull(), None)
-        .when(_pointlike(g), _point_matrix(g, lit_))
-        .otherwise(_shape_matrix(g, lit_))
-    )
+    matrix = F.when(_pointlike(g), _point_matrix(g, lit_))
+    if not points:
+        matrix = matrix.when(g.isNotNull(), _shape_matrix(g, lit_))
     return matrix if pattern is None else matches(matrix, pattern)
 
 
@@ -353,57 +360,59 @@ def matches(matrix: Column, *patterns: str) -> Column:
     return matrix.rlike("|".join(_rule(p) for p in patterns))
 
 
-def _by_kind(g: Column, other, point_test, pattern_test) -> Column:
+def _by_kind(g: Column, other, point_test, pattern_test, points: bool) -> Column:
     """Point columns use location tests only; other shapes go through the matrix."""
     lit_ = literal(other)
-    by_matrix = _boxes_meet(g, lit_) & pattern_test(_shape_matrix(g, lit_))
-    return F.when(g.isNull(), None).when(_pointlike(g), point_test(lit_)).otherwise(by_matrix)
+    test = F.when(_pointlike(g), point_test(lit_))
+    if points:
+        return test
+    return test.when(g.isNotNull(), _boxes_meet(g, lit_) & pattern_test(_shape_matrix(g, lit_)))
 
 
-def equals(g: Column, other) -> Column:
-    def points(lit_: Literal) -> Column:
+def equals(g: Column, other, *, points: bool = False) -> Column:
+    def at_points(lit_: Literal) -> Column:
         if lit_.dimension:
             return F.lit(False)
         targets = [p[0] for p in lit_.parts]
         outside = F.array_contains(locations(g, lit_), EXTERIOR)
         return ~outside & ~_points_left_over(g, targets)
 
-    return _by_kind(g, other, points, lambda m: matches(m, "T*F**FFF*"))
+    return _by_kind(g, other, at_points, lambda m: matches(m, "T*F**FFF*"), points)
 
 
-def touches(g: Column, other) -> Column:
-    def points(lit_: Literal) -> Column:
+def touches(g: Column, other, *, points: bool = False) -> Column:
+    def at_points(lit_: Literal) -> Column:
         where = locations(g, lit_)
         return F.array_contains(where, BOUNDARY) & ~F.array_contains(where, INTERIOR)
 
     def by_matrix(m: Column) -> Column:
         return matches(m, "FT*******", "F**T*****", "F***T****")
 
-    return _by_kind(g, other, points, by_matrix)
+    return _by_kind(g, other, at_points, by_matrix, points)
 
 
-def within(g: Column, other) -> Column:
-    def points(lit_: Literal) -> Column:
+def within(g: Column, other, *, points: bool = False) -> Column:
+    def at_points(lit_: Literal) -> Column:
         where = locations(g, lit_)
         return F.array_contains(where, INTERIOR) & ~F.array_contains(where, EXTERIOR)
 
-    return _by_kind(g, other, points, lambda m: matches(m, "T*F**F***"))
+    return _by_kind(g, other, at_points, lambda m: matches(m, "T*F**F***"), points)
 
 
-def contains(g: Column, other) -> Column:
-    def points(lit_: Literal) -> Column:
+def contains(g: Column, other, *, points: bool = False) -> Column:
+    def at_points(lit_: Literal) -> Column:
         if lit_.dimension:
             return F.lit(False)
         return ~_points_left_over(g, [p[0] for p in lit_.parts])
 
-    return _by_kind(g, other, points, lambda m: matches(m, "T*****FF*"))
+    return _by_kind(g, other, at_points, lambda m: matches(m, "T*****FF*"), points)
 
 
-def overlaps(g: Column, other) -> Column:
+def overlaps(g: Column, other, *, points: bool = False) -> Column:
     lit_ = literal(other)
     size = F.when(g["type"] == "Polygon", 2).when(g["type"] == "LineString", 1).otherwise(0)
 
-    def points(target: Literal) -> Column:
+    def at_points(target: Literal) -> Column:
         if target.dimension:
             return F.lit(False)
         where = locations(g, target)
@@ -414,14 +423,14 @@ def overlaps(g: Column, other) -> Column:
         rule = "1*T***T**" if lit_.dimension == 1 else "T*T***T**"
         return (size == lit_.dimension) & matches(m, rule)
 
-    return _by_kind(g, other, points, by_matrix)
+    return _by_kind(g, other, at_points, by_matrix, points)
 
 
-def crosses(g: Column, other) -> Column:
+def crosses(g: Column, other, *, points: bool = False) -> Column:
     lit_ = literal(other)
     size = F.when(g["type"] == "Polygon", 2).when(g["type"] == "LineString", 1).otherwise(0)
 
-    def points(target: Literal) -> Column:
+    def at_points(target: Literal) -> Column:
         if target.dimension == 0:
             return F.lit(False)
         where = locations(g, target)
@@ -435,4 +444,4 @@ def crosses(g: Column, other) -> Column:
         )
         return F.rlike(m, rule)
 
-    return _by_kind(g, other, points, by_matrix)
+    return _by_kind(g, other, at_points, by_matrix, points)

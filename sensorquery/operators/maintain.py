@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sensorquery.functions import geometry
+from sensorquery.session import ship_functions
+
+ship_functions(__name__)
 
 EXTENT_COLUMNS = ("phenomenon_start", "phenomenon_end", "result_start", "result_end")
 
@@ -165,69 +168,61 @@ def hulls(points: DataFrame) -> DataFrame:
     )
 
 
-def _hull(points: np.ndarray) -> np.ndarray:
+def _hull(points: list[tuple[float, float]]) -> list[tuple[float, float]]:
     """Hull corners, counter-clockwise from the lowest x, y; collinear points collapse to two."""
-    points = np.unique(points, axis=0)
+    points = sorted(set(points))
     if len(points) <= 2:
         return points
 
     def chain(ordered):
         kept: list = []
         for p in ordered:
-            while len(kept) >= 2 and (
-                (kept[-1][0] - kept[-2][0]) * (p[1] - kept[-2][1])
-                - (kept[-1][1] - kept[-2][1]) * (p[0] - kept[-2][0])
-            ) <= 0:
+            while len(kept) >= 2:
+                (ax, ay), (bx, by) = kept[-2], kept[-1]
+                if (bx - ax) * (p[1] - ay) - (by - ay) * (p[0] - ax) > 0:
+                    break
                 kept.pop()
             kept.append(p)
         return kept
 
-    rows = points.tolist()
-    lower, upper = chain(rows), chain(rows[::-1])
-    return np.array(lower[:-1] + upper[:-1])
+    lower, upper = chain(points), chain(points[::-1])
+    return lower[:-1] + upper[:-1]
 
 
-def _runs(keys: np.ndarray):
-    """(start, end) of runs of equal keys."""
-    cuts = np.flatnonzero(np.diff(keys)) + 1
-    return zip(np.r_[0, cuts], np.r_[cuts, len(keys)])
+def _groups(batch: pd.DataFrame):
+    """(key, points) for each run of rows with the same datastream."""
+    keys = batch["datastream_id"].to_numpy()
+    points = list(zip(batch["x"].tolist(), batch["y"].tolist()))
+    cuts = (np.flatnonzero(np.diff(keys)) + 1).tolist()
+    for a, b in zip([0, *cuts], [*cuts, len(keys)]):
+        yield int(keys[a]), points[a:b]
 
 
 def _partial_hulls(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         if batch.empty:
             continue
-        batch = batch.sort_values("datastream_id", kind="stable")
-        keys, xy = batch["datastream_id"].to_numpy(), batch[["x", "y"]].to_numpy()
-        reduced = [(keys[a], _hull(xy[a:b])) for a, b in _runs(keys)]
-        corners = np.vstack([h for _, h in reduced])
-        yield pd.DataFrame(
-            {
-                "datastream_id": np.repeat([k for k, _ in reduced], [len(h) for _, h in reduced]),
-                "x": corners[:, 0], "y": corners[:, 1],
-            }
-        )
+        ordered = batch.sort_values("datastream_id", kind="stable")
+        rows = [(key, *p) for key, points in _groups(ordered) for p in _hull(points)]
+        yield pd.DataFrame(rows, columns=["datastream_id", "x", "y"])
 
 
 def _final_hulls(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Rows arrive grouped by datastream; only one hull is held at a time."""
-    current, ring = None, None
+    current, ring = None, []
     for batch in batches:
         if batch.empty:
             continue
         done = []
-        keys, xy = batch["datastream_id"].to_numpy(), batch[["x", "y"]].to_numpy()
-        for a, b in _runs(keys):
-            if keys[a] == current:
-                ring = _hull(np.vstack([ring, xy[a:b]]))
-                continue
-            if current is not None:
-                done.append((current, ring.tolist()))
-            current, ring = keys[a], _hull(xy[a:b])
+        for key, points in _groups(batch):
+            if key != current and current is not None:
+                done.append((current, ring))
+                ring = []
+            current, ring = key, _hull(ring + points)
         if done:
             yield pd.DataFrame(done, columns=["datastream_id", "ring"])
     if current is not None:
-        yield pd.DataFrame([(current, ring.tolist())], columns=["datastream_id", "ring"])
+        yield pd.DataFrame([(current, ring)], columns=["datastream_id", "ring"])
 
 
 def merge_area(stored: DataFrame, added: DataFrame) -> DataFrame:

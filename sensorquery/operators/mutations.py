@@ -14,6 +14,9 @@ from sensorquery import schema
 from sensorquery.catalog import Catalog, chunk_start
 from sensorquery.operators import identity, maintain
 from sensorquery.operators.query import Predicate, filter_rows
+from sensorquery.session import ship_functions
+
+ship_functions(__name__)
 
 # -- validation ------------------------------------------------------------------------------
 

@@ -347,7 +347,10 @@ class Query:
             return df.select(*keys).distinct().agg(F.count("*").alias("count"))
         estimate = df.agg(F.approx_count_distinct(F.struct(*keys)).alias("estimate"))
         capped = df.select(*keys).limit(threshold + 1).agg(F.count("*").alias("capped"))
-        both = capped.join(estimate, F.lit(True))
+        # Two single rows become one by a union and an aggregate; nothing is joined.
+        both = capped.unionByName(estimate, allowMissingColumns=True).agg(
+            F.max("capped").alias("capped"), F.max("estimate").alias("estimate")
+        )
         within = F.col("capped") <= threshold
         if mode == "ESTIMATE_LIMIT":
             within = within & (F.col("estimate") <= threshold)

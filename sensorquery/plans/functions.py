@@ -194,7 +194,7 @@ place_query(
     "CASE WHEN lon + lat BETWEEN -250 AND 150 THEN abs(lon - lat + 90) / sqrt(2) "
     "     WHEN lon + lat < -250 THEN sqrt((lon + 170) * (lon + 170) + (lat + 80) * (lat + 80)) "
     "     ELSE sqrt((lon - 30) * (lon - 30) + (lat - 120) * (lat - 120)) END < 40 AS near_line",
-    lambda: {"to_spot": F.round(G.distance(geom(), SPOT), 9), "near_line": G.distance(geom(), LINE) < 40},
+    lambda: {"to_spot": F.round(G.distance(geom(), SPOT, points=True), 9), "near_line": G.distance(geom(), LINE, points=True) < 40},
 )
 place_query(
     "geo_02_length", "0.0 AS own, round(sqrt(200.0 * 200 + 200 * 200), 6) AS of_line",
@@ -202,41 +202,41 @@ place_query(
 )
 place_query(
     "geo_03_intersects", f"{_COVERED} AS area, ({_ON_LINE}) AS line, ({_SPOT}) AS spot",
-    lambda: {"area": G.intersects(geom(), SQUARE), "line": G.intersects(geom(), LINE), "spot": G.intersects(geom(), SPOT)},
+    lambda: {"area": G.intersects(geom(), SQUARE, points=True), "line": G.intersects(geom(), LINE, points=True), "spot": G.intersects(geom(), SPOT, points=True)},
 )
 place_query(
     "geo_04_equals", f"({_SPOT}) AS spot, FALSE AS line",
-    lambda: {"spot": G.equals(geom(), SPOT), "line": G.equals(geom(), LINE)},
+    lambda: {"spot": G.equals(geom(), SPOT, points=True), "line": G.equals(geom(), LINE, points=True)},
 )
 place_query(
     "geo_05_disjoint", f"NOT ({_COVERED}) AS area, NOT ({_ON_LINE}) AS line",
-    lambda: {"area": G.disjoint(geom(), SQUARE), "line": G.disjoint(geom(), LINE)},
+    lambda: {"area": G.disjoint(geom(), SQUARE, points=True), "line": G.disjoint(geom(), LINE, points=True)},
 )
 place_query(
     "geo_06_touches", f"({_COVERED}) AND NOT ({_INSIDE}) AS area, ({_END}) AS line, FALSE AS spot",
-    lambda: {"area": G.touches(geom(), SQUARE), "line": G.touches(geom(), LINE), "spot": G.touches(geom(), SPOT)},
+    lambda: {"area": G.touches(geom(), SQUARE, points=True), "line": G.touches(geom(), LINE, points=True), "spot": G.touches(geom(), SPOT, points=True)},
 )
 place_query(
     "geo_07_within", f"{_INSIDE} AS area, ({_ON_LINE}) AND NOT ({_END}) AS line, ({_SPOT}) AS spot",
-    lambda: {"area": G.within(geom(), SQUARE), "line": G.within(geom(), LINE), "spot": G.within(geom(), SPOT)},
+    lambda: {"area": G.within(geom(), SQUARE, points=True), "line": G.within(geom(), LINE, points=True), "spot": G.within(geom(), SPOT, points=True)},
 )
 place_query(
     "geo_08_overlaps", "FALSE AS area, FALSE AS line",
-    lambda: {"area": G.overlaps(geom(), SQUARE), "line": G.overlaps(geom(), LINE)},
+    lambda: {"area": G.overlaps(geom(), SQUARE, points=True), "line": G.overlaps(geom(), LINE, points=True)},
 )
 place_query(
     "geo_09_crosses", "FALSE AS area, FALSE AS line",
-    lambda: {"area": G.crosses(geom(), SQUARE), "line": G.crosses(geom(), LINE)},
+    lambda: {"area": G.crosses(geom(), SQUARE, points=True), "line": G.crosses(geom(), LINE, points=True)},
 )
 place_query(
     "geo_10_contains", f"({_SPOT}) AS spot, FALSE AS area",
-    lambda: {"spot": G.contains(geom(), SPOT), "area": G.contains(geom(), SQUARE)},
+    lambda: {"spot": G.contains(geom(), SPOT, points=True), "area": G.contains(geom(), SQUARE, points=True)},
 )
 place_query(
     "geo_11_relate",
     f"CASE WHEN {_INSIDE} THEN '0FFFFF212' WHEN {_COVERED} THEN 'F0FFFF212' ELSE 'FF0FFF212' END AS matrix, "
     f"({_SPOT}) AS same_spot",
-    lambda: {"matrix": G.relate(geom(), SQUARE), "same_spot": G.relate(geom(), SPOT, "T********")},
+    lambda: {"matrix": G.relate(geom(), SQUARE, points=True), "same_spot": G.relate(geom(), SPOT, "T********", points=True)},
 )
 
 

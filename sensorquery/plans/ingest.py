@@ -11,10 +11,12 @@ from pyspark.sql import functions as F
 from sensorquery.functions import values
 from sensorquery.operators import identity, loading
 from sensorquery.plans.registry import query
-from sensorquery.session import scratch_path
+from sensorquery.session import scratch_path, ship_functions
 from sensorquery.sources import documents, files, sheets
 from sensorquery.streaming import messages
 
+ship_functions(__name__)
+
 us = F.unix_micros
 ISO = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"
 

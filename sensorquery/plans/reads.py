@@ -577,9 +577,10 @@ def agg_03(t):
 SELECT TRUE AS close_enough""")
 def agg_04(t):
     q = on(t, "Observations")
-    estimate, exact = q.count_total("ESTIMATE_LIMIT", threshold=100), q.count_total()
-    both = estimate.join(exact.withColumnRenamed("count", "exact"), F.lit(True))
-    return both.select((F.abs(F.col("count") - F.col("exact")) <= 0.1 * F.col("exact")).alias("close_enough"))
+    exact = q.count_total().withColumnRenamed("count", "exact")
+    both = q.count_total("ESTIMATE_LIMIT", threshold=100).unionByName(exact, allowMissingColumns=True)
+    error = F.abs(F.max("count") - F.max("exact"))
+    return both.agg((error <= 0.1 * F.max("exact")).alias("close_enough"))
 
 
 @query("agg_05_count_per_parent", """
@@ -636,7 +637,9 @@ FROM (SELECT id FROM thing ORDER BY id LIMIT 40 OFFSET 20)""")
 def srt_05(t):
     rows, following = on(t, "Things").top(40).skip(20).page()
     seen = rows.agg(F.count("*").alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id"))
-    return seen.join(following, F.lit(True))
+    return seen.unionByName(following, allowMissingColumns=True).agg(
+        *[F.max(c).alias(c) for c in ("n", "first_id", "last_id", "next_skip")]
+    )
 
 
 @query("srt_06_all_pages", """
@@ -662,8 +665,8 @@ def srt_07(t):
         lambda r: P.eq(r("Datastream/description"), "purchase") & P.gt(r("result"), 30)
     )
     page = q.order_by("result desc").skip(5).top(10)
-    totals = page.count_total().withColumnRenamed("count", "total")
-    return page.page_rows().select("id", "result_number").join(totals, F.lit(True))
+    total = page.count_total().first()["count"]
+    return page.page_rows().select("id", "result_number", F.lit(total).alias("total"))
 
 
 # -- output forms ----------------------------------------------------------------------------

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 # Runtime settings every job of this library expects. Times are UTC; adaptive execution sizes the
@@ -25,6 +27,12 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def ship_functions(module: str) -> None:
+    """Sends the Python functions of a module to the executors by value, so that they run where the
+    package is not installed."""
+    cloudpickle.register_pickle_by_value(sys.modules[module])
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's shared folder. Only a local master may fall back to a folder of this machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None)

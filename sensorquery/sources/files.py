@@ -13,6 +13,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sensorquery.functions import values
+from sensorquery.session import ship_functions
+
+ship_functions(__name__)
 
 
 @dataclass(frozen=True)

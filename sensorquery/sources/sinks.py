@@ -28,8 +28,10 @@ def to_page(query: Query, count: bool = False) -> DataFrame:
     if query.catalog.instant is not None:
         members.append(F.lit(f'"@iot.as_of":"{query.catalog.instant}"'))
     if count:
-        # Both sides are a single row.
-        listed = listed.join(query.count_total(), F.lit(True))
+        totals = query.count_total()
+        listed = listed.unionByName(totals, allowMissingColumns=True).agg(
+            F.first("docs", ignorenulls=True).alias("docs"), F.max("count").alias("count")
+        )
         members.append(F.concat(F.lit('"@iot.count":'), F.col("count").cast("string")))
     members += [
         F.when(F.size("docs") > query.limit, F.lit(f'"@iot.nextLink":"{link}"')),
