@@ -254,9 +254,11 @@ def ver_08(t):
 SELECT id, 'clerk' AS author, 'price round' AS message, 'UPDATE' AS action_type FROM opened
 UNION ALL SELECT id, 'clerk', 'price round', 'UPDATE' FROM fresh""")
 def ver_09(t):
-    log = versions.commit(t.spark, 77, "price round", "clerk", "UPDATE", CHANGE_TIME)
-    at = F.lit(CHANGE_TIME).cast("timestamp")
-    stamped = changed(t).where(F.col("valid_from") == at)
+    number = 10_000_000
+    log = t.commits().unionByName(versions.commit(t.spark, number, "price round", "clerk", "UPDATE", CHANGE_TIME))
+    stamp = F.lit(number).cast("long")
+    after = versions.apply_changes("thing", t.thing_versions(), batch(t), CHANGE_TIME, stamp)
+    stamped = after.where(F.col("valid_from") == F.lit(CHANGE_TIME).cast("timestamp"))
     named = log.select(F.col("id").alias("commit_id"), "author", "message", "action_type")
     return stamped.join(named, "commit_id").select("id", "author", "message", "action_type")
 
