@@ -156,7 +156,7 @@ def hulls(points: DataFrame) -> DataFrame:
     layout = "datastream_id long, x double, y double"
     partial = points.mapInPandas(_partial_hulls, layout)
     merged = (
-        partial.repartition("datastream_id")
+        partial.repartition(F.xxhash64("datastream_id"))
         .sortWithinPartitions("datastream_id")
         .mapInPandas(_final_hulls, "datastream_id long, ring array<array<double>>")
     )

@@ -267,8 +267,10 @@ def json_patch(docs: DataFrame, ops: DataFrame) -> DataFrame:
         "id", F.col("seq").cast("long").alias("seq"), F.lit(None).cast("string").alias("doc"),
         "op", "path", "origin", "value",
     )
+    # Hashing the key makes sure the shuffle happens: a plain repartition by id is dropped when the
+    # input claims that partitioning already, and adaptive execution may then undo it.
     folded = (
-        header.unionByName(steps).repartition("id").sortWithinPartitions("id", "seq")
+        header.unionByName(steps).repartition(F.xxhash64("id")).sortWithinPartitions("id", "seq")
         .mapInPandas(_fold_patches, _PATCH_LAYOUT)
     )
     untouched = docs.join(ids, "id", "left_anti").select(
