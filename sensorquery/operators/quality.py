@@ -62,7 +62,7 @@ def with_day_statistics(obs: DataFrame, seconds: int = series.DAY, splits: int =
     return series.trailing_span(clean, KEY, TIME, "_clean", seconds, splits=splits)
 
 
-_STATISTICS = ("_clean", "n", "total", "squares", "lowest", "highest", "center")
+_STATISTICS = ("_clean", "n", "mean", "m2", "lowest", "highest")
 
 
 def is_constant(threshold: float) -> Column:
@@ -72,10 +72,8 @@ def is_constant(threshold: float) -> Column:
 
 def zscore_of_window() -> Column:
     """Deviation of the reading from its window, in population standard deviations."""
-    mean = F.col("total") / F.when(F.col("n") > 0, F.col("n"))
-    variance = F.col("squares") / F.when(F.col("n") > 0, F.col("n")) - mean * mean
-    deviation = F.sqrt(F.when(variance > 0, variance))
-    return (F.col("_clean") - F.col("center") - mean) / deviation
+    variance = F.col("m2") / F.when(F.col("n") > 0, F.col("n"))
+    return (F.col("_clean") - F.col("mean")) / F.sqrt(F.when(variance > 0, variance))
 
 
 def is_deviant(threshold: float) -> Column:

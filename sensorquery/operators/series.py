@@ -180,37 +180,29 @@ def trailing_rows(
 def trailing_span(
     df: DataFrame, key: str, ts: str, value: str, seconds: int, *, splits: int = 24
 ) -> DataFrame:
-    """Count, sum, sum of squares, min and max of ``value`` over the closed span [t - seconds, t].
+    """Count, mean, spread, min and max of ``value`` over the closed span [t - seconds, t].
 
     The span is cut into blocks of ``seconds / splits``. A frame is the tail of its oldest block,
     the blocks in between (from a summary with one row per block) and the head of its own block.
     Head and tail come from running windows over at most two blocks of rows, so the cost per row
-    does not grow with the number of readings in the span. Sums are taken of ``value - center``,
-    with one center per series, to keep the variance accurate.
+    does not grow with the number of readings in the span, and full rows are shuffled once, by
+    (key, block). Means and squared deviations are merged part by part, which keeps them accurate.
 
-    Adds ``n, total, squares, lowest, highest, center``; null values take no part.
+    Adds ``n, mean, m2, lowest, highest`` (``m2`` is the sum of squared deviations from the mean);
+    null values take no part.
     """
-    width = max(seconds * 1_000_000 // splits, 1)
     whole = seconds * 1_000_000
-    if whole % width:
-        raise ValueError("the span must be a multiple of its blocks")
-    lag = whole // width
+    if splits < 2 or whole % splits:
+        raise ValueError("the span must consist of two or more whole blocks")
+    width, lag = whole // splits, splits
 
-    centers = df.groupBy(key).agg(F.avg(value).alias("center"))
-    base = df.join(centers, key, "left").withColumn("_t", F.unix_micros(ts)).withColumn(
-        "_v", F.col(value) - F.col("center")
-    )
-    block = range_of(F.col("_t"), width)
-    base = base.withColumn("_own", block)
-
-    summary = base.groupBy(key, F.col("_own").alias("_block")).agg(*_partials("_v"))
-    between = Window.partitionBy(key).orderBy("_block").rangeBetween(-(lag - 1), -1)
-    middle = summary.select(key, "_block", *_combine(between, "", "_mid"))
+    base = df.withColumn("_t", F.unix_micros(ts)).withColumn("_own", range_of(F.col("_t"), width))
+    middle = _middle_blocks(base, key, value, lag)
 
     # Each row joins its own block as a reading and the block one span later as context.
     payload = [c for c in df.columns if c not in (key, ts)]
     spread = base.select(
-        key, "_t", "_v", "center", "_own",
+        key, "_t", F.col(value).alias("_v"), "_own",
         F.explode(F.array(F.col("_own"), F.col("_own") + lag)).alias("_block"),
         F.struct(ts, *payload).alias("_row"),
     ).withColumn("_late", F.col("_block") != F.col("_own"))
@@ -225,54 +217,78 @@ def trailing_span(
     tail = group.orderBy(F.col("_t").desc()).rangeBetween(
         Window.unboundedPreceding, Window.currentRow
     )
-    parts = spread
-    for name, agg in _running("_v").items():
-        parts = parts.withColumn(
-            f"_{name}_part", F.when(F.col("_late"), agg.over(tail)).otherwise(agg.over(head))
-        )
-    names = list(_running("_v"))
-    packed = F.when(F.col("_late"), F.struct(*[F.col(f"_{n}_part").alias(n) for n in names]))
+    partials = _partials("_v")
+    parts = spread.withColumns(
+        {
+            f"_{name}_part": F.when(F.col("_late"), agg.over(tail)).otherwise(agg.over(head))
+            for name, agg in partials.items()
+        }
+    )
+    squares = F.col("_variance_part") * F.col("_n_part")
+    part = F.struct(*[F.col(f"_{n}_part").alias(n) for n in partials], squares.alias("m2"))
     # Walking back in time, the last context row seen is the first one still inside the frame.
     walk = (
         Window.partitionBy(key, "_block")
         .orderBy(F.col("_at").desc(), F.col("_late").desc(), F.col("_t").desc())
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    parts = parts.withColumn("_tail", F.last(packed, ignorenulls=True).over(walk)).where(
-        ~F.col("_late")
-    )
-
-    def three(name: str):
-        return F.col(f"_{name}_part"), F.col(f"_{name}_mid"), F.col("_tail")[name]
-
-    def added(name: str) -> Column:
-        return sum((F.coalesce(c, F.lit(0)) for c in three(name)), F.lit(0))
-
-    center = F.col("center")
-    return parts.select(
+    context = F.last(F.when(F.col("_late"), part), ignorenulls=True).over(walk)
+    seen = parts.withColumn("_tail", context).where(~F.col("_late"))
+    own, between, before = part, F.col("_middle"), F.col("_tail")
+    three = (own, between, before)
+    weights = [F.coalesce(p["n"], F.lit(0)) for p in three]
+    n = sum(weights, F.lit(0))
+    sums = [w * F.coalesce(p["mean"], F.lit(0.0)) for w, p in zip(weights, three)]
+    mean = sum(sums, F.lit(0.0)) / F.when(n > 0, n)
+    merged = seen.withColumn("_n", n).withColumn("_mean", mean)
+    shifts = [
+        F.coalesce(p["m2"] + w * (p["mean"] - F.col("_mean")) * (p["mean"] - F.col("_mean")), F.lit(0.0))
+        for w, p in zip(weights, three)
+    ]
+    return merged.select(
         F.col(key), *[F.col("_row")[c].alias(c) for c in (ts, *payload)],
-        added("n").alias("n"), added("total").alias("total"), added("squares").alias("squares"),
-        (F.least(*three("lowest")) + center).alias("lowest"),
-        (F.greatest(*three("highest")) + center).alias("highest"),
-        center,
-    ).select(*df.columns, "n", "total", "squares", "lowest", "highest", "center")
+        F.col("_n").alias("n"), F.col("_mean").alias("mean"), sum(shifts, F.lit(0.0)).alias("m2"),
+        F.least(*[p["lowest"] for p in three]).alias("lowest"),
+        F.greatest(*[p["highest"] for p in three]).alias("highest"),
+    ).select(*df.columns, "n", "mean", "m2", "lowest", "highest")
 
 
-def _running(value: str) -> dict[str, Column]:
+def _partials(value: str) -> dict[str, Column]:
     v = F.col(value)
     return {
-        "n": F.count(v), "total": F.sum(v), "squares": F.sum(v * v),
+        "n": F.count(v), "mean": F.avg(v), "variance": F.var_pop(v),
         "lowest": F.min(v), "highest": F.max(v),
     }
 
 
-def _partials(value: str) -> list[Column]:
-    return [agg.alias(name) for name, agg in _running(value).items()]
+def _middle_blocks(base: DataFrame, key: str, value: str, lag: int) -> DataFrame:
+    """Per block the merged statistics of the ``lag - 1`` blocks before it, as struct ``_middle``.
 
-
-def _combine(window, prefix: str, suffix: str) -> list[Column]:
-    merged = {"n": F.sum, "total": F.sum, "squares": F.sum, "lowest": F.min, "highest": F.max}
-    return [f(prefix + n).over(window).alias(f"_{n}{suffix}") for n, f in merged.items()]
+    Works on the summary only. Deviations are taken from one center per series.
+    """
+    summary = base.groupBy(key, F.col("_own").alias("_block")).agg(
+        *[agg.alias(name) for name, agg in _partials(value).items()]
+    ).withColumn("m2", F.col("variance") * F.col("n"))
+    weighted = F.col("n") * F.coalesce("mean", F.lit(0.0))
+    series_window = Window.partitionBy(key)
+    total = F.sum("n").over(series_window)
+    centered = summary.withColumn(
+        "_center", F.sum(weighted).over(series_window) / F.when(total > 0, total)
+    )
+    shift = F.coalesce(F.col("mean") - F.col("_center"), F.lit(0.0))
+    between = Window.partitionBy(key).orderBy("_block").rangeBetween(-(lag - 1), -1)
+    n = F.sum("n").over(between)
+    first = F.sum(F.col("n") * shift).over(between)
+    second = F.sum(F.coalesce("m2", F.lit(0.0)) + F.col("n") * shift * shift).over(between)
+    moved = first / F.when(n > 0, n)
+    return centered.select(
+        key, "_block",
+        F.struct(
+            n.alias("n"), (F.col("_center") + moved).alias("mean"),
+            F.greatest(second - n * moved * moved, F.lit(0.0)).alias("m2"),
+            F.min("lowest").over(between).alias("lowest"), F.max("highest").over(between).alias("highest"),
+        ).alias("_middle"),
+    )
 
 
 def exact_percentiles(

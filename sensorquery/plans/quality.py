@@ -78,10 +78,8 @@ def win_06(t):
 @query("win_07_day_zscore", _WINDOWED + "SELECT id, round((v - mean) / nullif(dev, 0), 6) AS z FROM w WHERE dev > 1e-6")
 def win_07(t):
     stats = quality.with_day_statistics(dense(t)).withColumn("z", quality.zscore_of_window())
-    mean = F.col("total") / F.col("n")
-    return stats.where((F.col("n") > 0) & (F.sqrt(F.abs(F.col("squares") / F.col("n") - mean * mean)) > 1e-6)).select(
-        "id", F.round("z", 6).alias("z")
-    )
+    spread = F.sqrt(F.col("m2") / F.when(F.col("n") > 0, F.col("n")))
+    return stats.where(spread > 1e-6).select("id", F.round("z", 6).alias("z"))
 
 
 @query("qc_01_missing", _DENSE + "SELECT id, CASE WHEN v IS NULL THEN 90 END AS flag FROM s")

@@ -698,6 +698,17 @@ def snk_02(t):
     return groups.select("datastream_id", "part", "count", "data_array")
 
 
+@query("agg_14_group_to_arrays", """
+SELECT datastream_id, part, count(*) AS count, string_agg('[' || id || ',' || parameters || ']', ',' ORDER BY id) AS rows
+FROM (SELECT *, (row_number() OVER (PARTITION BY datastream_id ORDER BY id) - 1) // 25 AS part
+      FROM observation WHERE result_number > 20) GROUP BY datastream_id, part""")
+def agg_14(t):
+    rows = t.observations().where(F.col("result_number") > 20)
+    groups = sinks.to_data_array(rows, ("id", "parameters"), BASE, rows_per_part=25, id_width=1000)
+    inner = F.expr("substring(data_array, 2, length(data_array) - 2)")
+    return groups.select("datastream_id", "part", "count", inner.alias("rows"))
+
+
 @query("snk_03_chunked_write", """
 SELECT strftime(DATE '1970-01-01' + CAST(epoch_us(phenomenon_start) // 86400000000 // 30 * 30 AS INTEGER), '%Y-%m-%d') AS chunk,
        count(*) AS n, min(id) AS first_id, max(id) AS last_id
