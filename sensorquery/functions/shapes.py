@@ -27,7 +27,7 @@ def _let(name: str, value: str, body: str) -> str:
 
 
 def _positions(coords: str) -> str:
-    return f"transform(flatten({coords}), p -> struct(p[0] AS x, p[1] AS y))"
+    return f"array_distinct(transform(flatten({coords}), p -> struct(p[0] AS x, p[1] AS y)))"
 
 
 def _segments(coords: str) -> str:
@@ -85,48 +85,58 @@ def _locate(p: str, g: str) -> str:
     )
 
 
-def _cuts(s: str, g: str) -> str:
-    """Sorted parameters in [0, 1] where a segment meets the other side, with 0 and 1."""
+def _meetings(s: str, g: str, pointlike: bool) -> str:
+    """Parameters strictly inside a segment where it meets the other side."""
     dx, dy = f"({s}.bx - {s}.ax)", f"({s}.by - {s}.ay)"
     squared = f"({dx} * {dx} + {dy} * {dy})"
 
     def along(x: str, y: str) -> str:
         return f"((({x}) - {s}.ax) * {dx} + (({y}) - {s}.ay) * {dy}) / nullif({squared}, 0D)"
 
-    ex, ey = "(t.bx - t.ax)", "(t.by - t.ay)"
-    wx, wy = f"(t.ax - {s}.ax)", f"(t.ay - {s}.ay)"
-    turn = f"({dx} * {ey} - {dy} * {ex})"
-    u = f"({wx} * {ey} - {wy} * {ex}) / nullif({turn}, 0D)"
-    v = f"({wx} * {dy} - {wy} * {dx}) / nullif({turn}, 0D)"
-    parallel = f"abs({turn}) <= {TOLERANCE} * sqrt({squared}) * hypot({ex}, {ey})"
-    meets = f"CASE WHEN {v} BETWEEN -{TOLERANCE} AND 1 + {TOLERANCE} THEN {u} END"
-    of_segment = (
-        f"CASE WHEN {parallel} THEN array({along('t.ax', 't.ay')}, {along('t.bx', 't.by')}) "
-        f"ELSE array({meets}) END"
-    )
-    of_point = f"CASE WHEN {_on('q', s)} THEN {along('q.x', 'q.y')} END"
-    found = (
-        f"concat(flatten(transform({g}.segs, t -> {of_segment})), transform({g}.points, q -> {of_point}))"
+    if pointlike:
+        found = f"transform({g}.points, q -> CASE WHEN {_on('q', s)} THEN {along('q.x', 'q.y')} END)"
+    else:
+        ex, ey = "(t.bx - t.ax)", "(t.by - t.ay)"
+        wx, wy = f"(t.ax - {s}.ax)", f"(t.ay - {s}.ay)"
+        turn = f"({dx} * {ey} - {dy} * {ex})"
+        u = f"({wx} * {ey} - {wy} * {ex}) / nullif({turn}, 0D)"
+        v = f"({wx} * {dy} - {wy} * {dx}) / nullif({turn}, 0D)"
+        parallel = f"abs({turn}) <= {TOLERANCE} * sqrt({squared}) * hypot({ex}, {ey})"
+        meets = f"CASE WHEN {v} BETWEEN -{TOLERANCE} AND 1 + {TOLERANCE} THEN {u} END"
+        of_segment = (
+            f"CASE WHEN {parallel} THEN array({along('t.ax', 't.ay')}, {along('t.bx', 't.by')}) "
+            f"ELSE array({meets}) END"
+        )
+        near = f"filter({g}.segs, t -> {_boxes_touch(s, 't')})"
+        found = f"flatten(transform({near}, t -> {of_segment}))"
+    return f"filter({found}, u -> u > 0 AND u < 1)"
+
+
+def _boxes_touch(s: str, t: str) -> str:
+    return " AND ".join(
+        f"least({s}.a{c}, {s}.b{c}) <= greatest({t}.a{c}, {t}.b{c}) + {TOLERANCE} "
+        f"AND greatest({s}.a{c}, {s}.b{c}) >= least({t}.a{c}, {t}.b{c}) - {TOLERANCE}"
+        for c in "xy"
     )
-    return f"array_sort(array_distinct(concat(array(0D, 1D), filter({found}, u -> u > 0 AND u < 1))))"
 
 
 def _at(s: str, u: str) -> str:
     return f"struct({s}.ax + {u} * ({s}.bx - {s}.ax) AS x, {s}.ay + {u} * ({s}.by - {s}.ay) AS y)"
 
 
-def _pieces(g: str, other: str) -> str:
+def _pieces(g: str, other: str, pointlike: bool = False) -> str:
     """Midpoints of the pieces of all segments, cut by the other side."""
+    cuts = f"array_sort(array_distinct(concat(array(0D, 1D), {_meetings('e', other, pointlike)})))"
     spans = "transform(slice(cuts, 2, size(cuts) - 1), (hi, i) -> struct(cuts[i] AS lo, hi AS hi))"
     long_enough = f"filter({spans}, c -> c.hi - c.lo > {TOLERANCE})"
     middles = f"transform({long_enough}, c -> {_at('e', '((c.lo + c.hi) / 2)')})"
-    return f"flatten(transform({g}.segs, e -> {_let('cuts', _cuts('e', other), middles)}))"
+    return f"flatten(transform({g}.segs, e -> {_let('cuts', cuts, middles)}))"
 
 
-def _nodes(a: str, b: str) -> str:
+def _nodes(a: str, b: str, pointlike: bool) -> str:
     """Vertices of both sides and the positions where the edges meet."""
-    met = f"flatten(transform({a}.segs, e -> transform({_cuts('e', b)}, u -> {_at('e', 'u')})))"
-    return f"concat({a}.points, {b}.points, {met})"
+    meetings = f"transform({_meetings('e', b, pointlike)}, u -> {_at('e', 'u')})"
+    return f"concat({a}.points, {b}.points, flatten(transform({a}.segs, e -> {meetings})))"
 
 
 def _entries(other_kind: str) -> str:
@@ -168,10 +178,11 @@ def matrix(kind: Column, coords: Column, other_kind: str, other_coords: str) ->
 
     ``other_coords`` is the SQL text of the literal's position array.
     """
+    spots = other_kind in ("Point", "MultiPoint")
     found = (
-        f"struct(array_distinct(transform({_pieces('a', 'b')}, m -> {_locate('m', 'b')})) AS pa, "
+        f"struct(array_distinct(transform({_pieces('a', 'b', spots)}, m -> {_locate('m', 'b')})) AS pa, "
         f"array_distinct(transform({_pieces('b', 'a')}, m -> {_locate('m', 'a')})) AS pb, "
-        f"array_distinct(transform({_nodes('a', 'b')}, m -> concat({_locate('m', 'a')}, {_locate('m', 'b')}))) AS nodes, "
+        f"array_distinct(transform({_nodes('a', 'b', spots)}, m -> concat({_locate('m', 'a')}, {_locate('m', 'b')}))) AS nodes, "
         "a.kind = 'Polygon' AS area)"
     )
     body = _let("f", found, _entries(other_kind))
