@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sensorquery.llm import bpe, packing
+from sensorquery.llm import bpe, exact_dedup, fingerprint, packing
 from sensorquery.llm.registry import documents, query
 
 
@@ -21,3 +21,20 @@ def op3(spark, folder):
 @query("op4_packing")
 def op4(spark, folder):
     return packing.pack_documents(documents(spark, folder), vocabulary())
+
+
+@query("op7_exact_dedup", sql="""
+SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
+       doc_id = max(doc_id) OVER g AS kept,
+       sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256
+FROM documents
+WINDOW g AS (PARTITION BY translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'))
+""")
+def op7(spark, folder):
+    found = exact_dedup.dedup(documents(spark, folder))
+    return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+@query("op10_multiset_fingerprint")
+def op10(spark, folder):
+    return fingerprint.compare_edits(documents(spark, folder))
