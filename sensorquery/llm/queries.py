@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sensorquery.llm import bpe, exact_dedup, fingerprint, packing
+from sensorquery.llm import bpe, exact_dedup, fingerprint, packing, secrets
 from sensorquery.llm.registry import documents, query
 
 
@@ -14,8 +14,7 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
 
 @query("op3_bpe_chunk_reuse")
 def op3(spark, folder):
-    path = vocabulary()
-    return bpe.digests(bpe.decode(bpe.encode(documents(spark, folder), path), path), path)
+    return bpe.round_trip(documents(spark, folder), vocabulary())
 
 
 @query("op4_packing")
@@ -38,3 +37,8 @@ def op7(spark, folder):
 @query("op10_multiset_fingerprint")
 def op10(spark, folder):
     return fingerprint.compare_edits(documents(spark, folder))
+
+
+@query("op6_secret_scan")
+def op6(spark, folder):
+    return secrets.report(documents(spark, folder))
