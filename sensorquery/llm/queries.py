@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sensorquery.llm import bpe, exact_dedup, fingerprint, packing, secrets
+from sensorquery.llm import bpe, exact_dedup, fingerprint, ngram_join, packing, secrets
 from sensorquery.llm.registry import documents, query
 
 
@@ -42,3 +42,25 @@ def op10(spark, folder):
 @query("op6_secret_scan")
 def op6(spark, folder):
     return secrets.report(documents(spark, folder))
+
+
+@query("op5_ngram_jaccard", sql=r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+         'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(ws) >= 4
+    THEN list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' '))
+    WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END) AS sh FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+i AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id
+      GROUP BY 1, 2),
+e AS (SELECT x, y FROM i JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y WHERE 100 * k >= 85 * (p.n + q.n - k)),
+b AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+r AS (SELECT doc_id AS node, doc_id AS seen FROM documents UNION SELECT r.node, b.y FROM r JOIN b ON b.x = r.seen)
+SELECT doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id
+FROM documents LEFT JOIN n USING (doc_id)
+JOIN (SELECT node AS doc_id, min(seen) AS component_id FROM r GROUP BY 1) c USING (doc_id)
+""")
+def op5(spark, folder):
+    return ngram_join.similar_groups(documents(spark, folder), width=4, per_cent=85)
