@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sensorquery.llm import bpe, exact_dedup, fingerprint, ngram_join, packing, secrets
+from sensorquery.llm import bpe, exact_dedup, fingerprint, ngram_join, packing, secrets, substring_dedup
 from sensorquery.llm.registry import documents, query
 
 
@@ -64,3 +64,21 @@ JOIN (SELECT node AS doc_id, min(seen) AS component_id FROM r GROUP BY 1) c USIN
 """)
 def op5(spark, folder):
     return ngram_join.similar_groups(documents(spark, folder), width=4, per_cent=85)
+
+
+@query("op8_substring_dedup", sql=r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+p AS (SELECT doc_id, unnest(range(1, len(ws) - 11)) AS i, ws FROM w WHERE len(ws) >= 13),
+g AS (SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS t FROM p),
+f AS (SELECT t, min(doc_id) AS first FROM g GROUP BY t HAVING min(doc_id) <> max(doc_id)),
+c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS j FROM g JOIN f USING (t) WHERE first < doc_id),
+r AS (SELECT doc_id, count(*) AS n, list(j) AS js FROM c GROUP BY doc_id)
+SELECT doc_id, len(ws) AS n_words, coalesce(n, 0) AS n_removed,
+       sha256(CASE WHEN n IS NULL THEN array_to_string(ws, ' ') ELSE
+         coalesce((SELECT string_agg(ws[k], ' ' ORDER BY k) FROM (SELECT unnest(range(1, len(ws) + 1)) AS k)
+          WHERE NOT list_contains(js, k)), '') END) AS kept_sha256
+FROM w LEFT JOIN r USING (doc_id)
+""")
+def op8(spark, folder):
+    found = substring_dedup.remove_repeats(documents(spark, folder), digest=True)
+    return found.withColumnRenamed("kept", "kept_sha256")
