@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sensorquery.llm import bpe, exact_dedup, fingerprint, ngram_join, packing, secrets, substring_dedup
+from sensorquery.llm import bpe, exact_dedup, fingerprint, lm_score, ngram_join, packing, secrets, substring_dedup
 from sensorquery.llm.registry import documents, query
 
 
@@ -82,3 +82,8 @@ FROM w LEFT JOIN r USING (doc_id)
 def op8(spark, folder):
     found = substring_dedup.remove_repeats(documents(spark, folder), digest=True)
     return found.withColumnRenamed("kept", "kept_sha256")
+
+
+@query("op9_lm_score")
+def op9(spark, folder):
+    return lm_score.score(documents(spark, folder))

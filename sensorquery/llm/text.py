@@ -76,8 +76,9 @@ class Texts:
         """A-Z to a-z, nothing else."""
         return Texts(_LOWER[self.data], self.offsets, self.rows)
 
-    def words(self) -> Words:
-        return Words(self)
+    def words(self, blank: np.ndarray | None = None) -> Words:
+        """``blank``: a flag per byte that ends a word, white space if not given."""
+        return Words(self, _BLANK if blank is None else blank)
 
     def prefix_hash(self) -> np.ndarray:
         """H with H[j] - H[i] = sum of value(byte k) * base**k over i <= k < j."""
@@ -88,11 +89,11 @@ class Texts:
 
 
 class Words:
-    """The maximal runs without white space, text after text: starts, ends (bytes), first (index of
+    """The maximal runs without blank bytes, text after text: starts, ends (bytes), first (index of
     each text's first word, one longer than the texts), doc (text of each word)."""
 
-    def __init__(self, texts: Texts):
-        solid = ~_BLANK[texts.data]
+    def __init__(self, texts: Texts, blank: np.ndarray):
+        solid = ~blank[texts.data]
         n = len(solid)
         before = np.zeros(n, dtype=bool)
         before[1:] = solid[:-1]
