@@ -26,11 +26,13 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 _CONF = {
     "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    # Many small stores: without this each reserves megabytes of disk before it holds a row.
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200",
 }
 BYTES_PER_TRIGGER = 16 << 30  # digest rows of one micro-batch
-ARRIVALS = "doc_id long, digest binary, sha binary, locator string, row_no long"
+ARRIVALS = "doc_id long, digest binary, sha binary, other binary, locator string, row_no long"
 
 
 @contextmanager
@@ -55,10 +57,12 @@ def _digest_rows(digest_bytes: int):
         import pyarrow as pa
 
         for b in batches:
-            sha = [hashlib.sha256(x).digest() for x in _normalised(b.column(1))]
+            body = _normalised(b.column(1))
+            sha = [hashlib.sha256(x).digest() for x in body]
+            other = [hashlib.blake2b(x, digest_size=32).digest() for x in body]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([x[:digest_bytes] for x in sha], pa.binary()), pa.array(sha, pa.binary()),
-                 b.column(2)], ["doc_id", "digest", "sha", "locator"])
+                 pa.array(other, pa.binary()), b.column(2)], ["doc_id", "digest", "sha", "other", "locator"])
 
     return run
 
@@ -83,7 +87,7 @@ def arrivals(docs: DataFrame, digest_bytes: int = 32) -> DataFrame:
         F.input_file_name().alias("locator"),
     )
     return own.mapInArrow(
-        _digest_rows(digest_bytes), "doc_id long, digest binary, sha binary, locator string"
+        _digest_rows(digest_bytes), "doc_id long, digest binary, sha binary, other binary, locator string"
     ).withColumn("row_no", F.monotonically_increasing_id())
 
 
@@ -148,8 +152,8 @@ def dedup(docs: DataFrame, *, state: str | None = None, digest_bytes: int = 32)
 
 
 def _parted(rows: DataFrame, groups: DataFrame, collided: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Groups and rows of collided digests, keyed by the whole SHA-256 of the text instead."""
-    apart = rows.join(collided, "digest", "left_semi").withColumn("digest", F.col("sha"))
+    """Groups and rows with those of collided digests keyed by two whole digests instead."""
+    apart = rows.join(collided, "digest", "left_semi").withColumn("digest", F.concat("sha", "other"))
     regrouped = apart.groupBy("digest").agg(
         F.max(F.struct("doc_id", "row_no", "locator")).alias("k"), F.count("*").alias("group_size")
     ).select("digest", F.col("k.doc_id").alias("keep_id"), F.col("k.row_no").alias("keep_row"),
