@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from sensorquery.llm import bpe, exact_dedup, fingerprint, lm_score, ngram_join, packing, secrets, substring_dedup
-from sensorquery.llm.registry import documents, query
+from pyspark.sql import functions as F
+
+from sensorquery.llm import bpe, exact_dedup, fingerprint, lm_score, ngram_join, packing, secrets, site_quality, substring_dedup, toxicity
+from sensorquery.llm.registry import documents, labels, query
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -87,3 +89,16 @@ def op8(spark, folder):
 @query("op9_lm_score")
 def op9(spark, folder):
     return lm_score.score(documents(spark, folder))
+
+
+@query("op1_toxicity")
+def op1(spark, folder):
+    return toxicity.report(documents(spark, folder), labels(spark, folder))
+
+
+@query("op2_site_quality")
+def op2(spark, folder):
+    docs = documents(spark, folder).select("doc_id", "text", "lang", "source")
+    judged = site_quality.judge(docs, labels(spark, folder), F.col("source"), F.col("lang"))
+    return judged.select(
+        "doc_id", "log_odds", "site_mean", "quality", (F.col("quality") >= site_quality.LEAST_QUALITY).alias("accepted"))
