@@ -151,6 +151,28 @@ def dedup(docs: DataFrame, *, state: str | None = None, digest_bytes: int = 32)
     )
 
 
+def _sha_column(place: int):
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            sha = [hashlib.sha256(x).hexdigest() for x in _normalised(b.column(place).cast(pa.binary()))]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sha, pa.string())], [*b.schema.names, "_sha"])
+
+    return run
+
+
+def distinct_documents(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` that stay; of rows equal in id and text one stays."""
+    stay = dedup(docs, **options).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    own = docs.mapInArrow(_sha_column(docs.columns.index("text")), f"{fields}, `_sha` string")
+    # Nulls have no equal in a join: ids become text, a null id an empty one.
+    own = own.withColumn("_id", F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    stay = stay.withColumn("_id", F.coalesce(F.col("_id").cast("string"), F.lit("")))
+    return own.join(stay, ["_id", "_sha"], "left_semi").dropDuplicates(["_id", "_sha"]).select(*docs.columns)
+
+
 def _parted(rows: DataFrame, groups: DataFrame, collided: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Groups and rows with those of collided digests keyed by two whole digests instead."""
     apart = rows.join(collided, "digest", "left_semi").withColumn("digest", F.concat("sha", "other"))

@@ -421,6 +421,13 @@ def similar_groups(docs: DataFrame, *, width: int = 5, per_cent: int = 80) -> Da
     return found.unionByName(_without_id(own, width))
 
 
+def one_of_each_group(docs: DataFrame, *, width: int = 5, per_cent: int = 80) -> DataFrame:
+    """The rows of ``docs`` without those that links connect to a smaller ``doc_id``."""
+    groups = similar_groups(docs, width=width, per_cent=per_cent)
+    gone = written(groups.where("doc_id <> component_id").select("doc_id").distinct(), "near-copies")
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
 def _without_id(own: DataFrame, width: int) -> DataFrame:
     """Rows with a null id: the size of their set, no component."""
 
