@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,9 +26,13 @@ def enforce_unique(
 ) -> DataFrame:
     """New rows with a ``status``: accepted, duplicate (within the batch) or exists (already stored).
 
-    The winner of each key comes from a partial aggregate, so copies of one key never meet in one
-    task; the join back is split by the skew handling of the session.
+    A key with a null in it equals no other, so such rows are all accepted. The winner of each key
+    comes from a partial aggregate, so copies of one key never meet in one task; the join back is
+    split by the skew handling of the session.
     """
+    whole = reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys])
+    open_keys = new.where(~whole).withColumn("status", F.lit("accepted"))
+    new = new.where(whole)
     winners = new.groupBy(*keys).agg(F.min(F.struct(*order)).alias("_first"))
     stored = existing.select(*keys).distinct().withColumn("_stored", F.lit(True))
     judged = winners.join(stored, keys, "left")
@@ -35,9 +41,8 @@ def enforce_unique(
         .when(F.struct(*order) == F.col("_first"), "accepted")
         .otherwise("duplicate")
     )
-    return new.join(judged, keys).withColumn("status", status).drop("_first", "_stored").select(
-        *new.columns, "status"
-    )
+    found = new.join(judged, keys).withColumn("status", status).drop("_first", "_stored")
+    return found.select(*new.columns, "status").unionByName(open_keys)
 
 
 def resolve_ids(df: DataFrame, name_column: str, dim: DataFrame, id_column: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,17 +47,34 @@ def append_only(new: DataFrame, datastreams: DataFrame) -> DataFrame:
     return new.join(ends, "datastream_id", "left").where(later).drop("_end")
 
 
+RESULT_COLUMNS = ("result_type", "result_number", "result_string", "result_boolean", "result_json", "result_quality")
+
+
 def upsert(new: DataFrame, existing: DataFrame) -> DataFrame:
-    """Readings with a ``status``: unchanged, updated (with the stored id) or new."""
-    held = within_span(existing, new).select(
-        *SERIES_KEY, F.col("id").alias("existing_id"),
-        F.col("result_number").alias("_number"), F.col("result_quality").alias("_quality"),
-    )
-    same = F.col("_number").eqNullSafe(F.col("result_number")) & F.col("_quality").eqNullSafe(
-        F.col("result_quality")
-    )
-    status = F.when(F.col("existing_id").isNull(), "new").when(same, "unchanged").otherwise("updated")
-    return new.join(held, SERIES_KEY, "left").withColumn("status", status).drop("_number", "_quality")
+    """Readings with a ``status``: unchanged, updated (with the stored id) or new; one row out for
+    every row in.
+
+    All result columns that the readings have are compared, of whatever type. Of several stored
+    readings at one time the one with the same end counts first, then the one with the smallest id.
+    """
+    compared = [c for c in RESULT_COLUMNS if c in new.columns]
+    ends = [c for c in ("phenomenon_end",) if c in new.columns and c in existing.columns]
+    stored = F.struct(F.col("id").alias("id"), *[
+        (F.col(c) if c in existing.columns else F.lit(None).cast(new.schema[c].dataType)).alias(c) for c in compared
+    ])
+    near = within_span(existing, new)
+    first = near.groupBy(*SERIES_KEY).agg(F.min_by(stored, "id").alias("_first"))
+    joined = new.join(first, SERIES_KEY, "left")
+    held = F.col("_first")
+    if ends:
+        exact = near.groupBy(*SERIES_KEY, *ends).agg(F.min_by(stored, "id").alias("_exact"))
+        joined = joined.join(exact, [*SERIES_KEY, *ends], "left")
+        held = F.coalesce("_exact", "_first")
+    judged = joined.withColumn("_held", held)
+    same = reduce(lambda a, b: a & b, [F.col(f"_held.{c}").eqNullSafe(F.col(c)) for c in compared], F.lit(True))
+    status = F.when(F.col("_held").isNull(), "new").when(same, "unchanged").otherwise("updated")
+    return judged.withColumn("existing_id", F.col("_held.id")).withColumn("status", status).select(
+        *new.columns, "existing_id", "status")
 
 
 def dedup_first(obs: DataFrame, order: list[str]) -> DataFrame:

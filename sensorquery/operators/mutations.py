@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import copy
 import json
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -145,75 +146,109 @@ class PatchRejected(Exception):
     pass
 
 
-def _walk(doc, tokens: list[str]):
-    for token in tokens:
-        if isinstance(doc, dict) and token in doc:
-            doc = doc[token]
-        elif isinstance(doc, list) and token.isdigit() and int(token) < len(doc):
-            doc = doc[int(token)]
+class Spot:
+    """One place of a document, by an RFC 6901 pointer: a holder and the key of the value in it.
+
+    The document itself is the only element of a list around it, so every place has a holder.
+    """
+
+    def __init__(self, around: list, pointer: str | None):
+        if pointer is None or pointer[:1] not in ("", "/"):
+            raise PatchRejected(f"not a pointer: {pointer}")
+        self.holder, self.key, self.around = around, 0, around
+        self.path = pointer
+        for part in pointer.split("/")[1:]:
+            inner = self.value()
+            if not isinstance(inner, (dict, list)):
+                raise PatchRejected(f"nothing below {part}")
+            self.holder, self.key = inner, part.replace("~1", "/").replace("~0", "~")
+
+    def index(self, end: int) -> int:
+        """Place in a list: decimal digits without leading zeros, below ``end``."""
+        if isinstance(self.key, int):
+            return self.key
+        if not re.fullmatch("0|[1-9][0-9]{0,17}", self.key) or int(self.key) >= end:
+            raise PatchRejected(f"no such element: {self.key}")
+        return int(self.key)
+
+    def value(self):
+        if isinstance(self.holder, list):
+            return self.holder[self.index(len(self.holder))]
+        if self.key not in self.holder:
+            raise PatchRejected(f"no such member: {self.key}")
+        return self.holder[self.key]
+
+    def add(self, value) -> None:
+        if isinstance(self.holder, dict):
+            self.holder[self.key] = value
+        elif self.holder is self.around:
+            self.around[0] = value
+        elif self.key == "-":
+            self.holder.append(value)
         else:
-            raise PatchRejected(f"no such location: {token}")
-    return doc
-
-
-def _tokens(pointer: str) -> list[str]:
-    if pointer == "":
-        return []
-    if not pointer or not pointer.startswith("/"):
-        raise PatchRejected(f"not a pointer: {pointer}")
-    return [t.replace("~1", "/").replace("~0", "~") for t in pointer[1:].split("/")]
-
-
-def _set(doc, tokens: list[str], value, must_exist: bool):
-    if not tokens:
-        return value
-    holder, last = _walk(doc, tokens[:-1]), tokens[-1]
-    if must_exist:
-        _walk(holder, [last])
-    if isinstance(holder, dict):
-        holder[last] = value
-    elif isinstance(holder, list) and must_exist:
-        holder[int(last)] = value
-    elif isinstance(holder, list) and (last == "-" or (last.isdigit() and int(last) <= len(holder))):
-        holder.insert(len(holder) if last == "-" else int(last), value)
-    else:
-        raise PatchRejected(f"cannot add at {last}")
-    return doc
+            self.holder.insert(self.index(len(self.holder) + 1), value)
+
+    def replace(self, value) -> None:
+        self.value()
+        if isinstance(self.holder, dict):
+            self.holder[self.key] = value
+        else:
+            self.holder[self.index(len(self.holder))] = value
 
+    def take(self):
+        """Removes and returns the value."""
+        if self.holder is self.around:
+            raise PatchRejected("the whole document cannot be removed")
+        held = self.value()
+        del self.holder[self.key if isinstance(self.holder, dict) else self.index(len(self.holder))]
+        return held
 
-def _remove(doc, tokens: list[str]):
-    if not tokens:
-        raise PatchRejected("cannot remove the document")
-    holder, last = _walk(doc, tokens[:-1]), tokens[-1]
-    _walk(holder, [last])
-    del holder[int(last) if isinstance(holder, list) else last]
-    return doc
+
+def _equal(a, b) -> bool:
+    """JSON equality: numbers by value, booleans only with booleans, at every depth."""
+    if isinstance(a, bool) or isinstance(b, bool):
+        return a is b
+    if isinstance(a, dict) and isinstance(b, dict):
+        return a.keys() == b.keys() and all(_equal(v, b[k]) for k, v in a.items())
+    if isinstance(a, list) and isinstance(b, list):
+        return len(a) == len(b) and all(map(_equal, a, b))
+    return type(a) in (int, float) and type(b) in (int, float) and a == b or type(a) is type(b) and a == b
+
+
+def _parsed(text: str | None, what: str):
+    try:
+        return json.loads(text)
+    except (TypeError, ValueError, RecursionError):
+        raise PatchRejected(f"the {what} is not JSON") from None
 
 
 def patch_step(doc, op: str, path: str, origin: str | None, value: str | None):
-    """Document after one patch operation; raises ``PatchRejected``."""
-    where = _tokens(path)
-    if op in ("add", "replace", "test"):
-        if value is None:
-            raise PatchRejected(f"{op} needs a value")
-        given = json.loads(value)
-        if op == "test":
-            found = _walk(doc, where)
-            if found != given or isinstance(found, bool) != isinstance(given, bool):
-                raise PatchRejected("test failed")
-            return doc
-        return _set(doc, where, given, must_exist=op == "replace")
-    if op == "remove":
-        return _remove(doc, where)
-    if op in ("move", "copy"):
-        source = _tokens(origin or "")
-        held = copy.deepcopy(_walk(doc, source))
-        if op == "move":
-            if where[: len(source)] == source and len(where) > len(source):
-                raise PatchRejected("cannot move into itself")
-            doc = _remove(doc, source)
-        return _set(doc, where, held, must_exist=False)
-    raise PatchRejected(f"unknown operation: {op}")
+    """Document after one RFC 6902 operation; raises ``PatchRejected``."""
+    around = [doc]
+    spot = Spot(around, path)
+    if op == "add":
+        spot.add(_parsed(value, "value"))
+    elif op == "replace":
+        spot.replace(_parsed(value, "value"))
+    elif op == "test":
+        if not _equal(spot.value(), _parsed(value, "value")):
+            raise PatchRejected("test failed")
+    elif op == "remove":
+        spot.take()
+    elif op == "copy":
+        spot.add(copy.deepcopy(Spot(around, origin).value()))
+    elif op == "move":
+        source = Spot(around, origin)
+        if path.startswith(f"{origin}/"):
+            raise PatchRejected("cannot move into itself")
+        if path != origin:
+            held = source.take()
+            Spot(around, path).add(held)
+        else:
+            source.value()
+    else:
+        raise PatchRejected(f"unknown operation: {op}")
+    return around[0]
 
 
 _PATCH_LAYOUT = "id long, doc string, patched boolean, reason string"
@@ -227,7 +262,7 @@ def _fold_patches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     def finished():
         if reason is not None:
             return (key, original, False, reason)
-        return (key, json.dumps(doc, separators=(",", ":")) if steps else original, steps > 0, None)
+        return (key, json.dumps(doc, separators=(",", ":"), ensure_ascii=False) if steps else original, steps > 0, None)
 
     for batch in batches:
         done = []
@@ -240,7 +275,7 @@ def _fold_patches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 continue
             if reason is None:
                 try:
-                    doc = json.loads(original) if steps == 0 else doc
+                    doc = _parsed(original, "document") if steps == 0 else doc
                     doc = patch_step(doc, row.op, row.path, row.origin, row.value)
                     steps += 1
                 except PatchRejected as failure:

@@ -156,9 +156,10 @@ def null_outliers(obs: DataFrame, threshold: float = 3.0) -> DataFrame:
 
 
 def split_quality(obs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(good, flagged) readings by their numeric quality."""
-    quality = F.col("result_quality").try_cast("int")
-    return obs.where(quality >= GOOD), obs.where(quality < GOOD)
+    """(good, flagged) readings by their numeric quality. What is not known to be good is flagged: a
+    missing quality, or one that is no number."""
+    good = F.coalesce(F.col("result_quality").try_cast("int") >= GOOD, F.lit(False))
+    return obs.where(good), obs.where(~good)
 
 
 def flatten_props(df: DataFrame, column: str, keys: list[str]) -> DataFrame:

@@ -19,21 +19,22 @@ from sensorquery.functions import render
 from sensorquery.functions.values import Interval, Result
 from sensorquery.operators import series
 
-DEFAULT_TOP = 100
-COUNT_THRESHOLD = 10_000
-
 Predicate = Callable[[Callable], Column]
 
 
 @dataclass(frozen=True)
 class Expand:
-    """Options of one expanded relation; ``expand`` nests further relations."""
+    """Options of one expanded relation; ``expand`` nests further relations.
+
+    ``top`` bounds the children that are put into one document of the parent, so a relation towards
+    many needs it there. ``Query.children`` gives all of them, as rows.
+    """
 
     navigation: str
     filter: Predicate | None = None
     select: tuple[str, ...] = ()
     order: tuple[str, ...] = ()
-    top: int = DEFAULT_TOP
+    top: int | None = None
     skip: int = 0
     count: bool = False
     expand: tuple[Expand, ...] = ()
@@ -148,6 +149,14 @@ def related_ids(
 
 def order_columns(df: DataFrame, table: str, specs: tuple[str, ...]) -> list[Column]:
     """Sort keys: ascending puts nulls last, descending puts them first; text sorts by bytes."""
+    return [
+        value.desc_nulls_first() if descending else value.asc_nulls_last()
+        for value, descending in _key_parts(df, table, specs)
+    ]
+
+
+def _key_parts(df: DataFrame, table: str, specs: tuple[str, ...]) -> list[tuple[Column, bool]]:
+    """Values to sort by, and whether each descends."""
     columns = []
     for spec in specs:
         name, _, direction = spec.partition(" ")
@@ -163,9 +172,7 @@ def order_columns(df: DataFrame, table: str, specs: tuple[str, ...]) -> list[Col
             parts = result_order(value)
         else:
             parts = [value]
-        columns += [
-            p.desc_nulls_first() if direction == "desc" else p.asc_nulls_last() for p in parts
-        ]
+        columns += [(p, direction == "desc") for p in parts]
     return columns
 
 
@@ -196,7 +203,7 @@ class Query:
     restrictions: tuple[Callable[[DataFrame, Catalog], DataFrame], ...] = ()
     selection: tuple[str, ...] = ()
     order: tuple[str, ...] = ()
-    limit: int = DEFAULT_TOP
+    limit: int | None = None
     offset: int = 0
     expands: tuple[Expand, ...] = field(default=())
 
@@ -301,7 +308,12 @@ class Query:
     def page_rows(self, extra: int = 0) -> DataFrame:
         """Ordered rows of the current page; ``extra`` rows more to see whether there is a next."""
         df = self.rows()
-        return df.orderBy(*self.sort_keys(df)).offset(self.offset).limit(self.limit + extra)
+        return df.orderBy(*self.sort_keys(df)).offset(self.offset).limit(self._size() + extra)
+
+    def _size(self) -> int:
+        if self.limit is None:
+            raise ValueError("a page needs top(); rows(), pages() and all_documents() give everything")
+        return self.limit
 
     def page(self) -> tuple[DataFrame, DataFrame]:
         """(rows of the page, one row with ``next_skip``: null on the last page)."""
@@ -309,7 +321,7 @@ class Query:
         keys = self.sort_keys(sentinel)
         seen = sentinel.agg(F.count("*").alias("n"))
         following = seen.select(
-            F.when(F.col("n") > self.limit, F.lit(self.offset + self.limit)).alias("next_skip")
+            F.when(F.col("n") > self._size(), F.lit(self.offset + self._size())).alias("next_skip")
         )
         return sentinel.orderBy(*keys).limit(self.limit), following
 
@@ -319,54 +331,72 @@ class Query:
         placed = series.global_positions(df, self.sort_keys(df), "_pos")
         return placed.withColumn("page", series.range_of(F.col("_pos"), size)).drop("_pos")
 
-    def page_after(self, keys: dict[str, object], size: int) -> DataFrame:
-        """Keyset page: the next rows behind the sort key values of the last row seen.
+    def page_after(self, seen: dict[str, object] | None, size: int) -> DataFrame:
+        """Keyset page: the first rows (``seen`` None), or those behind the last row seen.
 
-        Works on ascending non-null sort columns followed by ``id``; unlike a deep skip its cost
-        does not depend on how many rows came before.
+        The order is the query's own, then ``id``. Each row carries its place in columns ``_k0``,
+        ``_k1``, ...; ``seen`` is a mapping with those of the last row (``row.asDict()`` will do).
+        Nulls stand where the order puts them and are never skipped. Unlike a deep skip the cost does
+        not depend on how many rows came before.
         """
         df = self.rows()
-        behind = F.lit(False)
-        equal = F.lit(True)
-        for name, value in keys.items():
-            behind = behind | (equal & (F.col(name) > F.lit(value)))
-            equal = equal & (F.col(name) == F.lit(value))
-        return df.where(behind).orderBy(*keys).limit(size)
-
-    def count_total(self, mode: str = "FULL", threshold: int = COUNT_THRESHOLD) -> DataFrame:
-        """One row ``count`` of all matching rows, whatever the page.
-
-        FULL            exact number of distinct ids (ids and validity when reading a span)
-        LIMIT_ESTIMATE  exact up to the threshold, a sketch estimate beyond it
-        ESTIMATE_LIMIT  the sketch estimate, exact where it does not exceed the threshold
-        """
+        keys = _key_parts(df, self.table, self.order)
+        keys.append((F.col("id"), False))
+        if self.catalog.span is not None and "valid_from" in df.columns:
+            keys.append((F.col("valid_from"), False))
+        placed = df.withColumns({f"_k{i}": value for i, (value, _) in enumerate(keys)})
+        if seen is not None:
+            behind, equal = F.lit(False), F.lit(True)
+            for i, (_, descending) in enumerate(keys):
+                here, last = F.col(f"_k{i}"), F.lit(seen[f"_k{i}"]).cast(placed.schema[f"_k{i}"].dataType)
+                # Ascending puts nulls last, descending first: a null is the largest value of all.
+                if descending:
+                    later = here < last if seen[f"_k{i}"] is not None else here.isNotNull()
+                else:
+                    later = (here > last) | here.isNull() if seen[f"_k{i}"] is not None else F.lit(False)
+                behind = behind | (equal & F.coalesce(later, F.lit(False)))
+                equal = equal & here.eqNullSafe(last)
+            placed = placed.where(behind)
+        order = [
+            F.col(f"_k{i}").desc_nulls_first() if descending else F.col(f"_k{i}").asc_nulls_last()
+            for i, (_, descending) in enumerate(keys)
+        ]
+        return placed.orderBy(*order).limit(size)
+
+    def count_total(self) -> DataFrame:
+        """One row ``count``: the exact number of matching rows, whatever the page. Ids (with their
+        validity when reading a span) are unique and filters never multiply rows, so nothing is
+        shuffled but partial counts."""
+        return self.rows().agg(F.count("*").alias("count"))
+
+    def count_capped(self, threshold: int) -> DataFrame:
+        """One row: ``count`` up to the threshold, and whether there are more (``capped``). Reads no
+        further than it has to."""
+        seen = self.rows().select("id").limit(threshold + 1).agg(F.count("*").alias("n"))
+        return seen.select(F.least("n", F.lit(threshold)).alias("count"), (F.col("n") > threshold).alias("capped"))
+
+    def count_estimate(self) -> DataFrame:
+        """One row ``count``: a sketch's estimate of the distinct matching rows (about 2 percent)."""
         df = self.rows()
         spanning = self.catalog.span is not None and "valid_from" in df.columns
-        keys = ["id", "valid_from"] if spanning else ["id"]
-        if mode == "FULL":
-            return df.select(*keys).distinct().agg(F.count("*").alias("count"))
-        estimate = df.agg(F.approx_count_distinct(F.struct(*keys)).alias("estimate"))
-        capped = df.select(*keys).limit(threshold + 1).agg(F.count("*").alias("capped"))
-        # Two single rows become one by a union and an aggregate; nothing is joined.
-        both = capped.unionByName(estimate, allowMissingColumns=True).agg(
-            F.max("capped").alias("capped"), F.max("estimate").alias("estimate")
-        )
-        within = F.col("capped") <= threshold
-        if mode == "ESTIMATE_LIMIT":
-            within = within & (F.col("estimate") <= threshold)
-        elif mode != "LIMIT_ESTIMATE":
-            raise ValueError(f"unknown count mode: {mode}")
-        return both.select(F.when(within, F.col("capped")).otherwise(F.col("estimate")).alias("count"))
+        key = F.struct("id", "valid_from") if spanning else F.col("id")
+        return df.agg(F.approx_count_distinct(key, 0.02).alias("count"))
 
     # -- expanded relations ------------------------------------------------------------------
 
     def expand_rows(self, option: Expand) -> DataFrame:
-        """Flat form of one expanded relation: ``parent_id``, ``rn``, child columns and ``total``."""
+        """Flat form of one expanded relation: ``parent_id``, ``rn``, child columns and ``total``.
+        ``top`` children of each parent; see ``children`` for all."""
         parents = self.rows()
         rows = child_rows(parents, self.table, option, self.catalog)
         in_page = (F.col("rn") > option.skip) & (F.col("rn") <= option.skip + option.top)
         return rows.where(in_page).withColumn("rn", F.col("rn") - option.skip)
 
+    def children(self, option: Expand) -> DataFrame:
+        """All children of one expanded relation, for bulk export: ``parent_id`` and child columns.
+        Rows stay rows, so a parent may have any number of them."""
+        return related_children(self.rows(), self.table, option, self.catalog)
+
     def documents(self, extra: int = 0) -> DataFrame:
         """``id``, ``position`` and ``json`` of the documents of the page, expanded relations
         embedded."""
@@ -380,7 +410,8 @@ class Query:
         )
 
     def all_documents(self) -> DataFrame:
-        """``id`` and ``json`` of every matching row, for bulk export."""
+        """``id`` and ``json`` of every matching row, for bulk export. Relations towards many are cut
+        to their ``top`` inside a document; ``children`` exports all of them."""
         embedded = expand_columns(self.rows(), self.table, self.expands, self.catalog, self.base)
         return embedded.select("id", self._output(embedded).alias("json"))
 
@@ -436,14 +467,10 @@ def entity_json(
     return render.document(members, embedded)
 
 
-def child_rows(
+def related_children(
     parents: DataFrame, table: str, option: Expand, catalog: Catalog
 ) -> DataFrame:
-    """Ranked children of each parent: ``parent_id``, ``rn``, child columns and ``total``.
-
-    Keeps at most ``skip + top + 1`` rows per parent; the last one only tells that there are more.
-    Totals are a separate partial aggregate, so no parent's children ever meet in one task.
-    """
+    """Children of the given parents only: ``parent_id`` and child columns."""
     target = schema.relation(table, option.navigation)
     children = catalog.table(target.target)
     if option.filter is not None:
@@ -456,7 +483,21 @@ def child_rows(
     else:
         children = children.withColumn("parent_id", F.col(target.far))
     keys = parents.select(F.col(target.near).alias("parent_id")).distinct()
-    children = children.join(keys, "parent_id", "left_semi")
+    return children.join(keys, "parent_id", "left_semi")
+
+
+def child_rows(
+    parents: DataFrame, table: str, option: Expand, catalog: Catalog
+) -> DataFrame:
+    """Ranked children of each parent: ``parent_id``, ``rn``, child columns and ``total``.
+
+    Keeps at most ``skip + top + 1`` rows per parent; the last one only tells that there are more.
+    Totals are a separate partial aggregate, so no parent's children ever meet in one task.
+    """
+    if option.top is None:
+        raise ValueError(f"{option.navigation} needs top; children() gives all rows")
+    target = schema.relation(table, option.navigation)
+    children = related_children(parents, table, option, catalog)
     order = [*order_columns(children, target.target, option.order), F.col("id").asc_nulls_last()]
     ranked = series.top_per_key(children, ["parent_id"], order, option.skip + option.top + 1)
     if not option.count:
@@ -511,7 +552,7 @@ def _embed_many(
 ) -> DataFrame:
     """To-many: an array cut to the page of each parent, its count and the link to the rest."""
     rows = child_rows(df, table, replace(option, count=False), catalog)
-    last = option.skip + option.top
+    last = option.skip + option.top  # child_rows has refused a missing top
     rows = expand_columns(rows.where(F.col("rn") > option.skip), target.target, option.expand, catalog, base)
     body = _child_json(rows, option, target, base, catalog)
     # At most top + 1 documents per parent meet here.
@@ -532,19 +573,8 @@ def _embed_many(
         f"{name}@iot.nextLink", F.when(F.col("_more"), follow)
     )
     if option.count:
-        target_rows = catalog.table(target.target)
-        if option.filter is not None:
-            target_rows = filter_rows(target_rows, target.target, option.filter, catalog)
-        if target.link is not None:
-            link = catalog.table(target.link)
-            target_rows = link.join(
-                target_rows.select(F.col("id").alias("_far")),
-                link[target.link_far] == F.col("_far"), "left_semi",
-            )
-            far = target.link_near
-        else:
-            far = target.far
-        totals = target_rows.groupBy(F.col(far).alias("_key")).agg(F.count("*").alias("_total"))
+        counted = related_children(df, table, option, catalog)
+        totals = counted.groupBy(F.col("parent_id").alias("_key")).agg(F.count("*").alias("_total"))
         joined = joined.join(totals, joined[target.near] == totals["_key"], "left").withColumn(
             f"{name}@iot.count", F.coalesce(F.col("_total"), F.lit(0))
         ).drop("_key", "_total")

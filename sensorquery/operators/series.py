@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 from sensorquery.session import materialize
 
 DAY = 86_400
-# Spark trims row_number() <= k before its shuffle up to this k.
-_GROUP_LIMIT = 1000
+SALTS = 64
+ROWS_PER_PART = 2_000_000
 
 
 def chunk_of(ts: Column, seconds: int) -> Column:
@@ -54,11 +54,12 @@ def positions(
 def global_positions(df: DataFrame, order: list[Column], name: str = "pos") -> DataFrame:
     """0-based position of each row in a total order over the whole table.
 
-    Rows are range-partitioned and sorted; the checkpoint pins the placement. The offsets table has
-    one row per partition, which bounds what the join broadcasts.
+    Rows are range-partitioned and sorted, about ROWS_PER_PART to a partition; the checkpoint pins
+    the placement. The offsets table has one row per partition, which bounds what the join
+    broadcasts.
     """
     spark = df.sparkSession
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // ROWS_PER_PART))
     placed = materialize(
         df.repartitionByRange(parts, *order)
         .sortWithinPartitions(*order)
@@ -79,21 +80,19 @@ def global_positions(df: DataFrame, order: list[Column], name: str = "pos") -> D
 def top_per_key(
     df: DataFrame, key: list[str], order: list[Column], limit: int, row_id: str = "id"
 ) -> DataFrame:
-    """First ``limit`` rows per key with their rank ``rn``; trimmed before the shuffle.
+    """First ``limit`` rows per key with their rank ``rn``, in two steps.
 
-    Small limits are trimmed by Spark in every map task. Larger ones are trimmed in salted groups
-    first, which keeps a hot key spread over many tasks.
+    The first ranks within SALTS groups of each key, and Spark trims those in the map tasks too; the
+    second ranks what is left. A hot key thus sends at most SALTS * limit rows to one task, however
+    many map tasks hold it.
     """
     rank = F.row_number()
-    if limit > _GROUP_LIMIT:
-        salt = F.pmod(F.xxhash64(F.col(row_id)), F.lit(256))
-        salted = Window.partitionBy(*key, "_salt").orderBy(*order)
-        df = (
-            df.withColumn("_salt", salt)
-            .withColumn("rn", rank.over(salted))
-            .where(F.col("rn") <= limit)
-            .drop("_salt", "rn")
-        )
+    salt = F.pmod(F.xxhash64(F.col(row_id)), F.lit(SALTS))
+    salted = Window.partitionBy(*key, "_salt").orderBy(*order)
+    df = (
+        df.withColumn("_salt", salt).withColumn("rn", rank.over(salted))
+        .where(F.col("rn") <= limit).drop("_salt", "rn")
+    )
     return df.withColumn("rn", rank.over(Window.partitionBy(*key).orderBy(*order))).where(
         F.col("rn") <= limit
     )

@@ -52,7 +52,8 @@ def change_rows(
 ) -> DataFrame:
     """Version rows after one batch of changes, from the open versions of a table.
 
-    ``changes`` has ``id``, ``action`` (CREATE, UPDATE, DELETE) and full new rows, one per id. The
+    ``changes`` has ``id``, ``action`` (CREATE, UPDATE, DELETE) and full new rows, one per id
+    (``apply_feed`` takes several; a second one here ends the job rather than open two versions). The
     result holds the open versions (``valid_to`` null) and the versions closed by this batch.
     Updates and deletes of unknown ids change nothing; see ``unmatched``.
     """
@@ -62,7 +63,10 @@ def change_rows(
     stamp = F.lit(None).cast("long") if commit_id is None else commit_id
 
     old = current.select("id", F.struct(*[c for c in current.columns]).alias("_old"))
-    new = changes.select("id", "action", F.struct(*own).alias("_new"))
+    grouped = changes.groupBy("id").agg(
+        F.first("action").alias("action"), F.first(F.struct(*own)).alias("_new"), F.count("*").alias("_n"))
+    single = F.when(F.col("_n") > 1, F.raise_error(F.lit("several changes of one id; use apply_feed"))).otherwise(F.col("action"))
+    new = grouped.select("id", single.cast("string").alias("action"), "_new")
     both = old.join(new, "id", "full_outer")
 
     def row(source: str, valid_from: Column, valid_to: Column, commit: Column) -> Column:
@@ -87,14 +91,46 @@ def change_rows(
     return both.select(F.explode(rows).alias("_row")).select("_row.*")
 
 
+def apply_feed(
+    table: str, versions: DataFrame, feed: DataFrame, *, ts: str = "ts", seq: str = "seq",
+    chunk_seconds: int = VERSION_CHUNK,
+) -> DataFrame:
+    """Full version table after a feed with any number of changes per id, chained by (ts, seq).
+
+    ``feed`` has ``id``, ``action``, the instant and order of each change, full new rows and, where
+    the versions have one, ``commit_id``. Each change closes what was open before it; of changes at
+    one instant the last holds. Ids without changes are carried over untouched, changes of ids that
+    are neither stored nor created in the feed change nothing.
+    """
+    touched = feed.select("id").distinct()
+    still_open = F.col("valid_to").isNull()
+    own = [c for c in versions.columns if c not in VERSION_COLUMNS]
+    stamp = [c for c in ("commit_id",) if c in versions.columns]
+    past = versions.where(~still_open)
+    current = versions.where(still_open)
+    kept = current.join(touched, "id", "left_anti")
+    started = current.join(touched, "id", "left_semi").select(
+        *own, *stamp, F.col("valid_from").alias(ts), F.lit(-1).cast("long").alias(seq), F.lit("CREATE").alias("action"))
+    known = current.select("id").unionByName(feed.where(F.col("action") == "CREATE").select("id")).distinct()
+    extra = [c if c in feed.columns else F.lit(None).cast("long").alias(c) for c in stamp]
+    coming = feed.join(known, "id", "left_semi").select(
+        *own, *extra, F.col(ts), F.col(seq).cast("long").alias(seq), "action")
+    chained = to_versions(started.unionByName(coming), ts=ts, seq=seq, chunk_seconds=chunk_seconds)
+    return past.unionByName(kept).unionByName(chained.select(*versions.columns))
+
+
 def apply_changes(
     table: str, versions: DataFrame, changes: DataFrame, ts, commit_id: Column | None = None
 ) -> DataFrame:
     """Full version table after a batch of changes: closed versions are carried over untouched."""
     still_open = F.col("valid_to").isNull()
     past = versions.where(~still_open)
-    rows = change_rows(table, versions.where(still_open), changes, ts, commit_id)
-    return past.unionByName(rows.select(*versions.columns))
+    current = versions.where(still_open)
+    # Only touched ids take part in the outer join; all others pass by it.
+    touched = changes.select("id").distinct()
+    kept = current.join(touched, "id", "left_anti")
+    rows = change_rows(table, current.join(touched, "id", "left_semi"), changes, ts, commit_id)
+    return past.unionByName(kept).unionByName(rows.select(*versions.columns))
 
 
 def split_versions(rows: DataFrame) -> tuple[DataFrame, DataFrame]:

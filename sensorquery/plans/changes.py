@@ -184,6 +184,33 @@ def ver_02(t):
     return version_row(changed(t))
 
 
+@query("ver_02_feed_chain", """
+WITH now AS (SELECT * FROM thing_version WHERE valid_to IS NULL),
+c AS (SELECT id, description, valid_from, commit_id, -1 AS seq FROM now WHERE id % 3 = 0
+  UNION ALL SELECT id, 'X', TIMESTAMP '2002-01-01', 1, 1 FROM now WHERE id % 3 = 0
+  UNION ALL SELECT id, 'Z', TIMESTAMP '2002-01-02', 3, 3 FROM now WHERE id % 3 = 0
+  UNION ALL SELECT id, 'gone', TIMESTAMP '2002-01-03', 4, 4 FROM now WHERE id % 6 = 0),
+l AS (SELECT id, description, valid_from, lead(valid_from) OVER (PARTITION BY id ORDER BY valid_from, seq) AS valid_to, commit_id FROM c)
+SELECT id, description, epoch_us(valid_from) AS valid_from, epoch_us(valid_to) AS valid_to, commit_id FROM (
+  SELECT * FROM l WHERE description <> 'gone'
+  UNION ALL SELECT id, description, valid_from, valid_to, commit_id FROM thing_version WHERE valid_to IS NOT NULL OR id % 3 <> 0)""")
+def ver_02_feed(t):
+    """Up to four changes of one id in a batch, two of them at one instant."""
+    now = t.thing_versions().where(F.col("valid_to").isNull() & (F.col("id") % 3 == 0)).drop("valid_from", "valid_to", "commit_id")
+
+    def change(rows, text, at, seq, action="UPDATE"):
+        return rows.withColumns({
+            "description": F.lit(text), "ts": F.lit(at).cast("timestamp"), "seq": F.lit(seq).cast("long"),
+            "commit_id": F.lit(seq).cast("long"), "action": F.lit(action)})
+
+    feed = (
+        change(now, "X", "2002-01-01T00:00:00Z", 1).unionByName(change(now, "Y", "2002-01-02T00:00:00Z", 2))
+        .unionByName(change(now, "Z", "2002-01-02T00:00:00Z", 3))
+        .unionByName(change(now.where(F.col("id") % 6 == 0), "gone", "2002-01-03T00:00:00Z", 4, "DELETE"))
+    )
+    return version_row(versions.apply_feed("thing", t.thing_versions(), feed))
+
+
 @query("ver_02_id_change_refused", "SELECT id FROM thing WHERE id % 50 = 0")
 def ver_02_ids(t):
     wanted = t.things().withColumn("new_id", F.when(F.col("id") % 50 == 0, F.col("id") + 1).otherwise(F.col("id")))
@@ -353,10 +380,10 @@ def mut_05(t):
 
 
 @query("mut_06_link_or_create", """
-SELECT id, CASE WHEN id % 6 = 0 THEN thing_id END AS existing_id,
-       CASE WHEN id % 6 = 0 THEN description END AS inline_name FROM datastream WHERE id % 6 = 0""")
+SELECT id, CASE WHEN id % 6 IN (0, 1) THEN thing_id WHEN id % 6 = 2 THEN 1 END AS existing_id,
+       CASE WHEN id % 6 IN (0, 1) THEN description END AS inline_name FROM datastream""")
 def mut_06(t):
-    docs = datastream_docs(t).where(F.col("id") % 6 == 0)
+    docs = datastream_docs(t)
     things = mutations.link_relations(docs, "Thing").select("id", "existing_id")
     inline = mutations.link_relations(docs, "ObservedProperty").select(
         "id", F.get_json_object("inline", "$.name").alias("inline_name")
@@ -512,6 +539,22 @@ def mut_11(t):
     return judged.select(*keys, "l_partkey", "l_suppkey", "status")
 
 
+@query("mut_11_null_keys", """
+WITH l AS (SELECT l_orderkey, l_linenumber, l_shipdate, l_partkey, l_suppkey, l_extendedprice, row_number() OVER (
+             PARTITION BY l_orderkey, l_linenumber ORDER BY l_shipdate, l_partkey, l_suppkey, l_extendedprice) AS rn FROM lineitem)
+SELECT CASE WHEN l_orderkey % 4 <> 1 THEN l_orderkey END AS l_orderkey, l_linenumber, l_partkey, l_suppkey,
+       CASE WHEN l_orderkey % 4 = 1 THEN 'accepted' WHEN l_orderkey % 10 = 0 THEN 'exists'
+            WHEN rn = 1 THEN 'accepted' ELSE 'duplicate' END AS status FROM l""")
+def mut_11_null(t):
+    lines = t.raw("lineitem").withColumn("l_orderkey", F.when(F.col("l_orderkey") % 4 != 1, F.col("l_orderkey")))
+    keys = ["l_orderkey", "l_linenumber"]
+    stored = lines.where((F.col("l_orderkey") % 10 == 0) | F.col("l_orderkey").isNull())
+    judged = identity.enforce_unique(
+        lines, stored, keys, ["l_shipdate", "l_partkey", "l_suppkey", "l_extendedprice"]
+    )
+    return judged.select(*keys, "l_partkey", "l_suppkey", "status")
+
+
 def bulk_docs(t):
     """Bulk documents of the events, at most 200 readings each."""
     row = F.concat(
@@ -533,12 +576,12 @@ def bulk_docs(t):
 @query("mut_12_bulk_insert", _FIRST_PLACE + """,
 got AS (SELECT datastream_id AS ds, count(*) AS n, min(phenomenon_start) AS lo, max(phenomenon_start) AS hi,
                min(result_number) AS least, max(result_number) AS most
-        FROM observation WHERE id >= 5000 GROUP BY datastream_id)
+        FROM observation WHERE id % 3 <> 0 GROUP BY datastream_id)
 SELECT d.id, coalesce(n, 0) AS inserted, epoch_us(lo) AS phenomenon_start, epoch_us(hi) AS phenomenon_end, least, most
 FROM datastream d LEFT JOIN got ON got.ds = d.id""")
 def mut_12(t):
     catalog = t.catalog()
-    half = catalog.table("observation").where(F.col("id") < 5000)
+    half = catalog.table("observation").where(F.col("id") % 3 == 0)
     state = catalog.replace(observation=half, datastream=bare_streams(t))
     rows = read_bulk(bulk_docs(t)).withColumn("seq", F.struct("phenomenon_start", "datastream_id", "part", "row"))
     state, inserted, _ = mutations.insert_observations(state, rows.withColumn("phenomenon_end", F.col("phenomenon_start")))
@@ -644,6 +687,26 @@ def mut_16(t):
     return done.select("id", "doc", "patched", F.col("reason").isNotNull().alias("rejected"))
 
 
+@query("mut_16_malformed_values", """
+SELECT id, CASE WHEN id % 4 = 3 THEN '{"k":' || (parameters->>'$.k') || ',"ü":[true]}' WHEN id % 4 = 2 THEN 'no json' ELSE parameters END AS doc,
+       CASE id % 4 WHEN 0 THEN 'the value is not JSON' WHEN 1 THEN 'no such element: ²' WHEN 2 THEN 'the document is not JSON' END AS reason
+FROM observation""")
+def mut_16_malformed(t):
+    """A malformed value, place or document rejects its own id and no other."""
+    obs = t.observations()
+    key = F.col("id") % 4
+    docs = obs.select("id", F.when(key == 2, F.lit("no json")).otherwise(F.col("parameters")).alias("doc"))
+    steps = obs.select(
+        "id", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(2).cast("long"))).alias("seq"), key.alias("kind")
+    ).select(
+        "id", "seq", F.lit("add").alias("op"),
+        F.when(F.col("seq") == 1, "/ü").when(F.col("kind") == 1, "/ü/²").otherwise("/ü/-").alias("path"),
+        F.lit(None).cast("string").alias("origin"),
+        F.when(F.col("seq") == 1, "[]").when(F.col("kind") == 0, "{oops").otherwise("true").alias("value"),
+    )
+    return mutations.json_patch(docs, steps).select("id", "doc", "reason")
+
+
 @query("mut_17_relink", """
 SELECT id, CASE WHEN id % 3 = 0 THEN (thing_id + 1) % 10 ELSE thing_id END AS thing_id FROM datastream""")
 def mut_17(t):

@@ -71,6 +71,35 @@ def src_03_errors(t):
     return errors.groupBy("datastream_id", "reason", "status").agg(F.count("*").alias("n"))
 
 
+@query("src_03_unreadable_documents", """
+SELECT id, CASE id % 5 WHEN 0 THEN 'not a data array document' WHEN 1 THEN 'missing datastream' WHEN 2 THEN 'no data array'
+  WHEN 3 THEN 'missing component' END AS reason, id % 5 = 4 AS accepted FROM observation""")
+def src_03_unreadable(t):
+    """Every reading as a document of its own: accepted and refused rows together are all that came."""
+    row = F.concat(F.lit('[["2024-01-01T00:00:00Z",'), F.col("result_number").cast("string"), F.lit("]]"))
+    head = F.lit('[{"Datastream":{"@iot.id":1},"components":["phenomenonTime","result"]')
+    key = F.col("id") % 5
+    doc = (
+        F.when(key == 0, F.lit("[{this is no JSON")).when(key == 1, F.concat(F.lit('[{"components":["phenomenonTime","result"],"dataArray":'), row, F.lit("}]")))
+        .when(key == 2, F.concat(head, F.lit("}]")))
+        .when(key == 3, F.concat(F.lit('[{"Datastream":{"@iot.id":1},"components":["phenomenonTime"],"dataArray":'), row, F.lit("}]")))
+        .otherwise(F.concat(head, F.lit(',"dataArray":'), row, F.lit("}]")))
+    )
+    rows, errors = documents.read_data_array(t.observations().select("id", doc.alias("doc")))
+    good = rows.select("id", F.lit(None).cast("string").alias("reason"), F.lit(True).alias("accepted"))
+    return good.unionByName(errors.select("id", "reason", F.lit(False).alias("accepted")))
+
+
+@query("src_09_unreadable_documents", """
+SELECT c_custkey AS id, CASE c_custkey % 3 WHEN 0 THEN 'not a list of observations' WHEN 1 THEN 'missing position' ELSE 'missing time' END AS reason
+FROM customer""")
+def src_09_unreadable(t):
+    key = F.col("c_custkey") % 3
+    doc = F.when(key == 0, F.lit('{"nothing":1')).when(key == 1, F.lit('[{"id":"a"}]')).otherwise(F.lit('{"value":[{"lat":1,"lon":2}]}'))
+    _, errors = documents.read_citizen_json(t.raw("customer").select(F.col("c_custkey").alias("id"), doc.alias("doc")))
+    return errors.select("id", "reason")
+
+
 @query("src_04_bulk", """
 SELECT datastream_id, epoch_us(phenomenon_start) AS at, result_number, 0 AS result_type FROM observation""")
 def src_04(t):
@@ -266,6 +295,20 @@ def ing_01(t):
     return messages.route(message_rows(t), MAPPING).select("event_id", F.array_join("names", ",").alias("names"))
 
 
+@query("ing_01_topic_table", """
+SELECT event_id, 'user ' || user_id || ',' || event_type AS names FROM events""")
+def ing_01_table(t):
+    """A mapping with a topic per user and event type, as a table."""
+    rows = message_rows(t)
+    pairs = t.raw("events").select("user_id", "event_type").distinct()
+    exact = pairs.select(
+        F.concat_ws("/", F.lit("site"), F.col("user_id").cast("string"), "event_type").alias("_topic"),
+        F.array(F.concat(F.lit("user "), F.col("user_id").cast("string")), F.col("event_type")).alias("_exact"),
+    )
+    routed = messages.route_by(rows, exact, {"site/#": ["other"]})
+    return routed.select("event_id", F.array_join("names", ",").alias("names"))
+
+
 @query("ing_02_split_payload", """
 SELECT event_id, CASE WHEN event_id % 13 <> 0 AND event_id % 17 = 0 THEN 'soon'
             WHEN event_id % 13 <> 0 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ') END AS time_text,
@@ -300,7 +343,7 @@ def ing_04(t):
 
 
 @query("ing_05_to_number", """
-SELECT event_id, CASE event_id % 4 WHEN 0 THEN value WHEN 1 THEN value WHEN 2 THEN NULL ELSE NULL END AS n FROM events""")
+SELECT event_id, CASE WHEN event_id % 4 < 2 THEN value END AS n FROM events""")
 def ing_05(t):
     plain = F.col("value").cast("string")
     key = F.col("event_id") % 4
@@ -308,11 +351,7 @@ def ing_05(t):
         F.when(key == 0, F.concat(F.lit(" "), plain)).when(key == 1, F.replace(plain, F.lit("."), F.lit(",")))
         .when(key == 2, F.concat(F.lit("1,"), plain)).otherwise(F.lit("high"))
     )
-    numbers = t.raw("events").where(F.col("value") != F.floor("value")).select("event_id", values.to_number(text).alias("n"))
-    whole = t.raw("events").where(F.col("value") == F.floor("value")).select(
-        "event_id", F.when(key.isin(0, 1), F.col("value")).alias("n")
-    )
-    return numbers.unionByName(whole)
+    return t.raw("events").select("event_id", values.to_number(text).alias("n"))
 
 
 @query("ing_06_station_value", """
@@ -390,14 +429,15 @@ def jn_12(t):
 
 
 @query("ing_09_append_mode", """
-SELECT o.id FROM observation o LEFT JOIN (SELECT datastream_id, max(phenomenon_start) AS e FROM observation WHERE id < 6000 AND id % 3 = 0
+SELECT o.id FROM observation o LEFT JOIN (SELECT datastream_id, max(phenomenon_start) AS e FROM observation
+  WHERE phenomenon_start < TIMESTAMP '2024-01-15 12:00:00' AND id % 3 = 0
   GROUP BY 1) s ON s.datastream_id = o.datastream_id WHERE s.e IS NULL OR o.phenomenon_start > s.e""")
 def ing_09(t):
     from sensorquery.operators import maintain
     from sensorquery.plans.changes import bare_streams
 
     obs = t.observations()
-    early = obs.where((F.col("id") < 6000) & (F.col("id") % 3 == 0))
+    early = obs.where((F.col("phenomenon_start") < F.lit("2024-01-15T12:00:00Z").cast("timestamp")) & (F.col("id") % 3 == 0))
     return loading.append_only(obs, maintain.merge_extents(bare_streams(t), early)).select("id")
 
 
@@ -415,6 +455,20 @@ def ing_11(t):
     return loading.upsert(new, stored).select("id", "status", "existing_id")
 
 
+@query("ing_11_text_results", """
+SELECT id, CASE WHEN id % 4 = 0 THEN 'updated' WHEN id % 4 = 3 THEN 'new' ELSE 'unchanged' END AS status,
+       CASE WHEN id % 4 <> 3 THEN id END AS existing_id FROM observation""")
+def ing_11_text(t):
+    """Text results, and two stored readings at each time that differ in their end."""
+    obs = t.observations().where("datastream_id is not null").withColumn("result_type", F.lit(3)).withColumn(
+        "result_string", F.concat(F.lit("text "), F.col("id").cast("string"))).withColumn("result_number", F.lit(None).cast("double"))
+    longer = obs.withColumn("id", F.col("id") + 10_000_000).withColumn(
+        "phenomenon_end", F.col("phenomenon_start") + F.make_dt_interval(F.lit(9))).withColumn("result_string", F.lit("other"))
+    stored = obs.unionByName(longer).where(F.col("id") % 4 != 3).withColumn(
+        "result_string", F.when((F.col("id") % 4 == 0) & (F.col("id") < 10_000_000), "changed").otherwise(F.col("result_string")))
+    return loading.upsert(obs, stored).select("id", "status", "existing_id")
+
+
 @query("ing_12_drop_nodata", "SELECT id FROM observation WHERE id % 6 NOT IN (0, 1)")
 def ing_12(t):
     key = F.col("id") % 6

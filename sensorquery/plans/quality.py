@@ -75,11 +75,12 @@ def win_06(t):
     return stats.select("id", "n", F.round(F.col("highest") - F.col("lowest"), 6).alias("spread"))
 
 
-@query("win_07_day_zscore", _WINDOWED + "SELECT id, round((v - mean) / nullif(dev, 0), 6) AS z FROM w WHERE dev > 1e-6")
+@query("win_07_day_zscore", _WINDOWED + "SELECT id, CASE WHEN dev > 1e-6 THEN round((v - mean) / dev, 6) END AS z FROM w")
 def win_07(t):
     stats = quality.with_day_statistics(dense(t)).withColumn("z", quality.zscore_of_window())
     spread = F.sqrt(F.col("m2") / F.when(F.col("n") > 0, F.col("n")))
-    return stats.where(spread > 1e-6).select("id", F.round("z", 6).alias("z"))
+    # Below that the deviation is rounding; such readings stay, without a score.
+    return stats.select("id", F.when(spread > 1e-6, F.round("z", 6)).alias("z"))
 
 
 @query("qc_01_missing", _DENSE + "SELECT id, CASE WHEN v IS NULL THEN 90 END AS flag FROM s")
@@ -176,9 +177,10 @@ def qc_08(t):
 
 
 @query("qc_09_split_quality", """
-SELECT id, CASE WHEN result_quality = '100' THEN 'good' ELSE 'flagged' END AS part FROM observation""")
+SELECT id, CASE WHEN result_quality = '100' AND id % 5 <> 0 AND id % 6 <> 0 THEN 'good' ELSE 'flagged' END AS part FROM observation""")
 def qc_09(t):
-    good, flagged = quality.split_quality(t.observations())
+    known = F.when(F.col("id") % 5 == 0, F.lit(None)).when(F.col("id") % 6 == 0, "unknown").otherwise(F.col("result_quality"))
+    good, flagged = quality.split_quality(t.observations().withColumn("result_quality", known))
     return good.select("id", F.lit("good").alias("part")).unionByName(flagged.select("id", F.lit("flagged").alias("part")))
 
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from sensorquery.functions import predicates as P
 from sensorquery.functions import render
 from sensorquery.functions.values import Interval
-from sensorquery.operators import versions
+from sensorquery.operators import series, versions
 from sensorquery.operators.query import Expand, Query, filter_rows
 from sensorquery.plans.registry import query
 from sensorquery.plans.testbed import BASE, Testbed
@@ -484,6 +486,17 @@ def jn_06_documents(t):
     )
 
 
+@query("jn_06_all_children", """
+SELECT thing_id AS parent_id, o.id, result_number FROM observation o JOIN datastream d ON o.datastream_id = d.id
+WHERE result_number > 1""")
+def jn_06_all(t):
+    # Every reading of every datastream, far more than a page holds, as rows.
+    option = Expand("Observations", filter=lambda r: P.gt(r("result"), 1))
+    rows = on(t, "Datastreams").children(option).select(F.col("parent_id").alias("datastream"), "id", "result_number")
+    owners = t.datastreams().select(F.col("id").alias("datastream"), F.col("thing_id").alias("parent_id"))
+    return rows.join(owners, "datastream").select("parent_id", "id", "result_number")
+
+
 @query("jn_07_expand_link", """
 SELECT thing_id AS parent_id, rn, id, name, total FROM (
   SELECT l.thing_id, p.id, p.name, row_number() OVER (PARTITION BY l.thing_id ORDER BY p.name DESC, p.id) AS rn,
@@ -507,7 +520,7 @@ def jn_08(t):
         select=("id",), top=2,
     )
     streams = Expand(
-        "Datastreams", filter=lambda r: P.eq(r("description"), "click"), select=("id",), expand=(readings,)
+        "Datastreams", filter=lambda r: P.eq(r("description"), "click"), select=("id",), top=10, expand=(readings,)
     )
     docs = on(t, "Things").select("id").expand(streams).all_documents()
     layout = "array<struct<`@iot.id`:long,Observations:array<struct<`@iot.id`:long>>>>"
@@ -568,19 +581,25 @@ def agg_02(t):
     return on(t, "Things", versioned=True).from_to(T1, T2).count_total()
 
 
-@query("agg_03_capped_count", "SELECT count(*) AS count FROM thing")
+@query("agg_03_capped_count", """
+SELECT 'things' AS of, least(count(*), 100) AS count, count(*) > 100 AS capped FROM thing
+UNION ALL SELECT 'sensors', least(count(*), 1000000), count(*) > 1000000 FROM sensor""")
 def agg_03(t):
-    return on(t, "Things").count_total("LIMIT_ESTIMATE", threshold=10_000_000)
+    things = on(t, "Things").count_capped(100).withColumn("of", F.lit("things"))
+    return things.unionByName(on(t, "Sensors").count_capped(1_000_000).withColumn("of", F.lit("sensors")))
 
 
 @query("agg_04_estimated_count", """
-SELECT TRUE AS close_enough""")
+SELECT event_type, count(*) AS exact, TRUE AS close_enough FROM observation GROUP BY event_type""")
 def agg_04(t):
-    q = on(t, "Observations")
-    exact = q.count_total().withColumnRenamed("count", "exact")
-    both = q.count_total("ESTIMATE_LIMIT", threshold=100).unionByName(exact, allowMissingColumns=True)
-    error = F.abs(F.max("count") - F.max("exact"))
-    return both.agg((error <= 0.1 * F.max("exact")).alias("close_enough"))
+    def both(kind):
+        q = on(t, "Observations").filter(lambda r: P.eq(r("Datastream/description"), kind))
+        rows = q.count_estimate().unionByName(q.count_total().withColumnRenamed("count", "exact"), allowMissingColumns=True)
+        near = F.abs(F.max("count") - F.max("exact")) <= 0.1 * F.max("exact")
+        return rows.agg(F.max("exact").alias("exact"), near.alias("close_enough")).withColumn("event_type", F.lit(kind))
+
+    kinds = [both(kind) for kind in ("view", "click", "purchase", "signup", "error")]
+    return reduce(lambda a, b: a.unionByName(b), kinds).where("exact > 0")
 
 
 @query("agg_05_count_per_parent", """
@@ -595,21 +614,23 @@ def agg_05(t):
 # -- order and pages -------------------------------------------------------------------------
 
 
+def placed(q: Query):
+    """Every row of a query with its 0-based place in the order."""
+    rows = q.rows()
+    return series.global_positions(rows, q.sort_keys(rows), "rn").select("id", "rn")
+
+
 @query("srt_01_order_by", """
-SELECT id, rn FROM (SELECT id, row_number() OVER (ORDER BY result_quality DESC, result_time ASC NULLS LAST, id) AS rn
-FROM observation) WHERE rn <= 200""")
+SELECT id, row_number() OVER (ORDER BY result_quality DESC, result_time ASC NULLS LAST, id) - 1 AS rn FROM observation""")
 def srt_01(t):
-    q = on(t, "Observations").order_by("resultQuality desc", "resultTime").top(200).select("id")
-    return q.documents().select("id", F.col("position").cast("long").alias("rn"))
+    return placed(on(t, "Observations").order_by("resultQuality desc", "resultTime"))
 
 
 @query("srt_02_default_order", """
-SELECT id, rn FROM (SELECT id, row_number() OVER (ORDER BY id, valid_from) AS rn FROM thing_version
-WHERE valid_from < TIMESTAMP '1998-01-01' AND (valid_to IS NULL OR valid_to > TIMESTAMP '1997-01-01'))
-WHERE rn <= 100""")
+SELECT id, row_number() OVER (ORDER BY id, valid_from) - 1 AS rn FROM thing_version
+WHERE valid_from < TIMESTAMP '1998-01-01' AND (valid_to IS NULL OR valid_to > TIMESTAMP '1997-01-01')""")
 def srt_02(t):
-    docs = on(t, "Things", versioned=True).from_to(T1, T2).select("id").documents()
-    return docs.select("id", F.col("position").cast("long").alias("rn"))
+    return placed(on(t, "Things", versioned=True).from_to(T1, T2))
 
 
 @query("srt_03_order_by_result", """
@@ -619,11 +640,7 @@ SELECT id, rn FROM (SELECT id, row_number() OVER (ORDER BY
   CASE WHEN mixed_type = 1 THEN result_number > 50 END, CASE WHEN mixed_type = 2 THEN parameters END, id) - 1 AS rn
 FROM observation)""")
 def srt_03(t):
-    from sensorquery.operators import series
-
-    q = on(t, "Observations", "mixed").order_by("result")
-    rows = q.rows()
-    return series.global_positions(rows, q.sort_keys(rows), "rn").select("id", "rn")
+    return placed(on(t, "Observations", "mixed").order_by("result"))
 
 
 @query("srt_04_top_skip", "SELECT id, name FROM thing ORDER BY name LIMIT 50 OFFSET 25")
@@ -648,11 +665,27 @@ def srt_06(t):
     return on(t, "Observations").order_by("result desc").pages(128).select("id", "page")
 
 
-@query("srt_06_keyset_page", """
-SELECT id, name FROM thing WHERE name > 'Customer#000000020' OR (name = 'Customer#000000020' AND id > 20)
-ORDER BY name, id LIMIT 30""")
+@query("srt_06_keyset_walk", """
+WITH s AS (SELECT id, row_number() OVER (ORDER BY result_time DESC NULLS FIRST, result_quality ASC NULLS LAST, id) - 1 AS rn
+           FROM observation)
+SELECT id, rn // ((SELECT count(*) FROM observation) // 4 + 1) AS page FROM s""")
 def srt_06_keyset(t):
-    return on(t, "Things").page_after({"name": "Customer#000000020", "id": 20}, 30).select("id", "name")
+    """A whole walk in four pages over keys with nulls, in an order that descends first."""
+    q = on(t, "Observations").order_by("resultTime desc", "resultQuality")
+    size = q.count_total().first()["count"] // 4 + 1
+    pages, seen = [], None
+    for number in range(4):
+        folder = scratch_path(t.spark, "page")
+        q.page_after(seen, size).withColumn("page", F.lit(number)).write.parquet(folder)
+        page = t.spark.read.parquet(folder)
+        keys = [c for c in page.columns if c.startswith("_k")]
+        order = [F.col("_k0").asc_nulls_last(), F.col("_k1").desc_nulls_first(), F.col("_k2").desc()]
+        last = page.orderBy(*order).select(*keys).first()  # the last row seen
+        pages.append(page.select("id", "page"))
+        if last is None:
+            break
+        seen = last.asDict()
+    return reduce(lambda a, b: a.unionByName(b), pages)
 
 
 @query("srt_07_combination", """
@@ -701,33 +734,35 @@ def snk_02(t):
 @query("agg_14_group_to_arrays", """
 SELECT datastream_id, part, count(*) AS count, string_agg('[' || id || ',' || parameters || ']', ',' ORDER BY id) AS rows
 FROM (SELECT *, (row_number() OVER (PARTITION BY datastream_id ORDER BY id) - 1) // 25 AS part
-      FROM observation WHERE result_number > 20) GROUP BY datastream_id, part""")
+      FROM observation) GROUP BY datastream_id, part""")
 def agg_14(t):
-    rows = t.observations().where(F.col("result_number") > 20)
-    groups = sinks.to_data_array(rows, ("id", "parameters"), BASE, rows_per_part=25, id_width=1000)
+    groups = sinks.to_data_array(t.observations(), ("id", "parameters"), BASE, rows_per_part=25, id_width=1000)
     inner = F.expr("substring(data_array, 2, length(data_array) - 2)")
     return groups.select("datastream_id", "part", "count", inner.alias("rows"))
 
 
 @query("snk_03_chunked_write", """
 SELECT strftime(DATE '1970-01-01' + CAST(epoch_us(phenomenon_start) // 86400000000 // 30 * 30 AS INTEGER), '%Y-%m-%d') AS chunk,
-       count(*) AS n, min(id) AS first_id, max(id) AS last_id
-FROM observation WHERE phenomenon_start >= TIMESTAMP '2024-01-15 12:00:00' GROUP BY 1""")
+       phenomenon_start >= TIMESTAMP '2024-01-15 12:00:00' AS late, count(*) AS n, min(id) AS first_id, max(id) AS last_id
+FROM observation GROUP BY ALL""")
 def snk_03(t):
     folder = scratch_path(t.spark, "observation")
     sinks.write_observations(t.observations(), f"{folder}/observation")
     from sensorquery.catalog import Catalog
 
-    rows = Catalog.read(t.spark, folder).observations_between(start=T)
-    return rows.groupBy(F.date_format("chunk", "yyyy-MM-dd").alias("chunk")).agg(
+    stored = Catalog.read(t.spark, folder)
+    late = stored.observations_between(start=T).withColumn("late", F.lit(True))
+    early = stored.table("observation").where(F.col("phenomenon_start") < F.lit(T).cast("timestamp")).withColumn("late", F.lit(False))
+    rows = late.unionByName(early)
+    return rows.groupBy(F.date_format("chunk", "yyyy-MM-dd").alias("chunk"), "late").agg(
         F.count("*").alias("n"), F.min("id").alias("first_id"), F.max("id").alias("last_id")
     )
 
 
 @query("snk_04_refs", """
-SELECT id, 'http://localhost/v1.1/Things(' || id || ')' AS "@iot.selfLink" FROM thing WHERE id < 500""")
+SELECT id, 'http://localhost/v1.1/Things(' || id || ')' AS "@iot.selfLink" FROM thing""")
 def snk_04(t):
-    return sinks.refs(on(t, "Things").filter(lambda r: P.lt(r("id"), 500)).rows(), "Things", BASE)
+    return sinks.refs(on(t, "Things").rows(), "Things", BASE)
 
 
 @query("snk_05_raw_value", """

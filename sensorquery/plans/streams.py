@@ -71,11 +71,29 @@ def stm_01(t):
     stream = stream_of(t, message_rows(t).repartitionByRange(4, "event_id"))
     parts = Parts(t, "ingest")
     cfg = messages.MessageConfig(mapping=STREAM_MAPPING, separator=";")
-    drain(messages.start_ingest(stream, cfg, t.observed_properties(), parts.write, parts.checkpoint, once=True))
+    refused = Parts(t, "refused")
+    drain(messages.start_ingest(
+        stream, cfg, t.observed_properties(), parts.write, parts.checkpoint, rejects=refused.write, once=True))
     rows = parts.read("datastream_id long, phenomenon_start timestamp, result_number double, result_quality string")
     return rows.select("datastream_id", us("phenomenon_start").alias("t_us"), "result_number")
 
 
+@query("stm_01_rejects", """
+WITH m AS (SELECT *, CASE WHEN event_type NOT IN ('click', 'view') AND NOT (event_type = 'error' AND user_id = 8) THEN 'no mapping'
+  WHEN event_id % 13 = 0 THEN 'bad payload' WHEN event_id % 17 = 0 THEN 'bad time' END AS whole FROM events)
+SELECT whole AS reason, CAST(NULL AS VARCHAR) AS name, count(*) AS n FROM m WHERE whole IS NOT NULL GROUP BY 1
+UNION ALL SELECT 'not a number', event_type, count(*) FROM m WHERE whole IS NULL AND event_id % 5 = 2 AND event_type IN ('view', 'error') GROUP BY 2
+UNION ALL SELECT 'name is missing', 'nobody', count(*) FROM m WHERE whole IS NULL AND event_type = 'click' GROUP BY event_type""")
+def stm_01_rejects(t):
+    stream = stream_of(t, message_rows(t).repartitionByRange(4, "event_id"))
+    loaded, refused = Parts(t, "ingest"), Parts(t, "refused")
+    cfg = messages.MessageConfig(mapping=STREAM_MAPPING | {"site/+/click": ["skip", "nobody"]}, separator=";")
+    drain(messages.start_ingest(
+        stream, cfg, t.observed_properties(), loaded.write, loaded.checkpoint, rejects=refused.write, once=True))
+    rows = refused.read("topic string, payload string, name string, raw string, reason string")
+    return rows.groupBy("reason", "name").agg(F.count("*").alias("n"))
+
+
 @query("stm_02_unique", """
 SELECT DISTINCT datastream_id, epoch_us(phenomenon_start) AS lo, epoch_us(interval_end) AS hi FROM observation""")
 def stm_02(t):
@@ -127,30 +145,44 @@ def stm_04_n(t):
     return parts.part(parts.last, rows.schema).select("datastream_id", "id")
 
 
+def deliveries(t):
+    """Four deliveries of readings in the order of time; each but the first repeats a part of the one
+    before it, so readings come late and twice."""
+    rows = t.observations().select("id", "datastream_id", "phenomenon_start", "phenomenon_end", "result_time", "result_number")
+    span = rows.agg(F.min(us("phenomenon_start")).alias("lo"), F.max(us("phenomenon_start")).alias("hi")).first()
+    width = ((span["hi"] or 0) - (span["lo"] or 0)) // 4 + 1
+    cut = F.floor((us("phenomenon_start") - F.lit(span["lo"] or 0)) / F.lit(width))
+    return rows, [rows.where((cut == k) | ((cut == k - 1) & (F.col("id") % 3 == 0))) for k in range(4)]
+
+
+def deliver(t, parts: Parts, write) -> DataFrame:
+    """Runs the stream anew after each delivery; every run goes on from the checkpoint of the last."""
+    rows, batches = deliveries(t)
+    path = scratch_path(t.spark, "deliveries")
+    for batch in batches:
+        batch.write.mode("append").parquet(path)
+        stream = t.spark.readStream.schema(rows.schema).parquet(path)
+        drain(state.run_batches(stream, write, parts.checkpoint))
+    return parts.read(rows.schema)
+
+
 @query("stm_05_late_data", """
-SELECT o.id FROM observation o JOIN (SELECT datastream_id, max(interval_end) AS e FROM observation WHERE id < 4000 GROUP BY 1) s
-ON s.datastream_id = o.datastream_id WHERE o.phenomenon_start > s.e
-UNION ALL SELECT id FROM observation WHERE datastream_id NOT IN (SELECT datastream_id FROM observation WHERE id < 4000)""")
+SELECT min(o.id) AS id FROM observation o LEFT JOIN (SELECT datastream_id, max(phenomenon_start) AS e FROM observation
+  WHERE phenomenon_start < TIMESTAMP '2024-01-08' GROUP BY 1) s ON s.datastream_id = o.datastream_id
+WHERE s.e IS NULL OR o.phenomenon_start > s.e GROUP BY o.datastream_id, o.phenomenon_start""")
 def stm_05(t):
-    rows = readings(t)
-    streams = maintain.merge_extents(bare_streams(t), t.observations("intervals").where(F.col("id") < 4000))
+    early = t.observations().where(F.col("phenomenon_start") < F.lit("2024-01-08T00:00:00Z").cast("timestamp"))
+    streams = maintain.merge_extents(bare_streams(t), early)
     parts = Parts(t, "late")
+    write = state.newer_per_batch(t.spark, streams, parts.write, scratch_path(t.spark, "ends"))
+    return deliver(t, parts, write).select("id")
 
-    def write(batch, number):
-        parts.write(state.append_newer(batch, streams), number)
-
-    drain(state.run_batches(stream_of(t, rows, None), write, parts.checkpoint))
-    return parts.read(rows.schema).select("id")
 
-
-@query("stm_05_stored_duplicates", "SELECT id FROM observation WHERE id % 10 >= 7")
+@query("stm_05_stored_duplicates", """
+SELECT min(id) AS id FROM observation o WHERE NOT EXISTS (SELECT 1 FROM observation s WHERE s.id % 10 < 7
+  AND s.datastream_id = o.datastream_id AND s.phenomenon_start = o.phenomenon_start) GROUP BY datastream_id, phenomenon_start""")
 def stm_05_stored(t):
-    rows = readings(t)
+    stored = t.observations().where(F.col("id") % 10 < 7)
     parts = Parts(t, "missing")
-    stored = rows.where(F.col("id") % 10 < 7)
-
-    def write(batch, number):
-        parts.write(state.append_missing(batch, stored), number)
-
-    drain(state.run_batches(stream_of(t, rows), write, parts.checkpoint))
-    return parts.read(rows.schema).select("id")
+    write = state.missing_per_batch(t.spark, stored, parts.write, scratch_path(t.spark, "keys"))
+    return deliver(t, parts, write).select("id")

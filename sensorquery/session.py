@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import sys
-import tempfile
 import uuid
 
 from pyspark import cloudpickle
@@ -34,19 +33,31 @@ def ship_functions(module: str) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared folder. Only a local master may fall back to a folder of this machine."""
+    """The folder in ``spark.checkpoint.dir``; where that is unset, one beside the tables of the
+    warehouse, which every cluster shares. Never a temporary folder of one machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="sensorquery-")
-    spark.conf.set("spark.checkpoint.dir", folder)
+    if not folder:
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
+        spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 
+_USED: list[str] = []
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    _USED.append(path)
+    return path
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Removes the scratch tables written so far, in whatever store they are. Results that were not
+    yet collected or written read from them, so call it between jobs."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    while _USED:
+        path = jvm.org.apache.hadoop.fs.Path(_USED.pop())
+        path.getFileSystem(conf).delete(path, True)
 
 
 def materialize(df: DataFrame) -> DataFrame:

@@ -15,15 +15,18 @@ _BATCH = (
 
 
 def _component_rows(docs: DataFrame, column: str) -> DataFrame:
-    """One row per data array entry: its document's keys, position and a component map."""
-    parsed = docs.withColumn("_set", F.explode(F.from_json(column, _BATCH)))
-    rows = parsed.select(
+    """One row per data array entry: its document's keys, position and a component map. A document or
+    set that holds no array at all stays as one row without values; empty arrays hold no rows."""
+    parsed = docs.withColumn("_sets", F.from_json(column, _BATCH))
+    sets = parsed.where(F.col("_sets").isNull() | (F.size("_sets") > 0)).withColumn("_set", F.explode_outer("_sets"))
+    filled = sets.where(F.col("_set.dataArray").isNull() | (F.size("_set.dataArray") > 0))
+    return filled.select(
         *[c for c in docs.columns if c != column],
         F.col("_set.Datastream.`@iot.id`").alias("datastream_id"),
         F.col("_set.components").alias("_components"),
-        F.posexplode("_set.dataArray").alias("row", "_values"),
+        F.col("_sets").isNull().alias("_unread"),
+        F.posexplode_outer("_set.dataArray").alias("row", "_values"),
     )
-    return rows
 
 
 def _component(name: str) -> Column:
@@ -56,20 +59,23 @@ def _row_reason() -> Column:
         "_components", "result"
     )
     return (
-        F.when(F.col("datastream_id").isNull(), "missing datastream")
-        .when(~required, "missing component")
+        F.when(F.col("_unread"), "not a data array document")
+        .when(F.col("datastream_id").isNull(), "missing datastream")
+        .when(F.col("_values").isNull(), "no data array")
+        .when(~F.coalesce(required, F.lit(False)), "missing component")
         .when(F.col("result_type").isNull(), "result has no type")
         .when(_text("phenomenonTime").isNotNull() & F.col("phenomenon_start").isNull(), "bad time")
     )
 
 
 def read_data_array(docs: DataFrame, column: str = "doc") -> tuple[DataFrame, DataFrame]:
-    """(rows, errors) of data-array documents; a bad row does not stop the others.
+    """(rows, errors) of data-array documents; a bad row does not stop the others. A document that
+    does not parse is one error, so rows and errors together are all that came in.
 
     Components missing at the end of a short row are null. Other columns of ``docs`` are kept.
     """
     rows = _component_rows(docs, column).withColumns(_observation_columns())
-    judged = rows.withColumn("reason", _row_reason()).drop("_components", "_values")
+    judged = rows.withColumn("reason", _row_reason()).drop("_components", "_values", "_unread")
     good = judged.where(F.col("reason").isNull()).drop("reason")
     return good, judged.where(F.col("reason").isNotNull()).withColumn("status", F.lit("error"))
 
@@ -77,27 +83,18 @@ def read_data_array(docs: DataFrame, column: str = "doc") -> tuple[DataFrame, Da
 def read_bulk(docs: DataFrame, column: str = "doc") -> DataFrame:
     """Rows of bulk documents; the whole load fails on a document that breaks the rules.
 
-    Every document needs a datastream, ``phenomenonTime`` and ``result``, and may not carry
-    ``featureOfInterest``. The check is one aggregate over the documents.
+    Every document must parse and needs a datastream, ``phenomenonTime`` and ``result``, may not carry
+    ``featureOfInterest``, and its rows need a typed result and a time that can be read. The check is
+    one aggregate over the rows: one line per reason comes back.
     """
-    sets = docs.select(F.explode(F.from_json(column, _BATCH)).alias("s"))
-    components = F.col("s.components")
-
-    def count(test: Column) -> Column:
-        return F.count_if(F.coalesce(test, F.lit(True)))
-
-    found = sets.agg(
-        count(F.col("s.Datastream.`@iot.id`").isNull()).alias("without a datastream"),
-        count(
-            ~(F.array_contains(components, "phenomenonTime") & F.array_contains(components, "result"))
-        ).alias("without phenomenonTime or result"),
-        count(F.array_contains(components, "featureOfInterest")).alias("with featureOfInterest"),
-    ).first()
-    broken = [f"{n} documents {rule}" for rule, n in found.asDict().items() if n]
-    if broken:
-        raise ValueError("; ".join(broken))
     rows = _component_rows(docs, column).withColumns(_observation_columns())
-    return rows.drop("_components", "_values")
+    extra = F.array_contains("_components", "featureOfInterest")
+    reason = F.coalesce(_row_reason(), F.when(extra, "featureOfInterest is not allowed"))
+    broken = rows.groupBy(reason.alias("reason")).agg(F.count("*").alias("n")).where("reason is not null")
+    found = sorted(f"{r['n']} rows: {r['reason']}" for r in broken.collect())  # one line per reason
+    if found:
+        raise ValueError("; ".join(found))
+    return rows.drop("_components", "_values", "_unread")
 
 
 # -- nested entity documents -----------------------------------------------------------------
@@ -217,15 +214,17 @@ WRAPPERS = ("value", "results", "observations", "data")
 
 
 def citizen_items(docs: DataFrame, column: str = "doc") -> DataFrame:
-    """One JSON item per citizen observation of list documents, bare or under a wrapper member."""
+    """One JSON item per citizen observation of list documents, bare or under a wrapper member. A
+    document that holds no list stays as one row without an item."""
     text = F.trim(F.col(column))
     listed = F.when(text.startswith("["), text)
     wrapped = [
         F.when(F.get_json_object(text, f"$.{w}").startswith("["), F.get_json_object(text, f"$.{w}"))
         for w in WRAPPERS
     ]
-    items = F.from_json(F.coalesce(listed, *wrapped), "array<string>")
-    return docs.withColumn("item", F.explode(items)).drop(column)
+    items = docs.withColumn("_items", F.from_json(F.coalesce(listed, *wrapped), "array<string>"))
+    held = items.where(F.col("_items").isNull() | (F.size("_items") > 0))
+    return held.withColumn("item", F.explode_outer("_items")).drop("_items", column)
 
 
 def read_citizen_json(docs: DataFrame, column: str = "doc") -> tuple[DataFrame, DataFrame]:
@@ -245,11 +244,11 @@ def read_citizen_json(docs: DataFrame, column: str = "doc") -> tuple[DataFrame,
         device.alias("sensor"), F.try_to_timestamp(when).alias("phenomenon_start"),
         values.short_key(F.coalesce(key, placed)).alias("feature_key"),
         F.from_json(F.get_json_object(item, "$.water"), "map<string,string>").alias("_water"),
-    ).drop("item")
-    reason = F.when(F.col("lat").isNull() | F.col("lon").isNull(), "missing position").when(
+    )
+    reason = F.when(F.col("item").isNull(), "not a list of observations").when(F.col("lat").isNull() | F.col("lon").isNull(), "missing position").when(
         F.col("phenomenon_start").isNull(), "missing time"
     )
-    judged = read.withColumn("reason", reason)
+    judged = read.withColumn("reason", reason).drop("item")
     good = judged.where(F.col("reason").isNull()).drop("reason")
     rows = good.select("*", F.explode("_water").alias("attribute", "value")).where(
         F.col("attribute").isin(*WATER_ATTRIBUTES) & F.col("value").isNotNull()

@@ -157,13 +157,9 @@ def parse_zipped_stations(lines: DataFrame, configs: dict[str, StationConfig]) -
     return union
 
 
-def read_series_csv(
-    spark: SparkSession, path: str, datastream_id: int, max_rows: int | None = None
-) -> DataFrame:
+def read_series_csv(spark: SparkSession, path: str, datastream_id: int) -> DataFrame:
     """Series table with a header: time, (ignored), value, quality. The time is also resultTime.
-
-    ``max_rows`` keeps the earliest rows, as a bounded load step does.
-    """
+    ``loading.clamp`` bounds a load by time."""
     layout = "time string, skipped string, value string, quality string"
     raw = spark.read.schema(layout).option("header", True).option("enforceSchema", True).csv(path)
     t = F.try_to_timestamp("time")
@@ -172,5 +168,5 @@ def read_series_csv(
         t.alias("phenomenon_end"), t.alias("result_time"),
         F.col("value").try_cast("double").alias("result_number"),
         F.col("quality").alias("result_quality"),
-    ).where(F.col("phenomenon_start").isNotNull())
-    return rows if max_rows is None else rows.orderBy("phenomenon_start").limit(max_rows)
+    )
+    return rows.where(F.col("phenomenon_start").isNotNull())

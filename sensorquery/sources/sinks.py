@@ -19,6 +19,8 @@ DATA_ARRAY_COMPONENTS = (
 
 def to_page(query: Query, count: bool = False) -> DataFrame:
     """One row ``page``: the envelope of a result page. At most ``top`` + 1 documents meet here."""
+    if query.limit is None:
+        raise ValueError("a page needs top()")
     docs = query.documents(extra=1)
     listed = docs.agg(F.array_sort(F.collect_list(F.struct("position", "json"))).alias("docs"))
     shown = F.transform(F.slice("docs", 1, query.limit), lambda d: d["json"])

@@ -39,23 +39,25 @@ def topic_regex(pattern: str) -> str:
 def route(df: DataFrame, mapping: dict[str, list[str]], topic: str = "topic") -> DataFrame:
     """Adds ``names``: the datastream names of the topic, null without a mapping.
 
-    An exact topic wins, then the first pattern in the order of the mapping. The mapping is part of
-    the expression, so nothing is joined.
+    An exact topic wins, then the first pattern in the order of the mapping. Exact topics are a table
+    joined by topic, of any length; only patterns with wildcards are part of the expression.
     """
-    t = F.col(topic)
-    exact = F.lit(None).cast("array<string>")
-    for pattern, names in mapping.items():
-        if not set(pattern.split("/")) & {"+", "#"}:
-            exact = F.when(t == pattern, _names(names)).otherwise(exact)
-    by_pattern = F.lit(None).cast("array<string>")
-    for pattern, names in reversed(mapping.items()):
-        if set(pattern.split("/")) & {"+", "#"}:
-            by_pattern = F.when(t.rlike(topic_regex(pattern)), _names(names)).otherwise(by_pattern)
-    return df.withColumn("names", F.coalesce(exact, by_pattern))
+    wild = {p: n for p, n in mapping.items() if set(p.split("/")) & {"+", "#"}}
+    exact = [(p, n) for p, n in mapping.items() if p not in wild]
+    table = df.sparkSession.createDataFrame(exact, "_topic string, _exact array<string>")
+    return route_by(df, table, wild, topic)
 
 
-def _names(names: list[str]) -> Column:
-    return F.array(*[F.lit(n) for n in names])
+def route_by(
+    df: DataFrame, exact: DataFrame, patterns: dict[str, list[str]], topic: str = "topic"
+) -> DataFrame:
+    """``route`` with the exact topics in a table (``_topic`` unique, ``_exact`` the names)."""
+    nothing = F.lit(None).cast("array<string>")
+    tests = [
+        F.when(F.col(topic).rlike(topic_regex(p)), F.array(*map(F.lit, names))) for p, names in patterns.items()
+    ]
+    joined = df.join(exact, F.col(topic) == F.col("_topic"), "left")
+    return joined.withColumn("names", F.coalesce("_exact", *tests, nothing)).drop("_topic", "_exact")
 
 
 def split_payload(df: DataFrame, separator: str = ",", payload: str = "payload") -> DataFrame:
@@ -109,6 +111,27 @@ def parse_messages(df: DataFrame, cfg: MessageConfig) -> DataFrame:
     return timed.withColumn("status", message_status(timed))
 
 
+def refused_messages(df: DataFrame, cfg: MessageConfig, datastreams: DataFrame | None = None) -> DataFrame:
+    """What the ingest does not load, with its ``reason``: (topic, payload, name, raw, reason).
+
+    A message without mapping, with a bad payload or time is one row; of a message that parses, each
+    value that is no number, and with ``datastreams`` each value whose name is missing or ambiguous.
+    """
+    parsed = parse_messages(df, cfg)
+    none = F.lit(None).cast("string")
+    whole = parsed.where(F.col("status") != "ok").select(
+        "topic", F.col("payload").cast("string").alias("payload"), none.alias("name"), none.alias("raw"),
+        F.col("status").alias("reason"))
+    paired = null_policy(pair_values(parsed.where(F.col("status") == "ok").drop("status")))
+    judged = paired.withColumn("reason", F.when(F.col("result_number").isNull(), "not a number"))
+    if datastreams is not None:
+        named = identity.resolve_ids(judged, "name", datastreams, "datastream_id")
+        unknown = F.when(F.col("status") != "ok", F.concat(F.lit("name is "), F.col("status")))
+        judged = named.withColumn("reason", F.coalesce("reason", unknown))
+    return whole.unionByName(judged.where(F.col("reason").isNotNull()).select(
+        "topic", F.col("payload").cast("string").alias("payload"), "name", "raw", "reason"))
+
+
 def observations_from_messages(df: DataFrame, cfg: MessageConfig) -> DataFrame:
     """Observations (by datastream name) of the messages that parse."""
     good = parse_messages(df, cfg).where(F.col("status") == "ok")
@@ -121,20 +144,21 @@ def observations_from_messages(df: DataFrame, cfg: MessageConfig) -> DataFrame:
 
 def start_ingest(
     stream: DataFrame, cfg: MessageConfig, datastreams: DataFrame,
-    sink: Callable[[DataFrame, int], None], checkpoint: str, *, once: bool = False,
+    sink: Callable[[DataFrame, int], None], checkpoint: str, *,
+    rejects: Callable[[DataFrame, int], None], once: bool = False,
 ) -> StreamingQuery:
-    """Continuous ingest: messages to observations with datastream ids, handed to ``sink`` per batch.
+    """Continuous ingest: messages to observations with datastream ids, handed to ``sink`` per batch;
+    what is not loaded goes to ``rejects`` with its reason.
 
-    The checkpoint makes restarts resume where they stopped; ``sink`` gets the batch number so that
-    it can write idempotently.
+    The checkpoint makes restarts resume where they stopped; both sinks get the batch number so that
+    they can write idempotently.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        resolved = identity.resolve_ids(batch, "name", datastreams, "datastream_id")
+        rows = observations_from_messages(batch, cfg)
+        resolved = identity.resolve_ids(rows, "name", datastreams, "datastream_id")
         sink(resolved.where(F.col("status") == "ok").drop("status"), number)
+        rejects(refused_messages(batch, cfg, datastreams), number)
 
-    writer = (
-        observations_from_messages(stream, cfg).writeStream
-        .option("checkpointLocation", checkpoint).foreachBatch(write)
-    )
+    writer = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(write)
     return (writer.trigger(availableNow=True) if once else writer).start()

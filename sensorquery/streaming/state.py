@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -61,6 +61,49 @@ def run_batches(
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
+def newer_per_batch(
+    spark: SparkSession, datastreams: DataFrame, write: Callable[[DataFrame, int], None], folder: str
+) -> Callable[[DataFrame, int], None]:
+    """The late-data rule over a stream: the ends move on with every batch.
+
+    The ends after batch n are the table ``folder/ends=n``, one row per datastream. A batch that is
+    run again starts from the ends before it, so its result is the same.
+    """
+    initial = datastreams.select("id", "phenomenon_end")
+
+    def run(batch: DataFrame, number: int) -> None:
+        ends = initial if number == 0 else spark.read.schema(initial.schema).parquet(f"{folder}/ends={number - 1}")
+        accepted = append_newer(batch, ends)
+        write(accepted, number)
+        moved = accepted.select(F.col("datastream_id").alias("id"), F.coalesce("phenomenon_end", "phenomenon_start").alias("phenomenon_end"))
+        merged = ends.unionByName(moved).groupBy("id").agg(F.max("phenomenon_end").alias("phenomenon_end"))
+        merged.write.mode("overwrite").parquet(f"{folder}/ends={number}")
+
+    return run
+
+
+def missing_per_batch(
+    spark: SparkSession, stored: DataFrame, write: Callable[[DataFrame, int], None], folder: str
+) -> Callable[[DataFrame, int], None]:
+    """Readings not yet stored over a stream: each batch also sees what earlier batches accepted.
+
+    The keys that batch n accepted are ``folder/part=n``; running a batch again replaces its part and
+    looks at earlier parts only.
+    """
+    keys = stored.select(*loading.SERIES_KEY)
+
+    def run(batch: DataFrame, number: int) -> None:
+        held = keys
+        if number > 0:
+            layout = f"{keys._jdf.schema().toDDL()}, part INT"
+            held = held.unionByName(spark.read.schema(layout).parquet(folder).where(F.col("part") < number).drop("part"))
+        accepted = append_missing(batch, held)
+        write(accepted, number)
+        accepted.select(*loading.SERIES_KEY).write.mode("overwrite").parquet(f"{folder}/part={number}")
+
+    return run
+
+
 def append_newer(batch: DataFrame, datastreams: DataFrame) -> DataFrame:
     """Late-data rule: only readings after the end of their datastream, one per time."""
     return loading.append_only(loading.dedup_first(batch, ["id"]), datastreams)

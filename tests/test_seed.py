@@ -171,8 +171,10 @@ def test_geometry_filters(q, test, expected):
 
 
 def test_order_and_pages(q):
-    ordered = q.obs.order_by("result desc")
+    ordered = q.obs.order_by("result desc").top(10)
     assert [r.result_number for r in ordered.page_rows().collect()] == [6, 5, 4, 3]
+    with pytest.raises(ValueError):
+        q.obs.page_rows()
     rows, following = q.obs.order_by("result").top(2).page()
     assert [r.result_number for r in rows.collect()] == [3, 4]
     assert following.first().next_skip == 2
@@ -180,15 +182,15 @@ def test_order_and_pages(q):
     assert [r.result_number for r in last.collect()] == [5, 6]
     assert following.first().next_skip is None
     assert q.obs.top(0).page_rows().count() == 0
-    assert q.obs.skip(99).page_rows().count() == 0
+    assert q.obs.top(9).skip(99).page_rows().count() == 0
 
 
 def test_counts(q):
     assert q.obs.top(2).count_total().first()["count"] == 4
     assert q.obs.skip(3).count_total().first()["count"] == 4
     assert q.obs.filter(lambda r: P.gt(x(r), 99)).count_total().first()["count"] == 0
-    assert q.obs.count_total("LIMIT_ESTIMATE", 10).first()["count"] == 4
-    assert q.obs.count_total("ESTIMATE_LIMIT", 2).first()["count"] == 4
+    assert tuple(q.obs.count_capped(10).first()) == (4, False) and tuple(q.obs.count_capped(3).first()) == (3, True)
+    assert tuple(q.obs.count_capped(4).first()) == (4, False) and q.obs.count_estimate().first()["count"] == 4
 
 
 def test_combination(q):
@@ -208,7 +210,8 @@ def test_navigation(q):
 
 def test_nested_expand(q):
     readings = Expand("Observations", order=("result desc",), top=1, count=True, select=("id", "result"))
-    page = sinks.to_page(q.things.expand(Expand("Datastreams", expand=(readings, Expand("Sensor"))), "Locations"))
+    streams = Expand("Datastreams", top=100, expand=(readings, Expand("Sensor")))
+    page = sinks.to_page(q.things.top(100).expand(streams, Expand("Locations", top=100)))
     thing = json.loads(page.first().page)["value"][0]
     assert thing["properties"] == {"reference": "firstThing"}
     assert thing["Locations"][0]["location"] == {"type": "Point", "coordinates": [-117.05, 51.05]}
@@ -223,15 +226,15 @@ def test_nested_expand(q):
 
 def test_expand_without_match(catalog):
     lonely = catalog.replace(sensor=catalog.table("sensor").where(F.lit(False)))
-    doc = json.loads(Query.on(lonely, "Datastreams").expand("Sensor").documents().first().json)
+    doc = json.loads(Query.on(lonely, "Datastreams").expand("Sensor").top(1).documents().first().json)
     assert doc["Sensor"] == {}
-    empty = Query.on(catalog, "Datastreams").expand(Expand("Observations", filter=lambda r: P.gt(x(r), 99), count=True))
+    empty = Query.on(catalog, "Datastreams").top(5).expand(Expand("Observations", filter=lambda r: P.gt(x(r), 99), top=5, count=True))
     doc = json.loads(empty.documents().first().json)
     assert doc["Observations"] == [] and doc["Observations@iot.count"] == 0
 
 
 def test_skip_past_the_end_keeps_the_count(q):
-    doc = json.loads(q.ds.expand(Expand("Observations", skip=50, count=True)).documents().first().json)
+    doc = json.loads(q.ds.top(1).expand(Expand("Observations", top=5, skip=50, count=True)).documents().first().json)
     assert doc["Observations"] == [] and doc["Observations@iot.count"] == 2
 
 
@@ -258,7 +261,7 @@ def test_unknown_names_are_refused(q):
     with pytest.raises(ValueError):
         q.things.navigate("Observations")
     with pytest.raises(ValueError):
-        q.obs.order_by("result upwards").page_rows()
+        q.obs.order_by("result upwards").top(1).page_rows()
 
 
 def test_links_and_raw_values(q, catalog):
