@@ -7,31 +7,20 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sensorquery.catalog import chunk_start
 from sensorquery.functions import values
 from sensorquery.operators import identity, series
 
 SERIES_KEY = ["datastream_id", "phenomenon_start"]
 
 
-def time_span(df: DataFrame, column: str = "phenomenon_start"):
-    """(earliest, latest) instant of a batch; two values."""
-    row = df.agg(F.min(column).cast("string"), F.max(column).cast("string")).first()
-    return row[0], row[1]
-
-
 def within_span(existing: DataFrame, new: DataFrame) -> DataFrame:
-    """Existing observations inside the time span of a batch; prunes the scan of the store."""
-    first, last = time_span(new)
-    if first is None:
-        return existing.limit(0)
-    t = F.col("phenomenon_start")
-    rows = existing.where(t.between(F.lit(first).cast("timestamp"), F.lit(last).cast("timestamp")))
-    if "chunk" in existing.columns:
-        from sensorquery.catalog import chunk_start
-
-        lo, hi = (chunk_start(F.lit(x).cast("timestamp")) for x in (first, last))
-        rows = rows.where(F.col("chunk").between(lo, hi))
-    return rows
+    """Existing observations in the time chunks of a batch. Where the store is laid out by chunk, the
+    join prunes its partitions while it runs; nothing is computed beforehand."""
+    if "chunk" not in existing.columns:
+        return existing
+    chunks = new.select(chunk_start(F.col("phenomenon_start")).alias("chunk")).distinct()
+    return existing.join(chunks, "chunk", "left_semi").select(*existing.columns)
 
 
 def missing_only(new: DataFrame, existing: DataFrame) -> DataFrame:

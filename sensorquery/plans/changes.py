@@ -9,7 +9,7 @@ from sensorquery.functions import values
 from sensorquery.operators import identity, loading, maintain, mutations, versions
 from sensorquery.operators.query import Query
 from sensorquery.plans.registry import query
-from sensorquery.sources.documents import flatten_documents, read_bulk
+from sensorquery.sources.documents import bulk_insert, deep_insert, flatten_documents
 from sensorquery.session import scratch_path
 
 us = F.unix_micros
@@ -458,6 +458,47 @@ def mut_07(t):
     return counts[0].unionByName(counts[1]).unionByName(counts[2])
 
 
+def deep_docs(t):
+    """The documents of ``thing_docs`` as they may be inserted, and among them some that may not."""
+    key = F.col("doc_id") % 5
+    sound = F.concat(F.lit('{"description":"deep",'), F.substring("doc", 2, 1_000_000))
+    return thing_docs(t).withColumn("doc", F.when(key == 0, F.lit("{oops")).when(
+        key == 1, F.concat(F.lit('{"colour":1,'), F.substring("doc", 2, 1_000_000))).otherwise(sound))
+
+
+@query("mut_07_deep_insert_rows", f"""
+WITH ok AS (SELECT c_custkey, c_name, row_number() OVER (ORDER BY c_custkey) AS rn FROM customer WHERE c_custkey % 5 > 1)
+SELECT c_name AS name, (SELECT max(id) FROM thing) + rn AS thing_id, 'l' || c_custkey AS location,
+       epoch_us(TIMESTAMP '2024-05-01') AS visited, 's' || c_custkey AS datastream, (SELECT max(s_suppkey) FROM supplier) > 0 AS has_sensor,
+       1 AS readings, epoch_us(TIMESTAMP '2015-03-03') AS lo, epoch_us(TIMESTAMP '2015-03-03') AS hi, TRUE AS has_feature, TRUE AS has_area
+FROM ok JOIN (SELECT unnest([1, 2]) AS k) ON k <= {_STREAM_COUNT}""")
+def mut_07_rows(t):
+    """Each inserted datastream with its thing, place, visit, readings, extents, feature and area."""
+    catalog = t.catalog()
+    state, parts, _ = deep_insert(catalog, deep_docs(t), "2024-05-01T00:00:00Z")
+    new = parts["thing"].select(F.col("id").alias("thing_id"), "name")
+    place = state.table("thing_location").join(
+        state.table("location").select(F.col("id").alias("location_id"), F.col("name").alias("location")), "location_id")
+    visit = state.table("historical_location").select("thing_id", us("time").alias("visited"))
+    readings = state.table("observation").groupBy("datastream_id").agg(
+        F.count("*").alias("readings"), F.bool_and(F.col("feature_of_interest_id").isNotNull()).alias("has_feature"))
+    streams = state.table("datastream").select(
+        F.col("id").alias("datastream_id"), F.col("name").alias("datastream"), "thing_id",
+        F.col("sensor_id").isNotNull().alias("has_sensor"), us("phenomenon_start").alias("lo"), us("phenomenon_end").alias("hi"),
+        F.col("observed_area").isNotNull().alias("has_area"))
+    return (
+        streams.join(new, "thing_id").join(place, "thing_id").join(visit, "thing_id").join(readings, "datastream_id")
+        .drop("datastream_id", "location_id")
+    )
+
+
+@query("mut_07_deep_insert_rejects", f"""
+SELECT c_custkey AS doc_id, CASE c_custkey % 5 WHEN 0 THEN 'not an object' ELSE 'unknown: colour' END AS reason FROM customer WHERE c_custkey % 5 < 2
+UNION ALL SELECT NULL, 'duplicate' FROM customer JOIN (SELECT unnest([1, 2]) AS k) ON k <= {_STREAM_COUNT} WHERE c_custkey % 5 > 1""")
+def mut_07_rejects(t):
+    return deep_insert(t.catalog(), deep_docs(t), "2024-05-01T00:00:00Z")[2]
+
+
 @query("mut_08_relocate", """
 WITH moved AS (SELECT id AS thing_id, (id * 7) % 25 AS location_id FROM thing WHERE id % 4 = 0),
 steps AS (SELECT *, (SELECT max(id) FROM historical_location) + row_number() OVER (ORDER BY thing_id) AS hl FROM moved)
@@ -583,8 +624,7 @@ def mut_12(t):
     catalog = t.catalog()
     half = catalog.table("observation").where(F.col("id") % 3 == 0)
     state = catalog.replace(observation=half, datastream=bare_streams(t))
-    rows = read_bulk(bulk_docs(t)).withColumn("seq", F.struct("phenomenon_start", "datastream_id", "part", "row"))
-    state, inserted, _ = mutations.insert_observations(state, rows.withColumn("phenomenon_end", F.col("phenomenon_start")))
+    state, inserted, _ = bulk_insert(state, bulk_docs(t), ["part"])
     got = inserted.groupBy(F.col("datastream_id").alias("id")).agg(
         F.count("*").alias("inserted"), F.min("result_number").alias("least"), F.max("result_number").alias("most")
     )

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sensorquery import schema
+from sensorquery.catalog import Catalog
 from sensorquery.functions import geometry, values
-from sensorquery.operators import identity
+from sensorquery.operators import identity, loading, mutations
 
 _BATCH = (
     "array<struct<Datastream:struct<`@iot.id`:long>,components:array<string>,"
@@ -201,6 +203,51 @@ def flatten_documents(docs: DataFrame, start_ids: dict[str, int] | None = None)
     }
 
 
+def _observation_rows(rows: DataFrame, order: list, at: Column | None = None) -> DataFrame:
+    """Observation columns without ids, with ``seq``: the order they came in. A missing time is ``at``."""
+    own = [c for c in schema.columns("observation") if c != "id"]
+    placed = rows.withColumn("seq", F.struct(*order))
+    missing = {c: F.lit(None).cast(schema.struct("observation")[c].dataType) for c in own if c not in rows.columns}
+    filled = loading.normalise_observations(placed.withColumns(missing), at)
+    return filled.select(*own, "seq")
+
+
+def bulk_insert(
+    catalog: Catalog, docs: DataFrame, order: list[str], column: str = "doc"
+) -> tuple[Catalog, DataFrame, DataFrame]:
+    """(catalog, inserted, rejects) of bulk documents: all documents must be sound (``read_bulk``), then
+    features, uniqueness, ids, extents, area and last feature follow as for any insert. ``order``: the
+    columns of ``docs`` that tell which document came first."""
+    rows = read_bulk(docs, column)
+    return mutations.insert_observations(catalog, _observation_rows(rows, [*order, "row"]))
+
+
+def deep_insert(
+    catalog: Catalog, docs: DataFrame, at: str
+) -> tuple[Catalog, dict[str, DataFrame], DataFrame]:
+    """(catalog, inserted rows per table, rejects) of Thing documents (doc_id, doc) with all they hold.
+
+    A document that breaks the rules is rejected whole, with its reason; an observation refused on its
+    own (no location to take a feature from, or not unique) is a reject without a ``doc_id``. The visits
+    that a new thing starts with are dated ``at``, and so is a reading without a time. Readings go the
+    way of every insert, so features, extents, areas and last features are kept.
+    """
+    accepted, refused = mutations.split_valid(mutations.validate(docs, "Thing"))
+    names = [n for n in schema.TABLES if catalog.has(n) and "id" in schema.columns(n)]
+    starts = {n: identity.next_id(catalog.table(n)) for n in names}
+    parts = flatten_documents(accepted, starts)
+    moment = F.lit(at).cast("timestamp")
+    parts["historical_location"] = parts["historical_location"].withColumn("time", moment)
+    readings = parts.pop("observation")
+    state = catalog.replace(**{
+        n: catalog.table(n).unionByName(rows, allowMissingColumns=True) for n, rows in parts.items()
+    })
+    state, inserted, lost = mutations.insert_observations(state, _observation_rows(readings, ["id"], moment))
+    rejects = refused.select("doc_id", "reason").unionByName(
+        lost.select(F.lit(None).cast("long").alias("doc_id"), "reason"))
+    return state, {**parts, "observation": inserted}, rejects
+
+
 # -- citizen observations --------------------------------------------------------------------
 
 # The water attributes that become observations.
