@@ -64,10 +64,12 @@ def literal(value) -> Literal:
         kind = _NAMES[head]
         body = value[value.index("(") + 1 : value.rindex(")")]
         rings = re.findall(r"\(([^()]*)\)", body) or [body]
-        positions = [[p.split()[:2] for p in ring.split(",")] for ring in rings]
+        positions = [[p.split() for p in ring.split(",")] for ring in rings]
         if kind == "MultiPoint":
             positions = [[p] for ring in positions for p in ring]
         parts = positions
+    if any(len(p) != 2 for part in parts for p in part):
+        raise ValueError("positions of a geometry literal have two coordinates")
     return Literal(
         kind, tuple(tuple((float(p[0]), float(p[1])) for p in part) for part in parts)
     )
@@ -360,6 +362,36 @@ def matches(matrix: Column, *patterns: str) -> Column:
     return matrix.rlike("|".join(_rule(p) for p in patterns))
 
 
+def relations(g: Column, other) -> Column:
+    """All relations of a geometry to a literal as one struct: ``matrix`` (null where the boxes are
+    apart), equals, disjoint, intersects, touches, within, contains, overlaps, crosses.
+
+    The matrix is made once per row, and only where the bounding boxes meet; every test reads it.
+    """
+    lit_ = literal(other)
+    meet = _boxes_meet(g, lit_)
+    size = F.when(g["type"] == "Polygon", 2).when(g["type"].isin("LineString", "MultiLineString"), 1).otherwise(0)
+    alike = _rule("1*T***T**" if lit_.dimension == 1 else "T*T***T**")
+    across = (
+        F.when(size < lit_.dimension, _rule("T*T******")).when(size > lit_.dimension, _rule("T*****T**"))
+        .otherwise(_rule("0********") if lit_.dimension == 1 else "^$")
+    )
+
+    def tests(m: Column) -> Column:
+        known = {
+            "equals": matches(m, "T*F**FFF*"), "intersects": ~matches(m, "FF*FF****"),
+            "touches": matches(m, "FT*******", "F**T*****", "F***T****"), "within": matches(m, "T*F**F***"),
+            "contains": matches(m, "T*****FF*"), "overlaps": (size == lit_.dimension) & F.rlike(m, F.lit(alike)),
+            "crosses": F.rlike(m, across),
+        }
+        fields = {name: F.coalesce(test, F.lit(False)) for name, test in known.items()}
+        return F.struct(
+            m.alias("matrix"), (~fields["intersects"]).alias("disjoint"), *[f.alias(n) for n, f in fields.items()])
+
+    once = F.transform(F.array(F.when(meet, relate(g, lit_))), tests)
+    return F.when(g.isNotNull(), F.get(once, F.lit(0)))
+
+
 def _by_kind(g: Column, other, point_test, pattern_test, points: bool) -> Column:
     """Point columns use location tests only; other shapes go through the matrix."""
     lit_ = literal(other)

@@ -266,14 +266,24 @@ SELECT thing_id, location_id, lon - 5 >= -60 AND lon + 5 <= 60 AND lat - 5 >= -3
          AND NOT (lon - 5 >= -60 AND lon + 5 <= 60 AND lat - 5 >= -30 AND lat + 5 <= 30) AS overlapping
 FROM thing_location l JOIN place p ON l.location_id = p.id""")
 def geo_12(t):
-    s = F.col("square")
-    return squares(t).select(
-        "thing_id", "location_id", G.within(s, _WINDOW).alias("within_window"),
-        G.disjoint(s, _WINDOW).alias("apart"), G.touches(s, _WINDOW).alias("touching"),
-        G.overlaps(s, _WINDOW).alias("overlapping"),
+    related = squares(t).withColumn("r", G.relations(F.col("square"), _WINDOW))
+    return related.select(
+        "thing_id", "location_id", F.col("r.within").alias("within_window"), F.col("r.disjoint").alias("apart"),
+        F.col("r.touches").alias("touching"), F.col("r.overlaps").alias("overlapping"),
     )
 
 
+@query("geo_09_lines_cross_area", """
+SELECT thing_id, location_id, lat > -30 AND lat < 30 AND ((lon - 5 < -60 AND lon + 5 > -60) OR (lon - 5 < 60 AND lon + 5 > 60)) AS crossing,
+       lat >= -30 AND lat <= 30 AND lon - 5 >= -60 AND lon + 5 <= 60 AND NOT lat IN (-30, 30) AS inside
+FROM thing_location l JOIN place p ON l.location_id = p.id""")
+def geo_09_lines(t):
+    x, y = geom()["xmin"], geom()["ymin"]
+    line = G.geometry(F.lit("LineString"), F.array(F.array(F.array(x - 5, y), F.array(x + 5, y))))
+    related = places(t).withColumn("line", line).withColumn("r", G.relations(F.col("line"), _WINDOW))
+    return related.select("thing_id", "location_id", F.col("r.crosses").alias("crossing"), F.col("r.within").alias("inside"))
+
+
 # -- JSON ------------------------------------------------------------------------------------
 
 
