@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sensorquery.catalog import Catalog
 from sensorquery.functions import predicates as P
-from sensorquery.operators import mutations, quality, series
+from sensorquery.operators import loading, mutations, quality, series, versions
 from sensorquery.operators.query import Expand, Query
 from sensorquery.plans.testbed import Testbed
 from sensorquery.session import scratch_path
@@ -51,6 +51,36 @@ def test_children_are_trimmed_before_the_shuffle(t):
     assert text.count("WindowGroupLimit") >= 2
 
 
+def test_totals_of_an_expansion_read_the_children_of_the_page_only(t):
+    option = Expand("Observations", top=2, count=True)
+    page = Query.on(t.catalog(), "Datastreams").top(2).expand(option)
+    # Once for the children and once for their totals.
+    assert plan(page.documents()).count("LeftSemi") >= 2
+
+
+def test_a_count_shuffles_partial_counts_only(t):
+    text = plan(Query.on(t.catalog(), "Observations").count_total())
+    assert "hashpartitioning" not in text
+
+
+def test_untouched_versions_pass_by_the_outer_join(t):
+    versions_ = t.thing_versions()
+    change = versions_.where(F.col("id") == 1).where(F.col("valid_to").isNull()).withColumn("action", F.lit("DELETE"))
+    text = plan(versions.apply_changes("thing", versions_, change, "2002-01-01T00:00:00Z"))
+    assert "LeftAnti" in text and "FullOuter" in text
+
+
+def test_loads_prune_the_store_without_reading_the_batch_first(t):
+    folder = scratch_path(t.spark, "store")
+    sinks.write_observations(t.observations(), f"{folder}/observation")
+    stored = Catalog.read(t.spark, folder).table("observation")
+    batch = t.observations().where(F.col("phenomenon_start") < "2024-01-03")
+    before = t.spark.sparkContext.statusTracker().getJobIdsForGroup(None)
+    rows = loading.missing_only(batch, stored)
+    assert t.spark.sparkContext.statusTracker().getJobIdsForGroup(None) == before
+    assert rows.count() == 0
+
+
 def test_page_is_a_top_n(t):
     assert "TakeOrderedAndProject" in plan(Query.on(t.catalog(), "Things").order_by("name").top(5).page_rows())
 
