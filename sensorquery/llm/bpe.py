@@ -2,10 +2,10 @@
 
 Texts are cut where a rolling hash over the last bytes says so, so equal passages give equal chunks
 wherever they stand. A chunk found in more than one document is encoded once, by the document with
-the smallest id, and handed to the others; every other chunk is encoded by its own document. Chunks
-are encoded alone, which is wrong around their ends: the span around each join is encoded again,
-from the last sure piece border before it to the first one after it, and this span grows until the
-tokens on both sides end exactly on these borders.
+the smallest id, and handed to the others. Such a chunk was encoded alone, which is wrong around its
+ends: the span around each join, with all chunks that no other document has, is encoded afresh, from
+the last sure piece border before it to the first one after it, and this span grows until the tokens
+on both sides end exactly on these borders.
 
 Null or empty texts have no ids. Rows with a null or repeated ``doc_id`` are encoded like any other;
 extra columns are not looked at. Memory of a task: one slice of texts, or one longer text.
@@ -91,15 +91,13 @@ def _encode_owned(path: str):
         coder = tokenizer(path)
         for batch in batches:
             wanted = batch.column(batch.schema.get_field_index("owned"))
-            for texts in slices(batch):
-                names, ids, cuts = [], [], None
-                for i in range(len(texts)):
-                    want = wanted[texts.rows.start + i].as_py()
-                    if not want:
-                        continue
-                    cuts = cuts or cut_texts(texts)
-                    raw, left = texts.text(i), set(want)
-                    for a, b in zip(cuts[i], cuts[i][1:]):
+            keep = np.flatnonzero(np.asarray(wanted.is_valid()))
+            for rows in _few(batch.take(pa.array(keep))):
+                wanted = rows.column(rows.schema.get_field_index("owned"))
+                names, ids = [], []
+                for i, texts in enumerate(_unpacked(rows)):
+                    raw, left, cuts = texts.text(0), set(wanted[i].as_py()), cut_texts(texts)[0]
+                    for a, b in zip(cuts, cuts[1:]):
                         name = chunk_name(raw[a:b])
                         if name in left:
                             left.discard(name)
@@ -112,7 +110,8 @@ def _encode_owned(path: str):
 
 
 def join_chunks(raw: bytes, cuts: list[int], ids_of, coder) -> bytes:
-    """The ids of the whole text from the ids of its chunks, each encoded alone."""
+    """The ids of the whole text, from the ids of chunks that were each encoded alone; ``ids_of`` gives
+    None for a chunk that nobody has encoded."""
     if len(cuts) < 2:
         return b""
     data = np.frombuffer(raw, dtype=np.uint8)
@@ -129,7 +128,10 @@ def join_chunks(raw: bytes, cuts: list[int], ids_of, coder) -> bytes:
         last = [b] if b == len(raw) else []
         if not len(inside) and not (first and last):
             continue
-        ids = np.frombuffer(ids_of(a, b), dtype="<u4")
+        known = ids_of(a, b)
+        if known is None:
+            continue
+        ids = np.frombuffer(known, dtype="<u4")
         ends = a + np.cumsum(coder.lengths[ids])
         # Borders on which a token of this chunk ends (or begins); the outermost two agree.
         agreed = inside[np.isin(inside, ends)] if a == 0 or not len(inside) or inside[0] != a else \
@@ -149,41 +151,65 @@ def join_chunks(raw: bytes, cuts: list[int], ids_of, coder) -> bytes:
     return b"".join(out)
 
 
-def _assemble(path: str):
+def _squeeze(batches):
+    """Texts travel compressed: they are the bulk of what is shuffled."""
+    import pyarrow as pa
+    import zstandard
+
+    packer = zstandard.ZstdCompressor(level=3)
+    for batch in batches:
+        for texts in slices(batch):
+            packed = [packer.compress(texts.text(i)) for i in range(len(texts))]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0)[texts.rows], pa.array(packed, pa.binary())], ["doc_id", "packed"])
+
+
+def _assemble(path: str, finish=None):
+    """Ids of each row; ``finish(coder, ids)`` makes its columns from them, else they are returned."""
+
     def run(batches):
         import pyarrow as pa
 
-        coder = tokenizer(path)
+        coder, out = tokenizer(path), None
         for batch in batches:
-            ids = batch.column(0)
-            carried = batch.column(batch.schema.get_field_index("carried"))
-            for texts in slices(batch):
+            for rows in _few(batch):
                 out = []
-                for i, cuts in enumerate(cut_texts(texts)):
-                    raw = texts.text(i)
-                    given = {x["chunk"]: x["ids"] for x in carried[texts.rows.start + i].as_py() or ()}
-                    known: dict[bytes, bytes] = {}
-
-                    def ids_of(a, b):
-                        chunk = raw[a:b]
-                        if given and (got := given.get(chunk_name(chunk))) is not None:
-                            return got
-                        if chunk not in known:
-                            known[chunk] = coder.encode(chunk.decode())
-                        return known[chunk]
-
-                    out.append(join_chunks(raw, cuts, ids_of, coder))
-                yield pa.RecordBatch.from_arrays(
-                    [ids[texts.rows], pa.array(out, pa.large_binary()).cast(pa.binary())], ["doc_id", "ids"])
+                carried = rows.column(rows.schema.get_field_index("carried"))
+                for i, texts in enumerate(_unpacked(rows)):
+                    raw = texts.text(0)
+                    given = {x["chunk"]: x["ids"] for x in carried[i].as_py() or ()}
+                    if given:
+                        ids = join_chunks(raw, cut_texts(texts)[0], lambda a, b: given.get(chunk_name(raw[a:b])), coder)  # noqa: B023
+                    else:
+                        ids = coder.encode(raw.decode())
+                    out.append(finish(coder, ids) if finish else (ids,))
+                columns = [pa.array(c) for c in zip(*out)]
+                yield pa.RecordBatch.from_arrays([rows.column(0), *columns], ["doc_id", *map(str, range(len(columns)))])
 
     return run
 
 
-def encode(docs: DataFrame, path: str) -> DataFrame:
-    """(doc_id, ids) per row of ``docs``; ids is binary, little-endian unsigned 32-bit numbers.
+def _few(batch, rows: int = 256):
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
+def _unpacked(batch):
+    """Each row's text, as a slice of its own."""
+    import zstandard
+
+    plain = zstandard.ZstdDecompressor()
+    for x in batch.column(batch.schema.get_field_index("packed")):
+        raw = plain.decompress(x.as_buffer())
+        yield Texts(np.frombuffer(raw, dtype=np.uint8), np.array([0, len(raw)]), slice(0, 1))
+
+
+def _joined(docs: DataFrame, path: str) -> DataFrame:
+    """doc_id, packed text and the ids of the chunks that other documents have encoded.
 
     Names of chunks are pre-aggregated before their shuffle, so copies of one chunk never meet in
-    one task; the joins are sort-merge joins whose skewed partitions Spark splits.
+    one task; the joins are sort-merge joins whose skewed partitions Spark splits. Both joins with
+    the texts use the same shuffle of them.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     names = own.mapInArrow(_names_of, "doc_id long, chunk binary")
@@ -191,53 +217,50 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
         names.groupBy("chunk").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("other"))
         .where(F.col("owner") != F.col("other")).select("chunk", "owner")
     )
+    packed = own.mapInArrow(_squeeze, "doc_id long, packed binary")
     owned = shared.groupBy(F.col("owner").alias("doc_id")).agg(F.collect_set("chunk").alias("owned"))
-    once = own.join(owned, "doc_id", "left").mapInArrow(_encode_owned(path), "chunk binary, ids binary")
+    once = packed.join(owned, "doc_id", "left").mapInArrow(_encode_owned(path), "chunk binary, ids binary")
     borrowed = names.join(shared, "chunk").where(F.col("doc_id") != F.col("owner")).select("doc_id", "chunk")
     carried = (
         borrowed.join(once, "chunk").groupBy("doc_id")
         .agg(F.collect_list(F.struct("chunk", "ids")).alias("carried"))
     )
-    return own.join(carried, "doc_id", "left").mapInArrow(_assemble(path), "doc_id long, ids binary")
+    return packed.join(carried, "doc_id", "left")
+
+
+def encode(docs: DataFrame, path: str) -> DataFrame:
+    """(doc_id, ids) per row of ``docs``; ids is binary, little-endian unsigned 32-bit numbers."""
+    return _joined(docs, path).mapInArrow(_assemble(path), "doc_id long, ids binary")
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
-    """(doc_id, ids, decoded): the text of the ids, special tokens included."""
+    """(doc_id, decoded): the text of the ids, special tokens included; null ids give empty text."""
 
     def run(batches):
         import pyarrow as pa
 
         coder = tokenizer(path)
         for batch in batches:
-            col = batch.column(1)
-            text = [coder.decode(np.frombuffer(x.as_buffer(), dtype="<u4")) if x.is_valid else b"" for x in col]
+            text = [coder.decode(np.frombuffer(x.as_buffer(), dtype="<u4")) if x.is_valid else b""
+                    for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), col, pa.array(text, pa.binary()).cast(pa.string())], ["doc_id", "ids", "decoded"])
+                [batch.column(0), pa.array(text, pa.binary()).cast(pa.string())], ["doc_id", "decoded"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, decoded string")
+    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, decoded string")
 
 
-def digests(decoded: DataFrame, path: str) -> DataFrame:
-    """(doc_id, n_tokens, ids_sha256, decoded_sha256) of ``decode``'s rows."""
+def _digests(coder, ids: bytes):
+    numbers = np.frombuffer(ids, dtype="<u4")
+    return (len(numbers), hashlib.sha256(coder.listed(numbers)).hexdigest(),
+            hashlib.sha256(coder.decode(numbers)).hexdigest())
 
-    def run(batches):
-        import pyarrow as pa
-
-        coder = tokenizer(path)
-        for batch in batches:
-            hashed = []
-            for x in batch.column(1):
-                numbers = np.frombuffer(x.as_buffer(), dtype="<u4").tolist()
-                hashed.append(hashlib.sha256(",".join(map(coder.decimal.__getitem__, numbers)).encode()).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array(hashed), batch.column(3)],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    told = decoded.select(
-        "doc_id", "ids", F.floor(F.octet_length("ids") / 4).alias("n_tokens"),
-        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+def round_trip(docs: DataFrame, path: str) -> DataFrame:
+    """(doc_id, n_tokens, ids_sha256, decoded_sha256): encodes, decodes the ids and digests both, in
+    the task that has the ids, so that they need not travel."""
+    return _joined(docs, path).mapInArrow(
+        _assemble(path, _digests), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     )
-    return told.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 ship_functions(__name__)

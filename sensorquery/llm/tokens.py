@@ -1,8 +1,9 @@
-"""Byte-level BPE with the results of the tokenizers library, remembering the ids of short pieces.
+"""Byte-level BPE with the results of the tokenizers library.
 
-In byte-level vocabularies a token never goes on from a visible character to a following blank or
-line end, so a text may be cut there and each piece encoded alone. Pieces repeat, so a worker keeps
-their ids. The vocabulary file is a parameter; its properties are checked when it is loaded.
+Where the ids of the merged tokens grow in the order of the merges, ranks stand for merges and the
+faster encoder for rank files gives the same ids; otherwise, and for texts that hold the string of a
+special token, the tokenizers library encodes. The vocabulary file is a parameter; its properties are
+checked when it is loaded.
 """
 
 from __future__ import annotations
@@ -15,15 +16,8 @@ import numpy as np
 from sensorquery.llm.text import worker_cache
 from sensorquery.session import ship_functions
 
-# Everything that any library may take for white space, besides blank and line end.
-_ODD = r"\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028\u2029\u202f\u205f\u2060\u3000\ufeff"
-_FIND_ODD = re.compile(f"[{_ODD}]")
-_PIECES = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
-_CAREFUL = re.compile(rf"(?<=[^ \n{_ODD}])(?=[ \n])")
 # Fixed value of byte-level vocabularies: how a text is split before merging.
 _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-KEPT_PIECES = 600_000  # entries a worker keeps; beyond that it starts anew
-_KEPT_LENGTH = 48  # characters; longer pieces are not kept
 
 
 def _byte_of_char() -> dict[str, int]:
@@ -65,8 +59,8 @@ class ByteTokenizer:
         for t in added:
             self.table[t["id"]] = t["content"].encode()
         self.lengths = np.array([len(x) for x in self.table], dtype=np.int64)
-        self.decimal = [str(i) for i in range(len(self.table))]
-        self.kept: dict[str, bytes] = {}
+        self.bytes = _Pieces(self.table)
+        self.decimal = _Pieces([b",%d" % i for i in range(len(self.table))])
         merged = [model["vocab"].get("".join(m if isinstance(m, list) else m.split(" ", 1)))
                   for m in model["merges"]]
         self.fast = None
@@ -76,34 +70,37 @@ class ByteTokenizer:
             if len(single) == 256 and max(single.values()) < merged[0]:
                 self.fast = tiktoken.Encoding("bytes", pat_str=_SPLIT, mergeable_ranks=vocab, special_tokens={})
 
-    def _alone(self, piece: str) -> bytes:
-        if self.fast is None or any(s in piece for s in self.special):
-            ids = self.library.encode(piece, add_special_tokens=False).ids
-        else:
-            ids = self.fast.encode_ordinary(piece)
-        return np.array(ids, dtype="<u4").tobytes()
-
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit numbers."""
-        kept = self.kept
-        parts = _CAREFUL.split(text) if _FIND_ODD.search(text) else _PIECES.findall(text)
-        out = []
-        for p in parts:
-            ids = kept.get(p)
-            if ids is None:
-                ids = self._alone(p)
-                if len(p) <= _KEPT_LENGTH:
-                    if len(kept) >= KEPT_PIECES:
-                        kept.clear()
-                    kept[p] = ids
-            out.append(ids)
-        return b"".join(out)
+        if self.fast is None or any(s in text for s in self.special):
+            return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
 
     def decode(self, ids: np.ndarray) -> bytes:
         """UTF-8 of the text, special tokens included; broken sequences become U+FFFD."""
-        raw = b"".join(map(self.table.__getitem__, ids.tolist()))
+        raw = self.bytes.joined(ids)
         return raw.decode("utf-8", "replace").encode()
 
+    def listed(self, ids: np.ndarray) -> bytes:
+        """The ids in decimal, joined by commas."""
+        return self.decimal.joined(ids)[1:]
+
+
+class _Pieces:
+    """Byte strings by number, end to end, so that many can be joined without a loop."""
+
+    def __init__(self, pieces: list[bytes]):
+        self.flat = np.frombuffer(b"".join(pieces), dtype=np.uint8)
+        self.length = np.array([len(p) for p in pieces], dtype=np.int64)
+        self.start = np.cumsum(self.length) - self.length
+
+    def joined(self, numbers: np.ndarray) -> bytes:
+        length = self.length[numbers]
+        ends = np.cumsum(length)
+        if not len(ends):
+            return b""
+        return self.flat[np.arange(ends[-1]) + np.repeat(self.start[numbers] - ends + length, length)].tobytes()
+
 
 def tokenizer(path: str) -> ByteTokenizer:
     """The worker's tokenizer of this file, loaded once."""

@@ -42,13 +42,20 @@ def test_pieces_and_chunks_equal_the_library(vocab, library, monkeypatch):
         assert np.frombuffer(joined, "<u4").tolist() == ids, (text, cuts)
 
 
-def test_kept_pieces_are_bounded(vocab, monkeypatch):
-    from sensorquery.llm import tokens
-
-    monkeypatch.setattr(tokens, "KEPT_PIECES", 10)
+def test_special_strings_inside_a_text(vocab, library):
     coder = ByteTokenizer(vocab)
-    coder.encode(" ".join(f"w{i}" for i in range(200)))
-    assert len(coder.kept) <= 10
+    assert coder.fast is not None and coder.special == ["<|endoftext|>"]
+    text = "a <|endoftext|><|endoftext|> b<|endof text|>"
+    ids = _ids(library, text)
+    assert 50256 in ids and np.frombuffer(coder.encode(text), "<u4").tolist() == ids
+    assert coder.listed(np.array(ids)) == ",".join(map(str, ids)).encode()
+
+
+def test_other_kinds_of_vocabularies_are_refused():
+    from sensorquery.llm.queries import vocabulary
+
+    with pytest.raises(ValueError):
+        ByteTokenizer(vocabulary("word_bpe_49k.json"))
 
 
 def test_round_trip_of_awkward_rows(awkward_docs, awkward, vocab, library):
