@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sensorquery.llm.components import written
-from sensorquery.llm.text import Texts, _BASE, mix, slices
+from sensorquery.llm.text import Texts, _BASE, mix, shard_count, slices
 from sensorquery.session import ship_functions
 
 FOLDS = 10
@@ -111,10 +111,8 @@ def _questions(shards: int):
                 pair, times, home = pair[order].astype(np.uint32), times[order].astype(np.uint32), home[order]
                 edge = np.searchsorted(home, np.arange(shards + 1, dtype=np.uint64))
                 name, out = _block_name(docs, texts), [[] for _ in range(7)]
-                for s in range(shards):
+                for s in np.flatnonzero((np.diff(cut) > 0) | (np.diff(edge) > 0)).tolist():
                     a, b, c, d = int(cut[s]), int(cut[s + 1]), int(edge[s]), int(edge[s + 1])
-                    if a == b and c == d:
-                        continue
                     once = times[c:d] == 1
                     row = (s, name, keys[a:b].tobytes(), count[a:b].tobytes(), pair[c:d][once].tobytes(),
                            pair[c:d][~once].tobytes(), times[c:d][~once].tobytes())
@@ -264,9 +262,7 @@ SCORES = ("doc_id long, held_out boolean, n_tokens long, n_known long, train_tok
 def score(docs: DataFrame, *, filter_bits: int = FILTER_BITS) -> DataFrame:
     """Counts the documents that are not held out and scores all of them: SCORES."""
     spark = docs.sparkSession
-    shards = 16
-    while shards * DOCS_PER_SHARD < docs.count():
-        shards *= 2
+    shards = shard_count(docs.count(), DOCS_PER_SHARD)
     segment_bits = max(64, filter_bits // shards)
     segment_bits -= segment_bits % 8
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")

@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sensorquery.llm.text import mix, runs_hash, slices
+from sensorquery.llm.text import runs_hash, shard_count, slices
 from sensorquery.session import ship_functions
 
 WINDOW = 13
@@ -65,11 +65,6 @@ def _place(keys: np.ndarray, shards: int) -> np.ndarray:
     return (shard << np.uint64(32)) | (keys & np.uint64(0xFFFFFFFF))
 
 
-def _by_shard(values: np.ndarray, shards: int):
-    """Borders of each shard in sorted places."""
-    return np.searchsorted(values >> np.uint64(32), np.arange(shards + 1, dtype=np.uint64)).tolist()
-
-
 def _packed(table, name: str, kind) -> np.ndarray:
     return np.frombuffer(b"".join(x.as_buffer() for x in table.column(name).combine_chunks()), dtype=kind)
 
@@ -95,14 +90,17 @@ def _anchors(window: int, shards: int):
                 start = np.flatnonzero(head)
                 count = np.diff(np.append(start, len(place)))
                 many = np.repeat(count > 1, count)
-                sent, met = _by_shard(place[head], shards), _by_shard(place[many], shards)
                 out = [[], [], [], [], []]
-                for s in range(shards):
-                    a, b, c, d = sent[s], sent[s + 1], met[s], met[s + 1]
-                    if a < b:
-                        for col, v in zip(out, (s, place[head][a:b].astype(np.uint32), row[head][a:b],
-                                                place[many][c:d].astype(np.uint32), row[many][c:d])):
-                            col.append(v if isinstance(v, int) else v.tobytes())
+                one, several = (place[head], row[head]), (place[many], row[many])
+                # Only the shards that this slice has anchors of.
+                used = np.unique(one[0] >> np.uint64(32))
+                borders = [np.searchsorted(p >> np.uint64(32), np.append(used, used[-1:] + np.uint64(1))) for p, _ in (one, several)]
+                for k, s in enumerate(used.tolist()):
+                    out[0].append(s)
+                    for col, (p, r), cut in ((1, one, borders[0]), (3, several, borders[1])):
+                        a, b = cut[k], cut[k + 1]
+                        out[col].append(p[a:b].astype(np.uint32).tobytes())
+                        out[col + 1].append(r[a:b].tobytes())
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(out[0], pa.int32()), *[pa.array(c, pa.binary()) for c in out[1:]]],
                     ["shard", "keys", "rows", "met_keys", "met_rows"])
@@ -203,13 +201,14 @@ def _passages(window: int, shards: int):
                 marks = np.stack([row[here], own[here], start[here], (start + high - low)[here]], axis=1).astype(np.int64)
                 index = np.flatnonzero(sent)
                 index = index[np.argsort(place[pick][index] >> np.uint64(32), kind="stable")]
-                cut = _by_shard(place[pick][index], shards)
-                used = [s for s in range(shards) if cut[s] < cut[s + 1]]
+                home = place[pick][index] >> np.uint64(32)
+                used = np.unique(home).tolist()
+                cut = dict(zip(used, zip(np.searchsorted(home, used).tolist(), np.searchsorted(home, used, side="right").tolist())))
                 fields = np.stack([found.key[pick].view(np.int64), row, own, start], axis=1)
                 yield pa.RecordBatch.from_arrays([
                     pa.array(used, pa.int32()),
-                    pa.array([fields[index[cut[s]:cut[s + 1]]].tobytes() for s in used], pa.binary()),
-                    pa.array([packer.compress(b"\n".join(text[i] for i in index[cut[s]:cut[s + 1]].tolist())) for s in used], pa.binary()),
+                    pa.array([fields[index[slice(*cut[s])]].tobytes() for s in used], pa.binary()),
+                    pa.array([packer.compress(b"\n".join(text[i] for i in index[slice(*cut[s])].tolist())) for s in used], pa.binary()),
                     pa.array([marks.tobytes() if s == used[0] else b"" for s in used], pa.binary()),
                 ], ["shard", "fields", "texts", "marks"])
 
@@ -382,9 +381,7 @@ def _removed(digest: bool):
 def remove_repeats(docs: DataFrame, *, window: int = WINDOW, digest: bool = False) -> DataFrame:
     """(doc_id, n_words, n_removed, kept) per row: the words left, joined by single blanks, or with
     ``digest`` the SHA-256 of that text, made where the text is so that it need not travel."""
-    shards = 16
-    while shards * DOCS_PER_SHARD < docs.count():
-        shards *= 2
+    shards = shard_count(docs.count(), DOCS_PER_SHARD)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     own = own.withColumn("rid", F.xxhash64("doc_id", "text"))
     places = (

@@ -135,6 +135,14 @@ def runs_hash(word_hash: np.ndarray, width: int) -> np.ndarray:
     return mix(out)
 
 
+def shard_count(rows: int, per_shard: int, least: int = 16) -> int:
+    """A power of two that grows with the rows."""
+    shards = least
+    while shards * per_shard < rows:
+        shards *= 2
+    return shards
+
+
 def slices(batch, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[Texts]:
     """The texts of an Arrow batch, in slices of at most ``limit`` bytes or one text."""
     import pyarrow as pa
