@@ -11,11 +11,13 @@ PER_CENT * |union| <= 100 * |intersection|, and components are what links connec
    travel in packed arrays, each once per slice; a large group sends each task's smallest member.
 2. Each key links its members to the smallest one only: candidates grow with the members of a group,
    not with its pairs. A candidate must pass the bound by count vectors, the sum of the smaller
-   counts of each token group, and then the exact comparison.
+   counts of each token group, and then the exact comparison. Larger sets have more groups; of two
+   vectors the longer one is folded to the length of the other.
 3. Members of one candidate component that are not yet connected may still be linked to each other:
    they meet in blocks of bounded size, two by two. In each, an R-tree over the count vectors of one
    block is searched with the other; boxes whose upper corners cannot reach the overlap are left
-   out, surviving pairs are verified, and pairs already connected are passed over.
+   out, surviving pairs are verified, and pairs already connected are passed over. Vectors go first:
+   the sets themselves are fetched only for documents with a surviving pair.
 
 Equal sets are one node. Null or empty texts have no shingles and link with nothing. Rows that share
 a ``doc_id`` are one document: its links are those of all its texts. A null id links with nothing and
@@ -29,10 +31,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sensorquery.llm.components import components, written
-from sensorquery.llm.text import _BASE, mix, runs_hash, slices
+from sensorquery.llm.text import _BASE, mix, runs_hash, shard_count, slices
 from sensorquery.session import ship_functions
 
-DIMENSIONS = 64  # token groups of a count vector
+DIMENSIONS = 64  # token groups of a count vector, at least, and those of the tree
+GROUP_SHINGLES = 8  # about so many shingles to a group
+MOST_DIMENSIONS = 1 << 14
 BLOCK_SHINGLES = 1 << 19  # of one block in step 3: 4 MB
 DOCS_PER_SHARD = 4096
 _LEAF = 16
@@ -89,10 +93,35 @@ class ShingleSets:
             total[some] = np.add.reduceat(values, self.first[some])
         return total
 
-    def vectors(self) -> np.ndarray:
-        """Counts per token group, one row per text."""
-        place = self.doc * DIMENSIONS + (mix(self.hashes ^ _SALT) % np.uint64(DIMENSIONS)).astype(np.int64)
-        return np.bincount(place, minlength=len(self.size) * DIMENSIONS).reshape(-1, DIMENSIONS).astype(np.uint32)
+    def vectors(self) -> list[bytes]:
+        """Counts per token group of each text, one byte each; 255 stands for 255 or more."""
+        length = dimensions(self.size)
+        offset = np.concatenate([[0], np.cumsum(length)])
+        group = mix(self.hashes ^ _SALT) & (length[self.doc] - 1).astype(np.uint64)
+        count = np.bincount(offset[self.doc] + group.astype(np.int64), minlength=offset[-1])
+        packed = np.minimum(count, 255).astype(np.uint8)
+        return [packed[a:b].tobytes() for a, b in zip(offset.tolist(), offset[1:].tolist())]
+
+
+def dimensions(size: np.ndarray) -> np.ndarray:
+    """Number of token groups for sets of these sizes: a power of two, so that vectors can be folded."""
+    wanted = np.clip(size // GROUP_SHINGLES, DIMENSIONS, MOST_DIMENSIONS)
+    return (1 << np.ceil(np.log2(wanted)).astype(np.int64)).astype(np.int64)
+
+
+def counts(vector, size: int, length: int | None = None) -> np.ndarray:
+    """A packed vector as numbers, folded to ``length`` groups; a full byte counts as the whole set,
+    so bounds stay above the truth."""
+    full = np.frombuffer(vector, dtype=np.uint8).astype(np.int64)
+    full[full == 255] = size
+    return full if length is None or length == len(full) else full.reshape(-1, length).sum(axis=0)
+
+
+def may_link(x, size_x: int, y, size_y: int, per_cent: int) -> bool:
+    """The sum of the smaller counts reaches the overlap that a link needs."""
+    length = min(len(x), len(y))
+    both = np.minimum(counts(x, size_x, length), counts(y, size_y, length)).sum()
+    return both * (100 + per_cent) >= per_cent * (size_x + size_y)
 
 
 def block_keys(sets: ShingleSets, use: np.ndarray, per_cent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -206,26 +235,41 @@ def _meet(table):
     })
 
 
-def _set_rows(width: int):
-    def run(batches):
-        import pyarrow as pa
+def _squeeze(batches):
+    """Texts travel compressed."""
+    import pyarrow as pa
+    import zstandard
 
-        for batch in batches:
-            ids = batch.column(0)
-            for texts in slices(batch):
-                sets = ShingleSets(texts, width)
-                vec = sets.vectors()
-                packed = [sets.hashes[a:b].tobytes() for a, b in zip(sets.first, sets.first[1:])]
-                yield pa.RecordBatch.from_arrays(
-                    [ids[texts.rows], pa.array(sets.size, pa.int64()), pa.array([v.tobytes() for v in vec], pa.binary()),
-                     pa.array(packed, pa.binary())], ["id", "size", "vector", "hashes"])
+    packer = zstandard.ZstdCompressor(level=3)
+    for batch in batches:
+        for texts in slices(batch):
+            packed = [packer.compress(texts.text(i)) for i in range(len(texts))]
+            yield pa.RecordBatch.from_arrays([batch.column(0)[texts.rows], pa.array(packed, pa.binary())], ["doc_id", "packed"])
 
-    return run
 
+def _set_rows(width: int, whole: bool):
+    """(id, size, vector) of each document, or with ``whole`` (id, hashes)."""
 
-def _needed(size, other, per_cent: int):
-    """Overlap from which two sets of these sizes link."""
-    return per_cent * (size + other) / (100 + per_cent)
+    def run(batches):
+        import pyarrow as pa
+        import zstandard
+
+        plain = zstandard.ZstdDecompressor()
+        for full in batches:
+            for at in range(0, full.num_rows, 256):
+                batch = full.slice(at, 256)
+                text = pa.array([plain.decompress(x.as_buffer()) for x in batch.column(1)], pa.large_binary()).cast(pa.large_string())
+                for texts in slices(pa.RecordBatch.from_arrays([text], ["text"])):
+                    sets = ShingleSets(texts, width)
+                    ids = batch.column(0)[texts.rows]
+                    if whole:
+                        packed = [sets.hashes[a:b].tobytes() for a, b in zip(sets.first, sets.first[1:])]
+                        yield pa.RecordBatch.from_arrays([ids, pa.array(packed, pa.binary())], ["id", "hashes"])
+                    else:
+                        yield pa.RecordBatch.from_arrays(
+                            [ids, pa.array(sets.size, pa.int64()), pa.array(sets.vectors(), pa.binary())], ["id", "size", "vector"])
+
+    return run
 
 
 def _links(a: np.ndarray, b: np.ndarray, per_cent: int) -> bool:
@@ -233,10 +277,6 @@ def _links(a: np.ndarray, b: np.ndarray, per_cent: int) -> bool:
     return 100 * both >= per_cent * (len(a) + len(b) - both)
 
 
-def _stack(column, kind, width: int) -> np.ndarray:
-    return np.frombuffer(b"".join(x.as_buffer() for x in column), dtype=kind).reshape(-1, width)
-
-
 def _bounded(per_cent: int):
     """Keeps the pairs whose count vectors allow a link."""
 
@@ -244,13 +284,13 @@ def _bounded(per_cent: int):
         import pyarrow as pa
 
         for batch in batches:
-            if not batch.num_rows:
-                continue
             get = lambda name: batch.column(batch.schema.get_field_index(name))
-            x, y = (_stack(get(n), np.uint32, DIMENSIONS) for n in ("vector_a", "vector_b"))
-            size = get("size_a").to_numpy() + get("size_b").to_numpy()
-            keep = np.minimum(x, y).sum(axis=1) >= per_cent * size / (100 + per_cent) - 1e-9
-            yield pa.RecordBatch.from_arrays([get("a"), get("b")], ["a", "b"]).filter(pa.array(keep))
+            sides = [(get(f"vector_{n}"), get(f"size_{n}").to_pylist()) for n in "ab"]
+            keep = [
+                may_link(x.as_buffer(), i, y.as_buffer(), j, per_cent)
+                for x, i, y, j in zip(sides[0][0], sides[0][1], sides[1][0], sides[1][1])
+            ]
+            yield pa.RecordBatch.from_arrays([get("a"), get("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
@@ -294,19 +334,57 @@ class CountTree:
         return self.order[at[bound >= share * (self.sizes[at] + size) - 1e-9]]
 
 
+class _Block:
+    """The members of a task: one block, or two whose members meet each other only."""
+
+    def __init__(self, table, per_cent: int):
+        get = lambda name: table.column(name).combine_chunks()
+        self.ids, self.sides, self.size = (get(n).to_numpy() for n in ("id", "side", "size"))
+        self.packed, self.per_cent = [x.as_buffer() for x in get("vector")], per_cent
+        self.vectors = np.array([counts(v, n, DIMENSIONS) for v, n in zip(self.packed, self.size.tolist())]).reshape(-1, DIMENSIONS)
+        right = np.flatnonzero(self.sides == 1)
+        self.alone = not len(right)
+        self.right = np.arange(len(self.ids)) if self.alone else right
+        self.left = np.arange(len(self.ids)) if self.alone else np.flatnonzero(self.sides == 0)
+        self.tree = CountTree(self.vectors[self.right], self.size[self.right])
+
+    def near(self, i: int, use=None):
+        """Members that may be linked with member i, each pair of a single block once."""
+        found = self.right[self.tree.search(self.vectors[i], int(self.size[i]), self.per_cent)]
+        found = found[(self.ids[found] > self.ids[i]) | ((self.ids[found] != self.ids[i]) & (not self.alone))]
+        if use is not None:
+            found = found[use(found)]
+        for j in found.tolist():
+            if may_link(self.packed[i], int(self.size[i]), self.packed[j], int(self.size[j]), self.per_cent):
+                yield j
+
+
+def _hopeful(per_cent: int):
+    """Ids of a task that some other member may be linked with, by their vectors."""
+
+    def run(table):
+        import pyarrow as pa
+
+        block, hit = _Block(table, per_cent), set()
+        for i in block.left.tolist():
+            for j in block.near(i):
+                hit |= {i, j}
+        return pa.table({"id": pa.array(block.ids[sorted(hit)], pa.int64())})
+
+    return run
+
+
 def _search_blocks(per_cent: int):
-    """Links between the sets of two blocks (or within one) that are not connected yet; of the links
-    found, only those that connect something new are returned."""
+    """Links between the members of a task that are not connected yet; of the links found, only those
+    that connect something new are returned."""
 
     def run(table):
         import pyarrow as pa
 
-        get = lambda name: table.column(name).combine_chunks()
-        ids, label, side = (get(n).to_numpy() for n in ("id", "label", "side"))
-        size = get("size").to_numpy()
-        vectors = _stack(get("vector"), np.uint32, DIMENSIONS)
-        packed = get("hashes")
-        parent = {x: x for x in label.tolist()}
+        block = _Block(table, per_cent)
+        label = table.column("label").combine_chunks().to_numpy()
+        packed = table.column("hashes").combine_chunks()
+        parent, found, hashes = {x: x for x in label.tolist()}, [], {}
 
         def root(x):
             while parent[x] != x:
@@ -314,22 +392,13 @@ def _search_blocks(per_cent: int):
                 x = parent[x]
             return x
 
-        right = np.flatnonzero(side == 1)
-        alone = not len(right)
-        right = np.arange(len(ids)) if alone else right
-        left = np.arange(len(ids)) if alone else np.flatnonzero(side == 0)
-        tree, found = CountTree(vectors[right], size[right]), []
-        hashes: dict[int, np.ndarray] = {}
-
         def of(i):
             if i not in hashes:
                 hashes[i] = np.frombuffer(packed[i].as_buffer(), np.uint64)
             return hashes[i]
 
-        for i in left.tolist():
-            near = right[tree.search(vectors[i], int(size[i]), per_cent)]
-            near = near[(label[near] != label[i]) & ((ids[near] > ids[i]) | (not alone))]
-            for j in near.tolist():
+        for i in block.left.tolist():
+            for j in block.near(i, lambda at: label[at] != label[i]):  # noqa: B023
                 p, q = root(int(label[i])), root(int(label[j]))
                 if p != q and _links(of(i), of(j), per_cent):
                     parent[max(p, q)] = min(p, q)
@@ -339,28 +408,24 @@ def _search_blocks(per_cent: int):
     return run
 
 
-def _unconnected(sets: DataFrame, pairs: DataFrame, links: DataFrame, per_cent: int) -> DataFrame:
-    """Step 3: links (label, label) between sets of one candidate component not connected by links."""
-    group, label = components(pairs), components(links)
-    members = (
-        group.select(F.col("node").alias("id"), F.col("label").alias("grp"))
-        .join(label.select(F.col("node").alias("id"), "label"), "id", "left")
-        .select("id", "grp", F.coalesce("label", "id").alias("label"))
-    )
-    open_groups = members.groupBy("grp").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("grp")
+def _tasks(pairs: DataFrame, vectors: DataFrame, per_cent: int) -> DataFrame:
+    """(task, side, id, grp) for step 3: the members of each candidate component in blocks of bounded
+    size by size class, every block with itself, its fellows and those of the next class. A component
+    of two has no pair besides the candidate itself."""
+    group = components(pairs).select(F.col("node").alias("id"), F.col("label").alias("grp"))
+    several = group.groupBy("grp").agg(F.count("*").alias("n")).where("n > 2").select("grp")
     _, highs = size_classes(per_cent)
-    sizes = sets.groupBy("id").agg(F.max("size").alias("most"))
+    sizes = vectors.groupBy("id").agg(F.max("size").alias("most"))
     # Class number by the largest size of each class; a fixed list of some 170 bounds.
     cls = F.size(F.filter(F.array(*[F.lit(int(h)) for h in highs]), lambda h: h < F.col("most")))
-    placed = members.join(open_groups, "grp").join(sizes, "id").withColumn("cls", cls)
-    per = placed.groupBy("grp", "cls").agg(F.ceil(F.sum("most") / BLOCK_SHINGLES).cast("int").alias("blocks"))
+    placed = group.join(several, "grp").join(sizes, "id").withColumn("cls", cls)
+    per = written(placed.groupBy("grp", "cls").agg(F.ceil(F.sum("most") / BLOCK_SHINGLES).cast("int").alias("blocks")), "classes")
     block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    dealt = written(placed.join(per, ["grp", "cls"]).select("id", "label", "grp", "cls", block.alias("block")), "blocks")
+    dealt = placed.join(per, ["grp", "cls"]).select("id", "grp", "cls", block.alias("block"))
     lists = per.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
-    own = lists.select("grp", "cls", "block", F.col("cls").alias("cls2"))
     beside = per.select("grp", F.col("cls").alias("cls2"), F.col("blocks").alias("n2"))
     mates = (
-        own.withColumn("cls2", F.explode(F.array("cls", F.col("cls") + 1))).join(beside, ["grp", "cls2"])
+        lists.withColumn("cls2", F.explode(F.array("cls", F.col("cls") + 1))).join(beside, ["grp", "cls2"])
         .withColumn("block2", F.explode(F.sequence(F.lit(0), F.col("n2") - 1)))
         .where("cls2 > cls or block2 >= block").drop("n2")
         .withColumn("task", F.xxhash64("grp", "cls", "block", "cls2", "block2"))
@@ -368,9 +433,7 @@ def _unconnected(sets: DataFrame, pairs: DataFrame, links: DataFrame, per_cent:
     one = mates.select("task", "grp", "cls", "block", F.lit(0).alias("side"))
     two = mates.where("cls2 > cls or block2 > block").select(
         "task", "grp", F.col("cls2").alias("cls"), F.col("block2").alias("block"), F.lit(1).alias("side"))
-    tasks = dealt.join(one.unionByName(two), ["grp", "cls", "block"]).select("task", "side", "id", "label")
-    full = tasks.join(sets, "id")
-    return full.groupBy("task").applyInArrow(_search_blocks(per_cent), "a long, b long")
+    return written(dealt.join(one.unionByName(two), ["grp", "cls", "block"]).select("task", "side", "id", "grp"), "tasks")
 
 
 def similar_groups(docs: DataFrame, *, width: int = 5, per_cent: int = 80) -> DataFrame:
@@ -378,9 +441,7 @@ def similar_groups(docs: DataFrame, *, width: int = 5, per_cent: int = 80) -> Da
     that links reach from it."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     known = own.where("doc_id is not null")
-    shards = 16
-    while shards * DOCS_PER_SHARD < known.count():
-        shards *= 2
+    shards = shard_count(known.count(), DOCS_PER_SHARD)
     met = written(
         known.mapInArrow(_dealt_keys(width, per_cent, shards), _DEALT)
         .groupBy("shard").applyInArrow(_meet, _MET), "met")
@@ -399,22 +460,35 @@ def similar_groups(docs: DataFrame, *, width: int = 5, per_cent: int = 80) -> Da
         .join(node.select(F.col("doc_id").alias("b"), F.col("node").alias("y")), "b")
         .where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "pairs")
 
-    involved = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = written(
-        known.join(involved.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
-        .mapInArrow(_set_rows(width), "id long, size long, vector binary, hashes binary"), "sets")
-
-    def side(name: str, *cols: str):
-        return sets.select(F.col("id").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in cols])
-
-    possible = (
-        pairs.join(side("a", "size", "vector"), "a").join(side("b", "size", "vector"), "b")
-        .mapInArrow(_bounded(per_cent), "a long, b long")
-    )
+    packed = known.mapInArrow(_squeeze, "doc_id long, packed binary")
+
+    def side(rows: DataFrame, name: str, *cols: str):
+        return rows.select(F.col("id").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in cols])
+
+    def read(ids: DataFrame, whole: bool, layout: str, label: str):
+        chosen = packed.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
+        return written(chosen.mapInArrow(_set_rows(width, whole), layout), label)
+
+    ends = [pairs.select(F.col(c).alias("id")) for c in "ab"]
+    vectors = read(ends[0].unionByName(ends[1]).distinct(), False, "id long, size long, vector binary", "vectors")
+    possible = written(
+        pairs.join(side(vectors, "a", "size", "vector"), "a").join(side(vectors, "b", "size", "vector"), "b")
+        .mapInArrow(_bounded(per_cent), "a long, b long"), "possible")
+    tasks = _tasks(pairs, vectors, per_cent)
+    hopeful = tasks.join(vectors, "id").groupBy("task").applyInArrow(_hopeful(per_cent), "id long")
+    ends = [possible.select(F.col(c).alias("id")) for c in "ab"]
+    wanted = written(ends[0].unionByName(ends[1]).unionByName(hopeful).distinct(), "wanted")
+    sets = read(wanted, True, "id long, hashes binary", "sets")
     links = written(
-        possible.join(side("a", "hashes"), "a").join(side("b", "hashes"), "b")
+        possible.join(side(sets, "a", "hashes"), "a").join(side(sets, "b", "hashes"), "b")
         .mapInArrow(_verified(per_cent), "a long, b long").unionByName(ties), "links")
-    late = written(_unconnected(sets, pairs, links, per_cent), "late-links")
+
+    label = written(components(links).select(F.col("node").alias("id"), "label"), "labels")
+    left = tasks.join(wanted, "id", "left_semi").join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    unsure = left.groupBy("task").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("task")
+    late = written(
+        left.join(unsure, "task", "left_semi").join(vectors, "id").join(sets, "id")
+        .groupBy("task").applyInArrow(_search_blocks(per_cent), "a long, b long"), "late-links")
     label = components(links.unionByName(late))
     found = placed.join(label.select("node", "label"), "node", "left").select(
         "doc_id", F.col("size").alias("n_shingles"), F.coalesce("label", "node").alias("component_id"))

@@ -76,7 +76,8 @@ def test_components_by_brute_force(spark):
         a, b = root(a), root(b)
         parent[max(a, b)] = min(a, b)
     df = spark.createDataFrame([*edges, (None, 3)], "a long, b long")
-    assert {(r.node, r.label) for r in components.components(df).collect()} == {(x, root(x)) for x in parent}
+    for local in (0, 1 << 20):  # by rounds, and in one task
+        assert {(r.node, r.label) for r in components.components(df, local).collect()} == {(x, root(x)) for x in parent}
     assert components.components(df.limit(0)).count() == 0
 
 
@@ -154,15 +155,33 @@ def test_linked_sets_share_a_key():
 
 def test_tree_finds_all_that_may_link():
     rng = np.random.default_rng(1)
-    vectors = rng.poisson(3, (200, ngram_join.DIMENSIONS)).astype(np.uint32)
-    vectors[100:] = np.maximum(vectors[:100].astype(int) + rng.integers(-1, 2, (100, ngram_join.DIMENSIONS)), 0)
-    sizes = vectors.sum(axis=1).astype(np.int64)
+    vectors = rng.poisson(3, (200, ngram_join.DIMENSIONS)).astype(np.int64)
+    vectors[100:] = np.maximum(vectors[:100] + rng.integers(-1, 2, (100, ngram_join.DIMENSIONS)), 0)
+    sizes = vectors.sum(axis=1)
     tree = ngram_join.CountTree(vectors, sizes)
     for i in range(200):
         want = np.flatnonzero(np.minimum(vectors, vectors[i]).sum(axis=1) * 180 >= 80 * (sizes + sizes[i]))
         assert sorted(tree.search(vectors[i], int(sizes[i]), 80).tolist()) == want.tolist()
 
 
+def test_bound_is_never_below_the_overlap():
+    from sensorquery.llm.text import Texts
+
+    rng = random.Random(3)
+    for n in (5, 60, 700, 6000):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+        other = words[:n - n // 20] + [f"e{i}" for i in range(n // 3)]
+        texts = [" ".join(w).encode() for w in (words, other)]
+        sets = ngram_join.ShingleSets(
+            Texts(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]), slice(0, 2)), 4)
+        x, y = sets.vectors()
+        length = min(len(x), len(y))
+        both = len(np.intersect1d(sets.hashes[sets.doc == 0], sets.hashes[sets.doc == 1]))
+        bound = np.minimum(*(ngram_join.counts(v, int(s), length) for v, s in zip((x, y), sets.size))).sum()
+        assert bound >= both
+        assert sum(ngram_join.counts(x, int(sets.size[0]))) >= sets.size[0]
+
+
 def test_one_of_each_group_keeps_the_columns(awkward_docs):
     rows = ngram_join.one_of_each_group(awkward_docs)
     assert rows.columns == awkward_docs.columns
