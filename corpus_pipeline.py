@@ -13,30 +13,36 @@ from sensorquery.llm import exact_dedup, ngram_join, packing, secrets, site_qual
 from sensorquery.llm.components import written
 from sensorquery.llm.queries import vocabulary
 from sensorquery.llm.registry import documents, labels
+from sensorquery.llm.text import small_batches
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject; hosts are sources, paths their languages."""
+    small_batches(spark)
     return site_quality.accepted(docs, labels(spark, sf_dir), F.col("source"), F.col("lang"))
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the document with the largest id."""
+    small_batches(spark)
     return exact_dedup.distinct_documents(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of every group linked by five-word shingles at 0.8 the document with the smallest id."""
+    small_batches(spark)
     return ngram_join.one_of_each_group(docs, width=5, per_cent=80)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, their secrets replaced."""
+    small_batches(spark)
     return secrets.redact(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the documents in sequences of 2048 tokens."""
+    small_batches(spark)
     return packing.pack_documents(docs, vocabulary())
 
 

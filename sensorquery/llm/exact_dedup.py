@@ -29,7 +29,7 @@ _CONF = {
     # Many small stores: without this each reserves megabytes of disk before it holds a row.
     "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
-    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "200",
+    "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "64",
 }
 BYTES_PER_TRIGGER = 16 << 30  # digest rows of one micro-batch
 ARRIVALS = "doc_id long, digest binary, sha binary, other binary, locator string, row_no long"
@@ -115,13 +115,13 @@ def advance_state(spark: SparkSession, arrived: str, state: str) -> DataFrame:
     )
 
 
-def _collisions(docs: DataFrame, state: DataFrame, digest_bytes: int) -> DataFrame:
-    """Digests whose rows hold different texts. The texts of one digest combine in the map tasks, so
-    a large group of copies sends one text per task."""
+def _collisions(docs: DataFrame, digest_bytes: int) -> DataFrame:
+    """Digests whose rows hold different texts, found by comparing the full bytes of equal digests. The
+    copies of one text combine in the map tasks, so a large group sends one text per task, and the
+    texts of one digest are counted afterwards, as numbers."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     bodies = own.mapInArrow(_bodies(digest_bytes), "doc_id long, digest binary, body binary")
-    hits = bodies.join(state.where("group_size > 1").select("digest"), "digest")
-    different = hits.groupBy(F.sha1("digest").alias("_d"), "digest", "body").agg(F.count("*").alias("n"))
+    different = bodies.groupBy("digest", "body").agg(F.count("*").alias("n")).select("digest")
     return different.groupBy("digest").agg(F.count("*").alias("texts")).where("texts > 1").select("digest")
 
 
@@ -139,7 +139,7 @@ def dedup(docs: DataFrame, *, state: str | None = None, digest_bytes: int = 32)
         groups.write.parquet(stored)
     groups = spark.read.parquet(stored)
     rows = spark.read.schema(ARRIVALS).parquet(arrived)
-    collided = _collisions(docs, groups, digest_bytes)
+    collided = _collisions(docs, digest_bytes)
     seen = scratch_path(spark, "dedup-collided")
     collided.write.parquet(seen)
     collided = spark.read.schema("digest binary").parquet(seen)

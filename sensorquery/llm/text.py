@@ -14,7 +14,7 @@ import numpy as np
 
 from sensorquery.session import ship_functions
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 # The white space that ends a word: blank and 0x09-0x0D.
 _BLANK = np.zeros(256, dtype=bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
@@ -23,6 +23,11 @@ _LOWER[65:91] += 32
 _BASE = 0x9E3779B97F4A7C13
 
 
+def small_batches(spark) -> None:
+    """Rows of texts are large: fewer of them to an Arrow batch keep the buffers of a task small."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
 def worker_cache() -> dict:
     """A dictionary that outlives the task: Python workers are reused, by-value functions are not."""
     name = "_sensorquery_worker_cache"

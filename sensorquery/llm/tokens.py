@@ -34,7 +34,6 @@ class ByteTokenizer:
 
     def __init__(self, path: str):
         import tiktoken
-        from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -46,9 +45,7 @@ class ByteTokenizer:
             or any(re.search(r"\s", t["content"]) or t["lstrip"] or t["rstrip"] or t["single_word"] for t in added)
         ):
             raise ValueError("a byte-level BPE file without normalizer and prefix space is needed")
-        self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
+        self.path, self._library = path, None
         to_byte = _byte_of_char()
         vocab = {bytes(to_byte[c] for c in k): v for k, v in model["vocab"].items()
                  if all(c in to_byte for c in k)}
@@ -70,6 +67,17 @@ class ByteTokenizer:
             if len(single) == 256 and max(single.values()) < merged[0]:
                 self.fast = tiktoken.Encoding("bytes", pat_str=_SPLIT, mergeable_ranks=vocab, special_tokens={})
 
+    @property
+    def library(self):
+        """The tokenizers library's object, loaded when a text needs it."""
+        if self._library is None:
+            from tokenizers import Tokenizer
+
+            self._library = Tokenizer.from_file(self.path)
+            self._library.no_truncation()
+            self._library.no_padding()
+        return self._library
+
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit numbers."""
         if self.fast is None or any(s in text for s in self.special):
