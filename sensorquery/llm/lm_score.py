@@ -3,7 +3,8 @@
 Tokens are the words of the text with A-Z lower-cased, then one end token. Documents whose
 crc32(doc_id as text) mod FOLDS is 0 are held out; all others are counted, whole.
 
-Word counts are exact and never broadcast. Documents are taken in blocks of some megabytes; a block
+Word counts are exact and never broadcast. Documents are taken in blocks of some megabytes, which are
+written once, so that questions and scores are of the same blocks; a block
 asks for the counts of its distinct words only, packed by shard of the word, and a shard answers each
 block in the order of its question. Word pairs are counted in the same shards. A pair seen at least
 LEAST_COUNT times enters the shard's segment of the filter at the levels 1 .. q of its quantised
@@ -90,13 +91,24 @@ def _block_name(docs, texts: Texts) -> bytes:
     return name.digest()
 
 
+def _block(batch, i: int):
+    """Ids and texts of a row of the blocks' table."""
+    import zstandard
+
+    get = lambda name: batch.column(batch.schema.get_field_index(name))[i]
+    raw, docs = zstandard.ZstdDecompressor().decompress(get("packed").as_buffer()), get("ids").as_py()
+    offsets = np.frombuffer(get("offsets").as_buffer(), dtype="<i8")
+    return docs, Texts(np.frombuffer(raw, dtype=np.uint8), offsets, slice(0, len(docs)))
+
+
 def _questions(shards: int):
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            for texts in slices(batch, limit=BLOCK_BYTES):
-                docs = batch.column(0)[texts.rows].to_pylist()
+            for i in range(batch.num_rows):
+                docs, texts = _block(batch, i)
+                name, out = batch.column(batch.schema.get_field_index("block"))[i].as_py(), [[] for _ in range(7)]
                 tokens = Tokens(texts)
                 used = np.repeat(np.array([not held_out(d) for d in docs], dtype=bool), tokens.count)
                 keys, cut = _asked(tokens, shards)
@@ -110,7 +122,6 @@ def _questions(shards: int):
                 order = np.argsort(home, kind="stable")
                 pair, times, home = pair[order].astype(np.uint32), times[order].astype(np.uint32), home[order]
                 edge = np.searchsorted(home, np.arange(shards + 1, dtype=np.uint64))
-                name, out = _block_name(docs, texts), [[] for _ in range(7)]
                 for s in np.flatnonzero((np.diff(cut) > 0) | (np.diff(edge) > 0)).tolist():
                     a, b, c, d = int(cut[s]), int(cut[s + 1]), int(edge[s]), int(edge[s + 1])
                     once = times[c:d] == 1
@@ -224,18 +235,14 @@ class BloomCounts:
 def _scores(shards: int, tokens_seen: int, words_seen: int, shared, segment_bits: int):
     def run(batches):
         import pyarrow as pa
-        import zstandard
 
-        plain = zstandard.ZstdDecompressor()
         pairs = BloomCounts(shared.value, shards, segment_bits)
         for batch in batches:
             for i in range(batch.num_rows):
-                get = lambda name: batch.column(batch.schema.get_field_index(name))[i]  # noqa: B023, E731
-                raw, docs = plain.decompress(get("packed").as_buffer()), get("ids").as_py()
-                offsets = np.frombuffer(get("offsets").as_buffer(), dtype="<i8")
-                tokens = Tokens(Texts(np.frombuffer(raw, dtype=np.uint8), offsets, slice(0, len(docs))))
+                docs, texts = _block(batch, i)
+                tokens = Tokens(texts)
                 keys, _ = _asked(tokens, shards)
-                answer = {x["shard"]: x["counts"] for x in get("answers").as_py()}
+                answer = {x["shard"]: x["counts"] for x in batch.column(batch.schema.get_field_index("answers"))[i].as_py()}
                 count = np.frombuffer(b"".join(answer[s] for s in sorted(answer)), dtype="<i8")
                 order = np.argsort(keys, kind="stable")
                 sorted_keys = keys[order]
@@ -262,12 +269,14 @@ SCORES = ("doc_id long, held_out boolean, n_tokens long, n_known long, train_tok
 def score(docs: DataFrame, *, filter_bits: int = FILTER_BITS) -> DataFrame:
     """Counts the documents that are not held out and scores all of them: SCORES."""
     spark = docs.sparkSession
-    shards = shard_count(docs.count(), DOCS_PER_SHARD)
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    # Cut once and written: another scan may see other splits, batches or row orders, so other blocks.
+    blocks = written(own.mapInArrow(_blocks, "block binary, ids array<long>, offsets binary, packed binary"), "blocks")
+    shards = shard_count(blocks.agg(F.sum(F.size("ids"))).first()[0] or 0, DOCS_PER_SHARD)
     segment_bits = max(64, filter_bits // shards)
     segment_bits -= segment_bits % 8
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     answers = written(
-        own.mapInArrow(_questions(shards), _ASKED).groupBy("shard").applyInArrow(_answers(segment_bits, int(_BEGIN)), _ANSWER),
+        blocks.mapInArrow(_questions(shards), _ASKED).groupBy("shard").applyInArrow(_answers(segment_bits, int(_BEGIN)), _ANSWER),
         "answers")
     told = answers.where("block is null")
     seen = told.agg(F.sum("tokens").alias("n"), F.sum("words").alias("v")).first()
@@ -278,7 +287,6 @@ def score(docs: DataFrame, *, filter_bits: int = FILTER_BITS) -> DataFrame:
     shared = spark.sparkContext.broadcast(bytes(bits))
     by_block = answers.where("block is not null").groupBy("block").agg(
         F.collect_list(F.struct("shard", "counts")).alias("answers"))
-    blocks = own.mapInArrow(_blocks, "block binary, ids array<long>, offsets binary, packed binary")
     return blocks.join(by_block, "block").mapInArrow(
         _scores(shards, seen["n"] or 0, seen["v"] or 0, shared, segment_bits), SCORES)
 

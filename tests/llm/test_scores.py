@@ -59,6 +59,21 @@ def test_pairs_help_on_held_out_copies(spark, small):
     assert both[0] > both[1]
 
 
+def test_no_document_is_lost_when_scans_differ(spark):
+    def dealt_anew(batches):  # as after a shuffle: every scan sees another order of rows
+        import random
+
+        import pyarrow as pa
+
+        rows = [r for b in batches for r in b.to_pylist()]
+        random.SystemRandom().shuffle(rows)
+        yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("doc_id", pa.int64()), ("text", pa.string())]))
+
+    rows = [(i, f"word{i} and word{i % 7}") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").mapInArrow(dealt_anew, "doc_id long, text string")
+    assert sorted(r.doc_id for r in lm_score.score(docs).select("doc_id").collect()) == list(range(300))
+
+
 # -- secrets -------------------------------------------------------------------------------------
 
 ASSIGN = re.compile(r"((?ai:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
