@@ -6,11 +6,12 @@ crc32(doc_id as text) mod FOLDS is 0 are held out; all others are counted, whole
 Word counts are exact and never broadcast. Documents are taken in blocks of some megabytes, which are
 written once, so that questions and scores are of the same blocks; a block
 asks for the counts of its distinct words only, packed by shard of the word, and a shard answers each
-block in the order of its question. Word pairs are counted in the same shards. A pair seen at least
-LEAST_COUNT times enters the shard's segment of the filter at the levels 1 .. q of its quantised
-count, q = 1 + floor(log(count) / log(BASE)). The filter has FILTER_BITS bits whatever the corpus,
-which bounds the broadcast; a larger corpus makes it fuller, so raise the parameter with the corpus.
-A score probes level after level until a miss and takes the mean count of the last level hit.
+block in the order of its question. Word pairs are counted and asked for in the same way. Every pair
+seen enters the shard's segment of the filter at the levels 1 .. q of its quantised count,
+q = 1 + floor(log(count) / log(BASE)). A segment is sized by the levels it takes in, to a share FILL
+of bits set, and lives in its shard's task only: the filter grows with the corpus, nothing of it is
+broadcast. The shard probes level after level until a miss and answers the last level hit, a byte a
+pair; its mean count is the pair's count.
 
 P(w | v) = WEIGHT * c(v, w) / c(v) + (1 - WEIGHT) * (c(w) + 0.1) / (N + 0.1 (V + 1)), where c(v, w) is
 no larger than c(v) and c(w). Base scores use the second part alone. Words are told apart by 64 bits.
@@ -36,11 +37,11 @@ from sensorquery.session import ship_functions
 FOLDS = 10
 BLOCK_BYTES = 4 << 20
 DOCS_PER_SHARD = 4096
-FILTER_BITS = 1 << 28
 PROBES = 4
+FILL = 0.25  # bits set in a segment: a miss passes a level with probability FILL ** PROBES
 BASE = 1.5
 LEVELS = 64  # counts up to BASE ** LEVELS, beyond any corpus
-LEAST_COUNT = 2
+LEAST_COUNT = 2  # of filter_segment where not given; scores take pairs seen once too
 WEIGHT = 0.2
 _END, _BEGIN = np.uint64(0x5EED0FE2D0E2D000), np.uint64(0x5EED0B3617B36170)
 _STEP, _TRY = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)
@@ -83,6 +84,17 @@ def _asked(tokens: Tokens, shards: int):
     return keys[order], np.searchsorted(shard[order], np.arange(shards + 1, dtype=np.uint64))
 
 
+def _asked_pairs(tokens: Tokens, docs, shards: int):
+    """The distinct pairs of a block ordered by shard, in each those counted once first, how often the
+    documents that are not held out have them, and the borders."""
+    used = np.repeat(np.array([not held_out(d) for d in docs], dtype=bool), tokens.count)
+    pair, at = np.unique(tokens.pair, return_inverse=True)
+    times = np.bincount(at[used], minlength=len(pair)).astype(np.uint32)
+    home = (pair >> np.uint64(32)) % np.uint64(shards)
+    order = np.lexsort((times != 1, home))
+    return pair[order], times[order], np.searchsorted(home[order], np.arange(shards + 1, dtype=np.uint64))
+
+
 def _block_name(docs, texts: Texts) -> bytes:
     name = hashlib.blake2b(digest_size=16)
     name.update(",".join(map(str, docs)).encode())
@@ -117,11 +129,8 @@ def _questions(shards: int):
                 count = np.bincount(at, minlength=len(keys)).astype(np.uint32)
                 begins = int(sum(not held_out(d) for d in docs))
                 count[place[np.searchsorted(keys[place], _BEGIN)]] = begins
-                pair, times = np.unique(tokens.pair[used], return_counts=True)
-                home = (pair >> np.uint64(32)) % np.uint64(shards)
-                order = np.argsort(home, kind="stable")
-                pair, times, home = pair[order].astype(np.uint32), times[order].astype(np.uint32), home[order]
-                edge = np.searchsorted(home, np.arange(shards + 1, dtype=np.uint64))
+                pair, times, edge = _asked_pairs(tokens, docs, shards)
+                pair = pair.astype(np.uint32)
                 for s in np.flatnonzero((np.diff(cut) > 0) | (np.diff(edge) > 0)).tolist():
                     a, b, c, d = int(cut[s]), int(cut[s + 1]), int(edge[s]), int(edge[s + 1])
                     once = times[c:d] == 1
@@ -137,7 +146,7 @@ def _questions(shards: int):
 
 
 _ASKED = "shard int, block binary, keys binary, counts binary, once binary, pairs binary, times binary"
-_ANSWER = "block binary, shard int, counts binary, segment binary, tokens long, words long"
+_ANSWER = "block binary, shard int, counts binary, levels binary, tokens long, words long"
 
 
 def probe_places(key: np.ndarray, level: int, segment_bits: int) -> np.ndarray:
@@ -147,17 +156,28 @@ def probe_places(key: np.ndarray, level: int, segment_bits: int) -> np.ndarray:
     return mix(key.astype(np.uint64) + probes * _TRY + step) % np.uint64(segment_bits)
 
 
-def filter_segment(key: np.ndarray, count: np.ndarray, segment_bits: int) -> bytes:
+def _levels(count: np.ndarray) -> np.ndarray:
+    return 1 + np.floor(np.log(count) / math.log(BASE) + 1e-9).astype(np.int64)
+
+
+def sized_segment(count: np.ndarray, least_bits: int = 64) -> int:
+    """Bits that the levels of these counts fill to FILL, in whole bytes."""
+    marks = PROBES * int(_levels(count[count > 0]).sum())
+    bits = max(64, least_bits, math.ceil(marks / -math.log(1 - FILL)))
+    return bits + -bits % 8
+
+
+def filter_segment(key: np.ndarray, count: np.ndarray, segment_bits: int, least: int = LEAST_COUNT) -> bytes:
     """The levels of every key that was seen often enough, as packed bits."""
-    keep = count >= LEAST_COUNT
-    key, level = key[keep], 1 + np.floor(np.log(count[keep]) / math.log(BASE) + 1e-9).astype(np.int64)
+    keep = count >= least
+    key, level = key[keep], _levels(count[keep])
     bits = np.zeros(segment_bits, dtype=bool)
     for j in range(1, int(level.max(initial=0)) + 1):
         bits[probe_places(key[level >= j], j, segment_bits).ravel()] = True
     return np.packbits(bits, bitorder="little").tobytes()
 
 
-def _answers(segment_bits: int, begin: int):
+def _answers(least_bits: int, begin: int):
     def run(table):
         import pyarrow as pa
 
@@ -173,16 +193,21 @@ def _answers(segment_bits: int, begin: int):
         times = np.concatenate(column("times", np.uint32)).astype(np.int64)
         pair, at = np.unique(np.concatenate([once, pairs]), return_inverse=True)
         seen = np.bincount(at, weights=np.concatenate([np.ones(len(once)), times]), minlength=len(pair)).astype(np.int64)
-        answer, low = [], 0
-        for k in keys:
+        size = sized_segment(seen, least_bits)
+        level = BloomCounts(filter_segment(pair, seen, size, least=1), 1, size).levels(pair.astype(np.uint64)).astype(np.uint8)
+        level_once, level_more = level[at[:len(once)]], level[at[len(once):]]
+        answer, levels, low, low_once, low_more = [], [], 0, 0, 0
+        for k, o, m in zip(keys, table.column("once").combine_chunks(), table.column("pairs").combine_chunks()):
             answer.append(total[where[low:low + len(k)]].astype("<i8").tobytes())
-            low += len(k)
+            n_once, n_more = len(o.as_buffer()) // 4, len(m.as_buffer()) // 4
+            levels.append(level_once[low_once:low_once + n_once].tobytes() + level_more[low_more:low_more + n_more].tobytes())
+            low, low_once, low_more = low + len(k), low_once + n_once, low_more + n_more
         n, shard = len(keys), table.column("shard")[0].as_py()
         return pa.table({
             "block": pa.concat_arrays([table.column("block").combine_chunks(), pa.nulls(1, pa.binary())]),
             "shard": pa.array([shard] * (n + 1), pa.int32()),
             "counts": pa.array([*answer, None], pa.binary()),
-            "segment": pa.array([None] * n + [filter_segment(pair, seen, segment_bits)], pa.binary()),
+            "levels": pa.array([*levels, None], pa.binary()),
             "tokens": pa.array([None] * n + [int(total[real].sum())], pa.int64()),
             "words": pa.array([None] * n + [int((total[real] > 0).sum())], pa.int64()),
         })
@@ -207,6 +232,11 @@ def _blocks(batches):
             ], ["block", "ids", "offsets", "packed"])
 
 
+def _mean_counts() -> np.ndarray:
+    """The mean count of each level."""
+    return np.array([0.0] + [(BASE ** (j - 1) + BASE ** j) / 2 for j in range(1, LEVELS)])
+
+
 class BloomCounts:
     """Reads quantised counts from the segments of a log-frequency filter."""
 
@@ -220,7 +250,7 @@ class BloomCounts:
             hit &= (self.bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
         return hit
 
-    def counts(self, pair: np.ndarray) -> np.ndarray:
+    def levels(self, pair: np.ndarray) -> np.ndarray:
         shard, key = (pair >> np.uint64(32)) % np.uint64(self.shards), pair & np.uint64(0xFFFFFFFF)
         level, alive = np.zeros(len(pair), dtype=np.int64), np.arange(len(pair))
         for j in range(1, LEVELS):
@@ -228,28 +258,33 @@ class BloomCounts:
             if not len(alive):
                 break
             level[alive] = j
-        middle = np.array([0.0] + [(BASE ** (j - 1) + BASE ** j) / 2 for j in range(1, LEVELS)])
-        return middle[level]
+        return level
+
+    def counts(self, pair: np.ndarray) -> np.ndarray:
+        return _mean_counts()[self.levels(pair)]
 
 
-def _scores(shards: int, tokens_seen: int, words_seen: int, shared, segment_bits: int):
+def _scores(shards: int, tokens_seen: int, words_seen: int):
     def run(batches):
         import pyarrow as pa
 
-        pairs = BloomCounts(shared.value, shards, segment_bits)
+        middle = _mean_counts()
         for batch in batches:
             for i in range(batch.num_rows):
                 docs, texts = _block(batch, i)
                 tokens = Tokens(texts)
                 keys, _ = _asked(tokens, shards)
-                answer = {x["shard"]: x["counts"] for x in batch.column(batch.schema.get_field_index("answers"))[i].as_py()}
-                count = np.frombuffer(b"".join(answer[s] for s in sorted(answer)), dtype="<i8")
+                answer = {x["shard"]: (x["counts"], x["levels"]) for x in batch.column(batch.schema.get_field_index("answers"))[i].as_py()}
+                count = np.frombuffer(b"".join(answer[s][0] for s in sorted(answer)), dtype="<i8")
+                pair, _, _ = _asked_pairs(tokens, docs, shards)
+                level = np.frombuffer(b"".join(answer[s][1] for s in sorted(answer)), dtype=np.uint8)
+                level = level[np.argsort(pair)][np.searchsorted(np.sort(pair), tokens.pair)]
                 order = np.argsort(keys, kind="stable")
                 sorted_keys = keys[order]
                 c = count[order[np.searchsorted(sorted_keys, tokens.key)]].astype(float)
                 before = count[order[np.searchsorted(sorted_keys, tokens.before)]].astype(float)
                 alone = (c + 0.1) / (tokens_seen + 0.1 * (words_seen + 1))
-                both = np.minimum(pairs.counts(tokens.pair), np.minimum(c, before))
+                both = np.minimum(middle[level], np.minimum(c, before))
                 together = np.where(before > 0, WEIGHT * both / np.maximum(before, 1) + (1 - WEIGHT) * alone, alone)
                 n = len(docs)
                 yield pa.RecordBatch.from_arrays([
@@ -266,29 +301,21 @@ def _scores(shards: int, tokens_seen: int, words_seen: int, shared, segment_bits
 SCORES = ("doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
-def score(docs: DataFrame, *, filter_bits: int = FILTER_BITS) -> DataFrame:
-    """Counts the documents that are not held out and scores all of them: SCORES."""
-    spark = docs.sparkSession
+def score(docs: DataFrame, *, filter_bits: int = 0) -> DataFrame:
+    """Counts the documents that are not held out and scores all of them: SCORES. The filter has
+    ``filter_bits`` bits at least."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     # Cut once and written: another scan may see other splits, batches or row orders, so other blocks.
     blocks = written(own.mapInArrow(_blocks, "block binary, ids array<long>, offsets binary, packed binary"), "blocks")
     shards = shard_count(blocks.agg(F.sum(F.size("ids"))).first()[0] or 0, DOCS_PER_SHARD)
-    segment_bits = max(64, filter_bits // shards)
-    segment_bits -= segment_bits % 8
     answers = written(
-        blocks.mapInArrow(_questions(shards), _ASKED).groupBy("shard").applyInArrow(_answers(segment_bits, int(_BEGIN)), _ANSWER),
+        blocks.mapInArrow(_questions(shards), _ASKED).groupBy("shard").applyInArrow(
+            _answers(filter_bits // shards, int(_BEGIN)), _ANSWER),
         "answers")
-    told = answers.where("block is null")
-    seen = told.agg(F.sum("tokens").alias("n"), F.sum("words").alias("v")).first()
-    bits = bytearray(shards * segment_bits // 8)  # a fixed size, whatever the corpus
-    for row in told.select("shard", "segment").toLocalIterator():
-        at = row["shard"] * segment_bits // 8
-        bits[at:at + len(row["segment"])] = row["segment"]
-    shared = spark.sparkContext.broadcast(bytes(bits))
+    seen = answers.where("block is null").agg(F.sum("tokens").alias("n"), F.sum("words").alias("v")).first()
     by_block = answers.where("block is not null").groupBy("block").agg(
-        F.collect_list(F.struct("shard", "counts")).alias("answers"))
-    return blocks.join(by_block, "block").mapInArrow(
-        _scores(shards, seen["n"] or 0, seen["v"] or 0, shared, segment_bits), SCORES)
+        F.collect_list(F.struct("shard", "counts", "levels")).alias("answers"))
+    return blocks.join(by_block, "block").mapInArrow(_scores(shards, seen["n"] or 0, seen["v"] or 0), SCORES)
 
 
 ship_functions(__name__)

@@ -59,6 +59,48 @@ def test_pairs_help_on_held_out_copies(spark, small):
     assert both[0] > both[1]
 
 
+def test_scores_follow_exact_pair_counts_whatever_the_filter(spark):
+    rng = np.random.default_rng(6)
+    words = [f"w{i}" for i in range(60)]
+    rows = [(i, " ".join(rng.choice(words, 30))) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    held = lambda i: zlib.crc32(str(i).encode()) % 10 == 0
+    single, pairs = Counter(), Counter()
+    for i, t in rows:
+        if not held(i):
+            w = _tokens(t)
+            single.update(w)
+            single["begin"] += 1
+            pairs.update(zip(["begin", *w], w))
+    total, kinds = sum(n for w, n in single.items() if w != "begin"), len(single) - 1
+
+    def p(v, w, level):
+        c = (1.5 ** (level - 1) + 1.5 ** level) / 2 if level else 0.0
+        c = min(c, single[v], single[w])
+        return math.log10(0.2 * c / single[v] + 0.8 * (single[w] + 0.1) / (total + 0.1 * (kinds + 1)))
+
+    level = lambda n: 1 + math.floor(math.log(n) / math.log(1.5) + 1e-9) if n else 0
+    got = {r.doc_id: r.score for r in lm_score.score(docs, filter_bits=1 << 10).collect()}
+    near = 0
+    for i, t in rows:
+        w = _tokens(t)
+        near += abs(got[i] - sum(p(v, x, level(pairs[v, x])) for v, x in zip(["begin", *w], w))) < 1e-6
+    assert near >= 0.8 * len(rows)  # a miss passes a level once in 256 probes
+
+
+def test_segments_grow_with_the_pairs():
+    rng = np.random.default_rng(7)
+    for n in (1000, 300_000):
+        key, count = np.unique(rng.integers(0, 1 << 32, n, dtype=np.uint64)), rng.integers(1, 30, n)
+        count = count[:len(key)]
+        bits = lm_score.sized_segment(count)
+        raw = lm_score.filter_segment(key, count, bits, least=1)
+        assert np.unpackbits(np.frombuffer(raw, np.uint8)).mean() < 0.27
+        read = lm_score.BloomCounts(raw, 1, bits)
+        assert (read.levels(key) == lm_score._levels(count)).mean() > 0.98
+        assert (read.levels(rng.integers(0, 1 << 32, 5000, dtype=np.uint64)) == 0).mean() > 0.98
+
+
 def test_no_document_is_lost_when_scans_differ(spark):
     def dealt_anew(batches):  # as after a shuffle: every scan sees another order of rows
         import random
