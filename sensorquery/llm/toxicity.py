@@ -3,9 +3,12 @@
 Terms are the words of a text (letters, digits and bytes above 127, A-Z lower-cased) and the first
 PREFIXES bytes of longer words, hashed to BUCKETS; a document has a term or not. The value of a term
 is its evidence in the labelled documents, the log ratio of its shares in toxic and other documents,
-drawn towards zero where it was seen in few; weak terms are left out. The machine adds to the linear
-part the products of all pairs of terms, through factor vectors, so that two terms together can mean
-more, or less, than each alone. It is trained by AdaGrad on at most about SAMPLE_ROWS labelled rows.
+drawn towards zero where it was seen in few; weak terms have none in the linear part. The machine adds
+to that part the products of all pairs of terms, weak ones too, through factor vectors, so that two
+terms together can mean more, or less, than each alone. In pairs a weak term has a value of up to 1
+that grows with the deviations by which its count in toxic documents is off, from CLEAR to twice
+that; below, it is faint: the faint terms of a document share a sum of squares of 1, so that hundreds
+of them do not drown the others. It is trained by AdaGrad on at most about SAMPLE_ROWS labelled rows.
 
 Labels are learned from rows whose crc32(doc_id as text) mod FOLDS is not 0. Neither labels nor
 language, source or id enter a score. Null and empty texts have no terms and get the score of the
@@ -28,6 +31,7 @@ BUCKETS = 1 << 17
 PREFIXES = (4, 6)
 FACTORS, EPOCHS, RATE, SHRINK = 4, 3, 0.05, 1e-5
 LEAST_EVIDENCE, DRAWN = 1.5, 5.0
+CLEAR = 3.0
 _BLANK = np.ones(256, dtype=bool)
 _BLANK[48:58] = _BLANK[65:91] = _BLANK[97:123] = _BLANK[128:] = False
 
@@ -72,16 +76,21 @@ def _hashed(batches):
 
 
 class Machine:
-    """The terms that count, their evidence, linear weights and factors, and the bias."""
+    """The terms, their evidence, linear weights and factors, and the bias; the value of each in pairs
+    (its evidence if not given), and which of them are faint."""
 
-    def __init__(self, buckets, evidence, linear, factors, bias):
+    def __init__(self, buckets, evidence, linear, factors, bias, value=None, faint=None):
         self.buckets, self.evidence, self.linear, self.factors, self.bias = buckets, evidence, linear, factors, bias
+        self.value = evidence if value is None else value
+        self.faint = np.zeros(len(buckets), dtype=bool) if faint is None else faint
 
     def margins(self, doc: np.ndarray, bucket: np.ndarray, n: int) -> np.ndarray:
-        """Log-odds of n documents from their (document, bucket) pairs, all of counting buckets."""
+        """Log-odds of n documents from their (document, bucket) pairs, all of the machine's buckets."""
         at = np.searchsorted(self.buckets, bucket)
-        x = self.evidence[at]
-        out = self.bias + np.bincount(doc, weights=self.linear[at] * x, minlength=n)
+        out = self.bias + np.bincount(doc, weights=self.linear[at] * self.evidence[at], minlength=n)
+        faint = self.faint[at]
+        many = np.sqrt(np.maximum(np.bincount(doc, weights=faint, minlength=n), 1))
+        x = np.where(faint, self.value[at] / many[doc], self.value[at])
         for f in range(self.factors.shape[1]):
             v = self.factors[at, f] * x
             total = np.bincount(doc, weights=v, minlength=n)
@@ -102,12 +111,18 @@ def train_machine(rows: list[tuple[np.ndarray, int]], seed: int = 0) -> Machine:
     ratio *= often / (often + DRAWN)
     ratio[np.abs(ratio) < LEAST_EVIDENCE] = 0
     if not total[0] or not total[1]:
-        ratio[:] = 0
-    buckets = np.flatnonzero(ratio)
+        often[:] = 0
+    buckets = np.flatnonzero(often)
     x_of = ratio[buckets]
+    share, often = often[buckets] / max(len(rows), 1), often[buckets]
+    spread = np.sqrt(1 + often * (1 - share) * total[1] * total[0] / max(len(rows), 1) ** 2)
+    clear = np.clip(np.abs(seen[1][buckets] - share * total[1]) / spread / CLEAR - 1, 0, 1)
+    value = np.where(x_of != 0, x_of, clear)
+    faint = value == 0
+    value[faint] = 1
     linear, factors, bias = np.full(len(buckets), 0.5), rng.standard_normal((len(buckets), FACTORS)) * 0.05, -2.0
     step_linear, step_factors, step_bias = np.full(len(buckets), 1e-2), np.full((len(buckets), FACTORS), 1e-2), 1e-2
-    place = np.full(BUCKETS, -1)
+    place = np.full(BUCKETS, -1, dtype=np.int32)
     place[buckets] = np.arange(len(buckets))
     data = []
     for bucket, label in rows:
@@ -117,19 +132,21 @@ def train_machine(rows: list[tuple[np.ndarray, int]], seed: int = 0) -> Machine:
         for i in rng.permutation(len(data)):
             at, label = data[i]
             x = x_of[at]
-            v = factors[at] * x[:, None]
+            many = np.sqrt(max(np.count_nonzero(faint[at]), 1))
+            y = np.where(faint[at], value[at] / many, value[at])
+            v = factors[at] * y[:, None]
             total_v = v.sum(axis=0)
             z = bias + (linear[at] * x).sum() + 0.5 * ((total_v * total_v).sum() - (v * v).sum())
             error = 1 / (1 + np.exp(-min(max(z, -30.0), 30.0))) - label
             g = error * x + SHRINK * linear[at]
             step_linear[at] += g * g
             linear[at] -= RATE * g / np.sqrt(step_linear[at])
-            g = error * x[:, None] * (total_v[None, :] - v) + SHRINK * factors[at]
+            g = error * y[:, None] * (total_v[None, :] - v) + SHRINK * factors[at]
             step_factors[at] += g * g
             factors[at] -= RATE * g / np.sqrt(step_factors[at])
             step_bias += error * error
             bias -= RATE * error / np.sqrt(step_bias)
-    return Machine(buckets, x_of, linear, factors, bias)
+    return Machine(buckets, x_of, linear, factors, bias, value, faint)
 
 
 def _train(batches):
@@ -143,7 +160,8 @@ def _train(batches):
         rows += zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist())
     rows.sort()
     m = train_machine([(np.frombuffer(t, dtype=np.int32), y) for _, y, t in rows])
-    raw = pickle.dumps((m.buckets, m.evidence, m.linear, m.factors, m.bias))
+    half = [np.asarray(x, np.float32) for x in (m.evidence, m.linear, m.factors, m.value)]
+    raw = pickle.dumps((m.buckets, *half[:3], m.bias, half[3], m.faint))
     yield pa.RecordBatch.from_arrays([pa.array([raw], pa.binary())], ["model"])
 
 

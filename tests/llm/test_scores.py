@@ -259,6 +259,34 @@ def test_pairs_of_terms_can_mean_more_than_each(monkeypatch):
     assert both > 0 > max(one, two)
 
 
+def test_pairs_of_weak_terms_with_the_production_parameters():
+    rng = np.random.default_rng(0)
+    rows = [
+        (np.array([1] * bool(a) + [2] * bool(b) + [3], dtype=np.int64), int(a and b))
+        for a, b in rng.random((1200, 2)) < 0.5
+    ]
+    m = toxicity.train_machine(rows)
+    doc, bucket = np.array([0, 0, 1, 1, 2, 2, 2]), np.array([1, 3, 2, 3, 1, 2, 3])
+    one, two, both = m.margins(doc, bucket, 3)
+    assert both > 0 > max(one, two)
+
+
+def test_pairs_of_weak_terms_among_common_words():
+    # Texts of a hundred words; toxic where two terms meet that are often alone in clean texts.
+    rng = np.random.default_rng(1)
+    rows, sides = [], []
+    for _ in range(6000):
+        a, b = rng.random(2) < 0.3
+        words = rng.zipf(1.3, 100) % 20_000 + 10
+        rows.append((np.unique(np.concatenate([words, np.array([1] * int(a) + [2] * int(b), dtype=np.int64)])), int(a and b)))
+        sides.append((a, b))
+    m = toxicity.train_machine(rows[:4500])
+    known = [b[np.isin(b, m.buckets)] for b, _ in rows[4500:]]
+    z = m.margins(np.repeat(np.arange(len(known)), list(map(len, known))), np.concatenate(known), len(known))
+    both = np.array([y for _, y in rows[4500:]]) == 1
+    assert (z[both] > 0).mean() > 0.8 and (z[~both] > 0).mean() < 0.05
+
+
 def test_margins_equal_the_sum_over_pairs():
     rng = np.random.default_rng(4)
     m = toxicity.Machine(np.arange(9), rng.random(9), rng.random(9), rng.random((9, 4)), -1.0)
