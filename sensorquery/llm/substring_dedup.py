@@ -10,7 +10,7 @@ shuffled (packed, one per slice and anchor) and those found in a single document
 is left are passages that may repeat. Neighbouring windows with one anchor form a passage. In the
 shard of its anchor, passages arrive in the order of ``doc_id``: an automaton of the passages of
 smaller documents gives the matching statistics of each passage, every match of WINDOW words or more
-marks a span, and what was not matched is added to the automaton. Equal passages of one slice are
+marks a span, and a passage that is not one match as a whole is added to the automaton. Equal passages of one slice are
 settled there, so a large group of copies sends one of them per slice.
 
 Null texts count as empty; texts with fewer words than a window lose nothing. Rows that share an id
@@ -283,10 +283,10 @@ class SuffixAutomaton:
             yield run
 
 
-def matched_spans(automaton: SuffixAutomaton, words: list, window: int) -> list[tuple[int, int]]:
-    """Maximal spans of words inside matches of at least ``window`` words."""
+def matched_spans(runs: list[int], window: int) -> list[tuple[int, int]]:
+    """Maximal spans of words inside matches of at least ``window`` words, from matching statistics."""
     spans: list[tuple[int, int]] = []
-    for i, run in enumerate(automaton.statistics(words)):
+    for i, run in enumerate(runs):
         if run >= window:
             low = i - run + 1
             if spans and low <= spans[-1][1]:
@@ -326,9 +326,10 @@ def _matched(window: int):
                 if tuple(words) in known:  # a passage met before is one match
                     found.append((row, own, at, at + len(words)))
                     continue
-                spans = matched_spans(automaton, words, window)
-                found += [(row, own, at + x, at + y) for x, y in spans]
-                if spans != [(0, len(words))]:
+                runs = list(automaton.statistics(words))
+                found += [(row, own, at + x, at + y) for x, y in matched_spans(runs, window)]
+                # Overlapping matches may cover a passage and yet not hold each of its windows.
+                if runs[-1] < len(words):
                     waiting.append(words)
         if found:
             marks.append(np.array(found, dtype=np.int64))

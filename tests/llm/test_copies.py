@@ -222,6 +222,16 @@ def test_repeated_passages_by_brute_force(spark):
     assert sorted(map(tuple, substring_dedup.remove_repeats(docs).collect()), key=str) == _repeats(rows, 13)
 
 
+def test_matches_that_overlap_do_not_hold_every_window(spark):
+    rows = []
+    for k in range(80):  # in some of these the passages have one anchor, words 7 to 10
+        p = [f"k{k}x{j}" for j in range(20)]
+        parts = (p[:14], p[7:], p, [f"u{k}", *p[3:17], f"v{k}"])
+        rows += [(4 * k + n, " ".join(w)) for n, w in enumerate(parts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    assert sorted(map(tuple, substring_dedup.remove_repeats(docs).collect()), key=str) == _repeats(rows, 13)
+
+
 def test_digest_form_equals_the_text_form(awkward_docs):
     texts = substring_dedup.remove_repeats(awkward_docs).withColumn("kept", F.sha2(F.col("kept").cast("binary"), 256))
     digests = substring_dedup.remove_repeats(awkward_docs, digest=True)
