@@ -13,6 +13,10 @@ smaller documents gives the matching statistics of each passage, every match of
 marks a span, and a passage that is not one match as a whole is added to the automaton. Equal passages of one slice are
 settled there, so a large group of copies sends one of them per slice.
 
+An anchor with more than MANY passages, counted once a slice where they are equal, has no automaton
+of its own: its passages are cut into their windows, each dealt by a hash of all its words. A common
+line in many surroundings is then spread over the shards, and one automaton holds equal windows only.
+
 Null texts count as empty; texts with fewer words than a window lose nothing. Rows that share an id
 are judged alone against smaller ids, never against each other. A row with a null id is neither
 changed nor used as reference. Extra columns are not looked at. An empty table gives no rows.
@@ -26,26 +30,29 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sensorquery.llm.text import runs_hash, shard_count, slices
+from sensorquery.llm.text import mix, runs_hash, shard_count, slices
 from sensorquery.session import ship_functions
 
 WINDOW = 13
 ANCHOR = 4
 DOCS_PER_SHARD = 4096
+MANY = 2048
+_CUT = np.uint64(1 << 63)  # marks a place whose passages are cut into windows
 
 
 class Passages:
     """The passages of a slice: words ``low`` to ``high`` (exclusive, counted over the slice), the text
-    ``doc`` and the anchor ``key`` of each."""
+    ``doc`` and the anchor ``key`` of each; ``windows``: a hash per window of the slice."""
 
     def __init__(self, words, window: int):
         n, width = len(words), window - ANCHOR + 1
         none = np.zeros(0, dtype=np.int64)
         self.low = self.high = self.doc = none
-        self.key = none.astype(np.uint64)
+        self.key = self.windows = none.astype(np.uint64)
         if n < window:
             return
-        grams = runs_hash(words.hashes(), ANCHOR)
+        hashes = words.hashes()
+        grams, self.windows = runs_hash(hashes, ANCHOR), runs_hash(hashes, window)
         doc = words.doc
         at = np.flatnonzero(doc[:n - window + 1] == doc[window - 1:])
         if not len(at):
@@ -80,6 +87,14 @@ def _anchors(window: int, shards: int):
             for texts in slices(batch):
                 found = Passages(texts.words(), window)
                 place, row = _place(found.key, shards), rid[texts.rows][found.doc]
+                # A passage is shorter than two windows: its first and last one tell it from others.
+                alike = mix(found.windows[found.low] * np.uint64(3) + found.windows[found.high - window]) if len(place) else place
+                order = np.lexsort((alike, place))
+                kinds, alike = place[order], alike[order]
+                fresh = np.ones(len(kinds), dtype=bool)
+                fresh[1:] = (kinds[1:] != kinds[:-1]) | (alike[1:] != alike[:-1])
+                often, times = np.unique(kinds[fresh], return_counts=True)
+                often, times = often[times > 1], times[times > 1].astype(np.uint32)
                 order = np.lexsort((row, place))
                 place, row = place[order], row[order]
                 fresh = np.ones(len(place), dtype=bool)
@@ -90,25 +105,25 @@ def _anchors(window: int, shards: int):
                 start = np.flatnonzero(head)
                 count = np.diff(np.append(start, len(place)))
                 many = np.repeat(count > 1, count)
-                out = [[], [], [], [], []]
+                out = [[] for _ in range(7)]
                 one, several = (place[head], row[head]), (place[many], row[many])
                 # Only the shards that this slice has anchors of.
                 used = np.unique(one[0] >> np.uint64(32))
-                borders = [np.searchsorted(p >> np.uint64(32), np.append(used, used[-1:] + np.uint64(1))) for p, _ in (one, several)]
+                borders = [np.searchsorted(p >> np.uint64(32), np.append(used, used[-1:] + np.uint64(1))) for p, _ in (one, several, (often, times))]
                 for k, s in enumerate(used.tolist()):
                     out[0].append(s)
-                    for col, (p, r), cut in ((1, one, borders[0]), (3, several, borders[1])):
+                    for col, (p, r), cut in ((1, one, borders[0]), (3, several, borders[1]), (5, (often, times), borders[2])):
                         a, b = cut[k], cut[k + 1]
                         out[col].append(p[a:b].astype(np.uint32).tobytes())
                         out[col + 1].append(r[a:b].tobytes())
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(out[0], pa.int32()), *[pa.array(c, pa.binary()) for c in out[1:]]],
-                    ["shard", "keys", "rows", "met_keys", "met_rows"])
+                    ["shard", "keys", "rows", "met_keys", "met_rows", "often_keys", "often"])
 
     return run
 
 
-_ANCHORS = "shard int, keys binary, rows binary, met_keys binary, met_rows binary"
+_ANCHORS = "shard int, keys binary, rows binary, met_keys binary, met_rows binary, often_keys binary, often binary"
 
 
 def _grouped(row: np.ndarray, values: np.ndarray, names: tuple[str, str]):
@@ -125,21 +140,32 @@ def _grouped(row: np.ndarray, values: np.ndarray, names: tuple[str, str]):
     })
 
 
-def _repeated(table):
+def _repeated(many: int):
     """(row id, places): the anchors of a shard that more than one row has."""
-    shard = np.uint64(table.column("shard")[0].as_py())
-    key, row = _packed(table, "keys", np.uint32), _packed(table, "rows", np.int64)
-    met_key, met_row = _packed(table, "met_keys", np.uint32), _packed(table, "met_rows", np.int64)
-    order = np.argsort(key, kind="stable")
-    key, row = key[order], row[order]
-    head = np.ones(len(key), dtype=bool)
-    head[1:] = key[1:] != key[:-1]
-    start = np.flatnonzero(head)
-    low = np.minimum.reduceat(row, start) if len(start) else row
-    high = np.maximum.reduceat(row, start) if len(start) else row
-    many = np.repeat(low != high, np.diff(np.append(start, len(key))))
-    key, row = np.concatenate([key[many], met_key]), np.concatenate([row[many], met_row])
-    return _grouped(row, key.astype(np.uint64) | (shard << np.uint64(32)), ("rid", "places"))
+
+    def run(table):
+        shard = np.uint64(table.column("shard")[0].as_py())
+        key, row = _packed(table, "keys", np.uint32), _packed(table, "rows", np.int64)
+        met_key, met_row = _packed(table, "met_keys", np.uint32), _packed(table, "met_rows", np.int64)
+        order = np.argsort(key, kind="stable")
+        key, row = key[order], row[order]
+        head = np.ones(len(key), dtype=bool)
+        head[1:] = key[1:] != key[:-1]
+        start = np.flatnonzero(head)
+        low = np.minimum.reduceat(row, start) if len(start) else row
+        high = np.maximum.reduceat(row, start) if len(start) else row
+        count = np.diff(np.append(start, len(key)))
+        passages = count.copy()
+        often_at = np.searchsorted(key[start], _packed(table, "often_keys", np.uint32))
+        np.add.at(passages, often_at, _packed(table, "often", np.uint32).astype(np.int64) - 1)
+        cut = key[start][passages > many]
+        several = np.repeat(low != high, count)
+        key, row = np.concatenate([key[several], met_key]), np.concatenate([row[several], met_row])
+        place = key.astype(np.uint64) | (shard << np.uint64(32))
+        place[np.isin(key, cut)] |= _CUT
+        return _grouped(row, place, ("rid", "places"))
+
+    return run
 
 
 def _unpacked(batch):
@@ -162,8 +188,8 @@ def _get(batch, name: str):
 
 
 def _passages(window: int, shards: int):
-    """Per slice and shard: passages with a repeated anchor. Of equal passages in a slice only the
-    smallest document's go on; the others' words are marked here."""
+    """Per slice and shard: passages with a repeated anchor, or their windows where the anchor is cut. Of
+    equal ones in a slice only the smallest document's go on; the others' words are marked here."""
 
     def run(batches):
         import pyarrow as pa
@@ -176,17 +202,23 @@ def _passages(window: int, shards: int):
                 found = Passages(words, window)
                 rid, docs = _get(part, "rid").to_numpy(), _get(part, "doc_id").to_numpy()
                 place = _place(found.key, shards)
-                want = np.zeros(len(place), dtype=bool)
+                want, split = np.zeros((2, len(place)), dtype=bool)
                 border = np.searchsorted(found.doc, np.arange(len(texts) + 1))
                 for i, blobs in enumerate(_get(part, "places")):
                     a, b = border[i], border[i + 1]
                     if a < b:
                         have = np.frombuffer(b"".join(blobs.as_py()), dtype=np.uint64)
-                        want[a:b] = np.isin(place[a:b], have)
-                pick = np.flatnonzero(want)
-                if not len(pick):
+                        want[a:b] = np.isin(place[a:b], have & ~_CUT)
+                        split[a:b] = np.isin(place[a:b] | _CUT, have)
+                whole, split = np.flatnonzero(want & ~split), np.flatnonzero(split)
+                if not len(whole) + len(split):
                     continue
-                low, high, doc = found.low[pick], found.high[pick], found.doc[pick]
+                count = found.high[split] - found.low[split] - window + 1
+                at = np.repeat(found.low[split] - np.append(0, np.cumsum(count)[:-1]), count) + np.arange(count.sum())
+                low = np.concatenate([found.low[whole], at])
+                high = np.concatenate([found.high[whole], at + window])
+                doc = np.concatenate([found.doc[whole], np.repeat(found.doc[split], count)])
+                key = np.concatenate([found.key[whole], found.windows[at]])
                 raw = texts.data
                 text = [b" ".join(raw[a:b].tobytes().split())
                         for a, b in zip(words.starts[low].tolist(), words.ends[high - 1].tolist())]
@@ -200,11 +232,12 @@ def _passages(window: int, shards: int):
                 here = ~sent
                 marks = np.stack([row[here], own[here], start[here], (start + high - low)[here]], axis=1).astype(np.int64)
                 index = np.flatnonzero(sent)
-                index = index[np.argsort(place[pick][index] >> np.uint64(32), kind="stable")]
-                home = place[pick][index] >> np.uint64(32)
+                home = _place(key, shards)[index] >> np.uint64(32)
+                by_home = np.argsort(home, kind="stable")
+                index, home = index[by_home], home[by_home]
                 used = np.unique(home).tolist()
                 cut = dict(zip(used, zip(np.searchsorted(home, used).tolist(), np.searchsorted(home, used, side="right").tolist())))
-                fields = np.stack([found.key[pick].view(np.int64), row, own, start], axis=1)
+                fields = np.stack([key.view(np.int64), row, own, start], axis=1)
                 yield pa.RecordBatch.from_arrays([
                     pa.array(used, pa.int32()),
                     pa.array([fields[index[slice(*cut[s])]].tobytes() for s in used], pa.binary()),
@@ -379,21 +412,26 @@ def _removed(digest: bool):
     return run
 
 
-def remove_repeats(docs: DataFrame, *, window: int = WINDOW, digest: bool = False) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept) per row: the words left, joined by single blanks, or with
-    ``digest`` the SHA-256 of that text, made where the text is so that it need not travel."""
+def _sent(docs: DataFrame, window: int, many: int) -> tuple[DataFrame, DataFrame]:
+    """The compressed texts, and the passages that go to the shards."""
     shards = shard_count(docs.count(), DOCS_PER_SHARD)
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     own = own.withColumn("rid", F.xxhash64("doc_id", "text"))
     places = (
         own.where("doc_id is not null").mapInArrow(_anchors(window, shards), _ANCHORS)
-        .groupBy("shard").applyInArrow(_repeated, "rid long, places binary")
+        .groupBy("shard").applyInArrow(_repeated(many), "rid long, places binary")
         .groupBy("rid").agg(F.collect_list("places").alias("places"))
     )
     packed = own.mapInArrow(_squeeze, "doc_id long, rid long, packed binary")
+    return packed, packed.join(places, "rid", "left").mapInArrow(_passages(window, shards), _PASSAGES)
+
+
+def remove_repeats(docs: DataFrame, *, window: int = WINDOW, digest: bool = False, many: int = MANY) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept) per row: the words left, joined by single blanks, or with
+    ``digest`` the SHA-256 of that text, made where the text is so that it need not travel."""
+    packed, sent = _sent(docs, window, many)
     marks = (
-        packed.join(places, "rid", "left").mapInArrow(_passages(window, shards), _PASSAGES)
-        .groupBy("shard").applyInArrow(_matched(window), "rid long, marks binary")
+        sent.groupBy("shard").applyInArrow(_matched(window), "rid long, marks binary")
         .groupBy("rid").agg(F.collect_list("marks").alias("marks"))
     )
     return packed.join(marks, "rid", "left").mapInArrow(

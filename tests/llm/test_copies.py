@@ -3,9 +3,10 @@ from __future__ import annotations
 import hashlib
 import random
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from sensorquery.llm import components, exact_dedup, ngram_join, substring_dedup
@@ -232,6 +233,34 @@ def test_matches_that_overlap_do_not_hold_every_window(spark):
     assert sorted(map(tuple, substring_dedup.remove_repeats(docs).collect()), key=str) == _repeats(rows, 13)
 
 
+@pytest.mark.parametrize("many", [0, 3])
+def test_anchors_cut_into_windows_by_brute_force(spark, awkward_docs, awkward, many):
+    rng = random.Random(8)
+    line = [f"l{j}" for j in range(20)]
+    rows = []
+    for i in range(90):
+        w = [f"u{rng.randrange(40)}" for _ in range(rng.randint(0, 12))]
+        for _ in range(rng.randint(0, 3)):
+            a = rng.randrange(8)
+            w += line[a:a + rng.randint(6, 20)] + [f"u{rng.randrange(40)}" for _ in range(rng.randint(1, 3))]
+        rows.append((i, " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    assert sorted(map(tuple, substring_dedup.remove_repeats(docs, many=many).collect()), key=str) == _repeats(rows, 13)
+    got = substring_dedup.remove_repeats(awkward_docs, many=many)
+    assert sorted(map(tuple, got.collect()), key=str) == _repeats(awkward, 13)
+
+
+def test_no_automaton_holds_a_common_line_in_all_surroundings(spark):
+    rows = [(i, " ".join([*(f"a{i}x{j}" for j in range(12)), *(f"l{j}" for j in range(13)), *(f"b{i}x{j}" for j in range(12))]))
+            for i in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    _, sent = substring_dedup._sent(docs, 13, substring_dedup.MANY)
+    held = Counter(k for r in sent.select("fields").collect() for k in np.frombuffer(r.fields, np.int64).reshape(-1, 4)[:, 0].tolist())
+    assert max(held.values()) <= substring_dedup.MANY
+    done = substring_dedup.remove_repeats(docs).where("doc_id > 0").agg(F.min("n_removed"), F.max("n_removed")).first()
+    assert tuple(done) == (13, 13)
+
+
 def test_digest_form_equals_the_text_form(awkward_docs):
     texts = substring_dedup.remove_repeats(awkward_docs).withColumn("kept", F.sha2(F.col("kept").cast("binary"), 256))
     digests = substring_dedup.remove_repeats(awkward_docs, digest=True)
