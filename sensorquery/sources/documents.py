@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 from sensorquery import schema
 from sensorquery.catalog import Catalog
 from sensorquery.functions import geometry, values
 from sensorquery.operators import identity, loading, mutations
+from sensorquery.session import materialize
 
 _BATCH = (
     "array<struct<Datastream:struct<`@iot.id`:long>,components:array<string>,"
@@ -105,22 +107,51 @@ _UNIT = "struct<name:string,symbol:string,definition:string>"
 _LINKED = "`@iot.id`:long,name:string,description:string"
 _THING = (
     "name string, description string, properties variant, "
-    "Locations array<struct<name:string,description:string,encodingType:string,location:variant,"
+    "Locations array<struct<`@iot.id`:long,name:string,description:string,encodingType:string,location:variant,"
     "properties:variant>>, "
     f"Datastreams array<struct<name:string,description:string,unitOfMeasurement:{_UNIT},"
     "observationType:string,properties:variant,"
     f"Sensor:struct<{_LINKED},encodingType:string,metadata:string,properties:variant>,"
     f"ObservedProperty:struct<{_LINKED},definition:string,properties:variant>,"
+    "Network:struct<`@iot.id`:long,name:string>,"
     "Observations:array<struct<phenomenonTime:string,resultTime:string,result:variant,"
-    "resultQuality:variant,parameters:variant>>>>"
+    "resultQuality:variant,parameters:variant,"
+    f"FeatureOfInterest:struct<{_LINKED},encodingType:string,feature:variant,properties:variant>>>>>"
 )
 
 
+def _unread(doc: Column, kind: StructType, path: str = "") -> Column:
+    """The members of a JSON object, and of the objects nested in it, that ``kind`` has no field for."""
+    known = F.array(*[F.lit(f.name) for f in kind.fields])
+    own = F.array_except(F.coalesce(F.json_object_keys(doc), F.array().cast("array<string>")), known)
+    parts = [F.transform(own, lambda k: F.concat(F.lit(path), k))]
+
+    def each(inner: StructType, at: str):
+        return lambda x: _unread(x, inner, at)
+
+    for field in kind.fields:
+        member, inner, at = F.get_json_object(doc, f"$.{field.name}"), field.dataType, f"{path}{field.name}."
+        if isinstance(inner, StructType):
+            parts.append(_unread(member, inner, at))
+        elif isinstance(inner, ArrayType):
+            items = F.coalesce(F.from_json(member, "array<string>"), F.array().cast("array<string>"))
+            parts.append(F.flatten(F.transform(items, each(inner.elementType, at))))
+    return F.array_sort(F.array_distinct(F.concat(*parts)))
+
+
+def _judged(docs: DataFrame) -> DataFrame:
+    """``mutations.validate`` of Thing documents, and the nested members that would be lost."""
+    judged = mutations.validate(docs, "Thing")
+    lost = F.array_except(_unread(F.col("doc"), StructType.fromDDL(_THING)), F.array(F.lit("@iot.id")))
+    reason = F.when(F.size(lost) > 0, F.concat(F.lit("unknown: "), F.array_join(lost, ",")))
+    return judged.withColumn("reason", F.coalesce("reason", reason))
+
+
 def flatten_documents(docs: DataFrame, start_ids: dict[str, int] | None = None) -> dict[str, DataFrame]:
     """Thing documents (doc_id, doc) with everything nested in them, as one row set per table.
 
-    Ids follow document and position order. Linked sensors and observed properties (``@iot.id``)
-    are used as they are; inline ones are created. A new thing with locations gets one historical
+    Ids follow document and position order. Linked entities (``@iot.id``: locations, sensors, observed
+    properties, networks, features) are used as they are; inline ones are created. A new thing with locations gets one historical
     location per document, linked to all of them.
     """
     start = start_ids or {}
@@ -136,14 +167,15 @@ def flatten_documents(docs: DataFrame, start_ids: dict[str, int] | None = None)
     keys = things.select("doc_id", F.col("id").alias("thing_id"))
     located = t.select("doc_id", F.posexplode("t.Locations").alias("pos", "l"))
     locations = numbered(
-        located.select(
+        located.where("l.`@iot.id` is null").select(
             "doc_id", "pos", "l.name", "l.description", F.col("l.encodingType").alias("encoding_type"),
             geometry.from_geojson(F.to_json("l.location")).alias("location"),
             F.to_json("l.properties").alias("properties"), F.lit(None).cast("long").alias("gen_foi_id"),
         ),
         "location", ["doc_id", "pos"],
     )
-    links = locations.select("doc_id", F.col("id").alias("location_id")).join(keys, "doc_id")
+    stored = located.where("l.`@iot.id` is not null").select("doc_id", F.col("l.`@iot.id`").alias("location_id"))
+    links = locations.select("doc_id", F.col("id").alias("location_id")).unionByName(stored.distinct()).join(keys, "doc_id")
     visits = numbered(links.select("doc_id", "thing_id").distinct(), "historical_location", ["doc_id"])
     visited = links.join(visits.select("doc_id", F.col("id").alias("historical_location_id")), "doc_id")
 
@@ -161,10 +193,15 @@ def flatten_documents(docs: DataFrame, start_ids: dict[str, int] | None = None)
 
     sensors = inline("Sensor", "sensor", {"encoding_type": "encodingType", "sensor_metadata": "metadata"})
     observed = inline("ObservedProperty", "observed_property", {"definition": "definition"})
+    networks = numbered(
+        streams.where("d.Network is not null and d.Network.`@iot.id` is null").select("doc_id", "pos", "d.Network.name"),
+        "network", ["doc_id", "pos"],
+    )
     created = (
         streams.join(keys, "doc_id")
         .join(sensors.select("doc_id", "pos", F.col("id").alias("_sensor")), ["doc_id", "pos"], "left")
         .join(observed.select("doc_id", "pos", F.col("id").alias("_property")), ["doc_id", "pos"], "left")
+        .join(networks.select("doc_id", "pos", F.col("id").alias("_network")), ["doc_id", "pos"], "left")
     )
     datastreams = numbered(
         created.select(
@@ -174,19 +211,32 @@ def flatten_documents(docs: DataFrame, start_ids: dict[str, int] | None = None)
             F.to_json("d.properties").alias("properties"), "thing_id",
             F.coalesce("d.Sensor.`@iot.id`", "_sensor").alias("sensor_id"),
             F.coalesce("d.ObservedProperty.`@iot.id`", "_property").alias("observed_property_id"),
+            F.coalesce("d.Network.`@iot.id`", "_network").alias("network_id"),
         ),
         "datastream", ["doc_id", "pos"],
     )
     readings = streams.select("doc_id", "pos", F.posexplode("d.Observations").alias("seq", "o"))
+    at = ["doc_id", "pos", "seq"]
+    features = numbered(
+        readings.where("o.FeatureOfInterest is not null and o.FeatureOfInterest.`@iot.id` is null").select(
+            *at, "o.FeatureOfInterest.name", "o.FeatureOfInterest.description",
+            F.col("o.FeatureOfInterest.encodingType").alias("encoding_type"),
+            geometry.from_geojson(F.to_json("o.FeatureOfInterest.feature")).alias("feature"),
+            F.to_json("o.FeatureOfInterest.properties").alias("properties"),
+        ),
+        "feature_of_interest", at,
+    )
+    placed = readings.join(features.select(*at, F.col("id").alias("_feature")), at, "left")
     times = values.parse_time(F.col("o.phenomenonTime"))
     observations = numbered(
-        readings.select(
+        placed.select(
             "doc_id", "pos", "seq", times.lower.alias("phenomenon_start"),
             times.upper.alias("phenomenon_end"),
             F.try_to_timestamp("o.resultTime").alias("result_time"),
             *[c.alias(n) for n, c in values.typed_result(F.col("o.result")).items()],
             F.try_variant_get("o.resultQuality", "$", "string").alias("result_quality"),
             F.to_json("o.parameters").alias("parameters"),
+            F.coalesce("o.FeatureOfInterest.`@iot.id`", "_feature").alias("feature_of_interest_id"),
         ),
         "observation", ["doc_id", "pos", "seq"],
     ).join(datastreams.select("doc_id", "pos", F.col("id").alias("datastream_id")), ["doc_id", "pos"])
@@ -198,7 +248,9 @@ def flatten_documents(docs: DataFrame, start_ids: dict[str, int] | None = None)
         "location_historical_location": visited.select("location_id", "historical_location_id"),
         "sensor": sensors.drop("doc_id", "pos"),
         "observed_property": observed.drop("doc_id", "pos"),
+        "network": networks.drop("doc_id", "pos"),
         "datastream": datastreams.drop("doc_id", "pos"),
+        "feature_of_interest": features.drop("doc_id", "pos", "seq"),
         "observation": observations.drop("doc_id", "pos", "seq"),
     }
 
@@ -227,12 +279,13 @@ def deep_insert(
 ) -> tuple[Catalog, dict[str, DataFrame], DataFrame]:
     """(catalog, inserted rows per table, rejects) of Thing documents (doc_id, doc) with all they hold.
 
-    A document that breaks the rules is rejected whole, with its reason; an observation refused on its
+    A document that breaks the rules, or holds a member at any depth that is not read here, is rejected
+    whole, with its reason; documents of other roots are rejected too. An observation refused on its
     own (no location to take a feature from, or not unique) is a reject without a ``doc_id``. The visits
     that a new thing starts with are dated ``at``, and so is a reading without a time. Readings go the
     way of every insert, so features, extents, areas and last features are kept.
     """
-    accepted, refused = mutations.split_valid(mutations.validate(docs, "Thing"))
+    accepted, refused = mutations.split_valid(materialize(_judged(docs)))
     names = [n for n in schema.TABLES if catalog.has(n) and "id" in schema.columns(n)]
     starts = {n: identity.next_id(catalog.table(n)) for n in names}
     parts = flatten_documents(accepted, starts)
@@ -240,7 +293,7 @@ def deep_insert(
     parts["historical_location"] = parts["historical_location"].withColumn("time", moment)
     readings = parts.pop("observation")
     state = catalog.replace(**{
-        n: catalog.table(n).unionByName(rows, allowMissingColumns=True) for n, rows in parts.items()
+        n: catalog.table(n).unionByName(rows, allowMissingColumns=True) if catalog.has(n) else rows for n, rows in parts.items()
     })
     state, inserted, lost = mutations.insert_observations(state, _observation_rows(readings, ["id"], moment))
     rejects = refused.select("doc_id", "reason").unionByName(

@@ -7,6 +7,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from sensorquery import schema
 from sensorquery.catalog import Catalog
 from sensorquery.functions import geometry as G
 from sensorquery.functions import values
@@ -145,3 +146,32 @@ def test_scratch_tables_can_be_dropped(spark):
     spark.range(3).write.parquet(path)
     drop_scratch(spark)
     assert not os.path.exists(path.removeprefix("file:"))
+
+
+def test_deep_insert_keeps_nested_members_or_rejects(spark):
+    def empty(name):
+        return spark.createDataFrame([], schema.struct(name))
+
+    place = spark.createDataFrame([(7, "old place")], "id long, name string").withColumn(
+        "location", G.from_geojson(F.lit('{"type":"Point","coordinates":[3,4]}')))
+    far = spark.createDataFrame([(30, "old feature")], "id long, name string").withColumn(
+        "feature", G.from_geojson(F.lit('{"type":"Point","coordinates":[5,6]}')))
+    rows = {"location": place, "feature_of_interest": far}
+    catalog = Catalog(spark, {n: empty(n).unionByName(rows.get(n, empty(n)), allowMissingColumns=True) for n in schema.TABLES})
+    foi = {"name": "f", "encodingType": "e", "feature": {"type": "Point", "coordinates": [1, 2]}}
+    readings = [{"phenomenonTime": f"2024-01-0{i}T00:00:00Z", "result": i, **more}
+                for i, more in ((1, {"FeatureOfInterest": foi}), (2, {"FeatureOfInterest": {"@iot.id": 30}}), (3, {}))]
+    stream = {"name": "s", "Sensor": {"name": "n"}, "ObservedProperty": {"name": "p"}, "Network": {"name": "net"}, "Observations": readings}
+    thing = {"name": "t", "description": "d", "properties": {}, "Locations": [{"@iot.id": 7}], "Datastreams": [stream]}
+    odd = {**thing, "Datastreams": [{**stream, "Observations": [{**readings[0], "validTime": "2024", "FeatureOfInterest": {**foi, "x": 1}}]}]}
+    docs = spark.createDataFrame([(1, json.dumps(thing)), (2, json.dumps(odd))], "doc_id long, doc string")
+    state, parts, rejects = documents.deep_insert(catalog, docs, "2024-05-01T00:00:00Z")
+    assert [tuple(r) for r in rejects.select("doc_id", "reason").collect()] == [
+        (2, "unknown: Datastreams.Observations.FeatureOfInterest.x,Datastreams.Observations.validTime")]
+    assert [r.name for r in state.table("location").collect()] == ["old place"]
+    assert [r.location_id for r in state.table("thing_location").collect()] == [7]
+    networks = {r.id: r.name for r in state.table("network").collect()}
+    assert [networks[r.network_id] for r in state.table("datastream").collect()] == ["net"]
+    names = {r.id: r.name for r in state.table("feature_of_interest").select("id", "name").collect()}
+    got = {int(r.result_number): names[r.feature_of_interest_id] for r in state.table("observation").collect()}
+    assert (got[1], got[2]) == ("f", "old feature") and got[3] not in ("f", "old feature") and len(names) == 3
