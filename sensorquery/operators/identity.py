@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sensorquery.operators import series
@@ -21,6 +21,26 @@ def assign_ids(df: DataFrame, order: list[str], start: int = 1) -> DataFrame:
     return placed.withColumn("id", F.col("_pos") + start).drop("_pos")
 
 
+def allocate_ids(
+    rows: DataFrame, kind: str, part: str, order: list[str], starts: dict[str, int]
+) -> DataFrame:
+    """Consecutive ids for several tables at once, each from its start (1 if not given).
+
+    ``kind`` names the table of a row. Rows come in parts that follow one another in the wanted order,
+    and ``order`` is unique within a part. Every part takes a block of each table: its size is counted,
+    the blocks are laid end to end, and rows are numbered inside their block. One shuffle serves all
+    tables; parts and tables, not rows, bound the block table.
+    """
+    blocks = rows.groupBy(kind, part).agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(kind).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    first = F.create_map(*[F.lit(x) for pair in starts.items() for x in pair])[F.col(kind)] if starts else F.lit(None)
+    offsets = blocks.select(
+        kind, part, (F.coalesce(F.sum("_n").over(before), F.lit(0)) + F.coalesce(first.cast("long"), F.lit(1))).alias("_offset"))
+    rank = F.row_number().over(Window.partitionBy(kind, part).orderBy(*order))
+    return rows.withColumn("_rank", rank).join(offsets, [kind, part]).withColumn(
+        "id", (F.col("_offset") + F.col("_rank") - 1).cast("long")).drop("_offset", "_rank")
+
+
 def enforce_unique(
     new: DataFrame, existing: DataFrame, keys: list[str], order: list[str]
 ) -> DataFrame:

@@ -396,13 +396,14 @@ def thing_docs(t):
     key = F.col("c_custkey").cast("string")
     reading = F.concat(F.lit('{"phenomenonTime":"2015-03-03T00:00:00Z","result":'), key, F.lit("}"))
     stream = F.concat(
-        F.lit('{"name":"s'), key, F.lit('","unitOfMeasurement":{"name":"Lumen","symbol":"lm"},"Sensor":{"name":"n'), key,
-        F.lit('","metadata":"m"},"ObservedProperty":{"@iot.id":4},"Observations":['), reading, F.lit(","), reading, F.lit("]}"),
+        F.lit('{"name":"s'), key, F.lit('","description":"d","observationType":"o","unitOfMeasurement":{"name":"Lumen","symbol":"lm"},'
+              '"Sensor":{"name":"n'), key, F.lit('","description":"d","encodingType":"text","metadata":"m"},'
+              '"ObservedProperty":{"@iot.id":4},"Observations":['), reading, F.lit(","), reading, F.lit("]}"),
     )
     streams = F.when(F.col("c_custkey") % 2 == 0, F.concat(stream, F.lit(","), stream)).otherwise(stream)
     doc = F.concat(
-        F.lit('{"name":"'), F.col("c_name"), F.lit('","properties":{"k":'), key,
-        F.lit('},"Locations":[{"name":"l'), key, F.lit('","location":{"type":"Point","coordinates":['), key,
+        F.lit('{"name":"'), F.col("c_name"), F.lit('","description":"deep","properties":{"k":'), key,
+        F.lit('},"Locations":[{"name":"l'), key, F.lit('","description":"d","encodingType":"geo","location":{"type":"Point","coordinates":['), key,
         F.lit(',1.5]}}],"Datastreams":['), streams, F.lit("]}"),
     )
     return t.raw("customer").select(F.col("c_custkey").alias("doc_id"), doc.alias("doc"))
@@ -445,12 +446,10 @@ UNION ALL SELECT 'historical_location', (SELECT count(*) FROM historical_locatio
                  (SELECT max(id) FROM historical_location) + count(*) FROM customer""".replace("max(c_custkey) + 1 + count(*)", "max(c_custkey) + count(*)"))
 def mut_07(t):
     catalog = t.catalog()
-    names = ("thing", "location", "historical_location", "sensor", "observed_property", "datastream", "observation")
+    names = ("thing", "location", "historical_location", "sensor", "datastream", "observation")
     starts = {n: identity.next_id(catalog.table(n)) for n in names}
     parts = flatten_documents(thing_docs(t), starts)
-    state = catalog.replace(
-        **{n: catalog.table(n).unionByName(rows, allowMissingColumns=True) for n, rows in parts.items() if n != "observed_property"}
-    )
+    state = catalog.replace(**{n: catalog.table(n).unionByName(parts[n], allowMissingColumns=True) for n in names})
     counts = [
         state.table(n).agg(F.lit(n).alias("table_name"), F.count("*").alias("n"), F.max("id").alias("last_id"))
         for n in ("thing", "datastream", "historical_location")
@@ -459,11 +458,10 @@ def mut_07(t):
 
 
 def deep_docs(t):
-    """The documents of ``thing_docs`` as they may be inserted, and among them some that may not."""
+    """The documents of ``thing_docs``, and among them some that may not be inserted."""
     key = F.col("doc_id") % 5
-    sound = F.concat(F.lit('{"description":"deep",'), F.substring("doc", 2, 1_000_000))
     return thing_docs(t).withColumn("doc", F.when(key == 0, F.lit("{oops")).when(
-        key == 1, F.concat(F.lit('{"colour":1,'), F.substring("doc", 2, 1_000_000))).otherwise(sound))
+        key == 1, F.concat(F.lit('{"colour":1,'), F.substring("doc", 2, 1_000_000))).otherwise(F.col("doc")))
 
 
 @query("mut_07_deep_insert_rows", f"""
@@ -499,6 +497,94 @@ def mut_07_rejects(t):
     return deep_insert(t.catalog(), deep_docs(t), "2024-05-01T00:00:00Z")[2]
 
 
+@query("mut_07_location_roots", """
+WITH doc AS (SELECT n_nationkey AS k, row_number() OVER (ORDER BY n_nationkey) AS rn FROM nation),
+spot AS (SELECT k, rn, (SELECT max(n_nationkey) FROM nation) + rn AS location_id FROM doc),
+held AS (SELECT location_id, k + 1 AS thing_id, 'old' AS kind FROM spot
+         UNION ALL SELECT location_id, (SELECT max(id) FROM thing) + rn, 'new' FROM spot)
+SELECT location_id, thing_id, kind, 1 AS places, epoch_us(TIMESTAMP '2024-05-01') AS visited FROM held""")
+def mut_07_locations(t):
+    """New locations, each with a stored thing that moves there and a new one."""
+    key = F.col("n_nationkey").cast("string")
+    doc = F.concat(
+        F.lit('{"name":"new'), key, F.lit('","description":"d","encodingType":"geo","location":{"type":"Point","coordinates":['), key,
+        F.lit(',1]},"Things":[{"@iot.id":'), (F.col("n_nationkey") + 1).cast("string"), F.lit('},{"name":"under'), key,
+        F.lit('","description":"d"}]}'))
+    catalog = t.catalog()
+    docs = t.raw("nation").select(F.col("n_nationkey").alias("doc_id"), doc.alias("doc"))
+    state, parts, _ = deep_insert(catalog, docs, "2024-05-01T00:00:00Z", "Location")
+    links = state.table("thing_location")
+    places = links.groupBy("thing_id").agg(F.count("*").alias("places"))
+    fresh = parts["thing"].select(F.col("id").alias("thing_id"), F.lit("new").alias("kind"))
+    visits = parts["historical_location"].join(
+        parts["location_historical_location"].withColumnRenamed("historical_location_id", "id"), "id")
+    return (
+        links.join(parts["location"].select(F.col("id").alias("location_id")), "location_id").join(places, "thing_id")
+        .join(fresh, "thing_id", "left").withColumn("kind", F.coalesce("kind", F.lit("old")))
+        .join(visits.select("thing_id", "location_id", us("time").alias("visited")), ["thing_id", "location_id"])
+        .select("location_id", "thing_id", "kind", "places", "visited")
+    )
+
+
+@query("mut_07_sensor_and_property_roots", """
+WITH s AS (SELECT s_suppkey AS k, row_number() OVER (ORDER BY s_suppkey) AS rn FROM supplier),
+p AS (SELECT id, row_number() OVER (ORDER BY id) AS rn FROM datastream WHERE id % 7 = 0)
+SELECT (SELECT max(id) FROM datastream) + rn AS id, 's' || k AS name, k AS thing_id,
+       (SELECT max(s_suppkey) FROM supplier) + rn AS sensor_id,
+       (SELECT max(id) FROM observed_property) + rn AS observed_property_id, CAST(k AS DOUBLE) AS reading FROM s
+UNION ALL
+SELECT d.id, d.name, d.thing_id, d.sensor_id, (SELECT max(id) FROM observed_property) + (SELECT count(*) FROM supplier) + p.rn, NULL
+FROM datastream d JOIN p USING (id)""")
+def mut_07_sensors(t):
+    """Sensors with a new datastream each, and observed properties that take over stored datastreams."""
+    key = F.col("s_suppkey").cast("string")
+    sensor = F.concat(
+        F.lit('{"name":"n'), key, F.lit('","description":"d","encodingType":"text","metadata":"m","Datastreams":[{"name":"s'), key,
+        F.lit('","description":"d","observationType":"o","unitOfMeasurement":{"name":"u"},"Thing":{"@iot.id":'), key,
+        F.lit('},"ObservedProperty":{"name":"p'), key, F.lit('","description":"d","definition":"x"},'
+              '"Observations":[{"phenomenonTime":"2015-03-03T00:00:00Z","result":'), key,
+        F.lit(',"FeatureOfInterest":{"@iot.id":3}}]}]}'))
+    owner = F.concat(
+        F.lit('{"name":"q","description":"d","definition":"x","Datastreams":[{"@iot.id":'), F.col("id").cast("string"), F.lit("}]}"))
+    catalog = t.catalog()
+    last = F.lit(10**12).cast("long")
+    docs = t.raw("supplier").select(
+        F.col("s_suppkey").alias("doc_id"), F.lit("Sensor").alias("entity"), sensor.alias("doc")
+    ).unionByName(catalog.table("datastream").where("id % 7 = 0").select(
+        (last + F.col("id")).alias("doc_id"), F.lit("ObservedProperties").alias("entity"), owner.alias("doc")))
+    state, parts, _ = deep_insert(catalog, docs, "2024-05-01T00:00:00Z")
+    news = parts["datastream"].select("id", F.lit(True).alias("new"))
+    readings = parts["observation"].select(F.col("datastream_id").alias("id"), F.col("result_number").alias("reading"))
+    streams = state.table("datastream").join(news, "id", "left").where("new or id % 7 = 0")
+    return streams.join(readings, "id", "left").select("id", "name", "thing_id", "sensor_id", "observed_property_id", "reading")
+
+
+_BROKEN = {
+    0: ('"phenomenonTime":"2015-03-03T00:00:00Z"', '"phenomenonTime":"some day"', "bad time: Datastreams.Observations.phenomenonTime"),
+    1: (r'"result":\d+', '"resultQuality":1', "missing: Datastreams.Observations.result"),
+    2: (r'"result":\d+', '"result":[1]', "result has no type: Datastreams.Observations.result"),
+    3: ('"ObservedProperty":\\{"@iot.id":4\\},', "", "missing: Datastreams.ObservedProperty"),
+    4: ('"@iot.id":4', '"@iot.id":4,"name":"x"', "more than an id: Datastreams.ObservedProperty"),
+    5: ('"@iot.id":4', '"@iot.id":444', "unknown id: Datastreams.ObservedProperty.444"),
+    6: (r'"Locations":\[(.*?)\],"Datastreams"', '"Locations":$1,"Datastreams"', "not a list: Locations"),
+    7: (r'"coordinates":\[.*?\]', '"coordinates":"here"', "not a geometry: Locations.location"),
+    8: ('"encodingType":"text"', '"encodingType":"text","colour":1', "unknown: Datastreams.Sensor.colour"),
+    9: ('"symbol":"lm"', '"symbol":"lm"},"properties":{', None),
+}
+
+
+@query("mut_07_strict_rejects", "SELECT c_custkey AS doc_id, CASE c_custkey % 10 " + " ".join(
+    f"WHEN {k} THEN '{reason}'" for k, (_, _, reason) in _BROKEN.items() if reason
+) + " END AS reason FROM customer WHERE c_custkey % 10 <> 9")
+def mut_07_strict(t):
+    """One defect per document, deep inside; every tenth document is sound."""
+    doc = F.col("doc")
+    for k, (pattern, text, _) in _BROKEN.items():
+        doc = F.when(F.col("doc_id") % 10 == k, F.regexp_replace("doc", pattern, text)).otherwise(doc)
+    rejects = deep_insert(t.catalog(), thing_docs(t).withColumn("doc", doc), "2024-05-01T00:00:00Z")[2]
+    return rejects.where("doc_id is not null")
+
+
 @query("mut_08_relocate", """
 WITH moved AS (SELECT id AS thing_id, (id * 7) % 25 AS location_id FROM thing WHERE id % 4 = 0),
 steps AS (SELECT *, (SELECT max(id) FROM historical_location) + row_number() OVER (ORDER BY thing_id) AS hl FROM moved)

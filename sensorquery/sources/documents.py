@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StructType
 
 from sensorquery import schema
 from sensorquery.catalog import Catalog
-from sensorquery.functions import geometry, values
-from sensorquery.operators import identity, loading, mutations
+from sensorquery.functions import values
+from sensorquery.operators import loading, mutations
 from sensorquery.session import materialize
+from sensorquery.sources import nested
 
 _BATCH = (
     "array<struct<Datastream:struct<`@iot.id`:long>,components:array<string>,"
@@ -103,156 +105,20 @@ def read_bulk(docs: DataFrame, column: str = "doc") -> DataFrame:
 
 # -- nested entity documents -----------------------------------------------------------------
 
-_UNIT = "struct<name:string,symbol:string,definition:string>"
-_LINKED = "`@iot.id`:long,name:string,description:string"
-_THING = (
-    "name string, description string, properties variant, "
-    "Locations array<struct<`@iot.id`:long,name:string,description:string,encodingType:string,location:variant,"
-    "properties:variant>>, "
-    f"Datastreams array<struct<name:string,description:string,unitOfMeasurement:{_UNIT},"
-    "observationType:string,properties:variant,"
-    f"Sensor:struct<{_LINKED},encodingType:string,metadata:string,properties:variant>,"
-    f"ObservedProperty:struct<{_LINKED},definition:string,properties:variant>,"
-    "Network:struct<`@iot.id`:long,name:string>,"
-    "Observations:array<struct<phenomenonTime:string,resultTime:string,result:variant,"
-    "resultQuality:variant,parameters:variant,"
-    f"FeatureOfInterest:struct<{_LINKED},encodingType:string,feature:variant,properties:variant>>>>>"
-)
-
-
-def _unread(doc: Column, kind: StructType, path: str = "") -> Column:
-    """The members of a JSON object, and of the objects nested in it, that ``kind`` has no field for."""
-    known = F.array(*[F.lit(f.name) for f in kind.fields])
-    own = F.array_except(F.coalesce(F.json_object_keys(doc), F.array().cast("array<string>")), known)
-    parts = [F.transform(own, lambda k: F.concat(F.lit(path), k))]
-
-    def each(inner: StructType, at: str):
-        return lambda x: _unread(x, inner, at)
-
-    for field in kind.fields:
-        member, inner, at = F.get_json_object(doc, f"$.{field.name}"), field.dataType, f"{path}{field.name}."
-        if isinstance(inner, StructType):
-            parts.append(_unread(member, inner, at))
-        elif isinstance(inner, ArrayType):
-            items = F.coalesce(F.from_json(member, "array<string>"), F.array().cast("array<string>"))
-            parts.append(F.flatten(F.transform(items, each(inner.elementType, at))))
-    return F.array_sort(F.array_distinct(F.concat(*parts)))
 
+def flatten_documents(
+    docs: DataFrame, start_ids: dict[str, int] | None = None, root: str = "Thing"
+) -> dict[str, DataFrame]:
+    """Documents (doc_id, doc) of any root with everything nested in them, as one row set per table.
 
-def _judged(docs: DataFrame) -> DataFrame:
-    """``mutations.validate`` of Thing documents, and the nested members that would be lost."""
-    judged = mutations.validate(docs, "Thing")
-    lost = F.array_except(_unread(F.col("doc"), StructType.fromDDL(_THING)), F.array(F.lit("@iot.id")))
-    reason = F.when(F.size(lost) > 0, F.concat(F.lit("unknown: "), F.array_join(lost, ",")))
-    return judged.withColumn("reason", F.coalesce("reason", reason))
-
-
-def flatten_documents(docs: DataFrame, start_ids: dict[str, int] | None = None) -> dict[str, DataFrame]:
-    """Thing documents (doc_id, doc) with everything nested in them, as one row set per table.
-
-    Ids follow document and position order. Linked entities (``@iot.id``: locations, sensors, observed
-    properties, networks, features) are used as they are; inline ones are created. A new thing with locations gets one historical
-    location per document, linked to all of them.
+    Ids follow document and position order. Linked entities (``@iot.id``) are used as they are; inline
+    ones are created. A thing with locations gets one historical location per document, linked to all
+    of them. Nothing is judged here but the shape: a document that breaks a rule of ``nested.members``
+    gives no rows; ``deep_insert`` returns it with its reason.
     """
-    start = start_ids or {}
-
-    def numbered(df: DataFrame, table: str, order: list[str]) -> DataFrame:
-        return identity.assign_ids(df, order, start.get(table, 1))
-
-    t = docs.select("doc_id", F.from_json("doc", _THING).alias("t"))
-    things = numbered(
-        t.select("doc_id", "t.name", "t.description", F.to_json("t.properties").alias("properties")),
-        "thing", ["doc_id"],
-    )
-    keys = things.select("doc_id", F.col("id").alias("thing_id"))
-    located = t.select("doc_id", F.posexplode("t.Locations").alias("pos", "l"))
-    locations = numbered(
-        located.where("l.`@iot.id` is null").select(
-            "doc_id", "pos", "l.name", "l.description", F.col("l.encodingType").alias("encoding_type"),
-            geometry.from_geojson(F.to_json("l.location")).alias("location"),
-            F.to_json("l.properties").alias("properties"), F.lit(None).cast("long").alias("gen_foi_id"),
-        ),
-        "location", ["doc_id", "pos"],
-    )
-    stored = located.where("l.`@iot.id` is not null").select("doc_id", F.col("l.`@iot.id`").alias("location_id"))
-    links = locations.select("doc_id", F.col("id").alias("location_id")).unionByName(stored.distinct()).join(keys, "doc_id")
-    visits = numbered(links.select("doc_id", "thing_id").distinct(), "historical_location", ["doc_id"])
-    visited = links.join(visits.select("doc_id", F.col("id").alias("historical_location_id")), "doc_id")
-
-    streams = t.select("doc_id", F.posexplode("t.Datastreams").alias("pos", "d"))
-
-    def inline(part: str, table: str, extra: dict[str, str]) -> DataFrame:
-        rows = streams.where(
-            F.col(f"d.{part}").isNotNull() & F.col(f"d.{part}.`@iot.id`").isNull()
-        ).select(
-            "doc_id", "pos", f"d.{part}.name", f"d.{part}.description",
-            *[F.col(f"d.{part}.{source}").alias(column) for column, source in extra.items()],
-            F.to_json(f"d.{part}.properties").alias("properties"),
-        )
-        return numbered(rows, table, ["doc_id", "pos"])
-
-    sensors = inline("Sensor", "sensor", {"encoding_type": "encodingType", "sensor_metadata": "metadata"})
-    observed = inline("ObservedProperty", "observed_property", {"definition": "definition"})
-    networks = numbered(
-        streams.where("d.Network is not null and d.Network.`@iot.id` is null").select("doc_id", "pos", "d.Network.name"),
-        "network", ["doc_id", "pos"],
-    )
-    created = (
-        streams.join(keys, "doc_id")
-        .join(sensors.select("doc_id", "pos", F.col("id").alias("_sensor")), ["doc_id", "pos"], "left")
-        .join(observed.select("doc_id", "pos", F.col("id").alias("_property")), ["doc_id", "pos"], "left")
-        .join(networks.select("doc_id", "pos", F.col("id").alias("_network")), ["doc_id", "pos"], "left")
-    )
-    datastreams = numbered(
-        created.select(
-            "doc_id", "pos", "d.name", "d.description",
-            F.col("d.unitOfMeasurement").alias("unit_of_measurement"),
-            F.col("d.observationType").alias("observation_type"),
-            F.to_json("d.properties").alias("properties"), "thing_id",
-            F.coalesce("d.Sensor.`@iot.id`", "_sensor").alias("sensor_id"),
-            F.coalesce("d.ObservedProperty.`@iot.id`", "_property").alias("observed_property_id"),
-            F.coalesce("d.Network.`@iot.id`", "_network").alias("network_id"),
-        ),
-        "datastream", ["doc_id", "pos"],
-    )
-    readings = streams.select("doc_id", "pos", F.posexplode("d.Observations").alias("seq", "o"))
-    at = ["doc_id", "pos", "seq"]
-    features = numbered(
-        readings.where("o.FeatureOfInterest is not null and o.FeatureOfInterest.`@iot.id` is null").select(
-            *at, "o.FeatureOfInterest.name", "o.FeatureOfInterest.description",
-            F.col("o.FeatureOfInterest.encodingType").alias("encoding_type"),
-            geometry.from_geojson(F.to_json("o.FeatureOfInterest.feature")).alias("feature"),
-            F.to_json("o.FeatureOfInterest.properties").alias("properties"),
-        ),
-        "feature_of_interest", at,
-    )
-    placed = readings.join(features.select(*at, F.col("id").alias("_feature")), at, "left")
-    times = values.parse_time(F.col("o.phenomenonTime"))
-    observations = numbered(
-        placed.select(
-            "doc_id", "pos", "seq", times.lower.alias("phenomenon_start"),
-            times.upper.alias("phenomenon_end"),
-            F.try_to_timestamp("o.resultTime").alias("result_time"),
-            *[c.alias(n) for n, c in values.typed_result(F.col("o.result")).items()],
-            F.try_variant_get("o.resultQuality", "$", "string").alias("result_quality"),
-            F.to_json("o.parameters").alias("parameters"),
-            F.coalesce("o.FeatureOfInterest.`@iot.id`", "_feature").alias("feature_of_interest_id"),
-        ),
-        "observation", ["doc_id", "pos", "seq"],
-    ).join(datastreams.select("doc_id", "pos", F.col("id").alias("datastream_id")), ["doc_id", "pos"])
-    return {
-        "thing": things.drop("doc_id"),
-        "location": locations.drop("doc_id", "pos"),
-        "thing_location": links.select("thing_id", "location_id"),
-        "historical_location": visits.select("id", "thing_id"),
-        "location_historical_location": visited.select("location_id", "historical_location_id"),
-        "sensor": sensors.drop("doc_id", "pos"),
-        "observed_property": observed.drop("doc_id", "pos"),
-        "network": networks.drop("doc_id", "pos"),
-        "datastream": datastreams.drop("doc_id", "pos"),
-        "feature_of_interest": features.drop("doc_id", "pos", "seq"),
-        "observation": observations.drop("doc_id", "pos", "seq"),
-    }
+    parts = nested.rows_of(nested.members(docs, root).where("reason is null"), start_ids or {})
+    parts.pop("relinked")
+    return {n: rows.drop("moved") for n, rows in parts.items()}
 
 
 def _observation_rows(rows: DataFrame, order: list, at: Column | None = None) -> DataFrame:
@@ -274,30 +140,73 @@ def bulk_insert(
     return mutations.insert_observations(catalog, _observation_rows(rows, [*order, "row"]))
 
 
+def _relink(catalog: Catalog, relinked: DataFrame) -> dict[str, DataFrame]:
+    """Tables whose stored rows got other parents: the last document that says so counts."""
+    used = sorted((r[0], r[1]) for r in relinked.select("table", "fk").distinct().collect())  # names of the schema
+    state: dict[str, DataFrame] = {}
+    for table, fk in used:
+        pairs = relinked.where((F.col("table") == table) & (F.col("fk") == fk)).groupBy("id").agg(
+            F.max_by("target", "order").alias("parent_id"))
+        state[table] = mutations.relink(state.get(table, catalog.table(table)), pairs, fk)
+    return state
+
+
 def deep_insert(
-    catalog: Catalog, docs: DataFrame, at: str
+    catalog: Catalog, docs: DataFrame, at: str, root: str = "Thing", commit: dict[str, str] | None = None
 ) -> tuple[Catalog, dict[str, DataFrame], DataFrame]:
-    """(catalog, inserted rows per table, rejects) of Thing documents (doc_id, doc) with all they hold.
-
-    A document that breaks the rules, or holds a member at any depth that is not read here, is rejected
-    whole, with its reason; documents of other roots are rejected too. An observation refused on its
-    own (no location to take a feature from, or not unique) is a reject without a ``doc_id``. The visits
-    that a new thing starts with are dated ``at``, and so is a reading without a time. Readings go the
-    way of every insert, so features, extents, areas and last features are kept.
+    """(catalog, inserted rows per table, rejects) of documents (doc_id, doc) with all they hold.
+
+    ``root`` names the entity of the documents; a column ``entity`` in ``docs`` names it per document.
+    A document is rejected whole, with the first reason in document order, if any member breaks the
+    rules of ``nested`` (unknown or missing members, wrong types, times, results or geometries that
+    cannot be read) or links to an id that is not stored. A linked Datastream or Observation nested
+    under a new parent moves there; a stored Thing under a new Location moves there too, and its visit
+    is recorded. An observation refused on its own (no location to take a feature from, or not unique)
+    is a reject without a ``doc_id``. Visits and readings without a time are dated ``at``. Readings go
+    the way of every insert, so features, extents, areas and last features are kept. ``commit``
+    (author, message, encodingType) adds a row to the commit log and stamps new rows of tables that
+    carry a commit.
     """
-    accepted, refused = mutations.split_valid(materialize(_judged(docs)))
-    names = [n for n in schema.TABLES if catalog.has(n) and "id" in schema.columns(n)]
-    starts = {n: identity.next_id(catalog.table(n)) for n in names}
-    parts = flatten_documents(accepted, starts)
+    found = nested.members(docs, root)
+    stored = {n: catalog.table(n) for n in schema.ENTITIES if catalog.has(n)}
+    broken = nested.judged(found)
+    lost = nested.unknown_links(found.where("reason is null"), stored)
+    refused = materialize(broken.unionByName(lost.select(*broken.columns)).groupBy("part", "nr").agg(
+        F.first("doc_id").alias("doc_id"), F.first("reason").alias("reason")))
+    accepted = found.join(refused.select("part", "nr"), ["part", "nr"], "left_anti")
+    highest = [rows.agg(F.lit(n).alias("n"), F.max("id").alias("last")) for n, rows in stored.items()]
+    starts = {r["n"]: (r["last"] or 0) + 1 for r in reduce(DataFrame.unionByName, highest).collect()}  # one row per table
+    parts = nested.rows_of(accepted, starts)
     moment = F.lit(at).cast("timestamp")
-    parts["historical_location"] = parts["historical_location"].withColumn("time", moment)
-    readings = parts.pop("observation")
-    state = catalog.replace(**{
-        n: catalog.table(n).unionByName(rows, allowMissingColumns=True) if catalog.has(n) else rows for n, rows in parts.items()
+    parts["historical_location"] = parts["historical_location"].withColumn("time", F.coalesce("time", moment))
+    if commit is not None:
+        number = starts.get("commit_log", 1)
+        parts["commit_log"] = catalog.spark.createDataFrame(
+            [(number, commit["author"], commit.get("encodingType", "text/plain"), commit["message"])],
+            "id long, author string, encoding_type string, message string",
+        ).withColumns({"date": moment, "action_type": F.lit("CREATE")})
+    readings, relinked, links = parts.pop("observation"), parts.pop("relinked"), parts["thing_location"]
+    state = catalog.replace(**_relink(catalog, relinked))
+    moved = links.where("moved").select("thing_id").distinct()
+    if catalog.has("thing_location"):
+        state = state.replace(thing_location=state.table("thing_location").join(moved, "thing_id", "left_anti"))
+    parts["thing_location"] = links.drop("moved")
+
+    def stamped(name: str, rows: DataFrame) -> DataFrame:
+        had = state.table(name).columns if state.has(name) else []
+        extra = {"valid_from": moment} if "valid_from" in had else {}
+        if commit is not None and "commit_id" in had:
+            extra["commit_id"] = F.lit(number).cast("long")
+        return rows.withColumns(extra) if extra else rows
+
+    parts = {n: stamped(n, rows) for n, rows in parts.items()}
+    state = state.replace(**{
+        n: state.table(n).unionByName(rows, allowMissingColumns=True) if state.has(n) else rows for n, rows in parts.items()
     })
-    state, inserted, lost = mutations.insert_observations(state, _observation_rows(readings, ["id"], moment))
+    rows = stamped("observation", _observation_rows(readings, ["id"], moment))
+    state, inserted, late = mutations.insert_observations(state, rows)
     rejects = refused.select("doc_id", "reason").unionByName(
-        lost.select(F.lit(None).cast("long").alias("doc_id"), "reason"))
+        late.select(F.lit(None).cast("long").alias("doc_id"), "reason"))
     return state, {**parts, "observation": inserted}, rejects
 
 

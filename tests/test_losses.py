@@ -161,13 +161,18 @@ def test_deep_insert_keeps_nested_members_or_rejects(spark):
     foi = {"name": "f", "encodingType": "e", "feature": {"type": "Point", "coordinates": [1, 2]}}
     readings = [{"phenomenonTime": f"2024-01-0{i}T00:00:00Z", "result": i, **more}
                 for i, more in ((1, {"FeatureOfInterest": foi}), (2, {"FeatureOfInterest": {"@iot.id": 30}}), (3, {}))]
-    stream = {"name": "s", "Sensor": {"name": "n"}, "ObservedProperty": {"name": "p"}, "Network": {"name": "net"}, "Observations": readings}
+    text = {"description": "d", "encodingType": "e"}
+    foi |= text
+    stream = {
+        "name": "s", "description": "d", "observationType": "o", "unitOfMeasurement": {"name": "u"},
+        "Sensor": {"name": "n", "metadata": "m", **text}, "ObservedProperty": {"name": "p", "description": "d", "definition": "x"},
+        "Network": {"name": "net"}, "Observations": readings}
     thing = {"name": "t", "description": "d", "properties": {}, "Locations": [{"@iot.id": 7}], "Datastreams": [stream]}
-    odd = {**thing, "Datastreams": [{**stream, "Observations": [{**readings[0], "validTime": "2024", "FeatureOfInterest": {**foi, "x": 1}}]}]}
+    odd = {**thing, "Datastreams": [{**stream, "Observations": [{**readings[0], "y": 2, "FeatureOfInterest": {**foi, "x": 1}}]}]}
     docs = spark.createDataFrame([(1, json.dumps(thing)), (2, json.dumps(odd))], "doc_id long, doc string")
     state, parts, rejects = documents.deep_insert(catalog, docs, "2024-05-01T00:00:00Z")
     assert [tuple(r) for r in rejects.select("doc_id", "reason").collect()] == [
-        (2, "unknown: Datastreams.Observations.FeatureOfInterest.x,Datastreams.Observations.validTime")]
+        (2, "unknown: Datastreams.Observations.y")]
     assert [r.name for r in state.table("location").collect()] == ["old place"]
     assert [r.location_id for r in state.table("thing_location").collect()] == [7]
     networks = {r.id: r.name for r in state.table("network").collect()}
