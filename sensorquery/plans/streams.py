@@ -10,7 +10,8 @@ from sensorquery.plans.changes import bare_streams
 from sensorquery.plans.ingest import message_rows
 from sensorquery.plans.registry import query
 from sensorquery.session import scratch_path
-from sensorquery.streaming import messages, state
+from sensorquery.sources import sinks
+from sensorquery.streaming import keyed, messages, state
 
 us = F.unix_micros
 
@@ -131,15 +132,25 @@ def stm_04(t):
 SELECT datastream_id, id FROM (SELECT datastream_id, id, row_number() OVER (PARTITION BY datastream_id ORDER BY phenomenon_start DESC, id) AS rn
 FROM observation) WHERE rn <= 3""")
 def stm_04_n(t):
-    rows = readings(t)
     parts = Parts(t, "latest-n")
+    layout = readings(t).schema
+    # Every delivery is a run of its own that goes on from the state of the last.
+    lists = deliver(t, parts, parts.write, lambda stream: keyed.latest_lists(stream, 3), mode="update",
+                    layout="datastream_id long, salt int, doc string, part int")
+    return keyed.latest_of(lists, 3, layout).select("datastream_id", "id")
 
-    def write(batch, number):
-        known = parts.part(number - 1, rows.schema) if number > 0 else None
-        parts.write(state.latest_n(known, batch, 3), number)
 
-    drain(state.run_batches(stream_of(t, rows), write, parts.checkpoint))
-    return parts.part(parts.last, rows.schema).select("datastream_id", "id")
+@query("stm_04_latest_n_stored", """
+SELECT datastream_id, id FROM (SELECT datastream_id, id, row_number() OVER (PARTITION BY datastream_id ORDER BY phenomenon_start DESC, id) AS rn
+FROM observation WHERE datastream_id IN (SELECT DISTINCT datastream_id FROM observation WHERE id % 4 = 1)) WHERE rn <= 2""")
+def stm_04_n_stored(t):
+    """Readings that are stored already are the initial state; lists come out for touched datastreams."""
+    rows = readings(t)
+    parts = Parts(t, "latest-stored")
+    lists = keyed.latest_lists(
+        stream_of(t, rows.where("id % 4 = 1")), 2, stored=rows.where("id % 4 <> 1"), salts=1)
+    drain(state.run_batches(lists, parts.write, parts.checkpoint, mode="update"))
+    return keyed.latest_of(parts.read("datastream_id long, salt int, doc string, part int"), 2, rows.schema).select("datastream_id", "id")
 
 
 def deliveries(t):
@@ -152,15 +163,15 @@ def deliveries(t):
     return rows, [rows.where((cut == k) | ((cut == k - 1) & (F.col("id") % 3 == 0))) for k in range(4)]
 
 
-def deliver(t, parts: Parts, write, through=lambda stream: stream) -> DataFrame:
+def deliver(t, parts: Parts, write, through=lambda stream: stream, mode="append", layout=None) -> DataFrame:
     """Runs the stream anew after each delivery; every run goes on from the checkpoint of the last."""
     rows, batches = deliveries(t)
     path = scratch_path(t.spark, "deliveries")
     for batch in batches:
         batch.write.mode("append").parquet(path)
         stream = t.spark.readStream.schema(rows.schema).parquet(path)
-        drain(state.run_batches(through(stream), write, parts.checkpoint))
-    return parts.read(rows.schema)
+        drain(state.run_batches(through(stream), write, parts.checkpoint, mode=mode))
+    return parts.read(layout or rows.schema)
 
 
 @query("stm_05_late_data", """
@@ -171,15 +182,16 @@ def stm_05(t):
     early = t.observations().where(F.col("phenomenon_start") < F.lit("2024-01-08T00:00:00Z").cast("timestamp"))
     streams = maintain.merge_extents(bare_streams(t), early)
     parts = Parts(t, "late")
-    write = state.newer_per_batch(t.spark, streams, parts.write, scratch_path(t.spark, "ends"))
-    return deliver(t, parts, write).select("id")
+    return deliver(t, parts, parts.write, lambda stream: keyed.newer_readings(stream, streams)).select("id")
 
 
 @query("stm_05_stored_duplicates", """
 SELECT min(id) AS id FROM observation o WHERE NOT EXISTS (SELECT 1 FROM observation s WHERE s.id % 10 < 7
   AND s.datastream_id = o.datastream_id AND s.phenomenon_start = o.phenomenon_start) GROUP BY datastream_id, phenomenon_start""")
 def stm_05_stored(t):
-    stored = t.observations().where(F.col("id") % 10 < 7)
+    path = scratch_path(t.spark, "stored")
+    sinks.write_observations(t.observations().where(F.col("id") % 10 < 7), path)
+    stored = t.spark.read.schema("datastream_id long, phenomenon_start timestamp, chunk date").parquet(path)
     parts = Parts(t, "missing")
     write = state.missing_per_batch(t.spark, stored, parts.write, scratch_path(t.spark, "keys"))
     return deliver(t, parts, write).select("id")

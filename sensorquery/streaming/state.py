@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from sensorquery.operators import loading, maintain, series
+from sensorquery.catalog import chunk_start
+from sensorquery.operators import loading, maintain
+from sensorquery.streaming.keyed import keyed_state
 
 UNIQUE_KEY = ["datastream_id", "phenomenon_start", "phenomenon_end"]
 
@@ -36,18 +38,6 @@ def latest(stream: DataFrame) -> DataFrame:
     )
 
 
-def latest_n(known: DataFrame | None, batch: DataFrame, n: int) -> DataFrame:
-    """The ``n`` latest readings per datastream of a batch and what was known before, one per time.
-
-    Called per micro-batch with the stored result of the previous one.
-    """
-    rows = batch if known is None else known.unionByName(batch)
-    key = ["datastream_id", "phenomenon_start"]
-    single = series.first_per_key(rows, key, ["id"])
-    order = [F.col("phenomenon_start").desc(), F.col("id")]
-    return series.top_per_key(single, ["datastream_id"], order, n).drop("rn")
-
-
 def run_batches(
     stream: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str, *,
     mode: str = "append", once: bool = True,
@@ -58,28 +48,8 @@ def run_batches(
         stream.writeStream.outputMode(mode)
         .option("checkpointLocation", checkpoint).foreachBatch(write)
     )
-    return (writer.trigger(availableNow=True) if once else writer).start()
-
-
-def newer_per_batch(
-    spark: SparkSession, datastreams: DataFrame, write: Callable[[DataFrame, int], None], folder: str
-) -> Callable[[DataFrame, int], None]:
-    """The late-data rule over a stream: the ends move on with every batch.
-
-    The ends after batch n are the table ``folder/ends=n``, one row per datastream. A batch that is
-    run again starts from the ends before it, so its result is the same.
-    """
-    initial = datastreams.select("id", "phenomenon_end")
-
-    def run(batch: DataFrame, number: int) -> None:
-        ends = initial if number == 0 else spark.read.schema(initial.schema).parquet(f"{folder}/ends={number - 1}")
-        accepted = append_newer(batch, ends)
-        write(accepted, number)
-        moved = accepted.select(F.col("datastream_id").alias("id"), F.coalesce("phenomenon_end", "phenomenon_start").alias("phenomenon_end"))
-        merged = ends.unionByName(moved).groupBy("id").agg(F.max("phenomenon_end").alias("phenomenon_end"))
-        merged.write.mode("overwrite").parquet(f"{folder}/ends={number}")
-
-    return run
+    with keyed_state(stream.sparkSession):
+        return (writer.trigger(availableNow=True) if once else writer).start()
 
 
 def missing_per_batch(
@@ -87,19 +57,30 @@ def missing_per_batch(
 ) -> Callable[[DataFrame, int], None]:
     """Readings not yet stored over a stream: each batch also sees what earlier batches accepted.
 
-    The keys that batch n accepted are ``folder/part=n``; running a batch again replaces its part and
-    looks at earlier parts only.
+    The keys that batch n accepted are ``folder/part=n``, laid out by time chunk; running a batch again
+    replaces its part and looks at earlier parts only. Where ``stored`` has a ``chunk``, only the
+    chunks of the batch are read, of it and of the parts.
     """
-    keys = stored.select(*loading.SERIES_KEY)
+    own = [*loading.SERIES_KEY, *[c for c in ("chunk",) if c in stored.columns]]
+    keys = stored.select(*own)
 
     def run(batch: DataFrame, number: int) -> None:
         held = keys
         if number > 0:
             layout = f"{keys._jdf.schema().toDDL()}, part INT"
             held = held.unionByName(spark.read.schema(layout).parquet(folder).where(F.col("part") < number).drop("part"))
+        if "chunk" in own:
+            # The chunks of a batch, some twelve for each year it spans, prune the scans.
+            days = [r[0] for r in batch.select(chunk_start(F.col("phenomenon_start"))).distinct().collect()]
+            held = held.where(F.col("chunk").isin([d for d in days if d is not None]))
         accepted = append_missing(batch, held)
         write(accepted, number)
-        accepted.select(*loading.SERIES_KEY).write.mode("overwrite").parquet(f"{folder}/part={number}")
+        made = accepted.select(*loading.SERIES_KEY)
+        if "chunk" in own:
+            made = made.withColumn("chunk", chunk_start(F.col("phenomenon_start")))
+            made.repartitionByRange("chunk").write.mode("overwrite").partitionBy("chunk").parquet(f"{folder}/part={number}")
+        else:
+            made.write.mode("overwrite").parquet(f"{folder}/part={number}")
 
     return run
 
