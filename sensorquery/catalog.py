@@ -14,6 +14,7 @@ from sensorquery.functions.predicates import valid_at, valid_overlaps
 from sensorquery.functions.values import Interval
 
 VERSION_COLUMNS = ("valid_from", "valid_to", "commit_id")
+CLOSED_MONTH = "closed_month"  # partition of a history: the month in which a version ended
 _VERSION_DDL = "valid_from timestamp, valid_to timestamp, commit_id long"
 
 
@@ -59,24 +60,49 @@ class Catalog:
     def has(self, name: str) -> bool:
         return name in self._tables
 
-    def traveltime(self, name: str) -> DataFrame:
-        """All versions of a table: current rows and history rows, each once."""
+    def _stored(self, name: str) -> DataFrame:
         stored = self._tables[name]
         df = stored() if callable(stored) else stored
         self._tables[name] = df
-        past = self._history.get(name)
-        return df if past is None else df.unionByName(past).distinct()
+        return df
+
+    def _closed(self, past: DataFrame, since: str | None) -> DataFrame:
+        """Closed versions that were still valid at ``since``; only the months of closing from then on
+        are read where the history is laid out by them (``versions.append_history``)."""
+        closed = past.where(F.col("valid_to").isNotNull())
+        if CLOSED_MONTH not in past.columns:
+            return closed
+        if since is not None:
+            closed = closed.where(F.col(CLOSED_MONTH) >= self._moment(since).date().replace(day=1))
+        return closed.drop(CLOSED_MONTH)
+
+    def _versions(self, name: str, since: str | None = None) -> DataFrame:
+        df, past = self._stored(name), self._history.get(name)
+        if past is None:
+            return df
+        if "valid_to" not in df.columns:
+            return df.unionByName(past).distinct()
+        return df.where(F.col("valid_to").isNull()).unionByName(self._closed(past, since))
+
+    def traveltime(self, name: str) -> DataFrame:
+        """All versions of a table, each once.
+
+        Where a history is kept beside the table, the table counts for the open versions and the history
+        for the closed ones, so the two are disjoint and nothing has to be compared. Tables without
+        validity are united as sets.
+        """
+        return self._versions(name)
 
     def table(self, name: str) -> DataFrame:
         """Rows of a table at the catalog's instant, in its span, or valid now."""
-        df = self.traveltime(name)
+        df = self._stored(name)
         if "valid_to" not in df.columns:
-            return df
+            return self._versions(name)
         validity = Interval(F.col("valid_from"), F.col("valid_to"), "validity")
         if self.instant is not None:
-            return df.where(valid_at(validity, self.instant))
+            return self._versions(name, self.instant).where(valid_at(validity, self.instant))
         if self.span is not None:
-            return df.where(valid_overlaps(validity, *self.span))
+            return self._versions(name, self.span[0]).where(valid_overlaps(validity, *self.span))
         return df.where(F.col("valid_to").isNull())
 
     def _moment(self, value) -> datetime:

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sensorquery import schema
-from sensorquery.catalog import VERSION_COLUMNS, Catalog
+from sensorquery.catalog import CLOSED_MONTH, VERSION_COLUMNS, Catalog
 from sensorquery.operators import series
 
 # Columns that are kept up to date by the engine; a change of these alone opens no version.
@@ -139,8 +140,17 @@ def split_versions(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def append_history(closed: DataFrame, path: str) -> None:
-    """History is append-only."""
-    closed.write.mode("append").parquet(path)
+    """History is append-only, laid out by the month in which versions ended: a read as of an instant
+    leaves out the months before it."""
+    rows = closed.where(F.col("valid_to").isNotNull()).withColumn(CLOSED_MONTH, F.trunc("valid_to", "month"))
+    order = [CLOSED_MONTH, "id", "valid_from"]
+    rows.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("append").partitionBy(CLOSED_MONTH).parquet(path)
+
+
+def read_history(spark: SparkSession, path: str, layout) -> DataFrame:
+    """A history with its months, for ``Catalog(history=...)``; ``layout`` is that of the versions."""
+    fields = layout if isinstance(layout, T.StructType) else T.StructType.fromDDL(layout)
+    return spark.read.schema(T.StructType([*fields.fields, T.StructField(CLOSED_MONTH, T.DateType())])).parquet(path)
 
 
 def unmatched(current: DataFrame, changes: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ import io
 import zipfile
 
 import pandas as pd
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from sensorquery.functions import values
@@ -154,6 +156,14 @@ def src_05(t):
     return station_row(files.read_station_files(t.spark, path, STATION))
 
 
+@query("src_05_rejects", """
+WITH lines AS (SELECT event_id, event_id % 19 = 0 AS lost, event_id % 4 = 0 AS short FROM events)
+SELECT event_id, NULL AS name, 'bad time' AS reason FROM lines WHERE lost
+UNION ALL SELECT event_id, unnest(['count', 'kind']), 'missing cell' FROM lines WHERE short AND NOT lost""")
+def src_05_rejects(t):
+    return files.refused_station_lines(station_lines(t), STATION).select("event_id", "name", "reason")
+
+
 def _zip_lines(batches):
     """One archive per batch of lines: a station member and one that no layout wants."""
     for number, batch in enumerate(batches):
@@ -171,6 +181,36 @@ def src_06(t):
     return station_row(files.parse_zipped_stations(files.unzip_lines(archives, list(configs)), configs))
 
 
+def _zip_files(folder: str):
+    """Writes an archive per batch of lines into a folder of the shared store."""
+
+    def run(batches):
+        for number, batch in enumerate(batches):
+            part = TaskContext.get().partitionId()
+            packed = io.BytesIO()
+            with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as archive:
+                half = len(batch) // 2
+                archive.writestr("data/a_level.txt", ("\ufeff" + "\n".join(batch["value"][:half])).encode())
+                archive.writestr("data/b_level.txt", ("\r\n".join(batch["value"][half:]) + "\r\n").encode("latin-1"))
+                archive.writestr("readme.md", "not a station file")
+            store, inner = fs.FileSystem.from_uri(folder.replace("file:/", "/", 1) if folder.startswith("file:/") and not folder.startswith("file://") else folder)
+            store.create_dir(inner)
+            with store.open_output_stream(f"{inner}/{part}-{number}.zip") as out:
+                out.write(packed.getvalue())
+            yield pd.DataFrame({"n": [len(batch)]})
+
+    return run
+
+
+@query("src_06_archive_members", _STATION_SQL)
+def src_06_members(t):
+    """Archives read by path, a member to a task at a time."""
+    folder = scratch_path(t.spark, "archives")
+    station_lines(t).repartition(3).mapInPandas(_zip_files(folder), "n long").agg(F.sum("n")).collect()  # writes them
+    configs = {"_level.txt": STATION}
+    return station_row(files.read_zipped_stations(t.spark, folder, configs))
+
+
 @query("src_10_series_csv", """
 SELECT 42 AS datastream_id, epoch_us(date_trunc('second', ts)) AS at, value AS result_number,
        CAST(event_id AS VARCHAR) AS result_quality FROM events""")
@@ -184,6 +224,18 @@ def src_10(t):
     return rows.select("datastream_id", us("result_time").alias("at"), "result_number", "result_quality")
 
 
+@query("src_10_rejects", """
+SELECT 42 AS datastream_id, 'day ' || event_id AS time, CAST(value AS VARCHAR) AS value, 'bad time' AS reason FROM events WHERE event_id % 10 = 3""")
+def src_10_rejects(t):
+    path = scratch_path(t.spark, "series")
+    late = F.concat(F.lit("day "), F.col("event_id").cast("string"))
+    t.raw("events").select(
+        F.when(F.col("event_id") % 10 == 3, late).otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")).alias("time"),
+        F.lit("x").alias("other"), "value", F.col("event_id").alias("quality"),
+    ).write.option("header", True).csv(path)
+    return files.refused_series_rows(t.spark, path, 42)
+
+
 # -- citizen observations and sheets ---------------------------------------------------------
 
 

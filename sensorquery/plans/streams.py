@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,10 +13,12 @@ from sensorquery.operators import maintain
 from sensorquery.plans.changes import bare_streams
 from sensorquery.plans.ingest import message_rows
 from sensorquery.plans.registry import query
-from sensorquery.session import scratch_path
-from sensorquery.sources import sinks
+from sensorquery.session import scratch_path, ship_functions
+from sensorquery.sources import message_log, sinks
 from sensorquery.streaming import keyed, messages, state
 
+ship_functions(__name__)
+
 us = F.unix_micros
 
 
@@ -95,6 +101,48 @@ def stm_01_rejects(t):
     return rows.groupBy("reason", "name").agg(F.count("*").alias("n"))
 
 
+def _append_logs(folder: str, cut: int, whole: bool):
+    """Appends the messages of a task to its log, a file per partition. ``whole``: the last line ends."""
+
+    def run(batches):
+        part = TaskContext.get().partitionId()
+        store, inner = message_log._store(folder)
+        store.create_dir(inner)
+        lines = [json.dumps({"topic": t, "payload": p}) for b in batches for t, p in zip(b["topic"], b["payload"])]
+        path, half = f"{inner}/{part}.log", len(lines) * cut // 4
+        text = "".join(f"{x}\n" for x in lines[:half])
+        # A writer that is in the middle of a line: the reader must wait for its end.
+        text += "" if whole or half == len(lines) else lines[half][:5]
+        with store.open_output_stream(path) as out:
+            out.write(text.encode())
+        yield pd.DataFrame({"n": [half]})
+
+    return run
+
+
+@query("src_08_message_log", """
+SELECT datastream_id, epoch_us(ts) AS t_us, result_number FROM (
+  SELECT ts, 0 AS datastream_id, CAST(event_id AS DOUBLE) AS result_number FROM events
+  WHERE event_type = 'click' AND event_id % 13 <> 0 AND event_id % 17 <> 0
+  UNION ALL
+  SELECT ts, CASE event_type WHEN 'view' THEN 4 ELSE 1 END, CASE WHEN event_id % 5 = 0 THEN -999.0 ELSE value END FROM events
+  WHERE (event_type = 'view' OR (event_type = 'error' AND user_id = 8)) AND event_id % 13 <> 0 AND event_id % 17 <> 0
+    AND event_id % 5 <> 2)""")
+def src_08_log(t):
+    """Logs that grow between three runs of the ingest, which goes on from its checkpoint each time."""
+    folder = scratch_path(t.spark, "logs")
+    rows = message_rows(t).select("topic", F.col("payload").cast("string").alias("payload")).repartition(3, "payload").sortWithinPartitions("payload", "topic")
+    loaded, refused = Parts(t, "ingest"), Parts(t, "refused")
+    cfg = messages.MessageConfig(mapping=STREAM_MAPPING, separator=";")
+    for cut in (1, 3, 4):
+        rows.mapInPandas(_append_logs(folder, cut, cut == 4), "n long").agg(F.sum("n")).collect()  # writes them
+        drain(messages.start_ingest(
+            message_log.read_log(t.spark, folder), cfg, t.observed_properties(), loaded.write, loaded.checkpoint,
+            rejects=refused.write, once=True))
+    got = loaded.read("datastream_id long, phenomenon_start timestamp, result_number double, result_quality string")
+    return got.select("datastream_id", us("phenomenon_start").alias("t_us"), "result_number")
+
+
 @query("stm_02_unique", """
 SELECT DISTINCT datastream_id, epoch_us(phenomenon_start) AS lo, epoch_us(phenomenon_end) AS hi FROM observation""")
 def stm_02(t):

@@ -12,6 +12,7 @@ from sensorquery.functions.values import Interval, Result, result_json
 from sensorquery.operators import series
 from sensorquery.operators.query import Query
 
+ROWS_PER_FILE = 4_000_000  # some 100 to 200 MB of observations
 DATA_ARRAY_COMPONENTS = (
     "id", "phenomenonTime", "resultTime", "result", "resultQuality", "validTime", "parameters"
 )
@@ -90,17 +91,19 @@ def to_data_array(
     )
 
 
-def write_observations(obs: DataFrame, path: str, mode: str = "append") -> None:
+def write_observations(obs: DataFrame, path: str, mode: str = "append", rows_per_file: int = ROWS_PER_FILE) -> None:
     """Observations in 30-day chunks, clustered by datastream and time.
 
-    Range partitioning splits a crowded chunk or datastream over several files, and each file covers
-    a narrow range, so its statistics prune well.
+    The number of files follows the rows, not the session: as many ranges as ``rows_per_file`` asks for,
+    so a crowded chunk or datastream is split and none is larger than twice that. Each file covers a
+    narrow range, so its statistics prune well. Counting reads a key column only.
     """
     chunked = obs.withColumn("chunk", chunk_start(F.col("phenomenon_start")))
     order = ["chunk", "datastream_id", "phenomenon_start", "id"]
+    ranges = max(1, -(-obs.select("id").count() // rows_per_file))
     (
-        chunked.repartitionByRange(*order).sortWithinPartitions(*order)
-        .write.mode(mode).partitionBy("chunk").parquet(path)
+        chunked.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
+        .write.mode(mode).option("maxRecordsPerFile", 2 * rows_per_file).partitionBy("chunk").parquet(path)
     )
 
 
