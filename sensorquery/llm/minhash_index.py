@@ -8,10 +8,10 @@
    pairs within the distance meet under some key. At J = 0.8 the distance is 25 on average and beyond
    41 once in about 5,000 pairs of 126 symbols; the nearer, the rarer.
 3. Keys travel in packed arrays, each once per slice; keys with a single set end there. Under every
-   key left, all sets are first compared with one hub: the set that shares most keys with others. What
-   is linked becomes one component, and keys whose sets are all connected are done with.
-4. Under the other keys, the sets outside the largest component meet the rest in blocks: pairs of
-   different components within the distance, each under the first key it shares only.
+   key left, all sets are first compared with one hub (``linking``), within the distance. What is linked
+   becomes one component.
+4. Where the sets around a hub lie in several components, those outside the largest meet the rest in
+   blocks: pairs of different components within the distance.
 5. Candidates of both rounds are confirmed on the full sets: 100 * |intersection| >= PER_CENT * |union|.
 
 Pairs are never listed within a component. Equal sets are one node from the start. Null or empty texts
@@ -26,8 +26,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sensorquery.llm.components import components, written
-from sensorquery.llm.ngram_join import ShingleSets
+from sensorquery.llm import linking
+from sensorquery.llm.components import written
+from sensorquery.llm.shingles import ShingleSets
 from sensorquery.llm.text import mix, shard_count, slices
 from sensorquery.session import ship_functions
 
@@ -37,10 +38,6 @@ SYMBOLS = CHUNKS * CHUNK_SYMBOLS
 DISTANCE = 2 * CHUNKS - 1
 SETS_PER_SLICE = 8192
 SETS_PER_SHARD = 8192
-BLOCK = 2048  # sets of a key that meet in one task in step 4, on each side
-ROWS_PER_TASK = 1 << 16
-_SALT = np.uint64(0xD6E8FEB86659FD93)
-_SLOT = np.uint64(127)  # the low bits of a key tell the chunk and the symbol left out
 
 
 def _multipliers() -> np.ndarray:
@@ -70,21 +67,10 @@ def index_keys(sig: np.ndarray) -> np.ndarray:
             for i in range(CHUNK_SYMBOLS):
                 if i != out:
                     content = (content << np.uint64(BITS)) | wide[:, first + i]
-            keys[:, first + out] = (mix(content) & ~_SLOT) | np.uint64(first + out)
+            keys[:, first + out] = mix(content)
     return keys
 
 
-def first_shared(differ: np.ndarray) -> np.ndarray:
-    """The first key that a pair shares, by the symbols it differs in (rows of flags): the chunk, and
-    the symbol that differs there (the first one of equal chunks); -1 without a shared key."""
-    by_chunk = differ.reshape(len(differ), CHUNKS, CHUNK_SYMBOLS)
-    wrong = by_chunk.sum(axis=2)
-    near = wrong <= 1
-    chunk = near.argmax(axis=1)
-    out = by_chunk[np.arange(len(differ)), chunk].argmax(axis=1)
-    return np.where(near.any(axis=1), chunk * CHUNK_SYMBOLS + out, -1)
-
-
 def may_link(size_a, size_b, per_cent: int):
     """Sets of these sizes can be similar enough."""
     return np.minimum(size_a, size_b) * 100 >= per_cent * np.maximum(size_a, size_b)
@@ -97,10 +83,10 @@ def _signed(width: int):
         for batch in batches:
             for texts in slices(batch):
                 sets = ShingleSets(texts, width)
-                a, b = sets.sums(mix(sets.hashes)), sets.sums(mix(sets.hashes ^ _SALT))
+                a, b = sets.names()
                 sig = signatures(sets)
                 yield pa.RecordBatch.from_arrays([
-                    batch.column(0)[texts.rows], pa.array(sets.size, pa.int64()), pa.array(a.view(np.int64)), pa.array(b.view(np.int64)),
+                    batch.column(0)[texts.rows], pa.array(sets.size, pa.int64()), pa.array(a), pa.array(b),
                     pa.array([s.tobytes() if n else None for s, n in zip(sig, sets.size.tolist())], pa.binary()),
                 ], ["doc_id", "size", "set1", "set2", "sig"])
 
@@ -110,184 +96,42 @@ def _signed(width: int):
 _SIGNED = "doc_id long, size long, set1 long, set2 long, sig binary"
 
 
-def _grouped(keys: np.ndarray, member: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Entries ordered by key and member, without repeats; where each key begins, and how often it is there."""
-    order = np.lexsort((member, keys))
-    keys, member = keys[order], member[order]
-    fresh = np.ones(len(keys), dtype=bool)
-    fresh[1:] = (keys[1:] != keys[:-1]) | (member[1:] != member[:-1])
-    keys, member = keys[fresh], member[fresh]
-    head = np.ones(len(keys), dtype=bool)
-    head[1:] = keys[1:] != keys[:-1]
-    start = np.flatnonzero(head)
-    return keys, member, start, np.diff(np.append(start, len(keys)))
-
-
 def _dealt_keys(shards: int):
-    """Per slice and shard the packed (key, smallest set under it); the sets of keys that repeat within
-    the slice go along with the first shards, as entries that have already met."""
-
-    def pack(ids, sig):
-        import pyarrow as pa
-
-        keys = index_keys(sig).ravel()
-        keys, member, start, count = _grouped(keys, np.repeat(ids, SYMBOLS))
-        met = np.repeat(count > 1, count)
-        met_keys, met_member = keys[met], member[met]
-        keys, member = keys[start], member[start]
-        shard = ((keys >> np.uint64(40)) % np.uint64(shards)).astype(np.int64)
-        order = np.argsort(shard, kind="stable")
-        keys, member, shard = keys[order], member[order], shard[order]
-        cut = np.searchsorted(shard, np.arange(shards + 1))
-        met_shard = ((met_keys >> np.uint64(40)) % np.uint64(shards)).astype(np.int64)
-        order = np.argsort(met_shard, kind="stable")
-        met_keys, met_member, met_shard = met_keys[order], met_member[order], met_shard[order]
-        met_cut = np.searchsorted(met_shard, np.arange(shards + 1))
-        used = np.flatnonzero(np.diff(cut)).tolist()
-        return pa.RecordBatch.from_arrays([
-            pa.array(used, pa.int32()),
-            pa.array([keys[cut[s]:cut[s + 1]].tobytes() for s in used], pa.binary()),
-            pa.array([member[cut[s]:cut[s + 1]].tobytes() for s in used], pa.binary()),
-            pa.array([met_keys[met_cut[s]:met_cut[s + 1]].tobytes() for s in used], pa.binary()),
-            pa.array([met_member[met_cut[s]:met_cut[s + 1]].tobytes() for s in used], pa.binary()),
-        ], ["shard", "keys", "members", "met_keys", "met_members"])
+    """The keys of a slice of sets, packed per shard."""
 
     def run(batches):
         ids, sigs, held = [], [], 0
+
+        def pack():
+            return linking.dealt(
+                index_keys(np.concatenate(sigs)).ravel(), np.repeat(np.concatenate(ids), SYMBOLS), shards)
+
         for batch in batches:
             ids.append(batch.column(0).to_numpy(zero_copy_only=False))
             sigs.append(np.frombuffer(b"".join(x.as_buffer() for x in batch.column(1)), np.uint8).reshape(-1, SYMBOLS))
             held += batch.num_rows
             if held >= SETS_PER_SLICE:
-                yield pack(np.concatenate(ids), np.concatenate(sigs))
+                yield pack()
                 ids, sigs, held = [], [], 0
         if held:
-            yield pack(np.concatenate(ids), np.concatenate(sigs))
-
-    return run
-
-
-_DEALT = "shard int, keys binary, members binary, met_keys binary, met_members binary"
-
-
-def _repeated(table):
-    """(key, node) of the keys of a shard that more than one set has."""
-    import pyarrow as pa
-
-    def column(name, kind):
-        return np.frombuffer(b"".join(x.as_buffer() for x in table.column(name).combine_chunks()), dtype=kind)
-
-    met = column("met_keys", np.uint64), column("met_members", np.int64)
-    keys, member, start, count = _grouped(
-        np.concatenate([column("keys", np.uint64), met[0]]), np.concatenate([column("members", np.int64), met[1]]))
-    keep = np.repeat(count > 1, count)
-    return pa.table({"key": keys[keep].view(np.int64), "node": member[keep]})
-
-
-def _near(per_cent: int):
-    """Keeps the pairs whose sizes and signatures allow a link."""
-
-    def run(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            get = lambda name: batch.column(batch.schema.get_field_index(name))
-            a, b = (np.frombuffer(b"".join(x.as_buffer() for x in get(f"sig_{s}")), np.uint8).reshape(-1, SYMBOLS) for s in "ab")
-            sizes = [get(f"size_{s}").to_numpy(zero_copy_only=False) for s in "ab"]
-            keep = ((a != b).sum(axis=1) <= DISTANCE) & may_link(*sizes, per_cent)
-            yield pa.RecordBatch.from_arrays([get("a"), get("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return run
-
-
-def _confirmed(per_cent: int):
-    def run(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            keep = []
-            for p, q in zip(*(batch.column(batch.schema.get_field_index(n)) for n in ("hashes_a", "hashes_b"))):
-                a, b = np.frombuffer(p.as_buffer(), np.uint64), np.frombuffer(q.as_buffer(), np.uint64)
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                keep.append(100 * both >= per_cent * (len(a) + len(b) - both))
-            pair = [batch.column(batch.schema.get_field_index(n)) for n in ("a", "b")]
-            yield pa.RecordBatch.from_arrays(pair, ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return run
-
-
-def _full_sets(width: int):
-    def run(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            for texts in slices(batch):
-                sets = ShingleSets(texts, width)
-                a, b = sets.sums(mix(sets.hashes)), sets.sums(mix(sets.hashes ^ _SALT))
-                packed = [sets.hashes[x:y].tobytes() for x, y in zip(sets.first, sets.first[1:])]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(a.view(np.int64)), pa.array(b.view(np.int64)), pa.array(packed, pa.binary())], ["set1", "set2", "hashes"])
+            yield pack()
 
     return run
 
 
-def _across(per_cent: int):
-    """Pairs of a task between different components: the sets outside a key's largest component against
-    all its sets, within the distance, under the first key that the pair shares."""
-
-    def unit(rows, slot):
-        ids, side, label, size, sig = rows
-        for i in np.flatnonzero(side == 1).tolist():
-            fit = (label != label[i]) & may_link(size, size[i], per_cent)
-            fit &= (side == 0) | (ids > ids[i])  # of two outside, once
-            found = np.flatnonzero(fit)
-            if len(found):
-                differ = sig[found] != sig[i]
-                close = differ.sum(axis=1) <= DISTANCE
-                found, differ = found[close], differ[close]
-                for j in found[first_shared(differ) == slot].tolist():
-                    yield min(ids[i], ids[j]), max(ids[i], ids[j])
-
-    def run(table):
-        import pyarrow as pa
+def within_distance(per_cent: int):
+    """Of a cell, the sets whose signature lies within the distance of the i-th and whose size allows a link."""
 
-        get = lambda name: table.column(name).combine_chunks()
-        key, part, ids, side, label, size = (get(n).to_numpy() for n in ("key", "part", "node", "side", "label", "size"))
-        sig = np.frombuffer(b"".join(x.as_buffer() for x in get("sig")), np.uint8).reshape(-1, SYMBOLS)
-        order = np.lexsort((part, key))
-        edge = np.flatnonzero((np.diff(key[order]) != 0) | (np.diff(part[order]) != 0)) + 1
-        pairs = []
-        for at in np.split(order, edge):
-            if len(at):
-                pairs += unit((ids[at], side[at], label[at], size[at], sig[at]), int(key[at[0]] & 127))
-        return pa.table({"a": pa.array([int(a) for a, _ in pairs], pa.int64()), "b": pa.array([int(b) for _, b in pairs], pa.int64())})
+    def search(size, packed):
+        sig = np.frombuffer(b"".join(packed), np.uint8).reshape(-1, SYMBOLS)
 
-    return run
+        def near(i):
+            fit = np.flatnonzero(may_link(size, size[i], per_cent))
+            return fit[(sig[fit] != sig[i]).sum(axis=1) <= DISTANCE]
 
+        return near
 
-def _left_over(entries: DataFrame, label: DataFrame) -> DataFrame:
-    """(task, key, part, node, side, label) of step 4. ``side`` 1: outside the largest component of the
-    key. A key with many sets is cut in blocks on both sides; each set of one side meets every block of
-    the other, so copies of a set follow the number of blocks outside, mostly one."""
-    named = entries.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    share = named.groupBy("key", "label").agg(F.count("*").alias("n"))
-    open_keys = share.groupBy("key").agg(
-        F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("n"), F.count("*").alias("labels")
-    ).where("labels > 1").select(
-        "key", F.col("top.label").alias("top"), F.ceil((F.col("n") - F.col("top.n")) / BLOCK).cast("int").alias("outer"),
-        F.ceil(F.col("top.n") / BLOCK).cast("int").alias("inner"))
-    rows = named.join(open_keys, "key").withColumn("side", (F.col("label") != F.col("top")).cast("int"))
-    outside = F.col("side") == 1
-    own = F.pmod(F.xxhash64("node"), F.when(outside, F.col("outer")).otherwise(F.col("inner"))).cast("int")
-    span = lambda n: F.sequence(F.lit(0), n - 1)
-    pair = lambda a, b: F.struct(F.least(a, b).alias("x"), F.greatest(a, b).alias("y"), F.lit(1).alias("among"))
-    cross = lambda a, b: F.struct(a.alias("x"), b.alias("y"), F.lit(0).alias("among"))
-    met = F.when(outside, F.concat(
-        F.transform(span(F.col("inner")), lambda b: cross(F.col("own"), b)),
-        F.transform(span(F.col("outer")), lambda b: pair(F.col("own"), b)),
-    )).otherwise(F.transform(span(F.col("outer")), lambda b: cross(b, F.col("own"))))
-    return rows.withColumn("own", own).withColumn("met", F.explode(met)).select(
-        "key", "node", "label", "side", F.xxhash64("met").alias("part"))
+    return search
 
 
 def similar_documents(docs: DataFrame, *, width: int = 5, per_cent: int = 80) -> DataFrame:
@@ -295,58 +139,13 @@ def similar_documents(docs: DataFrame, *, width: int = 5, per_cent: int = 80) ->
     that links reach from it, and whether that is its own."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = written(own.mapInArrow(_signed(width), _SIGNED), "signed")
-    full = rows.where("doc_id is not null and size > 0")
-    nodes = written(
-        full.groupBy("set1", "set2").agg(F.min("doc_id").alias("least"), F.first("size").alias("size"), F.first("sig").alias("sig"))
-        .select(F.monotonically_increasing_id().alias("node"), "*"), "nodes")
+    nodes = linking.nodes_of(rows, "sig")
     shards = shard_count(nodes.count(), SETS_PER_SHARD)
     entries = written(
-        nodes.select("node", "sig").mapInArrow(_dealt_keys(shards), _DEALT).groupBy("shard").applyInArrow(_repeated, "key long, node long"),
-        "entries")
-
-    # The hub of a key is the set that meets most others under all its keys.
-    crowd = entries.groupBy("key").agg(F.count("*").alias("n"))
-    degree = entries.join(crowd, "key").groupBy("node").agg(F.sum("n").alias("degree"))
-    ranked = entries.join(degree, "node")
-    hubs = written(ranked.groupBy("key").agg(F.max(F.struct("degree", "node")).alias("hub")).select("key", F.col("hub.node").alias("hub")), "hubs")
-    starred = entries.join(hubs, "key").where("node <> hub").select(
-        F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-
-    def side(table: DataFrame, name: str, *cols: str) -> DataFrame:
-        return table.select(F.col("node").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in cols])
-
-    def confirm(pairs: DataFrame, label: str) -> DataFrame:
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "least", "set1", "set2"), "node")
-        texts = own.join(wanted.select(F.col("least").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", "text")
-        sets = texts.select("text").mapInArrow(_full_sets(width), "set1 long, set2 long, hashes binary")
-        held = written(sets.join(wanted.select("node", "set1", "set2"), ["set1", "set2"]).dropDuplicates(["node"]).select("node", "hashes"), "sets")
-        found = pairs.join(side(held, "b", "hashes"), "b").join(side(held, "a", "hashes"), "a")
-        return written(found.mapInArrow(_confirmed(per_cent), "a long, b long"), label)
-
-    signed = nodes.select("node", "size", "sig")
-    close = starred.join(side(signed, "a", "size", "sig"), "a").join(side(signed, "b", "size", "sig"), "b")
-    links = confirm(written(close.mapInArrow(_near(per_cent), "a long, b long"), "starred"), "links")
-    # The sets of one id belong together.
-    ids = full.join(nodes.select("set1", "set2", "node"), ["set1", "set2"]).select("doc_id", "node")
-    shared = ids.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z")
-    ties = ids.join(shared.select("doc_id", "a"), "doc_id").where("node <> a").select("a", F.col("node").alias("b"))
-    links = links.unionByName(ties)
-    label = written(components(links).select("node", "label"), "labels")
-
-    rest = written(_left_over(entries.join(hubs, "key").where("node <> hub").select("key", "node"), label), "rest")
-    tasks = shard_count(rest.count(), ROWS_PER_TASK)
-    late = written(
-        rest.join(signed, "node").withColumn("task", F.pmod(F.xxhash64("key", "part"), F.lit(tasks)))
-        .groupBy("task").applyInArrow(_across(per_cent), "a long, b long"), "across")
-    label = components(links.unionByName(confirm(late, "late-links")))
-
-    named = nodes.select("set1", "set2", "node", "least").join(label.select("node", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
-    least = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    component = full.select("doc_id", "set1", "set2").join(named.join(least, "label").select("set1", "set2", "component_id"), ["set1", "set2"])
-    by_id = component.groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
-    return rows.select("doc_id", F.col("size").alias("n_shingles")).join(by_id, "doc_id", "left").select(
-        "doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"),
-        (F.col("doc_id") == F.coalesce("component_id", "doc_id")).alias("kept"))
+        nodes.select("node", "sig").mapInArrow(_dealt_keys(shards), linking.DEALT).groupBy("shard")
+        .applyInArrow(linking.repeated, linking.ENTRIES).withColumnRenamed("member", "node"), "entries")
+    label = linking.component_labels(rows, nodes, own, entries, within_distance(per_cent), width, per_cent, "sig")
+    return linking.by_document(rows, nodes, label).withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
 
 ship_functions(__name__)

@@ -1,23 +1,23 @@
-"""Jaccard join of word shingles: count vectors under an R-tree, exact at any size.
+"""Jaccard join of word shingles: count vectors under R-trees, exact at any size.
 
 A document is the set of its distinct shingles. Two documents link when
 PER_CENT * |union| <= 100 * |intersection|, and components are what links connect.
 
-1. Candidates. Two linked sets of at most ``hi`` shingles differ in no more than
-   d = 2 hi (100 - PER_CENT) / (100 + PER_CENT) of them. Shingles are dealt by their hash to d + 1 + s
-   blocks, so at least s + 1 blocks are equal in both sets, and not all of them are empty unless both
-   sets have more than s empty blocks (such sets put forth their empty blocks too). The content of a
-   block is the key under which sets meet; sizes meet within a class and with the next class. Keys
-   travel in packed arrays, each once per slice; a large group sends each task's smallest member.
-2. Each key links its members to the smallest one only: candidates grow with the members of a group,
-   not with its pairs. A candidate must pass the bound by count vectors, the sum of the smaller
-   counts of each token group, and then the exact comparison. Larger sets have more groups; of two
-   vectors the longer one is folded to the length of the other.
-3. Members of one candidate component that are not yet connected may still be linked to each other:
-   they meet in blocks of bounded size, two by two. In each, an R-tree over the count vectors of one
-   block is searched with the other; boxes whose upper corners cannot reach the overlap are left
-   out, surviving pairs are verified, and pairs already connected are passed over. Vectors go first:
-   the sets themselves are fetched only for documents with a surviving pair.
+1. Points. Shingles are dealt by their hash to token groups; the counts per group are a point. Linked
+   sets share an overlap that the sum of the smaller coordinates of their points cannot be below. Larger
+   sets have more groups; of two points the longer is folded to the length of the other.
+2. Cells. Which sets come under one R-tree is decided by keys, so that the trees lie on many tasks. Two
+   linked sets of at most ``hi`` shingles differ in no more than d = 2 hi (100 - PER_CENT) / (100 +
+   PER_CENT) of them. Shingles are dealt to d + 1 + s blocks, so at least s + 1 blocks are equal in both
+   sets, and not all of them are empty unless both sets have more than s empty blocks (such sets put
+   forth their empty blocks too). The content of a block is the key; sizes meet within a class and with
+   the next class. The cell of a hub is all sets that it meets under its keys (``linking``).
+3. Trees. The points of a cell are packed into boxes of FAN, these into boxes again, up to one root. A
+   box keeps its upper corner and the range of its sizes. The hub descends: a box whose corner cannot
+   reach the overlap is left out with all below it. What survives down to the points is compared with
+   their full vectors, and verified on the full sets. All candidates come out of these searches.
+4. Where the sets of a cell are left in several components, those outside the largest one search the
+   tree of the cell in turn, for sets of other components.
 
 Equal sets are one node. Null or empty texts have no shingles and link with nothing. Rows that share
 a ``doc_id`` are one document: its links are those of all its texts. A null id links with nothing and
@@ -30,17 +30,17 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sensorquery.llm.components import components, written
-from sensorquery.llm.text import _BASE, mix, runs_hash, shard_count, slices
+from sensorquery.llm import linking
+from sensorquery.llm.components import written
+from sensorquery.llm.shingles import SALT, ShingleSets
+from sensorquery.llm.text import _BASE, mix, shard_count, slices
 from sensorquery.session import ship_functions
 
-DIMENSIONS = 64  # token groups of a count vector, at least, and those of the tree
-GROUP_SHINGLES = 8  # about so many shingles to a group
+DIMENSIONS = 64  # token groups of a count vector, at least, and those of the trees
+GROUP_SHINGLES = 2  # about so many shingles to a group
 MOST_DIMENSIONS = 1 << 14
-BLOCK_SHINGLES = 1 << 19  # of one block in step 3: 4 MB
-DOCS_PER_SHARD = 4096
-_LEAF = 16
-_SALT = np.uint64(0xD6E8FEB86659FD93)
+FAN = 16  # points or boxes to a box
+SHINGLES_PER_SHARD = 1 << 21
 
 
 def size_classes(per_cent: int, most: int = 1 << 40) -> tuple[np.ndarray, np.ndarray]:
@@ -61,54 +61,22 @@ def class_blocks(highs: np.ndarray, per_cent: int) -> tuple[np.ndarray, np.ndarr
     return differ + 1 + spare, spare
 
 
-class ShingleSets:
-    """The distinct shingles of each text of a slice: ``hashes`` sorted within each text, ``doc`` the
-    text of each, ``first`` where each text begins, ``size`` per text."""
-
-    def __init__(self, texts, width: int):
-        words = texts.lowered().words()
-        hashed, count = words.hashes(), np.diff(words.first)
-        runs = runs_hash(hashed, width)
-        doc = words.doc
-        inside = np.flatnonzero(doc[:len(runs)] == doc[width - 1:width - 1 + len(runs)]) if len(runs) else np.zeros(0, int)
-        found, owner = [runs[inside]], [doc[inside]]
-        for i in np.flatnonzero((count > 0) & (count < width)).tolist():
-            a, b = words.first[i], words.first[i + 1]
-            found.append(runs_hash(hashed[a:b], int(b - a)) ^ np.uint64(b - a))
-            owner.append(np.array([i]))
-        h, d = np.concatenate(found), np.concatenate(owner)
-        order = np.lexsort((h, d))
-        h, d = h[order], d[order]
-        fresh = np.ones(len(h), dtype=bool)
-        fresh[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
-        self.hashes, self.doc = h[fresh], d[fresh]
-        self.first = np.searchsorted(self.doc, np.arange(len(texts) + 1))
-        self.size = np.diff(self.first)
-
-    def sums(self, values: np.ndarray) -> np.ndarray:
-        """Sum of a value per shingle over each text."""
-        total = np.zeros(len(self.size), dtype=np.uint64)
-        some = np.flatnonzero(self.size)
-        if len(some):
-            total[some] = np.add.reduceat(values, self.first[some])
-        return total
-
-    def vectors(self) -> list[bytes]:
-        """Counts per token group of each text, one byte each; 255 stands for 255 or more."""
-        length = dimensions(self.size)
-        offset = np.concatenate([[0], np.cumsum(length)])
-        group = mix(self.hashes ^ _SALT) & (length[self.doc] - 1).astype(np.uint64)
-        count = np.bincount(offset[self.doc] + group.astype(np.int64), minlength=offset[-1])
-        packed = np.minimum(count, 255).astype(np.uint8)
-        return [packed[a:b].tobytes() for a, b in zip(offset.tolist(), offset[1:].tolist())]
-
-
 def dimensions(size: np.ndarray) -> np.ndarray:
     """Number of token groups for sets of these sizes: a power of two, so that vectors can be folded."""
     wanted = np.clip(size // GROUP_SHINGLES, DIMENSIONS, MOST_DIMENSIONS)
     return (1 << np.ceil(np.log2(wanted)).astype(np.int64)).astype(np.int64)
 
 
+def vectors(sets: ShingleSets) -> list[bytes]:
+    """Counts per token group of each text, one byte each; 255 stands for 255 or more."""
+    length = dimensions(sets.size)
+    offset = np.concatenate([[0], np.cumsum(length)])
+    group = mix(sets.hashes ^ SALT) & (length[sets.doc] - 1).astype(np.uint64)
+    count = np.bincount(offset[sets.doc] + group.astype(np.int64), minlength=offset[-1])
+    packed = np.minimum(count, 255).astype(np.uint8)
+    return [packed[a:b].tobytes() for a, b in zip(offset.tolist(), offset[1:].tolist())]
+
+
 def counts(vector, size: int, length: int | None = None) -> np.ndarray:
     """A packed vector as numbers, folded to ``length`` groups; a full byte counts as the whole set,
     so bounds stay above the truth."""
@@ -157,342 +125,117 @@ def block_keys(sets: ShingleSets, use: np.ndarray, per_cent: int) -> tuple[np.nd
     return np.concatenate(keys), np.concatenate(owners)
 
 
-def _dealt_keys(width: int, per_cent: int, shards: int):
-    """Per slice and shard: packed (key, doc_id); the pairs of sets that met in the slice and the rows
-    of its documents go with the first shards."""
+class CountTree:
+    """An R-tree over count vectors, packed bottom up: points ordered by size, in slabs by the weight of
+    their first coordinates, FAN to a box; then boxes, FAN to a box, until one is left."""
+
+    def __init__(self, vectors: np.ndarray, sizes: np.ndarray):
+        n = len(sizes)
+        slab = FAN * max(1, int(np.ceil(np.sqrt(n / FAN))))
+        by_size = np.argsort(sizes, kind="stable")
+        weight = vectors[:, :vectors.shape[1] // 2].sum(axis=1)
+        place = np.empty(n, dtype=np.int64)
+        place[by_size] = np.arange(n) // slab
+        self.order = np.lexsort((weight, place))
+        corner, least, most = vectors[self.order], sizes[self.order], sizes[self.order]
+        self.levels = [(corner, least, most)]  # the points, then boxes over boxes
+        while len(least) > 1:
+            start = np.arange(0, len(least), FAN)
+            corner = np.maximum.reduceat(corner, start, axis=0)
+            least, most = np.minimum.reduceat(least, start), np.maximum.reduceat(most, start)
+            self.levels.append((corner, least, most))
+        self.visited = 0
 
+    def search(self, vector: np.ndarray, size: int, per_cent: int) -> np.ndarray:
+        """Points that may link with this one: the sum of the smaller coordinates reaches the overlap."""
+        share = per_cent / (100 + per_cent)
+        found = np.arange(len(self.levels[-1][1]))
+        for depth in range(len(self.levels) - 1, -1, -1):
+            corner, least, most = self.levels[depth]
+            near = (least[found] * per_cent <= size * 100) & (most[found] * 100 >= size * per_cent)
+            found = found[near]
+            reach = np.minimum(corner[found], vector).sum(axis=1)
+            self.visited += len(found)
+            found = found[reach >= share * (np.maximum(least[found], -(-size * per_cent // 100)) + size) - 1e-9]
+            if depth and len(found):
+                below = (found[:, None] * FAN + np.arange(FAN)).ravel()
+                found = below[below < len(self.levels[depth - 1][1])]
+        return self.order[found]
+
+
+def _signed(width: int):
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
             for texts in slices(batch):
-                docs = ids[texts.rows].astype(np.int64)
                 sets = ShingleSets(texts, width)
-                a, b = sets.sums(mix(sets.hashes)), sets.sums(mix(sets.hashes ^ _SALT))
-                order = np.lexsort((docs, b, a))
-                same = np.zeros(len(docs), dtype=bool)
-                same[1:] = (a[order][1:] == a[order][:-1]) & (b[order][1:] == b[order][:-1])
-                use = np.zeros(len(docs), dtype=bool)
-                use[order[~same]] = True  # one of equal sets
-                keys, who = block_keys(sets, use, per_cent)
-                member = docs[who]
-                order = np.lexsort((member, keys))
-                keys, member = keys[order], member[order]
-                head = np.ones(len(keys), dtype=bool)
-                head[1:] = keys[1:] != keys[:-1]
-                first = member[np.flatnonzero(head)][np.cumsum(head) - 1] if len(keys) else member
-                met = first != member
-                pairs = np.unique(np.stack([first[met], member[met]], axis=1), axis=0)
-                keys, member = keys[head], member[head]
-                shard = ((keys >> np.uint64(32)) % np.uint64(shards)).astype(np.int64)
-                order = np.argsort(shard, kind="stable")
-                keys, member, shard = keys[order].astype(np.uint32), member[order], shard[order]
-                cut = np.searchsorted(shard, np.arange(shards + 1))
-                rows = np.stack([docs, sets.size, a.view(np.int64), b.view(np.int64)], axis=1)
-                home = int(mix(np.array([docs[0] & 0xFFFFFFFF], dtype=np.uint64))[0] % np.uint64(shards))
-                used = sorted({home, *np.flatnonzero(np.diff(cut)).tolist()})
+                a, b = sets.names()
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(used, pa.int32()),
-                    pa.array([keys[cut[s]:cut[s + 1]].tobytes() for s in used], pa.binary()),
-                    pa.array([member[cut[s]:cut[s + 1]].tobytes() for s in used], pa.binary()),
-                    pa.array([pairs.tobytes() if s == home else b"" for s in used], pa.binary()),
-                    pa.array([rows.tobytes() if s == home else b"" for s in used], pa.binary()),
-                ], ["shard", "keys", "members", "pairs", "rows"])
+                    batch.column(0)[texts.rows], pa.array(sets.size, pa.int64()), pa.array(a), pa.array(b),
+                    pa.array([v if n else None for v, n in zip(vectors(sets), sets.size.tolist())], pa.binary()),
+                ], ["doc_id", "size", "set1", "set2", "vector"])
 
     return run
 
 
-_DEALT = "shard int, keys binary, members binary, pairs binary, rows binary"
-_MET = "a long, b long, size long, set1 long, set2 long"
-
-
-def _meet(table):
-    """Pairs (smallest member, member) of the keys of a shard, and the rows of the documents."""
-    import pyarrow as pa
-
-    def column(name, kind):
-        return np.frombuffer(b"".join(x.as_buffer() for x in table.column(name).combine_chunks()), dtype=kind)
-
-    keys, member = column("keys", np.uint32), column("members", np.int64)
-    order = np.lexsort((member, keys))
-    keys, member = keys[order], member[order]
-    head = np.ones(len(keys), dtype=bool)
-    head[1:] = keys[1:] != keys[:-1]
-    first = member[np.flatnonzero(head)][np.cumsum(head) - 1] if len(keys) else member
-    met = first != member
-    pairs = np.concatenate([np.stack([first[met], member[met]], axis=1), column("pairs", np.int64).reshape(-1, 2)])
-    pairs = np.unique(pairs, axis=0)
-    rows = column("rows", np.int64).reshape(-1, 4)
-    none = np.zeros(len(pairs), dtype=bool)
-    return pa.table({
-        "a": np.concatenate([pairs[:, 0], rows[:, 0]]),
-        "b": pa.array(np.concatenate([pairs[:, 1], np.zeros(len(rows), np.int64)]), mask=np.concatenate([none, np.ones(len(rows), bool)])),
-        **{
-            name: pa.array(np.concatenate([np.zeros(len(pairs), np.int64), rows[:, i]]), mask=np.concatenate([~none, np.zeros(len(rows), bool)]))
-            for i, name in ((1, "size"), (2, "set1"), (3, "set2"))
-        },
-    })
-
-
-def _squeeze(batches):
-    """Texts travel compressed."""
-    import pyarrow as pa
-    import zstandard
-
-    packer = zstandard.ZstdCompressor(level=3)
-    for batch in batches:
-        for texts in slices(batch):
-            packed = [packer.compress(texts.text(i)) for i in range(len(texts))]
-            yield pa.RecordBatch.from_arrays([batch.column(0)[texts.rows], pa.array(packed, pa.binary())], ["doc_id", "packed"])
-
-
-def _set_rows(width: int, whole: bool):
-    """(id, size, vector) of each document, or with ``whole`` (id, hashes)."""
-
-    def run(batches):
-        import pyarrow as pa
-        import zstandard
-
-        plain = zstandard.ZstdDecompressor()
-        for full in batches:
-            for at in range(0, full.num_rows, 256):
-                batch = full.slice(at, 256)
-                text = pa.array([plain.decompress(x.as_buffer()) for x in batch.column(1)], pa.large_binary()).cast(pa.large_string())
-                for texts in slices(pa.RecordBatch.from_arrays([text], ["text"])):
-                    sets = ShingleSets(texts, width)
-                    ids = batch.column(0)[texts.rows]
-                    if whole:
-                        packed = [sets.hashes[a:b].tobytes() for a, b in zip(sets.first, sets.first[1:])]
-                        yield pa.RecordBatch.from_arrays([ids, pa.array(packed, pa.binary())], ["id", "hashes"])
-                    else:
-                        yield pa.RecordBatch.from_arrays(
-                            [ids, pa.array(sets.size, pa.int64()), pa.array(sets.vectors(), pa.binary())], ["id", "size", "vector"])
-
-    return run
-
-
-def _links(a: np.ndarray, b: np.ndarray, per_cent: int) -> bool:
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return 100 * both >= per_cent * (len(a) + len(b) - both)
-
-
-def _bounded(per_cent: int):
-    """Keeps the pairs whose count vectors allow a link."""
-
-    def run(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            get = lambda name: batch.column(batch.schema.get_field_index(name))
-            sides = [(get(f"vector_{n}"), get(f"size_{n}").to_pylist()) for n in "ab"]
-            keep = [
-                may_link(x.as_buffer(), i, y.as_buffer(), j, per_cent)
-                for x, i, y, j in zip(sides[0][0], sides[0][1], sides[1][0], sides[1][1])
-            ]
-            yield pa.RecordBatch.from_arrays([get("a"), get("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+_SIGNED = "doc_id long, size long, set1 long, set2 long, vector binary"
 
-    return run
 
+def _dealt_keys(width: int, per_cent: int, shards: int):
+    """The block keys of the texts of a slice, packed per shard; of equal sets the smallest id stands for
+    all. An id with several texts puts forth the keys of each; its nodes are tied anyway."""
 
-def _verified(per_cent: int):
     def run(batches):
-        import pyarrow as pa
-
         for batch in batches:
-            x, y = (batch.column(batch.schema.get_field_index(n)) for n in ("hashes_a", "hashes_b"))
-            keep = [_links(np.frombuffer(p.as_buffer(), np.uint64), np.frombuffer(q.as_buffer(), np.uint64), per_cent)
-                    for p, q in zip(x, y)]
-            pair = [batch.column(batch.schema.get_field_index(n)) for n in ("a", "b")]
-            yield pa.RecordBatch.from_arrays(pair, ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return run
-
-
-class CountTree:
-    """An R-tree of two levels, packed along the sizes and the first coordinates of its points. Each
-    leaf keeps the upper corner of its box and the smallest size in it."""
-
-    def __init__(self, vectors: np.ndarray, sizes: np.ndarray):
-        order = np.lexsort((vectors[:, 1], vectors[:, 0], sizes))
-        self.order, self.vectors, self.sizes = order, vectors[order], sizes[order]
-        starts = np.arange(0, len(order), _LEAF)
-        self.starts = starts
-        self.corner = np.maximum.reduceat(self.vectors, starts, axis=0) if len(order) else self.vectors
-        self.least = np.minimum.reduceat(self.sizes, starts) if len(order) else self.sizes
-
-    def search(self, vector: np.ndarray, size: int, per_cent: int) -> np.ndarray:
-        """Points that may link with this one: the sum of the smaller coordinates reaches the overlap."""
-        share = per_cent / (100 + per_cent)
-        reach = np.minimum(self.corner, vector).sum(axis=1)
-        leaves = np.flatnonzero(reach >= share * (self.least + size) - 1e-9)
-        if not len(leaves):
-            return leaves
-        at = (self.starts[leaves][:, None] + np.arange(_LEAF)).ravel()
-        at = at[at < len(self.order)]
-        bound = np.minimum(self.vectors[at], vector).sum(axis=1)
-        return self.order[at[bound >= share * (self.sizes[at] + size) - 1e-9]]
-
-
-class _Block:
-    """The members of a task: one block, or two whose members meet each other only."""
-
-    def __init__(self, table, per_cent: int):
-        get = lambda name: table.column(name).combine_chunks()
-        self.ids, self.sides, self.size = (get(n).to_numpy() for n in ("id", "side", "size"))
-        self.packed, self.per_cent = [x.as_buffer() for x in get("vector")], per_cent
-        self.vectors = np.array([counts(v, n, DIMENSIONS) for v, n in zip(self.packed, self.size.tolist())]).reshape(-1, DIMENSIONS)
-        right = np.flatnonzero(self.sides == 1)
-        self.alone = not len(right)
-        self.right = np.arange(len(self.ids)) if self.alone else right
-        self.left = np.arange(len(self.ids)) if self.alone else np.flatnonzero(self.sides == 0)
-        self.tree = CountTree(self.vectors[self.right], self.size[self.right])
-
-    def near(self, i: int, use=None):
-        """Members that may be linked with member i, each pair of a single block once."""
-        found = self.right[self.tree.search(self.vectors[i], int(self.size[i]), self.per_cent)]
-        found = found[(self.ids[found] > self.ids[i]) | ((self.ids[found] != self.ids[i]) & (not self.alone))]
-        if use is not None:
-            found = found[use(found)]
-        for j in found.tolist():
-            if may_link(self.packed[i], int(self.size[i]), self.packed[j], int(self.size[j]), self.per_cent):
-                yield j
-
-
-def _hopeful(per_cent: int):
-    """Ids of a task that some other member may be linked with, by their vectors."""
-
-    def run(table):
-        import pyarrow as pa
-
-        block, hit = _Block(table, per_cent), set()
-        for i in block.left.tolist():
-            for j in block.near(i):
-                hit |= {i, j}
-        return pa.table({"id": pa.array(block.ids[sorted(hit)], pa.int64())})
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            for texts in slices(batch):
+                sets, docs = ShingleSets(texts, width), ids[texts.rows].astype(np.int64)
+                a, b = sets.names()
+                order = np.lexsort((docs, b, a))
+                same = np.zeros(len(a), dtype=bool)
+                same[1:] = (a[order][1:] == a[order][:-1]) & (b[order][1:] == b[order][:-1])
+                use = np.zeros(len(a), dtype=bool)
+                use[order[~same]] = True  # one of equal sets
+                keys, who = block_keys(sets, use, per_cent)
+                yield linking.dealt(keys, docs[who], shards)
 
     return run
 
 
-def _search_blocks(per_cent: int):
-    """Links between the members of a task that are not connected yet; of the links found, only those
-    that connect something new are returned."""
-
-    def run(table):
-        import pyarrow as pa
+def through_tree(per_cent: int):
+    """Of a cell, the sets that a search of its tree leaves for the i-th, and whose full vectors allow a
+    link."""
 
-        block = _Block(table, per_cent)
-        label = table.column("label").combine_chunks().to_numpy()
-        packed = table.column("hashes").combine_chunks()
-        parent, found, hashes = {x: x for x in label.tolist()}, [], {}
-
-        def root(x):
-            while parent[x] != x:
-                parent[x] = parent[parent[x]]
-                x = parent[x]
-            return x
-
-        def of(i):
-            if i not in hashes:
-                hashes[i] = np.frombuffer(packed[i].as_buffer(), np.uint64)
-            return hashes[i]
-
-        for i in block.left.tolist():
-            for j in block.near(i, lambda at: label[at] != label[i]):  # noqa: B023
-                p, q = root(int(label[i])), root(int(label[j]))
-                if p != q and _links(of(i), of(j), per_cent):
-                    parent[max(p, q)] = min(p, q)
-                    found.append((int(label[i]), int(label[j])))
-        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+    def search(size, packed):
+        points = np.array([counts(v, n, DIMENSIONS) for v, n in zip(packed, size.tolist())]).reshape(-1, DIMENSIONS)
+        tree = CountTree(points, size)
 
-    return run
+        def near(i):
+            found = tree.search(points[i], int(size[i]), per_cent).tolist()
+            return np.array(
+                [j for j in found if may_link(packed[i], int(size[i]), packed[j], int(size[j]), per_cent)], dtype=np.int64)
 
+        return near
 
-def _tasks(pairs: DataFrame, vectors: DataFrame, per_cent: int) -> DataFrame:
-    """(task, side, id, grp) for step 3: the members of each candidate component in blocks of bounded
-    size by size class, every block with itself, its fellows and those of the next class. A component
-    of two has no pair besides the candidate itself."""
-    group = components(pairs).select(F.col("node").alias("id"), F.col("label").alias("grp"))
-    several = group.groupBy("grp").agg(F.count("*").alias("n")).where("n > 2").select("grp")
-    _, highs = size_classes(per_cent)
-    sizes = vectors.groupBy("id").agg(F.max("size").alias("most"))
-    # Class number by the largest size of each class; a fixed list of some 170 bounds.
-    cls = F.size(F.filter(F.array(*[F.lit(int(h)) for h in highs]), lambda h: h < F.col("most")))
-    placed = group.join(several, "grp").join(sizes, "id").withColumn("cls", cls)
-    per = written(placed.groupBy("grp", "cls").agg(F.ceil(F.sum("most") / BLOCK_SHINGLES).cast("int").alias("blocks")), "classes")
-    block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    dealt = placed.join(per, ["grp", "cls"]).select("id", "grp", "cls", block.alias("block"))
-    lists = per.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
-    beside = per.select("grp", F.col("cls").alias("cls2"), F.col("blocks").alias("n2"))
-    mates = (
-        lists.withColumn("cls2", F.explode(F.array("cls", F.col("cls") + 1))).join(beside, ["grp", "cls2"])
-        .withColumn("block2", F.explode(F.sequence(F.lit(0), F.col("n2") - 1)))
-        .where("cls2 > cls or block2 >= block").drop("n2")
-        .withColumn("task", F.xxhash64("grp", "cls", "block", "cls2", "block2"))
-    )
-    one = mates.select("task", "grp", "cls", "block", F.lit(0).alias("side"))
-    two = mates.where("cls2 > cls or block2 > block").select(
-        "task", "grp", F.col("cls2").alias("cls"), F.col("block2").alias("block"), F.lit(1).alias("side"))
-    return written(dealt.join(one.unionByName(two), ["grp", "cls", "block"]).select("task", "side", "id", "grp"), "tasks")
+    return search
 
 
 def similar_groups(docs: DataFrame, *, width: int = 5, per_cent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) per row: the size of its set and the smallest ``doc_id``
     that links reach from it."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    known = own.where("doc_id is not null")
-    shards = shard_count(known.count(), DOCS_PER_SHARD)
-    met = written(
-        known.mapInArrow(_dealt_keys(width, per_cent, shards), _DEALT)
-        .groupBy("shard").applyInArrow(_meet, _MET), "met")
-
-    rows = met.where("size is not null").select(F.col("a").alias("doc_id"), "size", "set1", "set2")
-    equal = rows.where("size > 0").groupBy("set1", "set2", "size").agg(F.min("doc_id").alias("node"))
-    placed = written(
-        rows.join(equal, ["set1", "set2", "size"], "left")
-        .select("doc_id", "size", F.coalesce("node", "doc_id").alias("node")), "nodes")
-    # A repeated id ties the sets of its rows together.
-    ties = placed.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b").select("a", "b")
-    node = placed.groupBy("doc_id").agg(F.min("node").alias("node"))
-    met_pairs = met.where("size is null").select("a", "b").distinct()
-    pairs = written(
-        met_pairs.join(node.select(F.col("doc_id").alias("a"), F.col("node").alias("x")), "a")
-        .join(node.select(F.col("doc_id").alias("b"), F.col("node").alias("y")), "b")
-        .where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "pairs")
-
-    packed = known.mapInArrow(_squeeze, "doc_id long, packed binary")
-
-    def side(rows: DataFrame, name: str, *cols: str):
-        return rows.select(F.col("id").alias(name), *[F.col(c).alias(f"{c}_{name}") for c in cols])
-
-    def read(ids: DataFrame, whole: bool, layout: str, label: str):
-        chosen = packed.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
-        return written(chosen.mapInArrow(_set_rows(width, whole), layout), label)
-
-    ends = [pairs.select(F.col(c).alias("id")) for c in "ab"]
-    vectors = read(ends[0].unionByName(ends[1]).distinct(), False, "id long, size long, vector binary", "vectors")
-    possible = written(
-        pairs.join(side(vectors, "a", "size", "vector"), "a").join(side(vectors, "b", "size", "vector"), "b")
-        .mapInArrow(_bounded(per_cent), "a long, b long"), "possible")
-    tasks = _tasks(pairs, vectors, per_cent)
-    hopeful = tasks.join(vectors, "id").groupBy("task").applyInArrow(_hopeful(per_cent), "id long")
-    ends = [possible.select(F.col(c).alias("id")) for c in "ab"]
-    wanted = written(ends[0].unionByName(ends[1]).unionByName(hopeful).distinct(), "wanted")
-    sets = read(wanted, True, "id long, hashes binary", "sets")
-    links = written(
-        possible.join(side(sets, "a", "hashes"), "a").join(side(sets, "b", "hashes"), "b")
-        .mapInArrow(_verified(per_cent), "a long, b long").unionByName(ties), "links")
-
-    label = written(components(links).select(F.col("node").alias("id"), "label"), "labels")
-    left = tasks.join(wanted, "id", "left_semi").join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    unsure = left.groupBy("task").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("task")
-    late = written(
-        left.join(unsure, "task", "left_semi").join(vectors, "id").join(sets, "id")
-        .groupBy("task").applyInArrow(_search_blocks(per_cent), "a long, b long"), "late-links")
-    label = components(links.unionByName(late))
-    found = placed.join(label.select("node", "label"), "node", "left").select(
-        "doc_id", F.col("size").alias("n_shingles"), F.coalesce("label", "node").alias("component_id"))
-    return found.unionByName(_without_id(own, width))
+    rows = written(own.mapInArrow(_signed(width), _SIGNED), "signed")
+    nodes = linking.nodes_of(rows, "vector")
+    shards = shard_count(nodes.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0], SHINGLES_PER_SHARD)
+    keyed = own.where("doc_id is not null").mapInArrow(_dealt_keys(width, per_cent, shards), linking.DEALT).groupBy(
+        "shard").applyInArrow(linking.repeated, linking.ENTRIES)
+    node_of = rows.where("doc_id is not null").join(nodes.select("set1", "set2", "node"), ["set1", "set2"])
+    entries = written(
+        keyed.join(node_of.select(F.col("doc_id").alias("member"), "node"), "member").groupBy("key", "node").agg(F.max("n").alias("n")),
+        "entries")
+    label = linking.component_labels(rows, nodes, own, entries, through_tree(per_cent), width, per_cent, "vector")
+    return linking.by_document(rows, nodes, label)
 
 
 def one_of_each_group(docs: DataFrame, *, width: int = 5, per_cent: int = 80) -> DataFrame:
@@ -502,19 +245,4 @@ def one_of_each_group(docs: DataFrame, *, width: int = 5, per_cent: int = 80) ->
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
-def _without_id(own: DataFrame, width: int) -> DataFrame:
-    """Rows with a null id: the size of their set, no component."""
-
-    def run(batches):
-        import pyarrow as pa
-
-        for batch in batches:
-            for texts in slices(batch):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.nulls(len(texts), pa.int64()), pa.array(ShingleSets(texts, width).size, pa.int64()),
-                     pa.nulls(len(texts), pa.int64())], ["doc_id", "n_shingles", "component_id"])
-
-    return own.where("doc_id is null").mapInArrow(run, "doc_id long, n_shingles long, component_id long")
-
-
 ship_functions(__name__)

@@ -12,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sensorquery.llm import filter_audit, minhash_index, ngram_join, whitening
+from sensorquery.llm import filter_audit, linking, minhash_index, ngram_join, whitening
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -252,7 +252,7 @@ def test_index_on_families_chains_and_strangers(spark):
     assert _found(minhash_index.similar_documents(docs, width=2)) == _groups(table, 2, 80)
 
 
-def test_blocks_of_a_crowded_key_lose_no_pair(spark, monkeypatch):
+def test_blocks_of_a_crowded_cell_lose_no_pair(spark, monkeypatch):
     rng = random.Random(5)
     words = [f"v{i}" for i in range(500)]
     base = [rng.choice(words) for _ in range(200)]
@@ -260,20 +260,18 @@ def test_blocks_of_a_crowded_key_lose_no_pair(spark, monkeypatch):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     want = _groups(rows, 2, 80)
     for block in (7, 50):
-        monkeypatch.setattr(minhash_index, "BLOCK", block)
+        monkeypatch.setattr(linking, "BLOCK", block)
         assert _found(minhash_index.similar_documents(docs, width=2)) == want
 
 
-def test_all_pairs_within_the_distance_share_a_key_and_one_of_them_is_the_first():
+def test_all_pairs_within_the_distance_share_a_key():
     rng = np.random.default_rng(2)
     a = rng.integers(0, 256, (3000, minhash_index.SYMBOLS), dtype=np.uint8)
     b = a.copy()
     for row in b:
         at = rng.choice(minhash_index.SYMBOLS, rng.integers(0, minhash_index.DISTANCE + 1), replace=False)
         row[at] ^= rng.integers(1, 256, len(at), dtype=np.uint8)
-    shared = minhash_index.index_keys(a) == minhash_index.index_keys(b)
-    assert shared.any(axis=1).all()
-    assert (minhash_index.first_shared(a != b) == shared.argmax(axis=1)).all()
+    assert (minhash_index.index_keys(a) == minhash_index.index_keys(b)).any(axis=1).all()
 
 
 def test_signatures_estimate_similarity():
