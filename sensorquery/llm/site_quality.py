@@ -165,11 +165,13 @@ def with_log_odds(docs: DataFrame, classifier: Classifier, name: str = "log_odds
 
 def _strength(count: Column, mean: Column, prior_mean: Column) -> Column:
     """Prior documents of a level by the moments of its sites' means: sum of squared deviations of the
-    means beyond what chance gives, each site weighted by its documents."""
+    means beyond what chance gives, each site weighted by its documents. Each site's chance follows its
+    own prior mean; all are sums over sites, so the order of rows does not matter."""
     chance = prior_mean * (1 - prior_mean)
-    beyond = F.sum(count * (mean - prior_mean) ** 2) - F.count("*") * F.first(chance)
+    beyond = F.sum(count * (mean - prior_mean) ** 2) - F.sum(chance)
+    usual = F.sum(count * chance) / F.sum(count)
     spread = F.greatest(beyond / F.greatest(F.sum(count) - F.sum(count * count) / F.sum(count), F.lit(1.0)), F.lit(0.0))
-    return F.least(F.lit(MOST_STRENGTH), F.first(chance) / F.greatest(spread, F.first(chance) / MOST_STRENGTH))
+    return F.least(F.lit(MOST_STRENGTH), usual / F.greatest(spread, usual / MOST_STRENGTH))
 
 
 def site_posteriors(scored: DataFrame, host: str, path: str) -> DataFrame:
@@ -193,31 +195,43 @@ def site_posteriors(scored: DataFrame, host: str, path: str) -> DataFrame:
             {"path_strength": F.lit(float(path_k)), "global_mean": F.lit(float(mean))}), "sites")
 
 
+def _judged(docs: DataFrame, labels: DataFrame, host: Column, path: Column) -> DataFrame:
+    """(row, text, log_odds, site_mean, quality): the other columns of ``docs`` travel in the struct
+    ``row``, so none of their names can meet one that is made here."""
+    classifier = learn(docs, labels)
+    rest = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    named = docs.select(F.struct(*rest).alias("row"), host.alias("host"), path.alias("path"), "text")
+    sites = site_posteriors(with_log_odds(named.select("host", "path", "text"), classifier).drop("text"), "host", "path")
+    held = sites.select(F.struct(*sites.columns).alias("site"))
+    scored = with_log_odds(named, classifier)
+    joined = scored.join(held, F.col("host").eqNullSafe(F.col("site.host")) & F.col("path").eqNullSafe(F.col("site.path")))
+    own = 1 / (1 + F.exp(-F.col("log_odds")))
+    k, mean = F.col("site.path_strength"), F.col("site.global_mean")
+    drawn = (F.greatest(F.col("site.s") - own, F.lit(0.0)) + k * F.col("site.host_mean")) / (F.greatest(F.col("site.n") - 1, F.lit(0)) + k)
+    drawn = F.least(F.lit(1 - 1e-3), F.greatest(F.lit(1e-3), drawn))
+    shift = F.log(drawn / (1 - drawn)) - F.log(mean / (1 - mean))
+    quality = 1 / (1 + F.exp(-(F.col("log_odds") + shift)))
+    return joined.select("row", "text", "log_odds", drawn.alias("site_mean"), quality.alias("quality"))
+
+
+def _own_columns(docs: DataFrame, leave: tuple[str, ...] = ()) -> list[Column]:
+    return [F.col("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in leave]
+
+
 def judge(docs: DataFrame, labels: DataFrame, host: Column, path: Column) -> DataFrame:
     """The rows of ``docs`` with ``log_odds`` (of the text), ``site_mean`` (posterior of the path without
-    the document itself) and ``quality`` (probability that the document is good).
+    the document itself) and ``quality`` (probability that the document is good); these three take the
+    place of columns of the same name, all others are returned as they were.
 
     The small table of sites is written first, so Spark knows its size when it joins.
     """
-    classifier = learn(docs, labels)
-    named = docs.withColumns({"_host": host, "_path": path})
-    slim = with_log_odds(named.select("_host", "_path", "text"), classifier).drop("text")
-    sites = site_posteriors(slim, "_host", "_path")
-    scored = with_log_odds(named, classifier)
-    joined = scored.join(sites, scored["_host"].eqNullSafe(sites["host"]) & scored["_path"].eqNullSafe(sites["path"]))
-    own = 1 / (1 + F.exp(-F.col("log_odds")))
-    k, mean = F.col("path_strength"), F.col("global_mean")
-    site = (F.greatest(F.col("s") - own, F.lit(0.0)) + k * F.col("host_mean")) / (F.greatest(F.col("n") - 1, F.lit(0)) + k)
-    site = F.least(F.lit(1 - 1e-3), F.greatest(F.lit(1e-3), site))
-    shift = F.log(site / (1 - site)) - F.log(mean / (1 - mean))
-    quality = 1 / (1 + F.exp(-(F.col("log_odds") + shift)))
-    return joined.withColumns({"site_mean": site, "quality": quality}).select(
-        *docs.columns, "log_odds", "site_mean", "quality")
+    made = ("log_odds", "site_mean", "quality")
+    return _judged(docs, labels, host, path).select(*_own_columns(docs, made), *made)
 
 
 def accepted(docs: DataFrame, labels: DataFrame, host: Column, path: Column, least: float = LEAST_QUALITY) -> DataFrame:
-    """The rows of ``docs`` whose quality is at least ``least``."""
-    return judge(docs, labels, host, path).where(F.col("quality") >= least).select(*docs.columns)
+    """The rows of ``docs`` whose quality is at least ``least``, with all their columns."""
+    return _judged(docs, labels, host, path).where(F.col("quality") >= least).select(*_own_columns(docs))
 
 
 ship_functions(__name__)
