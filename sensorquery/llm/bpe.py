@@ -219,8 +219,9 @@ def _joined(docs: DataFrame, path: str) -> DataFrame:
     )
     packed = own.mapInArrow(_squeeze, "doc_id long, packed binary")
     owned = shared.groupBy(F.col("owner").alias("doc_id")).agg(F.collect_set("chunk").alias("owned"))
-    once = packed.join(owned, "doc_id", "left").mapInArrow(_encode_owned(path), "chunk binary, ids binary")
-    borrowed = names.join(shared, "chunk").where(F.col("doc_id") != F.col("owner")).select("doc_id", "chunk")
+    # Rows that share an id would name a chunk, and encode it, once each.
+    once = packed.join(owned, "doc_id", "left").mapInArrow(_encode_owned(path), "chunk binary, ids binary").dropDuplicates(["chunk"])
+    borrowed = names.join(shared, "chunk").where(F.col("doc_id") != F.col("owner")).select("doc_id", "chunk").distinct()
     carried = (
         borrowed.join(once, "chunk").groupBy("doc_id")
         .agg(F.collect_list(F.struct("chunk", "ids")).alias("carried"))

@@ -131,3 +131,22 @@ def test_packing_leaves_little_room(spark, small, vocab):
     docs = spark.read.parquet(f"{small}/documents.parquet")
     rows = packing.pack_documents(docs, vocab).collect()
     assert sum(r.length for r in rows) / (2048 * len({r.sequence_id for r in rows})) > 0.95
+
+
+def test_repeated_ids_carry_each_chunk_once(spark, vocab, library):
+    text = " ".join(f"word{i} of a long text" for i in range(400))
+    rows = [(7, text)] * 10 + [(8, text + " end")]
+    carried = bpe._joined(spark.createDataFrame(rows, "doc_id long, text string"), vocab).select("doc_id", "carried").collect()
+    once = bpe._joined(spark.createDataFrame([rows[0], rows[-1]], "doc_id long, text string"), vocab).select("doc_id", "carried").collect()
+    sizes = lambda got: {r.doc_id: len(r.carried or ()) for r in got}
+    assert sizes(carried) == sizes(once) and len({c["chunk"] for r in carried for c in r.carried or ()}) == max(sizes(once).values())
+
+
+def test_rows_alike_are_dealt_to_many_groups(spark, vocab, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP_PIECES", 10)
+    docs = spark.createDataFrame([(None, "the same text")] * 200, "doc_id long, text string").repartition(4)
+    got = packing.pack_documents(docs, vocab).collect()
+    assert len(got) == 200 and len({r.sequence_id >> 32 for r in got}) > 10
+    long = spark.createDataFrame([(1, "many words " * 9000), (2, "few")], "doc_id long, text string")
+    parts = packing.pack_documents(long, vocab).collect()
+    assert len({r.sequence_id >> 32 for r in parts if r.doc_id == 1}) == 1  # a document is dealt whole
