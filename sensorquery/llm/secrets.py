@@ -117,7 +117,8 @@ def ratio(run: Column, model: list[float]) -> Column:
 
 
 def scan(docs: DataFrame, model: list[float] | None = None) -> DataFrame:
-    """Adds ``base`` and ``spans`` (base and added spans by start, then kind) to every row."""
+    """Adds ``base`` and ``spans`` (base and added spans by start, then kind) to every row; columns of
+    these names, and ``_runs``, are replaced. ``redact`` keeps all columns."""
     model = train(docs) if model is None else model
     text = F.coalesce("text", F.lit(""))
     found = with_base_spans(docs).withColumn("_runs", matches(text, RUN, 3))
@@ -149,10 +150,13 @@ def report(docs: DataFrame) -> DataFrame:
     )
 
 
-def redact(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
+def redact(docs: DataFrame, mask: str = "[SECRET]", model: list[float] | None = None) -> DataFrame:
     """The rows of ``docs`` with every span (overlapping ones together) replaced by ``mask``; a null
-    text stays null and ``n_chars``, where there is one, follows the new text."""
-    found = scan(docs)
+    text stays null and ``n_chars``, where there is one, follows the new text. All other columns travel
+    in a struct, so whatever their names they come back as they were."""
+    rest = [c for c in docs.columns if c != "text"]
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row"), "text")
+    found = scan(packed, train(docs) if model is None else model)
     start = F.struct(F.lit(1).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -163,10 +167,16 @@ def redact(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
             F.when(fresh, F.concat(acc["out"], gap, F.lit(mask))).otherwise(acc["out"]).alias("out"),
         )
 
-    rest = lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"], F.char_length("text")))
-    text = F.when(F.size("spans") > 0, F.aggregate("spans", start, step, rest)).otherwise(F.col("text"))
-    out = found.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        touched = F.when(F.size("spans") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
-        out = out.withColumn("n_chars", touched)
-    return out.select(*docs.columns)
+    end = lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"], F.char_length("text")))
+    hit = F.size("spans") > 0
+    masked = found.select("row", F.when(hit, F.aggregate("spans", start, step, end)).otherwise(F.col("text")).alias("text"), hit.alias("hit"))
+
+    def column(c: str) -> Column:
+        if c == "text":
+            return F.col("text")
+        kept = F.col(f"row.`{c}`")
+        if c == "n_chars":
+            kept = F.when(F.col("hit"), F.char_length("text").cast("long")).otherwise(kept)
+        return kept.alias(c)
+
+    return masked.select(*[column(c) for c in docs.columns])
