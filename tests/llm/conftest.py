@@ -35,9 +35,11 @@ def awkward():
 @pytest.fixture(scope="session")
 def awkward_docs(spark, awkward):
     """With extra columns whose names clash with those the operators make."""
-    rows = [(i, t, "en", "s", len(t or ""), 7, "x") for i, t in awkward]
+    more = ("host", "path", "n", "s", "log_odds", "base", "spans", "_id", "_sha", "row", "site", "quality")
+    rows = [(i, t, "en", "s", len(t or ""), 7, "x", *[f"{c} {k}" for c in more]) for k, (i, t) in enumerate(awkward)]
     return spark.createDataFrame(
-        rows, "doc_id long, text string, lang string, source string, n_chars long, size int, label string"
+        rows, "doc_id long, text string, lang string, source string, n_chars long, size int, label string, "
+        + ", ".join(f"{c} string" for c in more)
     ).repartition(3)
 
 

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sensorquery.llm import components, exact_dedup, ngram_join, substring_dedup
+from sensorquery.llm import components, exact_dedup, linking, ngram_join, substring_dedup
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -38,16 +38,32 @@ def test_collided_digests_are_parted(spark, small):
     assert sorted(map(tuple, exact_dedup.dedup(docs, digest_bytes=1).select(cols).collect())) == want
 
 
-def test_state_goes_on_where_it_ended(spark, tmp_path):
-    schema = "doc_id long, text string"
-    arrived, state = str(tmp_path / "arrived"), str(tmp_path / "state")
-    first = exact_dedup.arrivals(spark.createDataFrame([(1, "a"), (2, "b")], schema))
-    first.write.mode("append").parquet(arrived)
-    assert exact_dedup.advance_state(spark, arrived, state).count() == 2
-    second = exact_dedup.arrivals(spark.createDataFrame([(3, "A"), (4, "c")], schema))
-    second.write.mode("append").parquet(arrived)
-    rows = {(r.keep_id, r.group_size) for r in exact_dedup.advance_state(spark, arrived, state).collect()}
-    assert rows == {(3, 2), (2, 1), (4, 1)}
+@pytest.mark.parametrize("digest_bytes", [32, 1])
+def test_state_goes_on_over_runs(spark, tmp_path, digest_bytes):
+    """Copies across runs are found, the largest id stays over all runs, and with digests of one byte
+    the texts of earlier runs are compared too."""
+    state, every = str(tmp_path / "state"), []
+    deliveries = [
+        [(1, "a"), (2, "b"), (30, "c"), *[(100 + i, f"text {i}") for i in range(60)]],
+        [(3, "A"), (4, "d"), (5, "C"), *[(200 + i, f"text {i}") for i in range(30, 90)]],
+        [(3, "a"), (2, "B"), (6, "e"), *[(300 + i, f"other {i}") for i in range(60)]],
+    ]
+    for number, rows in enumerate(deliveries):
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+        got = exact_dedup.dedup(docs, state=state, digest_bytes=digest_bytes).collect()
+        every += [(i, number, t.translate(LOWER)) for i, t in rows]
+        assert len(got) == len(rows)
+        by_sha = {hashlib.sha256(t.translate(LOWER).encode()).hexdigest(): t.translate(LOWER) for _, t in rows}
+        for r in got:
+            group = [(i, n) for i, n, t in every if t == by_sha[r.text_sha256]]
+            assert (r.keep_id, r.keep_run, r.group_size) == (*max(group), len(group))
+            assert r.kept == ((r.doc_id, number) == max(group))
+
+
+def test_runs_without_a_state_stand_alone(spark):
+    docs = spark.createDataFrame([(1, "a"), (2, "A")], "doc_id long, text string")
+    for _ in range(2):
+        assert {(r.keep_id, r.group_size) for r in exact_dedup.dedup(docs).collect()} == {(2, 2)}
 
 
 def test_distinct_documents_keep_one_row_each(awkward_docs, awkward):
@@ -128,7 +144,7 @@ def test_groups_of_awkward_rows(awkward_docs, awkward):
 
 def test_groups_of_near_copies_lose_no_link(spark, monkeypatch):
     # Groups in which many members are linked to others but not to the smallest; tiny blocks.
-    monkeypatch.setattr(ngram_join, "BLOCK_SHINGLES", 700)
+    monkeypatch.setattr(linking, "BLOCK", 4)
     rows = _near_copies(4, 25, 25)
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     got = sorted(map(tuple, ngram_join.similar_groups(docs, width=4, per_cent=85).collect()), key=str)
@@ -161,10 +177,51 @@ def test_tree_finds_all_that_may_link():
     sizes = vectors.sum(axis=1)
     tree = ngram_join.CountTree(vectors, sizes)
     for i in range(200):
-        want = np.flatnonzero(np.minimum(vectors, vectors[i]).sum(axis=1) * 180 >= 80 * (sizes + sizes[i]))
+        fit = (np.minimum(sizes, sizes[i]) * 100 >= 80 * np.maximum(sizes, sizes[i]))
+        want = np.flatnonzero(fit & (np.minimum(vectors, vectors[i]).sum(axis=1) * 180 >= 80 * (sizes + sizes[i])))
         assert sorted(tree.search(vectors[i], int(sizes[i]), 80).tolist()) == want.tolist()
 
 
+def test_tree_has_levels_and_leaves_boxes_out():
+    rng = np.random.default_rng(2)
+    size = np.repeat(np.arange(100, 4100, 100), 100)
+    vectors = np.array([rng.multinomial(n, np.full(ngram_join.DIMENSIONS, 1 / ngram_join.DIMENSIONS)) for n in size])
+    tree = ngram_join.CountTree(vectors, vectors.sum(axis=1))
+    assert [len(least) for _, least, _ in tree.levels] == [4000, 250, 16, 1]
+    tree.search(vectors[2000], int(size[2000]), 80)
+    assert tree.visited < 1500  # of 4,267 points and boxes
+
+
+def test_repeated_ids_keep_the_links_of_all_their_texts(spark):
+    rng = random.Random(6)
+    a, b = (" ".join(f"w{rng.randrange(9000)}" for _ in range(60)) for _ in range(2))
+    rows = [(3, a), (5, a), (5, b), (9, b + " end"), (11, "alone")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.component_id) for r in ngram_join.similar_groups(docs).collect())
+    assert got == [(3, 3), (5, 3), (5, 3), (9, 3), (11, 11)]
+
+
+def test_links_of_the_query_come_out_of_the_trees(spark, small, monkeypatch):
+    """With trees that find nothing the registered query has no link between different texts."""
+    from sensorquery.llm import registry
+
+    def links():
+        rows = registry.queries()["op5_ngram_jaccard"](spark, small).collect()
+        return {r.doc_id for r in rows if r.doc_id != r.component_id}
+
+    def blind(per_cent):
+        return lambda size, packed: lambda i: np.zeros(0, dtype=np.int64)
+
+    found = links()
+    monkeypatch.setattr(ngram_join, "through_tree", blind)
+    equal_only = links()
+    assert len(found) > len(equal_only)
+    docs = {r.doc_id: r.text for r in registry.documents(spark, small).collect()}
+    words = {i: tuple(WORD.findall((t or "").translate(LOWER))) for i, t in docs.items()}
+    texts = list(words.values())
+    assert all(texts.count(words[i]) > 1 for i in equal_only)
+
+
 def test_bound_is_never_below_the_overlap():
     from sensorquery.llm.text import Texts
 
@@ -175,7 +232,7 @@ def test_bound_is_never_below_the_overlap():
         texts = [" ".join(w).encode() for w in (words, other)]
         sets = ngram_join.ShingleSets(
             Texts(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]), slice(0, 2)), 4)
-        x, y = sets.vectors()
+        x, y = ngram_join.vectors(sets)
         length = min(len(x), len(y))
         both = len(np.intersect1d(sets.hashes[sets.doc == 0], sets.hashes[sets.doc == 1]))
         bound = np.minimum(*(ngram_join.counts(v, int(s), length) for v, s in zip((x, y), sets.size))).sum()

@@ -52,6 +52,15 @@ def test_queries_equal_their_sql(spark, small, name):
     assert oracle.compare(df.columns, df.collect(), [d[0] for d in cursor.description], cursor.fetchall()) == ""
 
 
+@pytest.mark.parametrize("name", ["quality", "exact_dedup", "ngram_jaccard", "secret_scan"])
+def test_stages_return_other_columns_unchanged(spark, awkward_docs, small, name):
+    extra = [c for c in awkward_docs.columns if c not in ("text", "n_chars")]
+    out = STAGES[name](spark, awkward_docs, small)
+    assert out.columns == awkward_docs.columns
+    before = {tuple(r) for r in awkward_docs.select(*extra).collect()}
+    assert {tuple(r) for r in out.select(*extra).collect()} <= before
+
+
 def test_every_operator_has_a_query():
     names = list(registry.queries())
     assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 14))

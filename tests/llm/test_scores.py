@@ -303,7 +303,8 @@ def test_classifiers_on_awkward_rows(spark, awkward_docs, awkward, no_docs):
         rows = toxicity.report(awkward_docs, told).collect()
         assert len(rows) == len(awkward) and all(0 <= r.score <= 1 for r in rows)
         judged = site_quality.judge(awkward_docs, told, F.col("source"), F.col("lang"))
-        assert judged.columns == [*awkward_docs.columns, "log_odds", "site_mean", "quality"]
+        made = ["log_odds", "site_mean", "quality"]
+        assert judged.columns == [*[c for c in awkward_docs.columns if c not in made], *made]
         assert judged.count() == len(awkward) and judged.where("quality is null").count() == 0
     assert toxicity.report(no_docs, labels).count() == 0
     assert site_quality.judge(no_docs, labels, F.col("source"), F.col("lang")).count() == 0
@@ -328,3 +329,43 @@ def test_sites_that_differ_move_their_documents(spark):
     # Three documents of a site without evidence stay nearer to the global mean than 400 do.
     alone = sites[None, None]
     assert abs(alone.host_mean - alone.global_mean) < abs(sites["a", "x"].host_mean - alone.global_mean)
+
+
+def test_sites_by_brute_force_in_any_order(spark):
+    """Both levels of the hierarchy, computed plainly; the order of rows does not matter."""
+    rng = np.random.default_rng(12)
+    rows = []
+    for h in range(6):
+        for p in range(int(rng.integers(1, 5))):
+            for _ in range(int(rng.integers(1, 30))):
+                rows.append((f"h{h}" if h else None, f"p{p}" if p else None, float(rng.normal(h / 3 - 1 + p / 4, 1))))
+
+    def strength(count, mean, prior):
+        chance = prior * (1 - prior)
+        beyond = (count * (mean - prior) ** 2).sum() - chance.sum()
+        usual = (count * chance).sum() / count.sum()
+        spread = max(beyond / max(count.sum() - (count ** 2).sum() / count.sum(), 1), 0)
+        return min(site_quality.MOST_STRENGTH, usual / max(spread, usual / site_quality.MOST_STRENGTH))
+
+    paths, hosts = {}, {}
+    for h, p, x in rows:
+        q = 1 / (1 + math.exp(-x))
+        for held, key in ((paths, (h, p)), (hosts, h)):
+            n, s = held.get(key, (0, 0.0))
+            held[key] = (n + 1, s + q)
+    total = sum(n for n, _ in hosts.values())
+    mean = min(max(sum(s for _, s in hosts.values()) / total, 1e-3), 1 - 1e-3)
+    count, sums = (np.array(x, dtype=float) for x in zip(*hosts.values()))
+    k = strength(count, sums / count, np.full(len(count), mean))
+    host_mean = {h: (s + k * mean) / (n + k) for h, (n, s) in hosts.items()}
+    count, sums = (np.array(x, dtype=float) for x in zip(*paths.values()))
+    path_k = strength(count, sums / count, np.array([host_mean[h] for h, _ in paths]))
+    for seed in range(3):
+        dealt = [rows[i] for i in np.random.default_rng(seed).permutation(len(rows))]
+        df = spark.createDataFrame(dealt, "a string, b string, log_odds double").repartition(seed + 1)
+        got = {(r.host, r.path): r for r in site_quality.site_posteriors(df, "a", "b").collect()}
+        assert set(got) == set(paths)
+        for key, r in got.items():
+            assert (r.n, r.s) == (paths[key][0], pytest.approx(paths[key][1]))
+            assert r.host_mean == pytest.approx(host_mean[key[0]], rel=1e-9)
+            assert (r.path_strength, r.global_mean) == (pytest.approx(path_k, rel=1e-9), pytest.approx(mean))
