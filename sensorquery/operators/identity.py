@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sensorquery.operators import series
+from sensorquery.session import materialize
 
 
 def next_id(df: DataFrame, column: str = "id") -> int:
@@ -93,3 +94,29 @@ def get_or_create(
     )
     added = created.select(key, "id", F.lit(True).alias("created"))
     return created, found.unionByName(added)
+
+
+def get_or_create_all(
+    wanted: dict[str, DataFrame], tables: dict[str, DataFrame]
+) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """Several tables by name at once: ((table, name, id) of all wanted names, rows to create per table).
+
+    ``wanted`` has one row per ``name`` and a struct ``_row`` with what a new row is made of. New names
+    of all tables get their ids in the order of the names from one allocation, over one range shuffle.
+    A name held by several stored rows is a conflict: its id is null.
+    """
+    def union(parts: list[DataFrame]) -> DataFrame:
+        return reduce(DataFrame.unionByName, parts)
+
+    asked = union([rows.where("name is not null").select(F.lit(t).alias("table"), "name") for t, rows in wanted.items()])
+    stored = union([rows.select(F.lit(t).alias("table"), "name", "id") for t, rows in tables.items()])
+    held = stored.join(asked, ["table", "name"], "left_semi").groupBy("table", "name").agg(
+        F.min("id").alias("id"), F.count("*").alias("_n"))
+    fresh = materialize(
+        asked.join(held, ["table", "name"], "left_anti").repartitionByRange("table", "name").withColumn("_part", F.spark_partition_id()))
+    last = stored.groupBy("table").agg(F.max("id").alias("id")).collect()  # one row per table
+    starts = dict.fromkeys(wanted, 1) | {r["table"]: r["id"] + 1 for r in last}
+    created = materialize(allocate_ids(fresh, "table", "_part", ["name"], starts).select("table", "name", "id"))
+    known = held.select("table", "name", F.when(F.col("_n") == 1, F.col("id")).alias("id"))
+    made = {t: rows.join(created.where(F.col("table") == t).drop("table"), "name") for t, rows in wanted.items()}
+    return known.unionByName(created), made

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from sensorquery.session import materialize
 
+CHUNK_ROWS = 1 << 20  # of one series in one group
+_PIECES = 1 << 24  # more than a chunk has seconds
 DAY = 86_400
 SALTS = 64
 ROWS_PER_PART = 2_000_000
@@ -107,14 +109,36 @@ def first_per_key(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     )
 
 
+def equi_depth_chunks(
+    df: DataFrame, key: list[str], ts: str, *, chunk_seconds: int = DAY, rows: int = CHUNK_ROWS
+) -> DataFrame:
+    """Adds ``_chunk``: chunks of time that hold about ``rows`` rows at most, in the order of time.
+
+    A chunk of ``chunk_seconds`` with more rows is cut where its counted seconds add up to ``rows``;
+    one second is the smallest piece. Only crowded chunks are counted by the second, so the table of
+    borders holds a row for each of their seconds, and where there are none it is empty and costs
+    nothing in the join.
+    """
+    whole = chunk_of(F.col(ts), chunk_seconds)
+    timed = df.withColumns({"_whole": whole, "_second": F.floor(F.unix_micros(ts) / F.lit(1_000_000)).cast("long")})
+    counts = timed.groupBy(*key, "_whole").agg(F.count("*").alias("_n")).where(F.col("_n") > rows).select(*key, "_whole")
+    seconds = timed.select(*key, "_whole", "_second").join(counts, [*key, "_whole"], "left_semi").groupBy(
+        *key, "_whole", "_second").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*key, "_whole").orderBy("_second").rowsBetween(Window.unboundedPreceding, -1)
+    borders = seconds.select(
+        *key, "_second", F.floor(F.coalesce(F.sum("_n").over(before), F.lit(0)) / F.lit(rows)).cast("long").alias("_piece"))
+    return timed.join(borders, [*key, "_second"], "left").withColumn(
+        "_chunk", F.col("_whole").cast("long") * F.lit(_PIECES) + F.coalesce("_piece", F.lit(0))
+    ).select(*df.columns, "_chunk")
+
+
 def neighbours(
-    df: DataFrame, key: str, ts: str, tie: str, value: str, *, chunk_seconds: int = DAY
+    df: DataFrame, key: str, ts: str, tie: str, value: str, *, chunk_seconds: int = DAY, rows: int = CHUNK_ROWS
 ) -> DataFrame:
-    """Adds ``prev`` and ``next``: the value of the neighbouring rows of the series."""
-    return with_edges(
-        df.withColumn("_chunk", chunk_of(F.col(ts), chunk_seconds)),
-        [key], [ts, tie], {"prev": (value, -1), "next": (value, 1)},
-    )
+    """Adds ``prev`` and ``next``: the value of the neighbouring rows of the series. No task holds more
+    than about ``rows`` rows of a series, however often it reads."""
+    chunked = equi_depth_chunks(df, [key], ts, chunk_seconds=chunk_seconds, rows=rows)
+    return with_edges(chunked, [key], [ts, tie], {"prev": (value, -1), "next": (value, 1)})
 
 
 def with_edges(

@@ -64,11 +64,20 @@ def change_rows(
     stamp = F.lit(None).cast("long") if commit_id is None else commit_id
 
     old = current.select("id", F.struct(*[c for c in current.columns]).alias("_old"))
+    both = old.join(_single_changes(changes, own), "id", "full_outer")
+    return both.select(F.explode(_version_rows(own, tracked, at, stamp)).alias("_row")).select("_row.*")
+
+
+def _single_changes(changes: DataFrame, own: list[str]) -> DataFrame:
+    """(id, action, _new): the one change of each id."""
     grouped = changes.groupBy("id").agg(
         F.first("action").alias("action"), F.first(F.struct(*own)).alias("_new"), F.count("*").alias("_n"))
     single = F.when(F.col("_n") > 1, F.raise_error(F.lit("several changes of one id; use apply_feed"))).otherwise(F.col("action"))
-    new = grouped.select("id", single.cast("string").alias("action"), "_new")
-    both = old.join(new, "id", "full_outer")
+    return grouped.select("id", single.cast("string").alias("action"), "_new")
+
+
+def _version_rows(own: list[str], tracked: list[str], at: Column, stamp: Column) -> Column:
+    """The version rows that come of an open version (``_old``) and its change (``action``, ``_new``)."""
 
     def row(source: str, valid_from: Column, valid_to: Column, commit: Column) -> Column:
         return F.struct(
@@ -82,14 +91,13 @@ def change_rows(
     closed = row("_old", since, at, before)
     opened = row("_new", at, never, stamp)
     derived = row("_new", since, never, before)
-    rows = (
+    return (
         F.when(F.col("_new").isNull(), F.array(kept))
         .when(F.col("_old").isNull(), F.when(F.col("action") == "CREATE", F.array(opened)))
         .when(F.col("action") == "DELETE", F.array(closed))
         .when(_same(tracked), F.array(derived))
         .otherwise(F.array(closed, opened))
     )
-    return both.select(F.explode(rows).alias("_row")).select("_row.*")
 
 
 def apply_feed(
@@ -123,15 +131,26 @@ def apply_feed(
 def apply_changes(
     table: str, versions: DataFrame, changes: DataFrame, ts, commit_id: Column | None = None
 ) -> DataFrame:
-    """Full version table after a batch of changes: closed versions are carried over untouched."""
-    still_open = F.col("valid_to").isNull()
-    past = versions.where(~still_open)
-    current = versions.where(still_open)
-    # Only touched ids take part in the outer join; all others pass by it.
-    touched = changes.select("id").distinct()
-    kept = current.join(touched, "id", "left_anti")
-    rows = change_rows(table, current.join(touched, "id", "left_semi"), changes, ts, commit_id)
-    return past.unionByName(kept).unionByName(rows.select(*versions.columns))
+    """Full version table after a batch of changes: closed versions are carried over untouched.
+
+    The versions are read once with the changes beside their open rows, so a batch small enough to be
+    broadcast moves none of them; a second look, at ids only, tells which creations are new.
+    """
+    at = F.lit(ts).cast("timestamp") if isinstance(ts, str) else ts
+    own = [c for c in versions.columns if c not in VERSION_COLUMNS]
+    tracked = [c for c in own if c != "id" and c not in UNTRACKED.get(table, ())]
+    stamp = F.lit(None).cast("long") if commit_id is None else commit_id
+    new = _single_changes(changes, own)
+    open_id = F.when(F.col("valid_to").isNull(), F.col("id"))
+    beside = versions.withColumn("_open", open_id).join(new.withColumnRenamed("id", "_open"), "_open", "left")
+    rows = beside.withColumn("_old", F.struct(*versions.columns))
+    changed = F.when(F.col("_new").isNull(), F.array(F.struct(*versions.columns))).otherwise(
+        F.transform(_version_rows(own, tracked, at, stamp), lambda r: F.struct(*[r[c].alias(c) for c in versions.columns])))
+    carried = rows.select(F.explode(changed).alias("_row")).select("_row.*")
+    held = versions.where(F.col("valid_to").isNull()).select("id")
+    opened = new.where(F.col("action") == "CREATE").join(held, "id", "left_anti").withColumn("_old", F.lit(None).cast(rows.schema["_old"].dataType))
+    first = opened.select(F.explode(_version_rows(own, tracked, at, stamp)).alias("_row")).select("_row.*")
+    return carried.unionByName(first.select(*versions.columns))
 
 
 def split_versions(rows: DataFrame) -> tuple[DataFrame, DataFrame]:

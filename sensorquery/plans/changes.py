@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sensorquery.functions import predicates as P
 from sensorquery.functions import values
+from sensorquery.operators import summaries
 from sensorquery.operators import identity, loading, maintain, mutations, versions
 from sensorquery.operators.query import Query
 from sensorquery.plans.registry import query
@@ -935,6 +936,71 @@ def mut_22(t):
     return state.table("datastream").select("id", *extent_columns())
 
 
+def summarised(t):
+    """The stored catalog with its summaries written, as a run before the delete left them."""
+    catalog = t.catalog("intervals")
+    path = scratch_path(t.spark, "summaries")
+    made = summaries.summarise(catalog.table("observation"), catalog.table("feature_of_interest"))
+    made.write.parquet(path)
+    return catalog.replace(**{summaries.TABLE: t.spark.read.schema(made.schema).parquet(path)})
+
+
+@query("mut_20_delete_by_summaries", extent_sql("NOT (o.result_number < 10 AND d.description = 'click')"))
+def mut_20_summaries(t):
+    state, _ = summaries.delete_where(
+        summarised(t), lambda r: P.lt(r("result"), 10) & P.eq(r("Datastream/description"), "click"))
+    touched = state.table("datastream").where("description = 'click'")
+    # Datastreams that lost nothing keep what is stored; their extents come from their summaries.
+    rest = summaries.derived(state.table(summaries.TABLE)).withColumnRenamed("datastream_id", "id").join(touched, "id", "left_anti")
+    return touched.select("id", *extent_columns()).unionByName(rest.select("id", *extent_columns()))
+
+
+@query("mut_21_delete_by_summaries", """
+SELECT d.id, epoch_us(min(o.phenomenon_start)) AS phenomenon_start, epoch_us(max(o.interval_end)) AS phenomenon_end,
+       min(p.lon) AS xmin, max(p.lat) AS ymax, count(o.id) AS n
+FROM datastream d LEFT JOIN (SELECT * FROM observation WHERE id % 25 NOT IN (3, 24)) o ON o.datastream_id = d.id
+LEFT JOIN place p ON p.id = o.id % 25 GROUP BY d.id""")
+def mut_21_summaries(t):
+    catalog = t.catalog("intervals")
+    obs = catalog.table("observation").withColumn("feature_of_interest_id", F.col("id") % 25)
+    features = catalog.table("feature_of_interest")
+    streams = maintain.set_area(catalog.table("datastream"), maintain.observed_area(obs, features))
+    state = summaries.with_summaries(catalog.replace(observation=obs, datastream=streams))
+    after = summaries.delete_features(state, features.where(F.col("id").isin(3, 24)))
+    n = after.table(summaries.TABLE).groupBy(F.col("datastream_id").alias("id")).agg(F.sum("n").alias("n"))
+    return after.table("datastream").join(n, "id", "left").select(
+        "id", us("phenomenon_start").alias("phenomenon_start"), us("phenomenon_end").alias("phenomenon_end"),
+        F.col("observed_area.xmin").alias("xmin"), F.col("observed_area.ymax").alias("ymax"),
+        F.coalesce("n", F.lit(0)).alias("n"),
+    )
+
+
+@query("agg_12_summaries_after_insert", """
+SELECT datastream_id, count(*) AS n, epoch_us(min(phenomenon_start)) AS lo, epoch_us(max(interval_end)) AS hi
+FROM observation GROUP BY datastream_id""")
+def agg_12_summaries(t):
+    """Summaries of seven tenths of the readings, the rest merged in."""
+    catalog = t.catalog("intervals")
+    obs = catalog.table("observation")
+    early = summaries.with_summaries(catalog.replace(observation=obs.where("id % 10 < 7")))
+    state = summaries.add_to_summaries(early, obs.where("id % 10 >= 7"))
+    return state.table(summaries.TABLE).groupBy("datastream_id").agg(
+        F.sum("n").alias("n"), us(F.min("phenomenon_start")).alias("lo"), us(F.max("phenomenon_end")).alias("hi"))
+
+
+@query("agg_04_estimate_by_sketches", """
+SELECT event_type, count(*) AS exact, TRUE AS close_enough FROM observation GROUP BY event_type""")
+def agg_04_sketches(t):
+    """Counts from stored sketches of each chunk, within five percent of the exact ones."""
+    path = scratch_path(t.spark, "sketches")
+    made = summaries.sketches(t.observations(), "event_type")
+    made.write.parquet(path)
+    found = summaries.estimate(t.spark.read.schema(made.schema).parquet(path), "event_type")
+    exact = t.observations().groupBy("event_type").agg(F.count("*").alias("exact"))
+    return found.join(exact, "event_type").select(
+        "event_type", "exact", (F.abs(F.col("count") - F.col("exact")) <= F.greatest(F.lit(2.0), 0.05 * F.col("exact"))).alias("close_enough"))
+
+
 @query("mut_22_current_state", "SELECT count(*) AS n FROM observation WHERE id % 6 <> 0")
 def mut_22_state(t):
     catalog = t.catalog()

@@ -272,6 +272,36 @@ def src_09(t):
     )
 
 
+@query("src_09_unknown_attributes", """
+SELECT CAST(c_custkey AS VARCHAR) AS source_id, 'unknown attribute: colour' AS reason, '3' AS value FROM customer WHERE c_custkey % 4 <> 3""")
+def src_09_unknown(t):
+    return documents.refused_attributes(citizen_docs(t)).select("source_id", "reason", "value")
+
+
+@query("src_09_loaded", """
+WITH w AS (SELECT c_custkey AS k, unnest(['fu_value', 'sd_depth']) AS attribute FROM customer WHERE c_custkey % 4 <> 3)
+SELECT 'CitizenDatastream_' || attribute AS stream, CASE attribute WHEN 'fu_value' THEN 'FU' ELSE 'm' END AS symbol,
+       CASE attribute WHEN 'fu_value' THEN 'Fluorescence' ELSE 'Depth' END AS property, 'waters' AS network, 'm' AS sensor, CAST(k AS DOUBLE) AS lon,
+       CASE attribute WHEN 'fu_value' THEN CAST(k AS DOUBLE) ELSE 0.5 END AS result FROM w""")
+def src_09_loaded(t):
+    """Citizen observations with the entities that they need, each created once by its name; positions
+    of one observation each, so that no two fall on one time and datastream."""
+    rows, _ = documents.read_citizen_json(citizen_docs(t))
+    apart = rows.withColumn("phenomenon_start", F.timestamp_seconds(F.col("source_id").cast("long")))
+    state, inserted, _ = documents.load_citizen(t.catalog(), apart, 1, "waters")
+
+    def named(table, *more):
+        return state.table(table).select(F.col("id").alias(f"{table}_id"), *more)
+
+    return (
+        inserted.join(named("datastream", F.col("name").alias("stream"), "unit_of_measurement.symbol", "observed_property_id", "network_id", "sensor_id"), "datastream_id")
+        .join(named("observed_property", F.col("name").alias("property")), "observed_property_id")
+        .join(named("network", F.col("name").alias("network")), "network_id").join(named("sensor", F.col("name").alias("sensor")), "sensor_id")
+        .join(named("feature_of_interest", F.col("feature.xmin").alias("lon")), "feature_of_interest_id")
+        .select("stream", "symbol", "property", "network", "sensor", "lon", F.col("result_number").alias("result"))
+    )
+
+
 def sheet_rows(t):
     """One metadata row per supplier, with lists of one to three properties."""
     key = F.col("s_suppkey")

@@ -33,11 +33,17 @@ def ship_functions(module: str) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where that is unset, one beside the tables of the
-    warehouse, which every cluster shares. Never a temporary folder of one machine."""
+    """The folder in ``spark.checkpoint.dir``. Where that is unset, one beside the tables of the
+    warehouse, if that is configured to lie in a store of the cluster; a session on one machine takes
+    the warehouse as it is. Never a temporary folder of one machine: a cluster without either is told so."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
+        warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        local = spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local"
+        given = spark.sparkContext.getConf().contains("spark.sql.warehouse.dir")
+        if not local and not given:
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = f"{warehouse}/_scratch"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 

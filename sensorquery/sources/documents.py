@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from sensorquery import schema
 from sensorquery.catalog import Catalog
-from sensorquery.functions import values
-from sensorquery.operators import loading, mutations
+from sensorquery.functions import geometry, values
+from sensorquery.operators import identity, loading, mutations
 from sensorquery.session import materialize
 from sensorquery.sources import nested
 
@@ -212,12 +212,28 @@ def deep_insert(
 
 # -- citizen observations --------------------------------------------------------------------
 
-# The water attributes that become observations.
-WATER_ATTRIBUTES = (
-    "fu_value", "fu_observed", "fu_processed", "hue_angle", "p_chla", "p_conductivity",
-    "p_dissolved_oxygen", "p_ph", "p_phycocyanin", "p_salinity", "p_temperature", "sd_depth",
-    "p_cloud_cover", "macrophytes",
-)
+# The water attributes that become observations, with the name of their observed property
+# and unit, the symbol, and the last part of the unit's and the property's definition.
+WATER_ATTRIBUTES = {
+    "fu_value": ("Fluorescence", "FU", "FluorescenceUnit", "Fluorescence"),
+    "fu_observed": ("Forel-Ule observed", "FU", "FluorescenceUnit", "ForelUleObserved"),
+    "fu_processed": ("Forel-Ule processed", "FU", "FluorescenceUnit", "ForelUleProcessed"),
+    "hue_angle": ("Hue Angle", "°", "Degree", "HueAngle"),
+    "p_chla": ("Chlorophyll-a concentration", "µg/L", "MicrogramPerLiter", "ChlorophyllAConcentration"),
+    "p_conductivity": ("Conductivity", "µS/cm", "MicroSiemensPerCentimeter", "Conductivity"),
+    "p_dissolved_oxygen": ("Dissolved Oxygen", "mg/L", "MilligramPerLiter", "DissolvedOxygenConcentration"),
+    "p_ph": ("pH", "pH", "pH", "pH"),
+    "p_phycocyanin": ("Phycocyanin concentration", "µg/L", "MicrogramPerLiter", "PhycocyaninConcentration"),
+    "p_salinity": ("Salinity", "PSU", "PracticalSalinityUnit", "Salinity"),
+    "p_temperature": ("Temperature", "°C", "DegreeCelsius", "Temperature"),
+    "sd_depth": ("Depth", "m", "Meter", "Depth"),
+    "p_cloud_cover": ("Cloud Cover", "%", "Percent", "CloudCover"),
+    "macrophytes": ("Macrophytes", "count", "Count", "MacrophyteCount"),
+}
+# Where the definitions lie, and the type of the readings.
+UNIT_BASE = "http://www.qudt.org/qudt/owl/1.0.0/unit/Instances.html/"
+PROPERTY_BASE = "http://www.qudt.org/qudt/owl/1.0.0/quantity/Instances.html/"
+MEASUREMENT = "http://www.opengis.net/def/observationType/OGC-OM/2.0/OM_Measurement"
 # Members that may hold the list of observations.
 WRAPPERS = ("value", "results", "observations", "data")
 
@@ -237,7 +253,21 @@ def citizen_items(docs: DataFrame, column: str = "doc") -> DataFrame:
 
 
 def read_citizen_json(docs: DataFrame, column: str = "doc") -> tuple[DataFrame, DataFrame]:
-    """(observations, errors): one observation per known water attribute with a value."""
+    """(observations, errors): one observation per known water attribute with a value. Errors are items
+    without position or time and documents that hold no list; ``refused_attributes`` returns the
+    attributes that are not known. An attribute without a value is not a reading."""
+    held, errors = _citizen_values(docs, column)
+    return held.where(F.col("attribute").isin(*WATER_ATTRIBUTES)).withColumn("result_quality", F.lit("100")), errors
+
+
+def refused_attributes(docs: DataFrame, column: str = "doc") -> DataFrame:
+    """Values of attributes that are not known, with the ``reason``; the other columns as of observations."""
+    held, _ = _citizen_values(docs, column)
+    return held.where(~F.col("attribute").isin(*WATER_ATTRIBUTES)).withColumn(
+        "reason", F.concat(F.lit("unknown attribute: "), F.col("attribute")))
+
+
+def _citizen_values(docs: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
     item = F.col("item")
     lat, lon = values.extract_lat_lon(item)
     key = F.coalesce(F.get_json_object(item, "$.id"), F.get_json_object(item, "$.uuid"))
@@ -259,9 +289,73 @@ def read_citizen_json(docs: DataFrame, column: str = "doc") -> tuple[DataFrame,
     )
     judged = read.withColumn("reason", reason).drop("item")
     good = judged.where(F.col("reason").isNull()).drop("reason")
-    rows = good.select("*", F.explode("_water").alias("attribute", "value")).where(
-        F.col("attribute").isin(*WATER_ATTRIBUTES) & F.col("value").isNotNull()
-    )
-    return rows.drop("_water").withColumn("result_quality", F.lit("100")), judged.where(
-        F.col("reason").isNotNull()
-    ).drop("_water")
+    held = good.select("*", F.explode("_water").alias("attribute", "value")).drop("_water").where(F.col("value").isNotNull())
+    return held, judged.where(F.col("reason").isNotNull()).drop("_water")
+
+
+def water_attributes(catalog_or_spark) -> DataFrame:
+    """(attribute, name, unit_of_measurement, definition) of the known water attributes."""
+    spark = getattr(catalog_or_spark, "spark", catalog_or_spark)
+    rows = [(k, name, (name, symbol, UNIT_BASE + unit), PROPERTY_BASE + prop) for k, (name, symbol, unit, prop) in WATER_ATTRIBUTES.items()]
+    return spark.createDataFrame(rows, f"attribute string, name string, unit_of_measurement {schema.UNIT}, definition string")
+
+
+def load_citizen(
+    catalog: Catalog, rows: DataFrame, thing_id: int, network: str, prefix: str = "Citizen"
+) -> tuple[Catalog, DataFrame, DataFrame]:
+    """(catalog, inserted, rejects) of citizen observations (the first result of ``read_citizen_json``).
+
+    Network, sensors, features, observed properties and datastreams are looked up by name and created
+    where they are missing: one datastream per attribute, with its unit and property, under the thing and
+    with the sensor of the first observation that needs it. A name that several stored rows share is a
+    conflict: readings that need it are rejected. Readings then go the way of every insert.
+    """
+    text = F.lit("Citizen observation")
+    point = F.format_string('{"type":"Point","coordinates":[%s,%s]}', F.col("lon").cast("string"), F.col("lat").cast("string"))
+    about = water_attributes(catalog).withColumnRenamed("name", "property")
+    sure = materialize(rows.join(about, "attribute").withColumns({
+        "foi": F.concat(F.lit(f"{prefix}_FOI_"), "feature_key"), "stream": F.concat(F.lit(f"{prefix}Datastream_"), "attribute"),
+        "network": F.lit(network), "place": geometry.from_geojson(point)}))
+    order = F.struct("source_id", "phenomenon_start")
+    # Per table: the column that holds the names, and what a new row of the first that needs it is made of.
+    asked = {
+        "network": ("network", {}),
+        "sensor": ("sensor", {"description": text, "encoding_type": F.lit("text/plain"), "sensor_metadata": F.lit("")}),
+        "feature_of_interest": ("foi", {"description": text, "encoding_type": F.lit("application/vnd.geo+json"), "feature": F.col("place")}),
+        "observed_property": ("property", {"description": F.col("property"), "definition": F.col("definition")}),
+        "datastream": ("stream", {
+            "description": text, "observation_type": F.lit(MEASUREMENT), "unit_of_measurement": F.col("unit_of_measurement"),
+            "thing_id": F.lit(thing_id).cast("long"), "sensor": F.col("sensor"), "property": F.col("property")}),
+    }
+    found, made = identity.get_or_create_all(
+        {t: sure.groupBy(F.col(n).alias("name")).agg(F.min_by(F.struct(F.lit(0).alias("_"), *[c.alias(k) for k, c in cols.items()]), order).alias("_row"))
+         for t, (n, cols) in asked.items()},
+        {t: catalog.table(t) for t in asked})
+
+    def ids(table: str, column: str, name: str) -> DataFrame:
+        return found.where(F.col("table") == table).select(F.col("name").alias(column), F.col("id").alias(name))
+
+    state = {}
+    for table, (_, cols) in asked.items():
+        fresh = made[table].select("id", "name", *[F.col(f"_row.{k}").alias(k) for k in cols])
+        if table == "datastream":
+            fresh = (
+                fresh.join(ids("sensor", "sensor", "sensor_id"), "sensor", "left")
+                .join(ids("observed_property", "property", "observed_property_id"), "property", "left")
+                .withColumn("network", F.lit(network)).join(ids("network", "network", "network_id"), "network", "left")
+                .drop("sensor", "property", "network"))
+        state[table] = catalog.table(table).unionByName(fresh, allowMissingColumns=True)
+    streams, features = ids("datastream", "name", "id"), ids("feature_of_interest", "name", "id")
+    ready = (
+        sure.join(streams.select(F.col("name").alias("stream"), F.col("id").alias("datastream_id")), "stream", "left")
+        .join(features.select(F.col("name").alias("foi"), F.col("id").alias("feature_of_interest_id")), "foi", "left")
+        .withColumns({"result_time": F.col("phenomenon_start"), "phenomenon_end": F.col("phenomenon_start"),
+                      **values.typed_text_result(F.col("value"))}))
+    reason = F.when(F.col("datastream_id").isNull() | F.col("feature_of_interest_id").isNull(), "name held twice").when(
+        F.col("result_type").isNull(), "result has no type")
+    judged = ready.withColumn("reason", reason)
+    good = judged.where("reason is null").drop("reason")
+    after, inserted, late = mutations.insert_observations(
+        catalog.replace(**state), _observation_rows(good, ["source_id", "attribute", "phenomenon_start"]))
+    refused = judged.where("reason is not null").select("source_id", "attribute", "reason")
+    return after, inserted, refused.unionByName(late.select(F.col("seq.source_id"), F.col("seq.attribute"), "reason"))
