@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sensorquery.session import materialize
+from sensorquery.session import materialize, scratch_path
 
 CHUNK_ROWS = 1 << 20  # of one series in one group
 _PIECES = 1 << 24  # more than a chunk has seconds
@@ -115,9 +115,9 @@ def equi_depth_chunks(
     """Adds ``_chunk``: chunks of time that hold about ``rows`` rows at most, in the order of time.
 
     A chunk of ``chunk_seconds`` with more rows is cut where its counted seconds add up to ``rows``;
-    one second is the smallest piece. Only crowded chunks are counted by the second, so the table of
-    borders holds a row for each of their seconds, and where there are none it is empty and costs
-    nothing in the join.
+    one second is the smallest piece. Only crowded chunks are counted by the second, and the table of
+    borders holds a row for each of their seconds. It is written first, so Spark knows its size when it
+    joins: where no chunk is crowded it is empty, and the rows are not moved for it.
     """
     whole = chunk_of(F.col(ts), chunk_seconds)
     timed = df.withColumns({"_whole": whole, "_second": F.floor(F.unix_micros(ts) / F.lit(1_000_000)).cast("long")})
@@ -127,7 +127,10 @@ def equi_depth_chunks(
     before = Window.partitionBy(*key, "_whole").orderBy("_second").rowsBetween(Window.unboundedPreceding, -1)
     borders = seconds.select(
         *key, "_second", F.floor(F.coalesce(F.sum("_n").over(before), F.lit(0)) / F.lit(rows)).cast("long").alias("_piece"))
-    return timed.join(borders, [*key, "_second"], "left").withColumn(
+    path = scratch_path(df.sparkSession, "borders")
+    borders.write.parquet(path)
+    held = df.sparkSession.read.schema(borders.schema).parquet(path)
+    return timed.join(held, [*key, "_second"], "left").withColumn(
         "_chunk", F.col("_whole").cast("long") * F.lit(_PIECES) + F.coalesce("_piece", F.lit(0))
     ).select(*df.columns, "_chunk")
 

@@ -63,11 +63,13 @@ def test_a_count_shuffles_partial_counts_only(t):
     assert "hashpartitioning" not in text
 
 
-def test_untouched_versions_pass_by_the_outer_join(t):
+def test_a_small_batch_moves_no_versions(t):
     versions_ = t.thing_versions()
     change = versions_.where(F.col("id") == 1).where(F.col("valid_to").isNull()).withColumn("action", F.lit("DELETE"))
     text = plan(versions.apply_changes("thing", versions_, change, "2002-01-01T00:00:00Z"))
-    assert "LeftAnti" in text and "FullOuter" in text
+    # One read with the changes beside the open rows, and ids only for what is new.
+    assert "LeftOuter" in text and "LeftAnti" in text and "FullOuter" not in text
+    assert "SortMergeJoin LeftOuter" not in text
 
 
 def test_loads_prune_the_store_without_reading_the_batch_first(t):
