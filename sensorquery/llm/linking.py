@@ -163,7 +163,7 @@ class SetIndex:
 def _connected(search, per_cent: int, payload: str):
     """Links of a task that connect what is not connected yet: in each cell the sets of side 1 look for
     candidates of other components, which are compared on the full sets. ``search(size, packed)`` makes
-    of a cell the function that gives the candidates of its i-th set."""
+    of a cell the function that gives, of the sets wanted, the candidates of its i-th set."""
 
     def run(table):
         import pyarrow as pa
@@ -172,8 +172,8 @@ def _connected(search, per_cent: int, payload: str):
         for ids, side, label, size, packed, hashes in units(table, "node", "side", "label", "size", payload, "hashes"):
             label, candidates, index = label.copy(), search(size, packed), None
             for i in np.flatnonzero(side == 1).tolist():
-                near = candidates(i)
-                near = near[(label[near] != label[i]) & ((side[near] == 0) | (ids[near] > ids[i]))]  # two of side 1 meet once
+                # Two of side 1 meet once.
+                near = candidates(i, (label != label[i]) & ((side == 0) | (ids > ids[i])))
                 if len(near):
                     index = index or SetIndex(hashes)
                     for j in near[index.similar(i, near, per_cent)].tolist():
@@ -195,8 +195,7 @@ def _hopeful(search, payload: str):
         for hub, part, ids, side, label, size, packed in units(table, "hub", "part", "node", "side", "label", "size", payload):
             candidates, hit = search(size, packed), np.zeros(len(ids), dtype=bool)
             for i in np.flatnonzero(side == 1).tolist():
-                near = candidates(i)
-                near = near[label[near] != label[i]]
+                near = candidates(i, label != label[i])
                 hit[near] = True
                 hit[i] |= len(near) > 0
             out.append(np.stack([x[hit] for x in (hub, part, ids, side.astype(np.int64), label)]))
@@ -229,13 +228,13 @@ def connect(cells: DataFrame, nodes: DataFrame, sets: DataFrame, search, per_cen
 
 
 def sets_of(stars: DataFrame, nodes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
-    """(node, hashes) of all nodes of the stars; texts travel compressed, and only theirs are read."""
+    """(node, hashes) of all nodes of the stars. Texts travel compressed, only to their nodes; a node may
+    come twice where its smallest id stands in several rows of one text."""
     wanted = stars.select(F.explode(F.array("hub", "node")).alias("node")).distinct().join(
-        nodes.select("node", "least", "set1", "set2"), "node")
+        nodes.select("node", F.col("least").alias("doc_id"), "set1", "set2"), "node")
     packed = docs.where("doc_id is not null").mapInArrow(squeeze, "doc_id long, packed binary")
-    texts = packed.join(wanted.select(F.col("least").alias("doc_id")).distinct(), "doc_id", "left_semi").select("packed")
-    sets = texts.mapInArrow(read_sets(width), "set1 long, set2 long, hashes binary")
-    return written(sets.join(wanted.select("node", "set1", "set2"), ["set1", "set2"]).dropDuplicates(["node"]).select("node", "hashes"), "sets")
+    texts = packed.join(wanted, "doc_id").select("packed", "node", "set1", "set2")
+    return written(texts.mapInArrow(read_sets(width), "node long, hashes binary"), "sets")
 
 
 def component_labels(

@@ -6,7 +6,7 @@
    than DISTANCE = 2 CHUNKS - 1 symbols, some chunk differs in one symbol at most (pigeonhole). Each
    chunk is entered under every way to allow that error: the chunk without one of its symbols. So all
    pairs within the distance meet under some key. At J = 0.8 the distance is 25 on average and beyond
-   41 once in about 5,000 pairs of 126 symbols; the nearer, the rarer.
+   41 once in about 3,500 pairs; at J = 0.85 once in five millions.
 3. Keys travel in packed arrays, each once per slice; keys with a single set end there. Under every
    key left, all sets are first compared with one hub (``linking``), within the distance. What is linked
    becomes one component.
@@ -120,13 +120,14 @@ def _dealt_keys(shards: int):
 
 
 def within_distance(per_cent: int):
-    """Of a cell, the sets whose signature lies within the distance of the i-th and whose size allows a link."""
+    """Of a cell, the wanted sets whose signature lies within the distance of the i-th and whose size
+    allows a link."""
 
     def search(size, packed):
         sig = np.frombuffer(b"".join(packed), np.uint8).reshape(-1, SYMBOLS)
 
-        def near(i):
-            fit = np.flatnonzero(may_link(size, size[i], per_cent))
+        def near(i, wanted):
+            fit = np.flatnonzero(wanted & may_link(size, size[i], per_cent))
             return fit[(sig[fit] != sig[i]).sum(axis=1) <= DISTANCE]
 
         return near

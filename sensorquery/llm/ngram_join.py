@@ -203,18 +203,48 @@ def _dealt_keys(width: int, per_cent: int, shards: int):
     return run
 
 
+class FullVectors:
+    """The whole count vectors of a cell, those of one length as one matrix, folded where a shorter one
+    is compared with them."""
+
+    def __init__(self, packed: list, size: np.ndarray):
+        length = np.array([len(v) for v in packed])
+        self.size, self.length, self.rows, self.folded = size, length, np.zeros(len(packed), dtype=np.int64), {}
+        for n in np.unique(length).tolist():
+            members = np.flatnonzero(length == n)
+            self.rows[members] = np.arange(len(members))
+            matrix = np.stack([counts(packed[i], int(size[i])) for i in members.tolist()])
+            self.folded[n, n] = matrix.astype(np.int32)
+
+    def at(self, length: int, to: int) -> np.ndarray:
+        if (length, to) not in self.folded:
+            whole = self.folded[length, length]
+            self.folded[length, to] = whole.reshape(len(whole), -1, to).sum(axis=1)
+        return self.folded[length, to]
+
+    def may_link(self, i: int, others: np.ndarray, per_cent: int) -> np.ndarray:
+        """Of the others, those with which the sum of the smaller counts reaches the overlap of a link."""
+        out, own = np.zeros(len(others), dtype=bool), int(self.length[i])
+        for n in np.unique(self.length[others]).tolist():
+            mine = np.flatnonzero(self.length[others] == n)
+            to = min(n, own)
+            both = np.minimum(self.at(n, to)[self.rows[others[mine]]], self.at(own, to)[self.rows[i]]).sum(axis=1)
+            out[mine] = both * (100 + per_cent) >= per_cent * (self.size[others[mine]] + self.size[i])
+        return others[out]
+
+
 def through_tree(per_cent: int):
-    """Of a cell, the sets that a search of its tree leaves for the i-th, and whose full vectors allow a
-    link."""
+    """Of a cell, the sets that a search of its tree leaves for the i-th among those wanted, and whose
+    full vectors allow a link."""
 
     def search(size, packed):
-        points = np.array([counts(v, n, DIMENSIONS) for v, n in zip(packed, size.tolist())]).reshape(-1, DIMENSIONS)
+        whole = FullVectors(packed, size)
+        points = np.stack([whole.at(int(n), DIMENSIONS)[r] for n, r in zip(whole.length, whole.rows)])
         tree = CountTree(points, size)
 
-        def near(i):
-            found = tree.search(points[i], int(size[i]), per_cent).tolist()
-            return np.array(
-                [j for j in found if may_link(packed[i], int(size[i]), packed[j], int(size[j]), per_cent)], dtype=np.int64)
+        def near(i, wanted):
+            found = tree.search(points[i], int(size[i]), per_cent)
+            return whole.may_link(i, found[wanted[found]], per_cent)
 
         return near
 

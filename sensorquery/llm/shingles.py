@@ -60,7 +60,8 @@ def squeeze(batches):
 
 
 def read_sets(width: int):
-    """Arrow batches of compressed texts to (set1, set2, hashes), the hashes sorted and packed."""
+    """Arrow batches of compressed texts with a node and the names of its set to (node, hashes), the
+    hashes sorted and packed; texts of other sets (of the same id) are left out."""
 
     def run(batches):
         import pyarrow as pa
@@ -69,13 +70,16 @@ def read_sets(width: int):
         plain = zstandard.ZstdDecompressor()
         for full in batches:
             for at in range(0, full.num_rows, 256):
-                column = full.column(0).slice(at, 256)
-                text = pa.array([plain.decompress(x.as_buffer()) for x in column], pa.large_binary()).cast(pa.large_string())
+                batch = full.slice(at, 256)
+                node, set1, set2 = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2, 3))
+                text = pa.array([plain.decompress(x.as_buffer()) for x in batch.column(0)], pa.large_binary()).cast(pa.large_string())
                 for texts in slices(pa.RecordBatch.from_arrays([text], ["text"])):
                     sets = ShingleSets(texts, width)
                     a, b = sets.names()
-                    packed = [sets.hashes[x:y].tobytes() for x, y in zip(sets.first, sets.first[1:])]
-                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(packed, pa.binary())], ["set1", "set2", "hashes"])
+                    own = np.flatnonzero((a == set1[texts.rows]) & (b == set2[texts.rows]))
+                    packed = [sets.hashes[sets.first[i]:sets.first[i + 1]].tobytes() for i in own.tolist()]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(node[texts.rows][own], pa.int64()), pa.array(packed, pa.binary())], ["node", "hashes"])
 
     return run
 
