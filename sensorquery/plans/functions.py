@@ -123,6 +123,20 @@ def dt_08(t):
     return t.observations().where((F.col("phenomenon_start") > S.mindatetime()) & (F.col("phenomenon_start") < S.maxdatetime())).select("id")
 
 
+@query("dt_07_past_and_future", "SELECT id, id % 3 <> 1 AS past FROM observation")
+def dt_07_future(t):
+    """A third of the readings is moved a thousand years ahead."""
+    moved = F.col("phenomenon_start") + F.when(F.col("id") % 3 == 1, F.expr("INTERVAL 1000 YEAR")).otherwise(F.expr("INTERVAL 0 YEAR"))
+    return t.observations().select("id", (moved < S.now()).alias("past"))
+
+
+@query("dt_08_open_ends", "SELECT id FROM observation WHERE id % 4 > 1")
+def dt_08_ends(t):
+    """Readings at the very first and last instant lie outside the open span between them."""
+    at = F.when(F.col("id") % 4 == 0, S.mindatetime()).when(F.col("id") % 4 == 1, S.maxdatetime()).otherwise(F.col("phenomenon_start"))
+    return t.observations().withColumn("at", at).where((F.col("at") > S.mindatetime()) & (F.col("at") < S.maxdatetime())).select("id")
+
+
 @query("dt_09_bounds", """
 SELECT id, epoch_us(phenomenon_start) AS lo, epoch_us(interval_end) AS hi FROM observation""")
 def dt_09(t):

@@ -6,8 +6,8 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
+from sensorquery.functions import geometry, render
 from sensorquery.functions import predicates as P
-from sensorquery.functions import render
 from sensorquery.functions.values import Interval
 from sensorquery.operators import series, versions
 from sensorquery.operators.query import Expand, Query, filter_rows
@@ -378,6 +378,22 @@ def flt_17(t):
     return on(t, "FeaturesOfInterest").filter(lambda r: P.eq(r("feature/type"), "Point")).rows().select("id")
 
 
+@query("flt_17_mixed_geometry_types", """
+SELECT id, CASE id % 3 WHEN 0 THEN 'Point' WHEN 1 THEN 'LineString' ELSE 'Polygon' END AS kind FROM place WHERE id % 3 <> 2""")
+def flt_17_mixed(t):
+    """Features of three geometry types, of which two are asked for."""
+    key = F.col("id").cast("string")
+    line = F.concat(F.lit('{"type":"LineString","coordinates":[[0,0],[1,'), key, F.lit("]]}"))
+    ring = F.concat(F.lit('{"type":"Polygon","coordinates":[[[0,0],[1,0],[1,'), key, F.lit("],[0,0]]]}"))
+    catalog = t.catalog()
+    features = catalog.table("feature_of_interest")
+    mixed = features.withColumn("feature", F.when(F.col("id") % 3 == 1, geometry.from_geojson(line)).when(
+        F.col("id") % 3 == 2, geometry.from_geojson(ring)).otherwise(F.col("feature")))
+    found = Query.on(catalog.replace(feature_of_interest=mixed), "FeaturesOfInterest").filter(
+        lambda r: P.eq(r("feature/type"), "Point") | P.eq(r("feature/type"), "LineString")).rows()
+    return found.select("id", F.col("feature.type").alias("kind"))
+
+
 # -- relations -------------------------------------------------------------------------------
 
 
