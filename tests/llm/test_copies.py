@@ -210,7 +210,7 @@ def test_links_of_the_query_come_out_of_the_trees(spark, small, monkeypatch):
         return {r.doc_id for r in rows if r.doc_id != r.component_id}
 
     def blind(per_cent):
-        return lambda size, packed: lambda i: np.zeros(0, dtype=np.int64)
+        return lambda size, packed: lambda i, wanted: np.zeros(0, dtype=np.int64)
 
     found = links()
     monkeypatch.setattr(ngram_join, "through_tree", blind)
