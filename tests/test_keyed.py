@@ -69,6 +69,22 @@ def test_salted_lists_merge_to_the_latest(spark, tmp_path):
     assert {str(r.phenomenon_start)[:4] for r in got.collect()} == {"1970"}
 
 
+def test_a_bucket_holds_many_keys(spark, tmp_path):
+    """One call into Python takes all keys of its bucket; each is judged on its own."""
+    ends = rows_of(spark, (1, 1, 100), (2, 2, 5), (3, 2, 7)).select(
+        F.col("datastream_id").alias("id"), F.col("phenomenon_start").alias("phenomenon_end"))
+    late = Runs(spark, tmp_path / "late", lambda s: keyed.newer_readings(s, ends, buckets=1))
+    assert sorted(r["id"] for r in late.run((10, 1, 100), (11, 2, 7), (12, 2, 8), (13, 3, 8), (14, 1, 101))) == [12, 13, 14]
+    assert sorted(r["id"] for r in late.run((20, 1, 102), (21, 2, 8), (22, 3, 9))) == [20, 22]
+    stored = rows_of(spark, (1, 1, 10), (2, 2, 10), (3, 2, 10), (4, 3, 10))
+    runs = Runs(spark, tmp_path / "lists", lambda s: keyed.latest_lists(s, 2, salts=1, stored=stored, buckets=1), mode="update")
+    runs.run((5, 1, 20), (6, 2, 5), (7, 2, 4))
+    assert {r["datastream_id"] for r in runs.run((8, 2, 30))} == {2}
+    flat = [(n, r["datastream_id"], r["salt"], r["doc"]) for n, rows in runs.out.items() for r in rows]
+    lists = spark.createDataFrame(flat, "part int, datastream_id long, salt int, doc string")
+    assert sorted(r.id for r in keyed.latest_of(lists, 2, LAYOUT).collect()) == [1, 2, 5, 8]
+
+
 def test_the_session_gets_its_setting_back(spark):
     before = spark.conf.get(keyed.PROVIDER, None)
     with keyed.keyed_state(spark):
