@@ -20,6 +20,7 @@ from sensorquery.functions.values import Interval, Result
 from sensorquery.operators import series
 
 Predicate = Callable[[Callable], Column]
+PAGE_ROWS = 4096  # of a keyset page that one task gathers
 
 
 @dataclass(frozen=True)
@@ -337,7 +338,8 @@ class Query:
         The order is the query's own, then ``id``. Each row carries its place in columns ``_k0``,
         ``_k1``, ...; ``seen`` is a mapping with those of the last row (``row.asDict()`` will do).
         Nulls stand where the order puts them and are never skipped. Unlike a deep skip the cost does
-        not depend on how many rows came before.
+        not depend on how many rows came before. A page of more than PAGE_ROWS rows is cut by position
+        from a distributed sort, since a smaller one gathers its rows in one task.
         """
         df = self.rows()
         keys = _key_parts(df, self.table, self.order)
@@ -361,7 +363,9 @@ class Query:
             F.col(f"_k{i}").desc_nulls_first() if descending else F.col(f"_k{i}").asc_nulls_last()
             for i, (_, descending) in enumerate(keys)
         ]
-        return placed.orderBy(*order).limit(size)
+        if size <= PAGE_ROWS:
+            return placed.orderBy(*order).limit(size)
+        return series.global_positions(placed, order, "_pos").where(F.col("_pos") < size).drop("_pos").orderBy(*order)
 
     def count_total(self) -> DataFrame:
         """One row ``count``: the exact number of matching rows, whatever the page. Ids (with their
