@@ -123,3 +123,35 @@ def test_adaptive_execution_cannot_undo_the_patch_grouping(spark):
     ops = spark.createDataFrame(rows, "id long, seq long, op string, path string, origin string, value string")
     done = mutations.json_patch(docs, ops.repartition(7)).collect()
     assert len(done) == 40 and {r.doc for r in done} == {'{"n":0,"k0":0,"k1":1,"k2":2,"k3":3,"k4":4}'}
+
+
+def test_closed_versions_do_not_meet_in_one_task(t):
+    held = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: t.spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            t.spark.conf.set(k, v)
+        now = t.thing_versions()
+        change = now.where(F.col("valid_to").isNull()).withColumn("action", F.lit("DELETE"))
+        after = versions.apply_changes("thing", now, change, "2002-01-01T00:00:00Z")
+        closed = after.where(F.col("valid_to") < "2002-01-01").withColumn("at", F.spark_partition_id())
+        assert closed.select("at").distinct().count() > 1
+    finally:
+        for k, v in before.items():
+            t.spark.conf.set(k, v)
+
+
+def test_a_long_page_is_not_gathered_in_one_task(t, monkeypatch):
+    q = Query.on(t.catalog(), "Observations").order_by("resultTime desc", "resultQuality")
+    short = q.page_after(None, 60)
+    assert "TakeOrderedAndProject" in plan(short)
+    rows = short.collect()
+    monkeypatch.setattr("sensorquery.operators.query.PAGE_ROWS", 10)
+    long = q.page_after(None, 60)
+    assert "TakeOrderedAndProject" not in plan(long) and "GlobalLimit" not in plan(long)
+    assert long.columns == short.columns and long.collect() == rows
+    assert q.page_after(rows[19].asDict(), 40).collect() == rows[20:]
+
+
+def test_window_statistics_start_from_many_partitions(t):
+    assert re.search(r"hashpartitioning\(datastream_id#\d+L, _block#\d+L, 1000\)", plan(quality.flag_zscore(t.observations())))
