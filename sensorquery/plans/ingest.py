@@ -239,6 +239,9 @@ def src_10_rejects(t):
 # -- citizen observations and sheets ---------------------------------------------------------
 
 
+DOCS_PER_PART = 20_000
+
+
 def citizen_docs(t):
     """One document per customer: bare or wrapped lists, positions in different places."""
     key = F.col("c_custkey")
@@ -257,7 +260,10 @@ def citizen_docs(t):
     doc = F.when(key % 2 == 0, F.concat(F.lit("["), item, F.lit("]"))).otherwise(
         F.concat(F.lit('{"results":['), item, F.lit("]}"))
     )
-    return t.raw("customer").select(doc.alias("doc"))
+    # A file of a few key columns makes few partitions, its documents are long to read: they are dealt out.
+    parts = t.raw("customer").count() // DOCS_PER_PART
+    docs = t.raw("customer").select(doc.alias("doc"))
+    return docs.repartition(parts) if parts > 1 else docs
 
 
 @query("src_09_citizen_json", """

@@ -63,6 +63,7 @@ class Parts:
         return self.spark.read.schema(schema).parquet(f"{self.path}/part={number}")
 
 
+LOG_ROWS = 100_000  # of one written log
 STREAM_MAPPING = {"site/+/click": ["Skip", "click"], "site/8/error": ["error"], "site/+/view": ["view", "skip", "signup"]}
 
 
@@ -110,11 +111,11 @@ def _append_logs(folder: str, cut: int, whole: bool):
         store.create_dir(inner)
         lines = [json.dumps({"topic": t, "payload": p}) for b in batches for t, p in zip(b["topic"], b["payload"])]
         path, half = f"{inner}/{part}.log", len(lines) * cut // 4
-        text = "".join(f"{x}\n" for x in lines[:half])
-        # A writer that is in the middle of a line: the reader must wait for its end.
-        text += "" if whole or half == len(lines) else lines[half][:5]
         with store.open_output_stream(path) as out:
-            out.write(text.encode())
+            for line in lines[:half]:
+                out.write(f"{line}\n".encode())
+            # A writer that is in the middle of a line: the reader must wait for its end.
+            out.write(b"" if whole or half == len(lines) else lines[half][:5].encode())
         yield pd.DataFrame({"n": [half]})
 
     return run
@@ -131,7 +132,9 @@ SELECT datastream_id, epoch_us(ts) AS t_us, result_number FROM (
 def src_08_log(t):
     """Logs that grow between three runs of the ingest, which goes on from its checkpoint each time."""
     folder = scratch_path(t.spark, "logs")
-    rows = message_rows(t).select("topic", F.col("payload").cast("string").alias("payload")).repartition(3, "payload").sortWithinPartitions("payload", "topic")
+    rows = message_rows(t).select("topic", F.col("payload").cast("string").alias("payload"))
+    logs = max(3, t.raw("events").count() // LOG_ROWS)  # a task holds the lines of one log
+    rows = rows.repartition(logs, "payload").sortWithinPartitions("payload", "topic")
     loaded, refused = Parts(t, "ingest"), Parts(t, "refused")
     cfg = messages.MessageConfig(mapping=STREAM_MAPPING, separator=";")
     for cut in (1, 3, 4):

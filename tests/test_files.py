@@ -143,3 +143,30 @@ def test_files_follow_the_rows_not_the_session(spark, tmp_path):
         assert sum(sizes) == 1000 and max(sizes) <= 200
         counts.append(len(sizes))
     assert abs(counts[0] - counts[1]) <= 2
+
+
+def test_message_logs_are_as_many_as_their_lines_need(spark, small, monkeypatch):
+    from pathlib import Path
+
+    from sensorquery.plans import streams
+    from sensorquery.plans.testbed import Testbed
+    from sensorquery.session import shared_folder
+
+    folder, t = Path(shared_folder(spark).removeprefix("file:")), Testbed(spark, small)
+    want = sorted(map(tuple, streams.src_08_log(t).collect()), key=repr)
+    before = set(folder.glob("logs-*"))
+    monkeypatch.setattr(streams, "LOG_ROWS", 100)
+    got = sorted(map(tuple, streams.src_08_log(t).collect()), key=repr)
+    (logs,) = set(folder.glob("logs-*")) - before
+    assert got == want and len(list(logs.glob("*.log"))) > 3
+
+
+def test_citizen_documents_are_dealt_to_many_tasks(spark, small, monkeypatch):
+    from sensorquery.plans import ingest
+    from sensorquery.plans.testbed import Testbed
+
+    t = Testbed(spark, small)
+    want = sorted(r.doc for r in ingest.citizen_docs(t).collect())
+    monkeypatch.setattr(ingest, "DOCS_PER_PART", 10)
+    docs = ingest.citizen_docs(t)
+    assert docs.rdd.getNumPartitions() > 1 and sorted(r.doc for r in docs.collect()) == want
