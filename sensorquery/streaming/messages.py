@@ -45,7 +45,7 @@ def route(df: DataFrame, mapping: dict[str, list[str]], topic: str = "topic") ->
     wild = {p: n for p, n in mapping.items() if set(p.split("/")) & {"+", "#"}}
     exact = [(p, n) for p, n in mapping.items() if p not in wild]
     table = df.sparkSession.createDataFrame(exact, "_topic string, _exact array<string>")
-    return route_by(df, table, wild, topic)
+    return route_by(df, F.broadcast(table), wild, topic)  # a mapping that the driver holds; rows stay where they are
 
 
 def route_by(
