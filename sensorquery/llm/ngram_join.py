@@ -11,7 +11,10 @@ PER_CENT * |union| <= 100 * |intersection|, and components are what links connec
    PER_CENT) of them. Shingles are dealt to d + 1 + s blocks, so at least s + 1 blocks are equal in both
    sets, and not all of them are empty unless both sets have more than s empty blocks (such sets put
    forth their empty blocks too). The content of a block is the key; sizes meet within a class and with
-   the next class. The cell of a hub is all sets that it meets under its keys (``linking``).
+   the next class. Keys have one order, the empty ones first, then those of most documents. The last
+   key that two linked sets share has s shared ones before it in each, so each set leaves out its first
+   s keys of a class, which are those that many documents have by chance, and the pair still meets
+   (``kept_keys``). The cell of a hub is all sets that it meets under its keys (``linking``).
 3. Trees. The points of a cell are packed into boxes of FAN, these into boxes again, up to one root. A
    box keeps its upper corner and the range of its sizes. The hub descends: a box whose corner cannot
    reach the overlap is left out with all below it. What survives down to the points is compared with
@@ -27,7 +30,7 @@ has no component. Extra columns are not looked at.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sensorquery.llm import linking
@@ -55,9 +58,9 @@ def size_classes(per_cent: int, most: int = 1 << 40) -> tuple[np.ndarray, np.nda
 
 
 def class_blocks(highs: np.ndarray, per_cent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Number of blocks per class, and how many empty ones a set may have unremarked."""
+    """Number of blocks per class, and how many of them, empty ones included, a set may leave out."""
     differ = 2 * highs * (100 - per_cent) // (100 + per_cent)
-    spare = np.where(differ == 0, 0, np.where(differ < 10, 2, 6 + (0.3 * np.sqrt(differ)).astype(np.int64)))
+    spare = np.where(differ == 0, 0, np.where(differ < 10, 2, 6 + differ // 4))
     return differ + 1 + spare, spare
 
 
@@ -92,8 +95,30 @@ def may_link(x, size_x: int, y, size_y: int, per_cent: int) -> bool:
     return both * (100 + per_cent) >= per_cent * (size_x + size_y)
 
 
+def _block(hashes: np.ndarray, blocks: np.ndarray) -> np.ndarray:
+    """The block of each shingle, of so many blocks."""
+    return (((hashes >> np.uint64(40)) * blocks.astype(np.uint64)) >> np.uint64(24)).astype(np.int64)
+
+
+def spare_keys(sets: ShingleSets, per_cent: int) -> tuple[np.ndarray, np.ndarray]:
+    """How many keys of its class of even and of odd number each text may leave out: the spare blocks
+    without those that are empty anyway, and one less, should two of its keys agree in the bits that travel."""
+    _, highs = size_classes(per_cent)
+    blocks, spare = class_blocks(highs, per_cent)
+    home, left = np.searchsorted(highs, sets.size), []
+    for step in (0, 1):
+        n = blocks[home + step]
+        block = _block(sets.hashes, n[sets.doc])
+        edge = np.ones(len(block), dtype=bool)
+        edge[1:] = (sets.doc[1:] != sets.doc[:-1]) | (block[1:] != block[:-1])
+        bare = n - np.bincount(sets.doc[edge], minlength=len(n))
+        left.append(np.maximum(spare[home + step] - bare - 1, 0))
+    return np.where(home % 2 == 0, left[0], left[1]), np.where(home % 2 == 0, left[1], left[0])
+
+
 def block_keys(sets: ShingleSets, use: np.ndarray, per_cent: int) -> tuple[np.ndarray, np.ndarray]:
-    """(key, text) for the blocks of the texts marked in ``use``, in their own and the next class."""
+    """(key, text) for the blocks of the texts marked in ``use``, in their own and the next class. The
+    last bit of a key tells whether the number of its class is odd."""
     lows, highs = size_classes(per_cent)
     blocks, spare = class_blocks(highs, per_cent)
     keys, owners = [], []
@@ -104,7 +129,7 @@ def block_keys(sets: ShingleSets, use: np.ndarray, per_cent: int) -> tuple[np.nd
     for step in (0, 1):
         cls = home + step
         n = blocks[cls]
-        block = (((h >> np.uint64(40)) * n[d].astype(np.uint64)) >> np.uint64(24)).astype(np.int64)
+        block = _block(h, n[d])
         # Hashes are sorted within a text, so the shingles of a block lie together.
         edge = np.ones(len(h), dtype=bool)
         edge[1:] = (d[1:] != d[:-1]) | (block[1:] != block[:-1])
@@ -118,7 +143,7 @@ def block_keys(sets: ShingleSets, use: np.ndarray, per_cent: int) -> tuple[np.nd
             content, who = np.append(content, np.zeros(len(bare), np.uint64)), np.append(who, np.full(len(bare), i))
             number = np.append(number, bare)
         place = cls[who].astype(np.uint64) * np.uint64(_BASE) + number.astype(np.uint64)
-        keys.append(mix(content + mix(place)))
+        keys.append((mix(content + mix(place)) & ~np.uint64(1)) | (cls[who] & 1).astype(np.uint64))
         owners.append(who)
     if not keys:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -163,7 +188,7 @@ class CountTree:
         return self.order[found]
 
 
-def _signed(width: int):
+def _signed(width: int, per_cent: int):
     def run(batches):
         import pyarrow as pa
 
@@ -171,15 +196,17 @@ def _signed(width: int):
             for texts in slices(batch):
                 sets = ShingleSets(texts, width)
                 a, b = sets.names()
+                even, odd = spare_keys(sets, per_cent)
                 yield pa.RecordBatch.from_arrays([
                     batch.column(0)[texts.rows], pa.array(sets.size, pa.int64()), pa.array(a), pa.array(b),
                     pa.array([v if n else None for v, n in zip(vectors(sets), sets.size.tolist())], pa.binary()),
-                ], ["doc_id", "size", "set1", "set2", "vector"])
+                    pa.array(even, pa.int32()), pa.array(odd, pa.int32()),
+                ], ["doc_id", "size", "set1", "set2", "vector", "even", "odd"])
 
     return run
 
 
-_SIGNED = "doc_id long, size long, set1 long, set2 long, vector binary"
+_SIGNED = "doc_id long, size long, set1 long, set2 long, vector binary, even int, odd int"
 
 
 def _dealt_keys(width: int, per_cent: int, shards: int):
@@ -251,19 +278,27 @@ def through_tree(per_cent: int):
     return search
 
 
+def kept_keys(keyed: DataFrame, node_of: DataFrame) -> DataFrame:
+    """(key, node, n) of the keys (key, member, n) that the nodes of the members keep: of the keys of a
+    class not the first ``even`` or ``odd``, those that most members have."""
+    odd = F.col("key").bitwiseAND(1)
+    order = Window.partitionBy("member", "node", odd).orderBy(F.col("n").desc(), "key")
+    ranked = keyed.join(node_of, "member").withColumn("rank", F.row_number().over(order))
+    kept = ranked.where(F.col("rank") > F.when(odd == 1, F.col("odd")).otherwise(F.col("even")))
+    return kept.groupBy("key", "node").agg(F.max("n").alias("n"))
+
+
 def similar_groups(docs: DataFrame, *, width: int = 5, per_cent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id) per row: the size of its set and the smallest ``doc_id``
     that links reach from it."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = written(own.mapInArrow(_signed(width), _SIGNED), "signed")
+    rows = written(own.mapInArrow(_signed(width, per_cent), _SIGNED), "signed")
     nodes = linking.nodes_of(rows, "vector")
     shards = shard_count(nodes.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0], SHINGLES_PER_SHARD)
     keyed = own.where("doc_id is not null").mapInArrow(_dealt_keys(width, per_cent, shards), linking.DEALT).groupBy(
         "shard").applyInArrow(linking.repeated, linking.ENTRIES)
     node_of = rows.where("doc_id is not null").join(nodes.select("set1", "set2", "node"), ["set1", "set2"])
-    entries = written(
-        keyed.join(node_of.select(F.col("doc_id").alias("member"), "node"), "member").groupBy("key", "node").agg(F.max("n").alias("n")),
-        "entries")
+    entries = written(kept_keys(keyed, node_of.select(F.col("doc_id").alias("member"), "node", "even", "odd")), "entries")
     label = linking.component_labels(rows, nodes, own, entries, through_tree(per_cent), width, per_cent, "vector")
     return linking.by_document(rows, nodes, label)
 

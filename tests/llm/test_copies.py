@@ -170,6 +170,47 @@ def test_linked_sets_share_a_key():
             assert set(keys[who == 0].tolist()) & set(keys[who == 1].tolist())
 
 
+def test_passages_that_many_share_make_no_cells(spark, monkeypatch):
+    rng = random.Random(12)
+    fresh = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    common, stars = fresh(60), []
+    rows = [(i, " ".join(common + fresh(300))) for i in range(60)]
+    rows += [(100 + i, text + " " + " ".join(fresh(10 + i))) for i, text in rows[:20]]
+    known = linking.starred
+    monkeypatch.setattr(linking, "starred", lambda entries: stars.append(known(entries)) or stars[-1])
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in ngram_join.similar_groups(docs, width=5, per_cent=80).collect()}
+    assert got == {i: i - 100 if i >= 100 else i for i, _ in rows}
+    assert stars[0].count() <= 60  # the cells of 80 documents around one hub, or several, hold more
+
+
+def test_linked_sets_share_a_kept_key():
+    from sensorquery.llm.text import Texts
+
+    rng = random.Random(9)
+    for _ in range(60):
+        n = rng.randint(4, 1500)
+        words = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+        other = list(words)
+        for _ in range(rng.randint(0, max(1, n // 40))):
+            other[rng.randrange(n)] = f"e{rng.randrange(10**6)}"
+        texts = [" ".join(w).encode() for w in (words, other)]
+        data = np.frombuffer(b"".join(texts), np.uint8)
+        sets = ngram_join.ShingleSets(Texts(data, np.cumsum([0, *map(len, texts)]), slice(0, 2)), 5)
+        a, b = (set(sets.hashes[sets.doc == i].tolist()) for i in (0, 1))
+        if 100 * len(a & b) < 80 * len(a | b):
+            continue
+        keys, who = ngram_join.block_keys(sets, np.ones(2, bool), 80)
+        both = set(keys[who == 0].tolist()) & set(keys[who == 1].tolist())
+        # The worst case: every shared key is in more documents than those of one text alone.
+        kept = [set(), set()]
+        for odd, spare in enumerate(ngram_join.spare_keys(sets, 80)):
+            for i in (0, 1):
+                own = sorted((k not in both, k) for k in keys[who == i].tolist() if k % 2 == odd)
+                kept[i] |= {k for _, k in own[int(spare[i]):]}
+        assert kept[0] & kept[1]
+
+
 def test_tree_finds_all_that_may_link():
     rng = np.random.default_rng(1)
     vectors = rng.poisson(3, (200, ngram_join.DIMENSIONS)).astype(np.int64)
