@@ -15,7 +15,7 @@ from sensorquery import schema
 from sensorquery.catalog import Catalog, chunk_start
 from sensorquery.operators import identity, maintain
 from sensorquery.operators.query import Predicate, filter_rows
-from sensorquery.session import ship_functions
+from sensorquery.session import materialize, ship_functions
 
 ship_functions(__name__)
 
@@ -413,7 +413,7 @@ def insert_observations(catalog: Catalog, obs: DataFrame) -> tuple[Catalog, Data
 
     state, ready, rejects = ensure_feature(catalog, obs)
     stored = state.table("observation")
-    judged = reject_duplicates(ready, stored, ["seq"])
+    judged = materialize(reject_duplicates(ready, stored, ["seq"]))
     accepted = judged.where(F.col("status") == "accepted").drop("status")
     refused = judged.where(F.col("status") != "accepted").withColumnRenamed("status", "reason")
     inserted = identity.assign_ids(accepted, ["seq"], identity.next_id(stored)).drop("seq")

@@ -91,16 +91,18 @@ def read_bulk(docs: DataFrame, column: str = "doc") -> DataFrame:
 
     Every document must parse and needs a datastream, ``phenomenonTime`` and ``result``, may not carry
     ``featureOfInterest``, and its rows need a typed result and a time that can be read. The check is
-    one aggregate over the rows: one line per reason comes back.
+    one aggregate over the rows: one line per reason comes back. Rows are written, so that documents
+    are parsed once, however often their rows are read.
     """
     rows = _component_rows(docs, column).withColumns(_observation_columns())
     extra = F.array_contains("_components", "featureOfInterest")
     reason = F.coalesce(_row_reason(), F.when(extra, "featureOfInterest is not allowed"))
-    broken = rows.groupBy(reason.alias("reason")).agg(F.count("*").alias("n")).where("reason is not null")
+    judged = materialize(rows.withColumn("_reason", reason).drop("_components", "_values", "_unread"))
+    broken = judged.groupBy(F.col("_reason").alias("reason")).agg(F.count("*").alias("n")).where("reason is not null")
     found = sorted(f"{r['n']} rows: {r['reason']}" for r in broken.collect())  # one line per reason
     if found:
         raise ValueError("; ".join(found))
-    return rows.drop("_components", "_values", "_unread")
+    return judged.drop("_reason")
 
 
 # -- nested entity documents -----------------------------------------------------------------

@@ -30,6 +30,20 @@ def test_bulk_load_fails_as_a_whole(spark, bad):
         documents.read_bulk(_docs(spark, json.dumps([GOOD]), bad))
 
 
+def test_bulk_documents_are_read_once(spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    docs = _docs(spark, *[json.dumps([GOOD])] * 3).mapInArrow(counted, "id long, doc string")
+    rows = documents.read_bulk(docs)
+    assert rows.count() == 3 and len(rows.select("result_number").collect()) == 3
+    assert read.value == 3
+
+
 def test_unreadable_documents_are_errors(spark):
     rows, errors = documents.read_data_array(_docs(spark, json.dumps([GOOD]), "{oops", None, "[]"))
     assert rows.count() == 1
