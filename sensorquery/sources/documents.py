@@ -205,7 +205,7 @@ def deep_insert(
     state = state.replace(**{
         n: state.table(n).unionByName(rows, allowMissingColumns=True) if state.has(n) else rows for n, rows in parts.items()
     })
-    rows = stamped("observation", _observation_rows(readings, ["id"], moment))
+    rows = materialize(stamped("observation", _observation_rows(readings, ["id"], moment)))
     state, inserted, late = mutations.insert_observations(state, rows)
     rejects = refused.select("doc_id", "reason").unionByName(
         late.select(F.lit(None).cast("long").alias("doc_id"), "reason"))

@@ -153,6 +153,16 @@ def test_rejected_documents_take_no_ids_and_commits_are_stamped(spark, catalog):
     assert (log.id, log.author, log.action_type) == (1, "me", "CREATE")
 
 
+def test_readings_are_parsed_once(spark, catalog, monkeypatch):
+    given, known = [], documents.mutations.insert_observations
+    monkeypatch.setattr(documents.mutations, "insert_observations", lambda state, rows: given.append(rows) or known(state, rows))
+    docs = (stream(Thing=thing(Locations=[PLACE]), Sensor=SENSOR, ObservedProperty={"@iot.id": 2}, Observations=[READING]),)
+    insert(spark, catalog, *docs, root="Datastream")
+    assert given[0].count() == 1
+    plan = given[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "LogicalRDD" in plan and "from_json" not in plan  # written rows, not the documents again
+
+
 def test_repeated_and_missing_document_ids(spark, catalog):
     text = json.dumps(thing(Locations=[PLACE]))
     docs = spark.createDataFrame([(5, text), (5, text), (None, text), (5, "{")], "doc_id long, doc string")
