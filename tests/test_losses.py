@@ -13,6 +13,7 @@ from sensorquery.functions import geometry as G
 from sensorquery.functions import values
 from sensorquery.operators import identity, loading, mutations, quality, versions
 from sensorquery.operators.query import Expand, Query
+from sensorquery.plans import registry
 from sensorquery.session import drop_scratch, scratch_path
 from sensorquery.sources import documents
 from sensorquery.streaming import messages
@@ -153,6 +154,25 @@ def test_several_changes_need_the_feed(spark):
     assert [tuple(r) for r in rows] == [(0, 10), (10, 20)]
 
 
+def test_deletes_close_versions_of_every_id(spark, tmp_path):
+    rows = [
+        (1, 13, "F", "1996-01-01"), (2, 13, "O", "1997-01-01"), (3, 1_000_003, "F", "1998-01-01"),
+        (4, 5_000_000_023, "P", "1998-01-01"), (5, 5_000_000_023, "O", "1999-01-01"), (6, 1_000_004, "F", "1998-01-01"),
+        (7, 10, "F", "1998-01-01"), (8, 1_000_010, "F", "1998-01-01"), (9, 1_000_011, "F", "1998-01-01"),
+        (10, 33, "F", "2001-01-01"), (11, 33, "O", "2002-01-01"),
+    ]
+    orders = spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderstatus string, day string").select(
+        "o_orderkey", "o_custkey", "o_orderstatus", F.lit(1.0).alias("o_totalprice"),
+        F.to_timestamp("day").alias("o_orderdate"), F.lit("1-URGENT").alias("o_orderpriority"))
+    orders.write.parquet(str(tmp_path / "orders.parquet"))
+    gone = registry.queries()["ver_03_delete_closes"](spark, str(tmp_path))
+    got = gone.select("id", "description", *[F.timestamp_micros(c).cast("date").cast("string") for c in ("valid_from", "valid_to")], "commit_id")
+    # The first version of 33 had ended at the instant of the batch; only its second is closed by it.
+    assert sorted(map(tuple, got.collect())) == [
+        (13, "O", "1997-01-01", "2002-01-01", 2), (33, "O", "2002-01-01", "2002-01-01", 11),
+        (1_000_003, "F", "1998-01-01", "2002-01-01", 3), (5_000_000_023, "O", "1999-01-01", "2002-01-01", 5)]
+
+
 def test_scratch_tables_can_be_dropped(spark):
     import os
 
